@@ -1,0 +1,22 @@
+"""Broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Row bound under which a side is broadcast to every executor.
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                       known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` when it has at most ``max_rows`` rows.
+
+    The count runs on ``df`` itself, so pass a small, already materialised
+    (cached or checkpointed) frame, or ``known_rows`` when the size is known.
+    Beyond the bound the frame is returned unchanged and the planner uses a
+    shuffle join (AQE may still switch at runtime).
+    """
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
