@@ -136,3 +136,63 @@ def q_screen_summary(spark, sf_dir):
            .join(normal, "item", "left"))
     return out.select("item", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                 for c in ["n_critical", "n_warning", "n_normal", "n_normal_readings"]])
+
+
+# ---------------------------------------------------------------- density
+EV_DENSITY = EV_SCREEN + """,
+ev_trim AS (
+  SELECT date, quantile_cont(value, 0.0001) AS t_lo, quantile_cont(value, 0.9999) AS t_hi
+  FROM ev_normal GROUP BY date),
+ev_t AS (
+  SELECT n.user_id, n.date, n.value FROM ev_normal n JOIN ev_trim t USING (date)
+  WHERE n.value BETWEEN t.t_lo AND t.t_hi),
+ev_st AS (
+  SELECT date, count(*) AS n, avg(value) AS mu, stddev_pop(value) AS sd,
+         min(value) AS vmin, max(value) AS vmax
+  FROM ev_t GROUP BY date),
+ev_st2 AS (
+  SELECT *, CASE WHEN sd <> 0 THEN (vmin - mu) / sd ELSE vmin END AS z0,
+            CASE WHEN sd <> 0 THEN (vmax - mu) / sd ELSE vmax END AS z1
+  FROM ev_st),
+ev_grid AS (
+  SELECT date, i AS layer, n, mu, sd, (z1 - z0) <= 1e-3 AS flat,
+         CASE WHEN (z1 - z0) <= 1e-3 OR i = 99 THEN z1 ELSE z0 + i * ((z1 - z0) / 99) END AS gx
+  FROM ev_st2, range(0, 100) r(i)),
+ev_cmp AS (SELECT date, value, count(*) AS c FROM ev_t GROUP BY date, value),
+ev_pdf AS (
+  SELECT g.date, g.layer, g.gx, g.n, g.mu, g.sd, g.flat,
+         CASE WHEN g.flat THEN 1.0
+              ELSE coalesce(sum(c.c * exp(-0.5 * power(g.gx - CASE WHEN g.sd <> 0 THEN (c.value - g.mu) / g.sd
+                                                                    ELSE c.value END, 2))), 0)
+                   / (g.n * sqrt(2 * pi())) END AS pdf
+  FROM ev_grid g LEFT JOIN ev_cmp c ON c.date = g.date AND NOT g.flat
+  GROUP BY g.date, g.layer, g.gx, g.n, g.mu, g.sd, g.flat),
+ev_area AS (
+  SELECT *, (lead(gx) OVER w - gx) * (lead(pdf) OVER w + pdf) / 2 AS area
+  FROM ev_pdf WINDOW w AS (PARTITION BY date ORDER BY layer)),
+ev_cum AS (
+  SELECT *, sum(area) OVER (PARTITION BY date ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM ev_area),
+ev_density AS (
+  SELECT 'value' AS item, date, layer, gx * sd + mu AS x,
+         CASE WHEN max(cum) OVER (PARTITION BY date) > 0 THEN cum / max(cum) OVER (PARTITION BY date) END AS cdf
+  FROM ev_cum)"""
+
+
+def events_density(spark, sf_dir, sample_modulus=None):
+    res = events_screen(spark, sf_dir)
+    from fleetpulse.operators.density import daily_density
+    return daily_density(res["normal"], "user_id", sample_modulus=sample_modulus)
+
+
+@register("daily_density", "WITH " + EV_DENSITY + """
+SELECT item, date, CAST(layer AS INTEGER) AS layer, round(x, 6) AS x, round(cdf, 6) AS cdf FROM ev_density""")
+def q_daily_density(spark, sf_dir):
+    d = events_density(spark, sf_dir)
+    return d.select("item", "date", "layer", r6("x").alias("x"), r6("cdf").alias("cdf"))
+
+
+@register("density_sampled")
+def q_density_sampled(spark, sf_dir):
+    d = events_density(spark, sf_dir, sample_modulus=10)
+    return d.select("item", "date", "layer", r6("x").alias("x"), r6("cdf").alias("cdf"))
