@@ -196,3 +196,282 @@ def q_daily_density(spark, sf_dir):
 def q_density_sampled(spark, sf_dir):
     d = events_density(spark, sf_dir, sample_modulus=10)
     return d.select("item", "date", "layer", r6("x").alias("x"), r6("cdf").alias("cdf"))
+
+
+# ---------------------------------------------------------------- history / re-check
+from fleetpulse.operators import history as H  # noqa: E402
+from fleetpulse.operators import plotdata as P  # noqa: E402
+
+EV_RAW = """
+ev_raw AS (
+  SELECT event_id, ts, user_id, event_type, value, CAST(ts AS DATE) AS date,
+         upper(event_type) AS identity, CAST(date_trunc('week', ts) AS DATE) AS week
+  FROM events)"""
+EV_HIST = EV_SCREEN + "," + EV_RAW + """,
+ev_drives AS (SELECT user_id FROM ev_crit UNION SELECT user_id FROM ev_warn),
+ev_mode AS (
+  SELECT user_id, identity FROM (
+    SELECT user_id, identity, count(*) AS n FROM ev_raw
+    WHERE user_id IN (SELECT user_id FROM ev_drives) AND identity IS NOT NULL
+    GROUP BY user_id, identity)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, identity ASC) = 1),
+ev_hist AS (SELECT r.* FROM ev_raw r JOIN ev_mode m ON r.user_id = m.user_id AND r.identity = m.identity),
+ev_cutoff AS (
+  SELECT min(date) AS cutoff FROM ev_raw
+  WHERE week = (SELECT max(week) FROM ev_raw) AND user_id IN (SELECT user_id FROM ev_drives)),
+ev_short AS (SELECT * FROM ev_hist WHERE date >= (SELECT cutoff FROM ev_cutoff)),
+ev_cells_long AS (
+  SELECT * FROM (
+    SELECT user_id, date, value FROM ev_hist
+    QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts DESC, event_id DESC) = 1)
+  WHERE value IS NOT NULL),
+ev_cells AS (
+  SELECT * FROM (
+    SELECT user_id, date, value FROM ev_short
+    QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts DESC, event_id DESC) = 1)
+  WHERE value IS NOT NULL),
+ev_crit_new AS (SELECT DISTINCT user_id FROM ev_cells WHERE user_id IN (SELECT user_id FROM ev_crit) AND value > 250),
+ev_warn_new AS (
+  SELECT DISTINCT c.user_id FROM ev_cells c LEFT JOIN ev_bounds b USING (date)
+  WHERE c.user_id IN (SELECT user_id FROM ev_warn) AND (c.value < b.lower OR c.value > b.upper))"""
+
+
+def with_week(df):
+    return df.withColumn("week", F.to_date(F.date_trunc("week", F.col("ts"))))
+
+
+def last_week(raw):
+    return raw.where(F.col("week") == raw.select(F.max("week")).scalar())
+
+
+def events_history(spark, sf_dir) -> dict:
+    res = events_screen(spark, sf_dir)
+    raw = with_week(TB.read(spark, sf_dir, "events"))
+    drives = H.union_lists([res["critical"], res["warning"]], "user_id")
+    hist, cutoff = H.abnormal_history(raw, drives, TB.EVENTS, last_week(raw))
+    short = H.short_window(hist, cutoff)
+    cells = H.daily_cells(short, TB.EVENTS, ["value"])
+    cells_long = H.daily_cells(hist, TB.EVENTS, ["value"])
+    rules = TB.events_rules(spark)
+    crit_new = H.recheck_critical(cells, res["critical"], rules, "user_id")
+    warn_new = H.recheck_warning(cells, res["warning"], res["bounds"], rules, "user_id")
+    return dict(res, raw=raw, drives=drives, hist=hist, cutoff=cutoff, short=short, cells=cells,
+                cells_long=cells_long, crit_new=crit_new, warn_new=warn_new, rules=rules)
+
+
+@register("set_union_distinct", "WITH " + EV_HIST + """
+SELECT user_id FROM ev_drives""")
+def q_set_union_distinct(spark, sf_dir):
+    return events_history(spark, sf_dir)["drives"]
+
+
+@register("mode_identity", "WITH " + EV_RAW + """
+SELECT user_id, identity, n FROM (
+  SELECT user_id, identity, count(*) AS n FROM ev_raw WHERE identity IS NOT NULL GROUP BY user_id, identity)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, identity ASC) = 1""")
+def q_mode_identity(spark, sf_dir):
+    ev = TB.read(spark, sf_dir, "events")
+    return H.dominant_identity(ev, "user_id", TB.EVENTS.identity)
+
+
+@register("abnormal_history", "WITH " + EV_HIST + """
+SELECT event_id, user_id, ts, date, identity, value FROM ev_hist""")
+def q_abnormal_history(spark, sf_dir):
+    return events_history(spark, sf_dir)["hist"].select("event_id", "user_id", "ts", "date", "identity", "value")
+
+
+@register("short_window", "WITH " + EV_HIST + """
+SELECT event_id, user_id, ts, date, identity, value FROM ev_short""")
+def q_short_window(spark, sf_dir):
+    return events_history(spark, sf_dir)["short"].select("event_id", "user_id", "ts", "date", "identity", "value")
+
+
+@register("recheck_critical", "WITH " + EV_HIST + """
+SELECT 'value' AS item, user_id FROM ev_crit_new""")
+def q_recheck_critical(spark, sf_dir):
+    return events_history(spark, sf_dir)["crit_new"]
+
+
+@register("recheck_warning", "WITH " + EV_HIST + """
+SELECT 'value' AS item, user_id FROM ev_warn_new""")
+def q_recheck_warning(spark, sf_dir):
+    return events_history(spark, sf_dir)["warn_new"]
+
+
+@register("recheck_counts", "WITH " + EV_HIST + """
+SELECT 'value' AS item, 'critical' AS class, (SELECT count(*) FROM ev_crit) AS n_before,
+       (SELECT count(*) FROM ev_crit_new) AS n_after
+UNION ALL
+SELECT 'value', 'warning', (SELECT count(*) FROM ev_warn), (SELECT count(*) FROM ev_warn_new)""")
+def q_recheck_counts(spark, sf_dir):
+    h = events_history(spark, sf_dir)
+    return H.recheck_counts({"critical": h["critical"], "warning": h["warning"]},
+                            {"critical": h["crit_new"], "warning": h["warn_new"]}, "user_id")
+
+
+@register("trend_points", "WITH " + EV_HIST + """,
+pts AS (
+  SELECT 'long' AS span, 'critical' AS class, * FROM ev_cells_long WHERE user_id IN (SELECT user_id FROM ev_crit_new)
+  UNION ALL
+  SELECT 'long', 'warning', * FROM ev_cells_long WHERE user_id IN (SELECT user_id FROM ev_warn_new)
+  UNION ALL
+  SELECT 'short', 'critical', * FROM ev_cells WHERE user_id IN (SELECT user_id FROM ev_crit_new)
+  UNION ALL
+  SELECT 'short', 'warning', * FROM ev_cells WHERE user_id IN (SELECT user_id FROM ev_warn_new))
+SELECT span, class, 'value' AS item, user_id, date, value,
+       count(*) OVER (PARTITION BY span, class, user_id) = 1 AS single_point, false AS in_zoom
+FROM pts""")
+def q_trend_points(spark, sf_dir):
+    h = events_history(spark, sf_dir)
+    parts = []
+    for span, cells in (("long", h["cells_long"]), ("short", h["cells"])):
+        for cls, lst in (("critical", h["crit_new"]), ("warning", h["warn_new"])):
+            pts = P.trend_points(cells, lst, h["rules"], "user_id")
+            parts.append(pts.select(F.lit(span).alias("span"), F.lit(cls).alias("class"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---------------------------------------------------------------- heatmap / axis / baseline
+@register("heatmap_cells", "WITH " + EV_DENSITY + """,
+d AS (SELECT *, coalesce(cdf, 0) AS cdf0 FROM ev_density),
+d2 AS (SELECT *, lead(cdf0) OVER w - cdf0 AS delta, lead(cdf) OVER w - cdf AS raw_delta, lead(x) OVER w AS x_hi
+       FROM d WINDOW w AS (PARTITION BY item, date ORDER BY layer)),
+nrm AS (SELECT item, max(raw_delta) AS norm FROM d2 WHERE date < (SELECT max(date) FROM d2) GROUP BY item),
+days AS (SELECT item, date, lead(date) OVER (PARTITION BY item ORDER BY date) AS next_date
+         FROM (SELECT DISTINCT item, date FROM d))
+SELECT a.item, a.date, days.next_date, a.layer, round(a.delta, 6) AS delta,
+       round((1 - a.delta / nrm.norm) * 0.8 + 0.2, 6) AS colour, round(a.delta / nrm.norm, 6) AS opacity,
+       round(a.delta / nrm.norm * 0.9 + 0.1, 6) AS alpha, round(a.x, 6) AS x_lo, round(a.x_hi, 6) AS x_hi,
+       round(b.x, 6) AS next_x_lo, round(b.x_hi, 6) AS next_x_hi
+FROM d2 a JOIN days USING (item, date) JOIN d2 b ON b.item = a.item AND b.date = days.next_date AND b.layer = a.layer
+JOIN nrm ON nrm.item = a.item
+WHERE a.layer < 99 AND days.next_date IS NOT NULL AND nrm.norm IS NOT NULL""")
+def q_heatmap_cells(spark, sf_dir):
+    d = events_density(spark, sf_dir)
+    c = P.heatmap_cells(d, ["item"])
+    return c.select("item", "date", "next_date", "layer",
+                    *[r6(n).alias(n) for n in ["delta", "colour", "opacity", "alpha", "x_lo", "x_hi",
+                                                "next_x_lo", "next_x_hi"]])
+
+
+@register("axis_bounds", "WITH " + EV_DENSITY + """,
+m AS (SELECT item, max(x) AS vmax FROM ev_density GROUP BY item),
+v AS (SELECT item, CASE WHEN vmax <= 0 THEN 200 ELSE vmax END AS vm FROM m)
+SELECT item, round(0 - (vm - 0) * 0.1, 6) AS axis_min, round(vm + (vm - 0) * 0.1, 6) AS axis_max FROM v""")
+def q_axis_bounds(spark, sf_dir):
+    d = events_density(spark, sf_dir)
+    a = P.axis_bounds(d, TB.events_rules(spark), ["item"])
+    return a.select("item", r6("axis_min").alias("axis_min"), r6("axis_max").alias("axis_max"))
+
+
+@register("baseline", "WITH " + EV_HIST + """,
+quiet AS (
+  SELECT 'value' AS item WHERE NOT EXISTS (SELECT 1 FROM ev_crit_new) AND NOT EXISTS (SELECT 1 FROM ev_warn_new)
+    AND NOT EXISTS (SELECT 1 FROM ev_normal))
+SELECT item, date, CAST(0.0 AS DOUBLE) AS baseline FROM quiet, (SELECT DISTINCT date FROM ev_hist)""")
+def q_baseline(spark, sf_dir):
+    h = events_history(spark, sf_dir)
+    items = h["raw"].select(F.lit("value").alias("item")).distinct()
+    busy = (h["crit_new"].select("item").unionByName(h["warn_new"].select("item"))
+            .unionByName(h["normal"].select("item")))
+    quiet = items.join(busy, "item", "left_anti")
+    return P.baseline(h["hist"].select("date"), items, quiet)
+
+
+# ---------------------------------------------------------------- special items
+EV_SPECIAL = EV_RAW + """,
+sp_last AS (SELECT * FROM ev_raw WHERE week = (SELECT max(week) FROM ev_raw)),
+sp_list AS (SELECT DISTINCT 'value_band' AS item, user_id FROM sp_last
+            WHERE floor(value / 200) IS NOT NULL AND floor(value / 200) <> 0),
+sp_mode AS (
+  SELECT user_id, identity FROM (
+    SELECT user_id, identity, count(*) AS n FROM ev_raw
+    WHERE user_id IN (SELECT user_id FROM sp_list) AND identity IS NOT NULL GROUP BY user_id, identity)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, identity ASC) = 1),
+sp_hist AS (SELECT r.* FROM ev_raw r JOIN sp_mode m ON r.user_id = m.user_id AND r.identity = m.identity),
+sp_cut AS (SELECT min(date) AS cutoff FROM sp_last WHERE user_id IN (SELECT user_id FROM sp_list)),
+sp_cells AS (
+  SELECT * FROM (
+    SELECT user_id, date, floor(value / 200) AS value FROM sp_hist WHERE date >= (SELECT cutoff FROM sp_cut)
+    QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts DESC, event_id DESC) = 1)
+  WHERE value IS NOT NULL),
+sp_new AS (SELECT DISTINCT user_id FROM sp_cells WHERE user_id IN (SELECT user_id FROM sp_list) AND value <> 0)"""
+
+
+def events_special(spark, sf_dir) -> dict:
+    raw = with_week(TB.read(spark, sf_dir, "events")).withColumn("value_band", F.floor(F.col("value") / 200)
+                                                                 .cast("double"))
+    items = {"value_band": 0.0}
+    last = last_week(raw)
+    listed = H.special_item_drives(last, "user_id", items)
+    hist, cutoff = H.abnormal_history(raw, listed.select("user_id").distinct(), TB.EVENTS, last)
+    short = H.short_window(hist, cutoff)
+    cells = H.daily_cells(short, TB.EVENTS, ["value_band"])
+    new = H.recheck_special(cells, listed, "user_id", items)
+    return dict(listed=listed, hist=hist, short=short, cells=cells, new=new)
+
+
+@register("special_item_drives", "WITH " + EV_SPECIAL + """
+SELECT item, user_id FROM sp_list""")
+def q_special_item_drives(spark, sf_dir):
+    return events_special(spark, sf_dir)["listed"]
+
+
+@register("special_item_history", "WITH " + EV_SPECIAL + """
+SELECT 'value_band' AS item, user_id, date, value FROM sp_cells WHERE user_id IN (SELECT user_id FROM sp_new)""")
+def q_special_item_history(spark, sf_dir):
+    s = events_special(spark, sf_dir)
+    return s["cells"].join(s["new"], ["item", "user_id"], "left_semi").select("item", "user_id", "date", "value")
+
+
+# ---------------------------------------------------------------- histogram / bars (orders)
+ORD_LAST = """
+ord_last AS (
+  SELECT * FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"""
+ORDERS_RULES = [("o_totalprice", "EMPTY", "EMPTY", "EMPTY", "EMPTY", "-", "0", None)]
+
+
+def orders_last(spark, sf_dir):
+    o = TB.read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey",
+                                                "o_totalprice", "o_orderpriority")
+    return D.keep_last_per_drive(o, TB.ORDERS)
+
+
+@register("histogram", "WITH " + ORD_LAST + """,
+v AS (SELECT o_totalprice AS value FROM ord_last WHERE o_totalprice IS NOT NULL),
+p AS (SELECT quantile_cont(value, 0.99) AS q FROM v),
+m AS (SELECT CASE WHEN q <= 0 THEN 10 ELSE q END AS m FROM p),
+rg AS (SELECT greatest(0.0, 0 - (m - 0) * 0.1) AS lo, m + (m - 0) * 0.1 AS hi FROM m),
+rg2 AS (SELECT lo, hi, (hi - lo) / 50 AS step FROM rg),
+b0 AS (SELECT v.value, rg2.*, least(CAST(floor((v.value - lo) * (50 / (hi - lo))) AS INTEGER), 49) AS i0
+       FROM v, rg2 WHERE v.value >= lo AND v.value <= hi),
+b1 AS (SELECT *, CASE WHEN value < (CASE WHEN i0 >= 50 THEN hi ELSE lo + i0 * step END) THEN i0 - 1 ELSE i0 END AS i1 FROM b0),
+b2 AS (SELECT *, CASE WHEN value >= (CASE WHEN i1 + 1 >= 50 THEN hi ELSE lo + (i1 + 1) * step END) AND i1 <> 49
+                      THEN i1 + 1 ELSE i1 END AS bin FROM b1),
+cnt AS (SELECT bin, count(*) AS n FROM b2 GROUP BY bin)
+SELECT 'o_totalprice' AS item, CAST(g.i AS INTEGER) AS bin,
+       round(CASE WHEN g.i >= 50 THEN hi ELSE lo + g.i * step END, 6) AS bin_lo,
+       round(CASE WHEN g.i + 1 >= 50 THEN hi ELSE lo + (g.i + 1) * step END, 6) AS bin_hi,
+       coalesce(cnt.n, 0) AS n
+FROM rg2, range(0, 50) g(i) LEFT JOIN cnt ON cnt.bin = g.i""")
+def q_histogram(spark, sf_dir):
+    from fleetpulse.functions.rules import rules_from_rows
+    last = orders_last(spark, sf_dir)
+    vals = D.to_long(last.withColumn("date", F.to_date("o_orderdate")), TB.ORDERS, ["o_totalprice"])
+    rules = rules_from_rows(spark, ORDERS_RULES)
+    rng = P.histogram_range(vals, rules)
+    h = P.histogram(vals, rng)
+    return h.select("item", "bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"), "n")
+
+
+@register("bars", "WITH " + ORD_LAST + """
+SELECT 'o_orderpriority' AS item, o_orderpriority AS value, count(*) AS n
+FROM ord_last WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""")
+def q_bars(spark, sf_dir):
+    last = orders_last(spark, sf_dir)
+    vals = last.select(F.lit("o_orderpriority").alias("item"), F.col("o_orderpriority").alias("value"))
+    return P.value_counts(vals)
