@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.broadcast import broadcast_if_small
 from fleetpulse.operators.quantile import exact_quantiles
-from fleetpulse.session import ensure_checkpoint_dir
+from fleetpulse.session import materialize
 
 # Fixed values of the density step.
 N_LAYERS = 100
@@ -63,8 +63,7 @@ def group_stats(normal: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
              .withColumn("z1", zscore(F.col("vmax"), F.col("mu"), F.col("sd")))
              .withColumn("step", (F.col("z1") - F.col("z0")) / F.lit(N_LAYERS - 1))
              .withColumn("flat", (F.col("z1") - F.col("z0")) <= F.lit(MIN_WIDTH)))
-    ensure_checkpoint_dir(normal.sparkSession)
-    return trimmed, stats.checkpoint(eager=True)
+    return trimmed, materialize(stats, "density-stats")
 
 
 def grid_x(layer, stats_prefix: str = ""):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.broadcast import broadcast_if_small
-from fleetpulse.session import ensure_checkpoint_dir
+from fleetpulse.session import materialize
 
 
 def _with_fractions(groups: DataFrame, group_cols: list[str], fractions) -> DataFrame:
@@ -42,8 +42,32 @@ def _with_fractions(groups: DataFrame, group_cols: list[str], fractions) -> Data
             .select(*groups.columns, "_q.qid", "_q.fraction"))
 
 
+# Groups up to this many values use Spark's exact ``percentile`` aggregate,
+# whose final merge holds one group's distinct values in one task; larger
+# groups take the range-sorted path below.
+SMALL_GROUP_LIMIT = 1_000_000
+
+
+def _fraction_list(fractions) -> list[float]:
+    if isinstance(fractions, DataFrame):
+        return sorted({float(r["fraction"]) for r in fractions.select("fraction").distinct().collect()})
+    return sorted({float(v) for v in dict(fractions).values()})
+
+
+def _percentile_path(vals: DataFrame, group_cols: list[str], fractions) -> DataFrame:
+    fl = _fraction_list(fractions) or [0.5]   # no request -> no rows after the join below
+    arr = F.array(*[F.lit(f) for f in fl])
+    agg = (vals.groupBy(*group_cols)
+           .agg(F.percentile(F.col("_v"), arr).alias("_p"), F.count(F.lit(1)).alias("_n")))
+    picked = _with_fractions(agg, group_cols, fractions)
+    return picked.select(*group_cols, "qid",
+                         F.element_at(F.col("_p"), F.array_position(arr, F.col("fraction")).cast("int"))
+                         .alias("quantile"),
+                         F.col("_n").alias("n"))
+
+
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fractions,
-                    n_slices: int | None = None) -> DataFrame:
+                    n_slices: int | None = None, small_group_limit: int = SMALL_GROUP_LIMIT) -> DataFrame:
     """Per-group quantiles ``(…group_cols, qid, quantile, n)``.
 
     ``fractions`` is either ``{qid: fraction}`` (same fractions for every group)
@@ -57,6 +81,9 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
     n_slices = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    largest = vals.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
+    if largest is None or largest <= small_group_limit:
+        return materialize(_percentile_path(vals, group_cols, fractions), "quantiles")
     ordered = (vals.repartitionByRange(n_slices, *group_cols, "_v")
                .sortWithinPartitions(*group_cols, "_v")
                .withColumn("_slice", F.spark_partition_id())
@@ -66,14 +93,13 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
     # Every consumer below must see the same slices, so the per-slice summary
     # and the target ids are checkpointed (both are tiny) and the big sorted
     # frame is read only through its cache.
-    ensure_checkpoint_dir(spark)
     seg = ordered.groupBy("_slice", *group_cols).agg(F.min("_id").alias("_first"),
                                                      F.count(F.lit(1)).alias("_cnt"))
     by_group = Window.partitionBy(*group_cols)
     seg = (seg.withColumn("_off", F.coalesce(F.sum("_cnt").over(
                 by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_n", F.sum("_cnt").over(by_group))
-              .checkpoint(eager=True))
+              .withColumn("_n", F.sum("_cnt").over(by_group)))
+    seg = materialize(seg, "quantile-slices")
 
     groups = seg.select(*group_cols, "_n").distinct()
     wanted = (_with_fractions(groups, group_cols, fractions).withColumn("_k", F.col("fraction") * (F.col("_n") - 1))
@@ -90,8 +116,8 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
     cond += [F.col("r.rank") >= F.col("s._off"), F.col("r.rank") < F.col("s._off") + F.col("s._cnt")]
     targets = (s.join(r, cond)
                .select(*[F.col(f"r.{g}").alias(g) for g in group_cols], "r.qid", "r._n", "r._w", "r.side",
-                       (F.col("s._first") + F.col("r.rank") - F.col("s._off")).alias("_tid"))
-               .checkpoint(eager=True))
+                       (F.col("s._first") + F.col("r.rank") - F.col("s._off")).alias("_tid")))
+    targets = materialize(targets, "quantile-targets")
 
     picked = (ordered.select("_id", "_v")
               .join(broadcast_if_small(targets), F.col("_id") == F.col("_tid"))
@@ -101,8 +127,8 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
                 F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_b"))
            .select(*group_cols, "qid",
                    (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("quantile"),
-                   F.col("_n").alias("n"))
-           .checkpoint(eager=True))
+                   F.col("_n").alias("n")))
+    out = materialize(out, "quantiles")
     ordered.unpersist()
     return out
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.broadcast import broadcast_if_small
 from fleetpulse.functions.rules import KIND_PPM, KIND_VALUE, MAX_RULES, quantile_requests, rule_key
 from fleetpulse.operators.quantile import exact_quantiles
-from fleetpulse.session import ensure_checkpoint_dir
+from fleetpulse.session import materialize
 
 RULE_FIELDS = ["crit_low", "crit_high", "warn_low_kind", "warn_low_num",
                "warn_high_kind", "warn_high_num", "y_format", "y_min", "y_max"]
@@ -47,7 +47,7 @@ def without(long: DataFrame, drives: DataFrame, serial: str, batch: str | None =
 
 
 def warning_bounds(pop: DataFrame, rules: DataFrame, batch: str | None = None,
-                   materialize: bool = True) -> DataFrame:
+                   materialized: bool = True) -> DataFrame:
     """Per-day warning bounds ``(…batch, item, date, lower, upper)``.
 
     ``pop`` is the population without critical drives.  PPM sides are exact
@@ -73,10 +73,7 @@ def warning_bounds(pop: DataFrame, rules: DataFrame, batch: str | None = None,
                     .when(F.col("warn_low_kind") == KIND_VALUE, F.col("warn_low_num")).alias("lower"),
                    F.when(F.col("warn_high_kind") == KIND_PPM, F.col("q_upper"))
                     .when(F.col("warn_high_kind") == KIND_VALUE, F.col("warn_high_num")).alias("upper")))
-    if materialize:
-        ensure_checkpoint_dir(pop.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    return materialize(out, "warning-bounds") if materialized else out
 
 
 def outside_bounds(pop: DataFrame, bounds: DataFrame, batch: str | None = None) -> DataFrame:

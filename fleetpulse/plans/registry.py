@@ -475,3 +475,19 @@ def q_bars(spark, sf_dir):
     last = orders_last(spark, sf_dir)
     vals = last.select(F.lit("o_orderpriority").alias("item"), F.col("o_orderpriority").alias("value"))
     return P.value_counts(vals)
+
+
+@register("quantiles_range_path", "WITH " + EV_SCREEN + """
+SELECT 'value' AS item, date, round(quantile_cont(value, 0.0001), 6) AS q_lo,
+       round(quantile_cont(value, 0.5), 6) AS q_mid, round(quantile_cont(value, 0.9999), 6) AS q_hi,
+       count(*) AS n
+FROM ev_pop GROUP BY date""")
+def q_quantiles_range_path(spark, sf_dir):
+    """Exact quantiles forced through the range-sorted path (the path used for
+    groups too large for one task), on the screened population."""
+    from fleetpulse.operators.quantile import exact_quantiles
+    pop = events_screen(spark, sf_dir)["population"]
+    q = exact_quantiles(pop, ["item", "date"], "value", {"q_lo": 0.0001, "q_mid": 0.5, "q_hi": 0.9999},
+                        small_group_limit=0)
+    return (q.groupBy("item", "date", "n").pivot("qid", ["q_lo", "q_mid", "q_hi"]).agg(F.first("quantile"))
+            .select("item", "date", *[r6(c).alias(c) for c in ["q_lo", "q_mid", "q_hi"]], "n"))
