@@ -81,3 +81,9 @@ def pivot_days(long: DataFrame, serial: str, dates: list[str], how: str = "avg")
 def keep_last_per_drive(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
     """Last reading of each drive over the whole input (histogram input)."""
     return keep_last(df, spec.keys(), spec.order_cols())
+
+
+def daily_average(df: DataFrame, spec: TelemetrySpec, items: list[str]) -> DataFrame:
+    """All readings of a (drive, day) averaged (the ad-hoc variant without keep-last)."""
+    df = with_day(df, spec)
+    return df.groupBy(*spec.keys(), "date").agg(*[F.avg(i).alias(i) for i in items])

@@ -491,3 +491,244 @@ def q_quantiles_range_path(spark, sf_dir):
                         small_group_limit=0)
     return (q.groupBy("item", "date", "n").pivot("qid", ["q_lo", "q_mid", "q_hi"]).agg(F.first("quantile"))
             .select("item", "date", *[r6(c).alias(c) for c in ["q_lo", "q_mid", "q_hi"]], "n"))
+
+
+# ---------------------------------------------------------------- multi-item screening (lineitem)
+LI_SCREEN = """
+li_daily AS (
+  SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+         l_quantity, l_extendedprice, l_discount, l_tax
+  FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate)
+                             ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1),
+li_long AS (UNPIVOT li_daily ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME item VALUE value),
+li_crit AS (
+  SELECT DISTINCT item, l_suppkey FROM li_long
+  WHERE (item = 'l_quantity' AND (value < 1 OR value > 50)) OR (item = 'l_extendedprice' AND value > 100000)
+     OR (item = 'l_tax' AND value < 0)),
+li_pop AS (
+  SELECT * FROM li_long l
+  WHERE NOT EXISTS (SELECT 1 FROM li_crit c WHERE c.item = l.item AND c.l_suppkey = l.l_suppkey)),
+li_bounds AS (
+  SELECT item, date,
+         CASE item WHEN 'l_quantity' THEN quantile_cont(value, 20000 / 1e6) WHEN 'l_discount' THEN 0.01
+                   WHEN 'l_tax' THEN quantile_cont(value, 100000 / 1e6) END AS lower,
+         CASE item WHEN 'l_quantity' THEN quantile_cont(value, 1 - 20000 / 1e6)
+                   WHEN 'l_extendedprice' THEN quantile_cont(value, 1 - 50000 / 1e6) WHEN 'l_discount' THEN 0.09 END AS upper
+  FROM li_pop GROUP BY item, date),
+li_warn AS (
+  SELECT DISTINCT p.item, p.l_suppkey FROM li_pop p JOIN li_bounds b USING (item, date)
+  WHERE p.value < b.lower OR p.value > b.upper),
+li_class AS (
+  SELECT d.item, d.l_suppkey,
+         CASE WHEN c.l_suppkey IS NOT NULL THEN 'critical' WHEN w.l_suppkey IS NOT NULL THEN 'warning'
+              ELSE 'normal' END AS class
+  FROM (SELECT DISTINCT item, l_suppkey FROM li_long) d
+  LEFT JOIN li_crit c USING (item, l_suppkey) LEFT JOIN li_warn w USING (item, l_suppkey))"""
+
+
+def lineitem_screen(spark, sf_dir):
+    li = TB.read(spark, sf_dir, "lineitem")
+    daily = D.load_daily(li, TB.LINEITEM, columns=list(TB.LINEITEM_ITEMS))
+    long = D.to_long(daily, TB.LINEITEM)
+    res = S.screen(long, TB.lineitem_rules(spark), "l_suppkey")
+    return long, res
+
+
+@register("screen_multi_item", "WITH " + LI_SCREEN + """
+SELECT item, l_suppkey, class FROM li_class""")
+def q_screen_multi_item(spark, sf_dir):
+    long, res = lineitem_screen(spark, sf_dir)
+    return S.classify(long, res, "l_suppkey")
+
+
+@register("multi_item_bounds", "WITH " + LI_SCREEN + """
+SELECT item, date, round(lower, 6) AS lower, round(upper, 6) AS upper FROM li_bounds""")
+def q_multi_item_bounds(spark, sf_dir):
+    _, res = lineitem_screen(spark, sf_dir)
+    return res["bounds"].select("item", "date", r6("lower").alias("lower"), r6("upper").alias("upper"))
+
+
+# ---------------------------------------------------------------- weekly screening (batch = week)
+W_SCREEN = """
+w_daily AS (
+  SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(ts AS DATE) AS date, value
+  FROM events WHERE event_type IS DISTINCT FROM 'error'
+  QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1),
+w_crit AS (SELECT DISTINCT week, user_id FROM w_daily WHERE value > 250),
+w_pop AS (SELECT d.* FROM w_daily d
+          WHERE NOT EXISTS (SELECT 1 FROM w_crit c WHERE c.week = d.week AND c.user_id = d.user_id)),
+w_bounds AS (SELECT week, date, quantile_cont(value, 10000 / 1e6) AS lower,
+                    quantile_cont(value, 1 - 10000 / 1e6) AS upper FROM w_pop GROUP BY week, date),
+w_warn AS (SELECT DISTINCT p.week, p.user_id FROM w_pop p JOIN w_bounds b USING (week, date)
+           WHERE p.value < b.lower OR p.value > b.upper),
+w_class AS (
+  SELECT d.week, d.user_id,
+         CASE WHEN c.user_id IS NOT NULL THEN 'critical' WHEN w.user_id IS NOT NULL THEN 'warning'
+              ELSE 'normal' END AS class
+  FROM (SELECT DISTINCT week, user_id FROM w_daily) d
+  LEFT JOIN w_crit c USING (week, user_id) LEFT JOIN w_warn w USING (week, user_id))"""
+
+EVENTS_WEEKLY = TB.EVENTS.__class__(**{**TB.EVENTS.__dict__, "batch": "week"})
+
+
+def weekly_screen(spark, sf_dir):
+    raw = with_week(TB.read(spark, sf_dir, "events"))
+    daily = D.load_daily(raw, EVENTS_WEEKLY, columns=["value"])
+    long = D.to_long(daily, EVENTS_WEEKLY)
+    res = S.screen(long, TB.events_rules(spark), "user_id", batch="week")
+    return long, res
+
+
+@register("screen_weekly", "WITH " + W_SCREEN + """
+SELECT week, class, count(*) AS n FROM w_class GROUP BY week, class""")
+def q_screen_weekly(spark, sf_dir):
+    long, res = weekly_screen(spark, sf_dir)
+    c = S.classify(long, res, "user_id", batch="week")
+    return c.groupBy("week", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("last_n_weeks", "WITH " + EV_RAW + """
+SELECT event_id, user_id, week, date, value FROM ev_raw
+WHERE week IN (SELECT DISTINCT week FROM ev_raw ORDER BY week DESC LIMIT 2)""")
+def q_last_n_weeks(spark, sf_dir):
+    from fleetpulse.sources.io import last_batches
+    raw = with_week(TB.read(spark, sf_dir, "events")).withColumn("date", F.to_date("ts"))
+    return last_batches(raw, "week", 2).select("event_id", "user_id", "week", "date", "value")
+
+
+@register("union_all_weeks", "WITH " + W_SCREEN + """
+SELECT week, user_id, date, value FROM w_daily
+WHERE week IN (SELECT DISTINCT week FROM w_daily ORDER BY week DESC LIMIT 2)""")
+def q_union_all_weeks(spark, sf_dir):
+    """Two weekly loads (each: quarantine split + keep-last) appended by name."""
+    raw = with_week(TB.read(spark, sf_dir, "events"))
+    weeks = raw.select("week").distinct().orderBy(F.col("week").desc()).limit(2)
+    newest, older = weeks.select(F.max("week")).scalar(), weeks.select(F.min("week")).scalar()
+    parts = [D.load_daily(raw.where(F.col("week") == w), EVENTS_WEEKLY, columns=["value"]) for w in (newest, older)]
+    out = parts[0].unionByName(parts[1])
+    return out.select("week", "user_id", "date", "value")
+
+
+@register("difference", "WITH " + EV_SCREEN + """
+SELECT user_id, date, value FROM ev_pop""")
+def q_difference(spark, sf_dir):
+    pop = events_screen(spark, sf_dir)["population"]
+    return pop.select("user_id", "date", "value")
+
+
+# ---------------------------------------------------------------- pivots, ad-hoc screening
+@register("pivot_daily_avg", """
+PIVOT (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, value FROM events)
+ON d USING round(avg(value), 6) GROUP BY user_id""")
+def q_pivot_daily_avg(spark, sf_dir):
+    ev = TB.read(spark, sf_dir, "events")
+    d = D.with_day(ev, TB.EVENTS).withColumn("_d", F.col("date").cast("string"))
+    return d.groupBy("user_id").pivot("_d").agg(F.round(F.avg("value"), 6))
+
+
+@register("pivot_unique", "WITH " + EV_DAILY + """
+PIVOT (SELECT user_id, CAST(date AS VARCHAR) AS d, value FROM ev_daily) ON d USING max(value) GROUP BY user_id""")
+def q_pivot_unique(spark, sf_dir):
+    long = events_long(spark, sf_dir)
+    return long.withColumn("_d", F.col("date").cast("string")).groupBy("user_id").pivot("_d").agg(F.max("value"))
+
+
+ADHOC = """
+a_daily AS (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS value FROM events GROUP BY user_id, CAST(ts AS DATE)),
+a_crit AS (SELECT DISTINCT user_id FROM a_daily WHERE value > 250),
+a_pop AS (SELECT * FROM a_daily WHERE user_id NOT IN (SELECT user_id FROM a_crit)),
+a_bounds AS (SELECT date, quantile_cont(value, 10000 / 1e6) AS lower, quantile_cont(value, 1 - 10000 / 1e6) AS upper
+             FROM a_pop GROUP BY date),
+a_warn AS (SELECT DISTINCT p.user_id FROM a_pop p JOIN a_bounds b USING (date)
+           WHERE p.value < b.lower OR p.value > b.upper),
+a_normal AS (SELECT * FROM a_pop WHERE user_id NOT IN (SELECT user_id FROM a_warn)),
+a_tr AS (SELECT quantile_cont(value, 0.0001) AS lo, quantile_cont(value, 0.9999) AS hi FROM a_normal),
+a_t AS (SELECT value, lo, hi FROM a_normal, a_tr WHERE value BETWEEN lo AND hi)"""
+
+
+@register("matrix_summary", "WITH " + ADHOC + """
+SELECT 'value' AS item, round(lo, 6) AS lower_b, round(hi, 6) AS upper_b, round(avg(value), 6) AS mean,
+       round(stddev_pop(value), 6) AS std, count(*) AS n
+FROM a_t GROUP BY lo, hi""")
+def q_matrix_summary(spark, sf_dir):
+    """Ad-hoc run: daily averages of all readings (no quarantine, no keep-last),
+    screened, then the pooled trim bounds, mean and population std of the
+    normal drives."""
+    from fleetpulse.operators.quantile import exact_quantiles
+    ev = TB.read(spark, sf_dir, "events")
+    daily = D.daily_average(ev, TB.EVENTS, ["value"])
+    long = D.to_long(daily, TB.EVENTS)
+    normal = S.screen(long, TB.events_rules(spark), "user_id")["normal"]
+    q = exact_quantiles(normal, ["item"], "value", {"lo": 0.0001, "hi": 0.9999})
+    qw = q.groupBy("item").agg(F.max(F.when(F.col("qid") == "lo", F.col("quantile"))).alias("lo"),
+                               F.max(F.when(F.col("qid") == "hi", F.col("quantile"))).alias("hi"))
+    t = normal.join(F.broadcast(qw), "item").where(F.col("value").between(F.col("lo"), F.col("hi")))
+    return t.groupBy("item", "lo", "hi").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n")) \
+        .select("item", r6("lo").alias("lower_b"), r6("hi").alias("upper_b"), r6("mean").alias("mean"),
+                r6("std").alias("std"), "n")
+
+
+# ---------------------------------------------------------------- counts, SQL, round trips
+@register("count_distinct_all", """
+SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events
+                           WHERE user_id IS NOT NULL AND event_type IS NOT NULL)""")
+def q_count_distinct_all(spark, sf_dir):
+    ev = TB.read(spark, sf_dir, "events").select("user_id", "event_type")
+    return ev.select(F.count_distinct(*[F.col(c) for c in ev.columns]).alias("n"))
+
+
+@register("row_count", "SELECT count(*) AS n FROM lineitem")
+def q_row_count(spark, sf_dir):
+    return TB.read(spark, sf_dir, "lineitem").select(F.count(F.lit(1)).alias("n"))
+
+
+@register("like_filter", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'PROMO%'")
+def q_like_filter(spark, sf_dir):
+    TB.read(spark, sf_dir, "part").createOrReplaceTempView("part_rules_view")
+    return spark.sql("SELECT p_partkey, p_type FROM part_rules_view WHERE p_type LIKE 'PROMO%'")
+
+
+@register("csv_round_trip", "WITH " + EV_DAILY + """
+SELECT user_id, date, event_id, value FROM ev_daily""")
+def q_csv_round_trip(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from fleetpulse.session import scratch_path
+    path = scratch_path(spark, "csv-round-trip")
+    events_daily_rows(spark, sf_dir).write.option("header", True).csv(path)
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("date", T.DateType()),
+                           T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
+    return (spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path))
+
+
+def events_daily_rows(spark, sf_dir):
+    ev = TB.read(spark, sf_dir, "events")
+    return D.load_daily(ev, TB.EVENTS).select("user_id", "date", "event_id", "value")
+
+
+@register("text_round_trip", "WITH " + EV_DAILY + """
+SELECT user_id, event_id FROM ev_daily""")
+def q_text_round_trip(spark, sf_dir):
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources.io import read_text, write_text
+    path = scratch_path(spark, "text-round-trip")
+    rows = events_daily_rows(spark, sf_dir)
+    write_text(rows.select(F.concat_ws(",", "user_id", "event_id").alias("value")), path)
+    parts = F.split(F.col("value"), ",")
+    return read_text(spark, path).select(F.element_at(parts, 1).cast("long").alias("user_id"),
+                                         F.element_at(parts, 2).cast("long").alias("event_id"))
+
+
+@register("result_readback", "WITH " + EV_SCREEN + """
+SELECT 'value' AS item, date, round(lower, 6) AS lower, round(upper, 6) AS upper FROM ev_bounds
+WHERE date_trunc('week', date) = (SELECT max(date_trunc('week', date)) FROM ev_bounds)""")
+def q_result_readback(spark, sf_dir):
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources.io import read_result_set, write_screening
+    base = scratch_path(spark, "results")
+    bounds = events_screen(spark, sf_dir)["bounds"]
+    write_screening({"bounds": bounds.withColumn("batch", F.to_date(F.date_trunc("week", "date")))}, base)
+    back = read_result_set(spark, base, "bounds", latest_only=True)
+    return back.select("item", "date", r6("lower").alias("lower"), r6("upper").alias("upper"))
