@@ -76,10 +76,24 @@ def parse_rules(raw: DataFrame) -> DataFrame:
 
 def rules_from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Build a parsed rulebase from literal rows in ``RULE_COLUMNS`` order."""
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a rulebase has at most {MAX_RULES} rows")
     norm = [tuple(None if v is None else str(v) for v in r) + (None,) * (8 - len(r)) for r in rows]
     return parse_rules(spark.createDataFrame(norm, RAW_RULE_SCHEMA))
 
 
+def checked_rules(rules: DataFrame) -> DataFrame:
+    """Verify once that a rulebase read from storage is rulebase-sized.
+
+    Every operator broadcasts the rulebase; this is the size check behind
+    those broadcasts.
+    """
+    n = rules.limit(MAX_RULES + 1).count()
+    if n > MAX_RULES:
+        raise ValueError(f"rulebase has more than {MAX_RULES} rows")
+    return rules
+
+
 def rule_key(item: Column) -> Column:
     return F.lower(item)
 

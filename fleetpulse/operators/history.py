@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.catalog import SPECIAL_DEFAULTS, TelemetrySpec
 from fleetpulse.functions.broadcast import broadcast_if_small
-from fleetpulse.functions.rules import KIND_EMPTY, MAX_RULES, rule_key
+from fleetpulse.functions.rules import KIND_EMPTY, rule_key
 from fleetpulse.operators.daily import keep_last, to_long, with_day
 
 
@@ -81,7 +81,7 @@ def recheck_critical(cells: DataFrame, crit: DataFrame, rules: DataFrame, serial
 
     Without any VALUE limit on the item, any non-null reading keeps the drive.
     """
-    small = broadcast_if_small(rules, MAX_RULES)
+    small = F.broadcast(rules)
     j = (cells.join(crit.select("item", serial), ["item", serial], "left_semi")
          .join(small, rule_key(F.col("item")) == small["rule_item"]))
     no_rule = F.col("crit_low").isNull() & F.col("crit_high").isNull()
@@ -96,7 +96,7 @@ def recheck_warning(cells: DataFrame, warn: DataFrame, bounds: DataFrame, rules:
     A side counts unless its kind is EMPTY; both EMPTY keeps every drive with
     a reading.  Days are matched to bounds by date.
     """
-    small = broadcast_if_small(rules, MAX_RULES)
+    small = F.broadcast(rules)
     j = (cells.join(warn.select("item", serial), ["item", serial], "left_semi")
          .join(small, rule_key(F.col("item")) == small["rule_item"])
          .join(broadcast_if_small(bounds.select("item", "date", "lower", "upper")), ["item", "date"], "left"))

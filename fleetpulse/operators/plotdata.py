@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.broadcast import broadcast_if_small
-from fleetpulse.functions.rules import MAX_RULES, rule_key
+from fleetpulse.functions.rules import rule_key
 from fleetpulse.operators.quantile import exact_quantiles
 
 # Fixed values of the plots.
@@ -37,7 +37,7 @@ def starts_with_any(item: Column, prefixes=ZOOM_PREFIXES) -> Column:
 
 
 def _rules(rules: DataFrame) -> DataFrame:
-    return broadcast_if_small(rules, MAX_RULES)
+    return F.broadcast(rules)
 
 
 def heatmap_normaliser(density: DataFrame, keys: list[str]) -> DataFrame:

@@ -67,12 +67,14 @@ def _percentile_path(vals: DataFrame, group_cols: list[str], fractions) -> DataF
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fractions,
-                    n_slices: int | None = None, small_group_limit: int = SMALL_GROUP_LIMIT) -> DataFrame:
+                    n_slices: int | None = None, small_group_limit: int = SMALL_GROUP_LIMIT,
+                    largest: int | None = None) -> DataFrame:
     """Per-group quantiles ``(…group_cols, qid, quantile, n)``.
 
     ``fractions`` is either ``{qid: fraction}`` (same fractions for every group)
     or a DataFrame ``(…some group cols, qid, fraction)`` for per-key fractions
-    (e.g. per item from the rulebase).  NULL values are ignored; groups without
+    (e.g. per item from the rulebase).  ``largest`` is the size of the biggest
+    group when the caller already knows it.  NULL values are ignored; groups without
     values produce no rows.  Interpolation: ``v_lo + (v_hi - v_lo) * (k - floor(k))``
     with ``k = f * (n - 1)``, the definition of ``numpy.percentile`` and DuckDB
     ``quantile_cont``.
@@ -81,7 +83,8 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
     n_slices = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    largest = vals.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
+    if largest is None:
+        largest = vals.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
     if largest is None or largest <= small_group_limit:
         return materialize(_percentile_path(vals, group_cols, fractions), "quantiles")
     ordered = (vals.repartitionByRange(n_slices, *group_cols, "_v")

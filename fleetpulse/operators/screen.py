@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.broadcast import broadcast_if_small
-from fleetpulse.functions.rules import KIND_PPM, KIND_VALUE, MAX_RULES, quantile_requests, rule_key
+from fleetpulse.functions.rules import KIND_PPM, KIND_VALUE, quantile_requests, rule_key
 from fleetpulse.operators.quantile import exact_quantiles
 from fleetpulse.session import materialize
 
@@ -29,7 +29,7 @@ def _batch(long: DataFrame, batch: str | None) -> list[str]:
 
 def with_rules(long: DataFrame, rules: DataFrame) -> DataFrame:
     """Attach each row's rule (inner join on the lower-case item name)."""
-    small = broadcast_if_small(rules, MAX_RULES)
+    small = F.broadcast(rules)
     return long.join(small, rule_key(long["item"]) == small["rule_item"]).drop("rule_item")
 
 
@@ -57,15 +57,21 @@ def warning_bounds(pop: DataFrame, rules: DataFrame, batch: str | None = None,
     b = _batch(pop, batch)
     keyed = pop.withColumn("rule_item", rule_key(F.col("item")))
     days = keyed.groupBy(*b, "rule_item", "item", "date").agg(F.count(F.lit(1)).alias("n_values"))
+    if materialized:
+        days = materialize(days, "warning-days")
 
     req = quantile_requests(rules)
-    q = exact_quantiles(keyed.join(F.broadcast(req.select("rule_item").distinct()), "rule_item", "left_semi"),
-                        [*b, "rule_item", "item", "date"], "value", req)
+    ppm_items = req.select("rule_item").distinct()
+    largest = days.join(F.broadcast(ppm_items), "rule_item", "left_semi").agg(F.max("n_values")).first()[0]
+    if largest is None:
+        largest = 0
+    q = exact_quantiles(keyed.join(F.broadcast(ppm_items), "rule_item", "left_semi"),
+                        [*b, "rule_item", "item", "date"], "value", req, largest=largest)
     qw = (q.groupBy(*b, "rule_item", "item", "date")
           .agg(F.max(F.when(F.col("qid") == "lower", F.col("quantile"))).alias("q_lower"),
                F.max(F.when(F.col("qid") == "upper", F.col("quantile"))).alias("q_upper")))
 
-    small_rules = broadcast_if_small(rules, MAX_RULES)
+    small_rules = F.broadcast(rules)
     out = (days.join(small_rules, "rule_item")
            .join(qw, [*b, "rule_item", "item", "date"], "left")
            .select(*b, "item", "date",
@@ -93,16 +99,19 @@ def drives_of(long: DataFrame, serial: str, batch: str | None = None) -> DataFra
     return long.select(*_batch(long, batch), "item", serial).distinct()
 
 
-def screen(long: DataFrame, rules: DataFrame, serial: str, batch: str | None = None) -> dict[str, DataFrame]:
+def screen(long: DataFrame, rules: DataFrame, serial: str, batch: str | None = None,
+           materialized: bool = True) -> dict[str, DataFrame]:
     """Critical -> bounds (without critical) -> warning -> normal, all items at once.
 
     Returns ``critical``, ``bounds``, ``warning`` (drive lists), ``population``
     (readings without critical drives) and ``normal`` (readings of drives that
-    are neither critical nor warning).
+    are neither critical nor warning).  The bounds are written once to the
+    shared checkpoint folder (``materialized``); the lists are cheap to derive
+    again, provided ``long`` itself is materialized (every step reads it).
     """
     crit = critical_drives(long, rules, serial, batch)
     pop = without(long, crit, serial, batch)
-    bounds = warning_bounds(pop, rules, batch)
+    bounds = warning_bounds(pop, rules, batch, materialized=materialized)
     warn = warning_drives(pop, bounds, serial, batch)
     normal = without(pop, warn, serial, batch)
     return {"critical": crit, "bounds": bounds, "warning": warn, "population": pop, "normal": normal}

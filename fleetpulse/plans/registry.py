@@ -58,7 +58,9 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.to_long(events_daily(spark, sf_dir), TB.EVENTS)
+    """Daily long table, written once: screening, density and history all read it."""
+    from fleetpulse.session import materialize
+    return materialize(D.to_long(events_daily(spark, sf_dir), TB.EVENTS), "daily-long")
 
 
 def events_screen(spark: SparkSession, sf_dir: str) -> dict:
@@ -350,7 +352,8 @@ FROM d2 a JOIN days USING (item, date) JOIN d2 b ON b.item = a.item AND b.date =
 JOIN nrm ON nrm.item = a.item
 WHERE a.layer < 99 AND days.next_date IS NOT NULL AND nrm.norm IS NOT NULL""")
 def q_heatmap_cells(spark, sf_dir):
-    d = events_density(spark, sf_dir)
+    from fleetpulse.session import materialize
+    d = materialize(events_density(spark, sf_dir), "density")
     c = P.heatmap_cells(d, ["item"])
     return c.select("item", "date", "next_date", "layer",
                     *[r6(n).alias(n) for n in ["delta", "colour", "opacity", "alpha", "x_lo", "x_hi",
@@ -528,9 +531,10 @@ li_class AS (
 
 
 def lineitem_screen(spark, sf_dir):
+    from fleetpulse.session import materialize
     li = TB.read(spark, sf_dir, "lineitem")
     daily = D.load_daily(li, TB.LINEITEM, columns=list(TB.LINEITEM_ITEMS))
-    long = D.to_long(daily, TB.LINEITEM)
+    long = materialize(D.to_long(daily, TB.LINEITEM), "daily-long")
     res = S.screen(long, TB.lineitem_rules(spark), "l_suppkey")
     return long, res
 
@@ -573,9 +577,10 @@ EVENTS_WEEKLY = TB.EVENTS.__class__(**{**TB.EVENTS.__dict__, "batch": "week"})
 
 
 def weekly_screen(spark, sf_dir):
+    from fleetpulse.session import materialize
     raw = with_week(TB.read(spark, sf_dir, "events"))
     daily = D.load_daily(raw, EVENTS_WEEKLY, columns=["value"])
-    long = D.to_long(daily, EVENTS_WEEKLY)
+    long = materialize(D.to_long(daily, EVENTS_WEEKLY), "daily-long")
     res = S.screen(long, TB.events_rules(spark), "user_id", batch="week")
     return long, res
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from fleetpulse.catalog import telemetry_schema
 from fleetpulse.functions.broadcast import broadcast_if_small
-from fleetpulse.functions.rules import RAW_RULE_SCHEMA, parse_rules
+from fleetpulse.functions.rules import RAW_RULE_SCHEMA, checked_rules, parse_rules
 
 RESULT_SETS = ("critical", "warning", "bounds", "density", "quarantine")
 
@@ -46,7 +46,7 @@ def read_telemetry_csv(spark: SparkSession, paths, items: list[str] | None = Non
 def read_rulebase_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rulebase CSV (header ``ITEM, CRITICAL_LOW, …, Y_MAX``) parsed to typed rules."""
     raw = spark.read.schema(RAW_RULE_SCHEMA).option("header", True).csv(path)
-    return parse_rules(raw)
+    return checked_rules(parse_rules(raw))
 
 
 def last_batches(df: DataFrame, batch_col: str, n: int) -> DataFrame:
