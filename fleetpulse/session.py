@@ -66,4 +66,5 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: an empty result (no data files) reads back as empty
+    return spark.read.schema(df.schema).parquet(path)

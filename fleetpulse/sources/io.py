@@ -8,6 +8,8 @@ caller-supplied (any Hadoop URI); connection options for JDBC as well.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,6 +97,11 @@ def write_result_set(df: DataFrame, path: str, fmt: str = "parquet", partition_b
     if fmt == "csv":
         w = w.option("header", True)
     w.format(fmt).save(path)
+    # Keep the schema next to the data (folders starting with "_" are skipped
+    # by readers), so an empty result set still reads back with its columns.
+    spark = df.sparkSession
+    spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{path.rstrip('/')}/_schema")
 
 
 def write_screening(results: dict[str, DataFrame], base: str, fmt: str = "parquet") -> None:
@@ -106,10 +113,12 @@ def write_screening(results: dict[str, DataFrame], base: str, fmt: str = "parque
 def read_result_set(spark: SparkSession, base: str, name: str, fmt: str = "parquet",
                     latest_only: bool = False, batch_col: str = "batch") -> DataFrame:
     """Read a result set back; ``latest_only`` keeps the newest batch (partition pruning)."""
-    r = spark.read.format(fmt)
+    path = f"{base.rstrip('/')}/{name}"
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").first()[0]))
+    r = spark.read.format(fmt).schema(schema)
     if fmt == "csv":
-        r = r.option("header", True).option("inferSchema", True)
-    df = r.load(f"{base.rstrip('/')}/{name}")
+        r = r.option("header", True)
+    df = r.load(path)
     if latest_only and batch_col in df.columns:
         df = df.where(F.col(batch_col) == df.select(F.max(batch_col)).scalar())
     return df
