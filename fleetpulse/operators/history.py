@@ -37,7 +37,7 @@ def dominant_identity(df: DataFrame, serial: str, identity: Column) -> DataFrame
 
 def fix_identity(df: DataFrame, spec: TelemetrySpec, identity_name: str = "identity") -> DataFrame:
     """Keep the rows carrying the drive's dominant identity (upper-cased)."""
-    ident = spec.identity if spec.identity is not None else F.col("SSDUID")
+    ident = spec.identity_expr()
     mode = dominant_identity(df, spec.serial, ident).select(spec.serial, F.col("identity").alias("_mode"))
     out = (df.withColumn(identity_name, F.upper(ident))
            .join(mode, spec.serial)

@@ -273,7 +273,7 @@ SELECT user_id, identity, n FROM (
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, identity ASC) = 1""")
 def q_mode_identity(spark, sf_dir):
     ev = TB.read(spark, sf_dir, "events")
-    return H.dominant_identity(ev, "user_id", TB.EVENTS.identity)
+    return H.dominant_identity(ev, "user_id", TB.EVENTS.identity_expr())
 
 
 @register("abnormal_history", "WITH " + EV_HIST + """

@@ -13,18 +13,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fleetpulse.catalog import TelemetrySpec
 from fleetpulse.functions.rules import rules_from_rows
 
 EVENTS = TelemetrySpec(serial="user_id", timestamp="ts", firmware="event_type", error_value="error",
-                       tiebreak=("event_id",), items=("value",), identity=F.upper(F.col("event_type")))
+                       tiebreak=("event_id",), items=("value",), identity="upper(event_type)")
 
 LINEITEM_ITEMS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LINEITEM = TelemetrySpec(serial="l_suppkey", timestamp="l_shipdate", firmware=None,
                          tiebreak=("l_orderkey", "l_linenumber"), items=LINEITEM_ITEMS,
-                         day=F.to_date(F.date_trunc("month", F.col("l_shipdate"))))
+                         day="to_date(date_trunc('month', l_shipdate))")
 
 ORDERS = TelemetrySpec(serial="o_custkey", timestamp="o_orderdate", firmware=None,
                        tiebreak=("o_orderkey",), items=("o_totalprice",))
