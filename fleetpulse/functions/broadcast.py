@@ -1,4 +1,13 @@
-"""Broadcast only behind a size check."""
+"""Broadcast only behind a size check.
+
+Two kinds of checks are used in the library:
+
+* tables written by ``session.materialize`` are joined without a hint: the
+  planner reads their exact on-disk size and broadcasts them only under
+  ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime);
+* anything else goes through :func:`broadcast_if_small`, which counts rows
+  (or takes a known row count) before hinting.
+"""
 
 from __future__ import annotations
 

@@ -30,7 +30,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.broadcast import broadcast_if_small
 from fleetpulse.operators.quantile import exact_quantiles
 from fleetpulse.session import materialize
 
@@ -52,7 +51,7 @@ def group_stats(normal: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     trim = (trim.groupBy(*keys)
             .agg(F.max(F.when(F.col("qid") == "t_lo", F.col("quantile"))).alias("t_lo"),
                  F.max(F.when(F.col("qid") == "t_hi", F.col("quantile"))).alias("t_hi")))
-    trimmed = (normal.join(broadcast_if_small(trim), keys)
+    trimmed = (normal.join(trim, keys)
                .where(F.col("value").between(F.col("t_lo"), F.col("t_hi")))
                .drop("t_lo", "t_hi"))
     stats = (trimmed.groupBy(*keys)
@@ -81,8 +80,12 @@ def daily_density(normal: DataFrame, serial: str, batch: str | None = None,
     statistics and grid still come from every reading).
     """
     keys = ([batch] if batch and batch in normal.columns else []) + ["item", "date"]
+    # The population is read by the trim quantiles, the statistics and the
+    # kernel sums: write its needed columns once instead of re-running the
+    # anti joins that define it.
+    normal = materialize(normal.select(*keys, serial, "value"), "normal-population")
     trimmed, stats = group_stats(normal, keys)
-    st = broadcast_if_small(stats)
+    st = stats     # materialised, one row per group: the planner broadcasts it by file size
 
     sample = trimmed
     if sample_modulus:

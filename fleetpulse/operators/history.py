@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.catalog import SPECIAL_DEFAULTS, TelemetrySpec
-from fleetpulse.functions.broadcast import broadcast_if_small
 from fleetpulse.functions.rules import KIND_EMPTY, rule_key
 from fleetpulse.operators.daily import keep_last, to_long, with_day
 
@@ -99,7 +98,7 @@ def recheck_warning(cells: DataFrame, warn: DataFrame, bounds: DataFrame, rules:
     small = F.broadcast(rules)
     j = (cells.join(warn.select("item", serial), ["item", serial], "left_semi")
          .join(small, rule_key(F.col("item")) == small["rule_item"])
-         .join(broadcast_if_small(bounds.select("item", "date", "lower", "upper")), ["item", "date"], "left"))
+         .join(bounds.select("item", "date", "lower", "upper"), ["item", "date"], "left"))
     low_on = F.col("warn_low_kind") != KIND_EMPTY
     high_on = F.col("warn_high_kind") != KIND_EMPTY
     viol = (F.when(low_on & high_on, (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))

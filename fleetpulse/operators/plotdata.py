@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.broadcast import broadcast_if_small
 from fleetpulse.functions.rules import rule_key
 from fleetpulse.operators.quantile import exact_quantiles
 

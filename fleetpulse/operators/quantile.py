@@ -24,7 +24,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.broadcast import broadcast_if_small
 from fleetpulse.session import materialize
 
 
@@ -123,7 +122,7 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
     targets = materialize(targets, "quantile-targets")
 
     picked = (ordered.select("_id", "_v")
-              .join(broadcast_if_small(targets), F.col("_id") == F.col("_tid"))
+              .join(targets, F.col("_id") == F.col("_tid"))   # written table: broadcast by file size
               .drop("_id"))
     out = (picked.groupBy(*group_cols, "qid", "_n", "_w")
            .agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_a"),

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.broadcast import broadcast_if_small
 from fleetpulse.functions.rules import KIND_PPM, KIND_VALUE, quantile_requests, rule_key
 from fleetpulse.operators.quantile import exact_quantiles
 from fleetpulse.session import materialize
@@ -85,7 +84,9 @@ def warning_bounds(pop: DataFrame, rules: DataFrame, batch: str | None = None,
 def outside_bounds(pop: DataFrame, bounds: DataFrame, batch: str | None = None) -> DataFrame:
     """Readings strictly below ``lower`` or above ``upper`` of their day."""
     b = _batch(pop, batch)
-    j = pop.join(broadcast_if_small(bounds), [*b, "item", "date"])
+    # bounds is a written table (one row per batch, item, day): the planner
+    # broadcasts it by its file size, so a hot day is never shuffled here.
+    j = pop.join(bounds, [*b, "item", "date"])
     return j.where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
 
 

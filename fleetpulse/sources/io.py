@@ -58,7 +58,7 @@ def last_batches(df: DataFrame, batch_col: str, n: int) -> DataFrame:
     back as a broadcast left-semi join after a size check.
     """
     latest = df.select(batch_col).distinct().orderBy(F.col(batch_col).desc()).limit(n)
-    return df.join(broadcast_if_small(latest, max_rows=n), batch_col, "left_semi")
+    return df.join(broadcast_if_small(latest, max_rows=n, known_rows=n), batch_col, "left_semi")
 
 
 def source_files(df: DataFrame) -> DataFrame:
