@@ -72,7 +72,16 @@ def to_long(daily: DataFrame, spec: TelemetrySpec, items: list[str] | None = Non
 
 
 def pivot_days(long: DataFrame, serial: str, dates: list[str], how: str = "avg") -> DataFrame:
-    """Drive x day matrix of one item; the date list is supplied (no extra job)."""
+    """Drive x day matrix of one item; the date list is supplied (no extra job).
+
+    ``how="unique"`` requires one reading per cell (the keep-last output) and
+    raises otherwise, like a pandas pivot does.
+    """
+    if how == "unique":
+        dup = long.groupBy(serial, "date").count().where(F.col("count") > 1).limit(1).count()
+        if dup:
+            raise ValueError("more than one reading for a (drive, day) cell")
+        how = "max"
     agg = {"avg": F.avg, "first": F.first, "max": F.max}[how]
     return (long.withColumn("_d", F.col("date").cast("string"))
             .groupBy(serial).pivot("_d", dates).agg(agg("value")))

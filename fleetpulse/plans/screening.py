@@ -43,12 +43,22 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
 def run_screening(telemetry: DataFrame, spec: TelemetrySpec, rules: DataFrame, items: list[str],
                   out: str | None = None, n_batches: int | None = None, kde: bool = True,
-                  sample_modulus: int | None = None, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Screen every item of ``items`` over the (last ``n_batches``) batches."""
+                  sample_modulus: int | None = None, fmt: str = "parquet",
+                  stage_input: bool = True) -> dict[str, DataFrame]:
+    """Screen every item of ``items`` over the (last ``n_batches``) batches.
+
+    ``stage_input`` writes the pruned input columns (keys, time, firmware,
+    tiebreak, items) once as Parquet, so the quarantine and the daily load
+    share one parse of the raw exports instead of scanning them twice.
+    """
     validate_items(items, rules)
     raw = telemetry
     if n_batches and spec.batch:
         raw = io.last_batches(raw, spec.batch, n_batches)
+    if stage_input:
+        keep = list(dict.fromkeys([*spec.keys(), *spec.order_cols(),
+                                   *([spec.firmware] if spec.firmware else []), *items]))
+        raw = materialize(raw.select(*keep), "telemetry-pruned")
     quarantined = D.with_day(D.quarantine(raw, spec), spec)
     daily = D.load_daily(raw, spec, columns=items)
     long = materialize(D.to_long(daily, spec, items), "daily-long")

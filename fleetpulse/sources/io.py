@@ -82,15 +82,18 @@ def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 # ---------------------------------------------------------------- result sets
 def write_result_set(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("batch", "item"),
-                     single_file: bool = False, mode: str = "overwrite") -> None:
+                     single_file: bool = False, mode: str = "overwrite", sort_by=()) -> None:
     """One result set, partitioned so a reader can prune to one batch/item.
 
     ``single_file`` coalesces to one partition (small outputs such as lists);
-    CSV output carries a header.
+    ``sort_by`` orders rows inside each output file (no global sort); CSV
+    output carries a header.
     """
     cols = [c for c in partition_by if c in df.columns]
     if single_file:
         df = df.coalesce(1)
+    if sort_by:
+        df = df.sortWithinPartitions(*sort_by)
     w = df.write.mode(mode)
     if cols:
         w = w.partitionBy(*cols)
@@ -124,14 +127,15 @@ def read_result_set(spark: SparkSession, base: str, name: str, fmt: str = "parqu
     return df
 
 
-def write_quarantine(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Error-firmware rows keep all their columns."""
-    write_result_set(df, path, fmt=fmt, partition_by=("batch",))
+def write_quarantine(df: DataFrame, path: str, fmt: str = "csv", sort_by=()) -> None:
+    """Error-firmware rows keep their loaded columns."""
+    write_result_set(df, path, fmt=fmt, partition_by=("batch",), sort_by=sort_by)
 
 
-def write_abnormal_rows(rows: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Raw rows of re-checked drives, one folder per (class, item)."""
-    write_result_set(rows, path, fmt=fmt, partition_by=("class", "item"))
+def write_abnormal_rows(rows: DataFrame, path: str, fmt: str = "csv", sort_by=()) -> None:
+    """Raw rows of re-checked drives, one folder per (class, item), sorted by
+    ``sort_by`` (e.g. drive, timestamp) inside each file."""
+    write_result_set(rows, path, fmt=fmt, partition_by=("class", "item"), sort_by=sort_by)
 
 
 # ---------------------------------------------------------------- JDBC

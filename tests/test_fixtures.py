@@ -214,3 +214,11 @@ def test_unknown_item_raises(spark):
     rules = R.rules_from_rows(spark, TEMP_RULE)
     with pytest.raises(KeyError):
         R.validate_items(["Temperature", "NoSuchItem"], rules)
+
+
+def test_pivot_unique_raises_on_duplicates(spark):
+    long = screen_long(spark)
+    wide = D.pivot_days(long, "serial", [str(D1), str(D2)], how="unique")
+    assert wide.where(F.col("serial") == "D").first()[str(D1)] == 75.0
+    with pytest.raises(ValueError):
+        D.pivot_days(long.unionByName(long), "serial", [str(D1)], how="unique")
