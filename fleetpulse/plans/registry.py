@@ -737,3 +737,23 @@ def q_result_readback(spark, sf_dir):
     write_screening({"bounds": bounds.withColumn("batch", F.to_date(F.date_trunc("week", "date")))}, base)
     back = read_result_set(spark, base, "bounds", latest_only=True)
     return back.select("item", "date", r6("lower").alias("lower"), r6("upper").alias("upper"))
+
+
+@register("daily_last_all_firmware", """
+SELECT user_id, CAST(ts AS DATE) AS date, ts, event_id, event_type, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1""")
+def q_daily_last_all_firmware(spark, sf_dir):
+    """K2: keep-last without the firmware quarantine (error rows compete too)."""
+    ev = TB.read(spark, sf_dir, "events")
+    d = D.load_daily(ev, TB.EVENTS, split_firmware=False)
+    return d.select("user_id", "date", "ts", "event_id", "event_type", "value")
+
+
+@register("density_stats", "WITH " + EV_DENSITY + """
+SELECT 'value' AS item, date, n, round(mu, 6) AS mean, round(sd, 6) AS std, vmin, vmax FROM ev_st""")
+def q_density_stats(spark, sf_dir):
+    """Per-day trimmed population statistics behind the density grid."""
+    from fleetpulse.operators.density import group_stats
+    normal = events_screen(spark, sf_dir)["normal"]
+    _, stats = group_stats(normal, ["item", "date"])
+    return stats.select("item", "date", "n", r6("mu").alias("mean"), r6("sd").alias("std"), "vmin", "vmax")

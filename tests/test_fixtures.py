@@ -222,3 +222,19 @@ def test_pivot_unique_raises_on_duplicates(spark):
     assert wide.where(F.col("serial") == "D").first()[str(D1)] == 75.0
     with pytest.raises(ValueError):
         D.pivot_days(long.unionByName(long), "serial", [str(D1)], how="unique")
+
+
+def test_item_catalogue_selections():
+    from fleetpulse import catalog as C
+    pm963 = C.screening_items("PM963", "SMART")
+    assert len(pm963) == 18 and "AvailSpareThreshold" not in pm963 and pm963[-1] == "TempSensor2"
+    assert C.screening_items("PM983", "SMART")[-1] == "TempSensor3"
+    assert C.screening_items("PM953", "SMART")[-1] == "NumErrInfoLogEntries"
+    assert C.screening_items("PM963", "Ext_SMART") == C.EXTENDED_ITEMS[:8]
+    assert C.screening_items("PM953", "Ext_SMART") == ["Media_Units_Written", "Wear_Range_Delta",
+                                                       "Unaligned_IO", "Mapped_LBAs"]
+    with pytest.raises(ValueError):
+        C.screening_items("PM1725b", "Ext_SMART")
+    assert C.trend_items("PM963")[0] == "Temperature" and "Media_Units_Written" in C.trend_items("PM963")
+    assert C.histogram_extra_item("SMART") == "CritWarning" and C.histogram_extra_item("Ext_SMART") == "Capacitor_Health"
+    assert C.special_items("PM1725b") == ["CritWarning"]
