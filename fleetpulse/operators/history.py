@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from fleetpulse.catalog import SPECIAL_DEFAULTS, TelemetrySpec
 from fleetpulse.functions.rules import KIND_EMPTY, rule_key
 from fleetpulse.operators.daily import keep_last, to_long, with_day
+from fleetpulse.session import materialize
 
 
 def dominant_identity(df: DataFrame, serial: str, identity: Column) -> DataFrame:
@@ -58,7 +59,13 @@ def short_cutoff(raw_last_batch: DataFrame, drives: DataFrame, spec: TelemetrySp
 
 def abnormal_history(raw: DataFrame, drives: DataFrame, spec: TelemetrySpec,
                      last_batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(long history, cutoff): all rows of the listed drives, identity fixed."""
+    """(long history, cutoff): all rows of the listed drives, identity fixed.
+
+    The drive list is written first: its real size is then known to the
+    planner, which broadcasts a small list into the semi join instead of
+    shuffling the raw telemetry by drive.
+    """
+    drives = materialize(drives.select(spec.serial).distinct(), "abnormal-drives")
     hist = with_day(raw.join(drives, spec.serial, "left_semi"), spec)
     hist = fix_identity(hist, spec)
     return hist, short_cutoff(last_batch, drives, spec)

@@ -106,14 +106,21 @@ def screen(long: DataFrame, rules: DataFrame, serial: str, batch: str | None = N
 
     Returns ``critical``, ``bounds``, ``warning`` (drive lists), ``population``
     (readings without critical drives) and ``normal`` (readings of drives that
-    are neither critical nor warning).  The bounds are written once to the
-    shared checkpoint folder (``materialized``); the lists are cheap to derive
-    again, provided ``long`` itself is materialized (every step reads it).
+    are neither critical nor warning).  Lists and bounds are written once to
+    the shared checkpoint folder (``materialized``): later steps read them
+    instead of re-deriving them, and the planner sees their real size (small
+    lists are broadcast into the anti joins).  Pass a materialized ``long``.
     """
     crit = critical_drives(long, rules, serial, batch)
+    if materialized:
+        # A written list has a known size: when small, the anti joins below
+        # broadcast it and the long table is never shuffled by drive.
+        crit = materialize(crit, "critical")
     pop = without(long, crit, serial, batch)
     bounds = warning_bounds(pop, rules, batch, materialized=materialized)
     warn = warning_drives(pop, bounds, serial, batch)
+    if materialized:
+        warn = materialize(warn, "warning")
     normal = without(pop, warn, serial, batch)
     return {"critical": crit, "bounds": bounds, "warning": warn, "population": pop, "normal": normal}
 
