@@ -19,8 +19,8 @@ partial aggregate; telemetry counters repeat a lot), each distinct value is
 expanded against the 100 grid points of its group, and the kernel sums are
 aggregated by ``(group, layer)`` with map-side partial aggregation, so the
 largest shuffle is groups x 100 rows per map task and a hot day is spread
-over all tasks.  Group statistics (one row per group) are checkpointed and
-broadcast after a size check.
+over all tasks.  Group statistics (one row per group) are written once and
+broadcast by their file size.
 """
 
 from __future__ import annotations
@@ -65,10 +65,10 @@ def group_stats(normal: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return trimmed, materialize(stats, "density-stats")
 
 
-def grid_x(layer, stats_prefix: str = ""):
-    p = stats_prefix
-    return (F.when(F.col(f"{p}flat") | (layer == N_LAYERS - 1), F.col(f"{p}z1"))
-            .otherwise(F.col(f"{p}z0") + layer * F.col(f"{p}step")))
+def grid_x(layer):
+    """Grid point ``i`` in z units (the last one is exactly ``z_max``)."""
+    return (F.when(F.col("flat") | (layer == N_LAYERS - 1), F.col("z1"))
+            .otherwise(F.col("z0") + layer * F.col("step")))
 
 
 def daily_density(normal: DataFrame, serial: str, batch: str | None = None,

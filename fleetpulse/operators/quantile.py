@@ -14,8 +14,10 @@ into many sorted slices:
    quantile sits between ranks ``floor(f*(n-1))`` and ``ceil(f*(n-1))``; those
    ranks map to row ids through the summary, and one join picks the two rows.
 
-The result is tiny (groups x fractions) and is checkpointed to the shared
-checkpoint folder, which also ends the lineage of the sort.
+Up to ``SMALL_GROUP_LIMIT`` values per group, Spark's exact ``percentile``
+is used instead (its per-group buffer is then bounded).  The result is tiny
+(groups x fractions) and is written to the shared checkpoint folder, which
+also ends the lineage of the sort.
 """
 
 from __future__ import annotations
@@ -134,9 +136,3 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
     ordered.unpersist()
     return out
 
-
-def quantile_expr_frame(df: DataFrame, group_cols: list[str], value_col: str, fractions: dict) -> DataFrame:
-    """Wide form: one column per qid, ``(…group_cols, <qid>…, n)``."""
-    q = exact_quantiles(df, group_cols, value_col, fractions)
-    wide = q.groupBy(*group_cols, "n").pivot("qid", list(fractions)).agg(F.first("quantile"))
-    return wide

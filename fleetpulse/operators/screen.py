@@ -18,10 +18,6 @@ from fleetpulse.functions.rules import KIND_PPM, KIND_VALUE, quantile_requests,
 from fleetpulse.operators.quantile import exact_quantiles
 from fleetpulse.session import materialize
 
-RULE_FIELDS = ["crit_low", "crit_high", "warn_low_kind", "warn_low_num",
-               "warn_high_kind", "warn_high_num", "y_format", "y_min", "y_max"]
-
-
 def _batch(long: DataFrame, batch: str | None) -> list[str]:
     return [batch] if batch and batch in long.columns else []
 
