@@ -11,8 +11,10 @@ into many sorted slices:
 2. A per-slice summary ``(slice, group) -> first id, row count`` (at most
    slices + groups rows) gives every slice its offset within the group.
 3. For a fraction ``f`` of a group with ``n`` values the linear-interpolation
-   quantile sits between ranks ``floor(f*(n-1))`` and ``ceil(f*(n-1))``; those
-   ranks map to row ids through the summary, and one join picks the two rows.
+   quantile sits between ranks ``floor(f*(n-1))`` and ``ceil(f*(n-1))``; a
+   window over the slice starts and the wanted ranks (merged in rank order)
+   maps each rank to its slice and row id, and one join on the id picks the
+   two rows.
 
 Up to ``SMALL_GROUP_LIMIT`` values per group, Spark's exact ``percentile``
 is used instead (its per-group buffer is then bounded).  The result is tiny
@@ -84,9 +86,9 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
     n_slices = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if largest is None:
+    if largest is None and small_group_limit > 0:
         largest = vals.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= small_group_limit:
+    if small_group_limit > 0 and (largest is None or largest <= small_group_limit):
         return materialize(_percentile_path(vals, group_cols, fractions), "quantiles")
     ordered = (vals.repartitionByRange(n_slices, *group_cols, "_v")
                .sortWithinPartitions(*group_cols, "_v")
@@ -114,13 +116,22 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fracti
                           F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_lo").alias("rank")),
                                             F.struct(F.lit(1).alias("side"), F.col("_hi").alias("rank")))).alias("_r"))
     ranks = ranks.select(*group_cols, "qid", "_n", "_w", "_r.side", "_r.rank")
-    s = seg.alias("s")
-    r = ranks.alias("r")
-    cond = [F.col(f"s.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group_cols]
-    cond += [F.col("r.rank") >= F.col("s._off"), F.col("r.rank") < F.col("s._off") + F.col("s._cnt")]
-    targets = (s.join(r, cond)
-               .select(*[F.col(f"r.{g}").alias(g) for g in group_cols], "r.qid", "r._n", "r._w", "r.side",
-                       (F.col("s._first") + F.col("r.rank") - F.col("s._off")).alias("_tid")))
+    # Locate each target rank in its slice without pairing slices and targets:
+    # merge the slice starts and the target ranks in one ordered window per
+    # group; the latest slice start at or before a rank is its slice.
+    starts = seg.select(*group_cols, F.col("_off").alias("_pos"), F.lit(0).alias("_kind"), "_first", "_off",
+                        F.lit(None).cast("string").alias("qid"), F.lit(None).cast("long").alias("_n"),
+                        F.lit(None).cast("double").alias("_w"), F.lit(None).cast("int").alias("side"))
+    wanted_ranks = ranks.select(*group_cols, F.col("rank").alias("_pos"), F.lit(1).alias("_kind"),
+                                F.lit(None).cast("long").alias("_first"), F.lit(None).cast("long").alias("_off"),
+                                "qid", "_n", "_w", "side")
+    merge = Window.partitionBy(*group_cols).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = (starts.unionByName(wanted_ranks)
+              .withColumn("_f", F.last("_first", ignorenulls=True).over(merge))
+              .withColumn("_o", F.last("_off", ignorenulls=True).over(merge)))
+    targets = (merged.where(F.col("_kind") == 1)
+               .select(*group_cols, "qid", "_n", "_w", "side",
+                       (F.col("_f") + F.col("_pos") - F.col("_o")).alias("_tid")))
     targets = materialize(targets, "quantile-targets")
 
     picked = (ordered.select("_id", "_v")
