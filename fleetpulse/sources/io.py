@@ -9,12 +9,13 @@ caller-supplied (any Hadoop URI); connection options for JDBC as well.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetpulse.catalog import telemetry_schema
+from fleetpulse import catalog as C
 from fleetpulse.functions.broadcast import broadcast_if_small
 from fleetpulse.functions.rules import RAW_RULE_SCHEMA, checked_rules, parse_rules
 
@@ -22,26 +23,64 @@ RESULT_SETS = ("critical", "warning", "bounds", "density", "quarantine")
 
 
 # ---------------------------------------------------------------- telemetry
+def telemetry_columns(raw: DataFrame, items: list[str], drop_malformed: bool = True) -> DataFrame:
+    """Project a header-named, string-typed telemetry frame by column name.
+
+    System columns stay strings, items become doubles (``try_cast``); a column
+    missing from the export reads as NULL.  With ``drop_malformed`` a row whose
+    item field holds text that is not a number is dropped, as a typed CSV read
+    in DROPMALFORMED mode would.  Works on batch and streaming frames.
+    """
+    present = set(raw.columns)
+    text = {c: (F.col(f"`{c}`") if c in present else F.lit(None).cast("string"))
+            for c in [*C.SYSTEM_COLUMNS, C.SSDUID, *items]}
+    if drop_malformed:
+        bad = [text[i].isNotNull() & text[i].try_cast("double").isNull() for i in items if i in present]
+        if bad:
+            raw = raw.where(~reduce(lambda a, b: a | b, bad))
+    keep = [c for c in raw.columns if c not in text]          # e.g. batch, file metadata
+    return raw.select(*[text[c].alias(c) for c in [*C.SYSTEM_COLUMNS, C.SSDUID]],
+                      *[text[i].try_cast("double").alias(i) for i in items], *keep)
+
+
+def header_schema(spark: SparkSession, paths, encoding: str | None = None) -> T.StructType:
+    """All-string schema named after the header of the exports at ``paths``."""
+    r = spark.read.option("header", True)
+    if encoding:
+        r = r.option("encoding", encoding)
+    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in r.csv(paths).schema.fields])
+
+
+def batch_name(path_col) -> F.Column:
+    """File name without extension: the weekly export a row came from."""
+    return F.regexp_replace(F.element_at(F.split(path_col, "/"), -1), r"\.[^.]*$", "")
+
+
 def read_telemetry_csv(spark: SparkSession, paths, items: list[str] | None = None,
                        schema: T.StructType | None = None, encoding: str | None = None,
                        drop_malformed: bool = True, batch_from_file: bool = True) -> DataFrame:
     """Weekly telemetry CSV files as one scan.
 
-    The schema is explicit (no inference pass); malformed rows are dropped
-    unless ``drop_malformed`` is False; ``encoding`` covers ISO-8859-1 exports.
-    With ``batch_from_file`` each row carries ``batch``, the file name without
-    extension, so one scan of many weekly files keeps their identity.
+    Columns are matched **by header name** (a CSV schema would be applied by
+    position, and exports carry their own column order): the files are read
+    as strings, then system columns and ``items`` are selected by name and the
+    items cast to double (see :func:`telemetry_columns`).  Pass ``schema``
+    only for files known to have exactly that column order.  ``encoding``
+    covers ISO-8859-1 exports.  With ``batch_from_file`` each row carries
+    ``batch``, the file name without extension, so one scan of many weekly
+    files keeps their identity.
     """
-    schema = schema or telemetry_schema(items or [])
-    r = spark.read.schema(schema).option("header", True)
-    if drop_malformed:
-        r = r.option("mode", "DROPMALFORMED")
+    r = spark.read.option("header", True).option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE")
     if encoding:
         r = r.option("encoding", encoding)
-    df = r.csv(paths)
+    if schema is not None:
+        df = r.schema(schema).csv(paths)
+    else:
+        df = r.schema(header_schema(spark, paths, encoding)).csv(paths)
     if batch_from_file:
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        df = df.withColumn("batch", F.regexp_replace(name, r"\.[^.]*$", ""))
+        df = df.withColumn("batch", batch_name(F.col("_metadata.file_path")))
+    if schema is None:
+        df = telemetry_columns(df, list(items or []), drop_malformed)
     return df
 
 

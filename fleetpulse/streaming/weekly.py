@@ -6,6 +6,8 @@ screening plan on that week.  Results are written with dynamic partition
 overwrite on ``(batch, item)``, so a micro-batch replayed after a failure
 rewrites its own partitions instead of appending duplicates.  The stream's
 checkpoint lives under the shared checkpoint folder unless one is given.
+Weekly files are expected to share one header (as exports of one product and
+log kind do); columns are matched by name.
 """
 
 from __future__ import annotations
@@ -14,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetpulse.catalog import telemetry_schema
 from fleetpulse.plans.screening import product_spec, run_screening, with_file_order
 from fleetpulse.session import scratch_path
+from fleetpulse.sources.io import batch_name, header_schema, telemetry_columns
 
 
 def _write_week(results: dict[str, DataFrame], out: str) -> None:
@@ -31,13 +33,15 @@ def weekly_screening_stream(spark: SparkSession, input_dir: str, rules: DataFram
                             files_per_week: int = 1, available_now: bool = True,
                             encoding: str | None = None) -> StreamingQuery:
     spec, items = product_spec(product, log_kind)
-    reader = (spark.readStream.schema(telemetry_schema(items)).option("header", True)
+    # A file stream needs its schema up front: the header of the exports
+    # already present names the (string) columns; items are then selected by
+    # name and cast, exactly as in the batch reader.
+    reader = (spark.readStream.schema(header_schema(spark, input_dir, encoding)).option("header", True)
               .option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_week))
     if encoding:
         reader = reader.option("encoding", encoding)
-    stream = reader.csv(input_dir)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    stream = stream.withColumn("batch", F.regexp_replace(name, r"\.[^.]*$", ""))
+    stream = reader.csv(input_dir).withColumn("batch", batch_name(F.input_file_name()))
+    stream = telemetry_columns(stream, items)
 
     def per_week(week: DataFrame, batch_id: int) -> None:
         results = run_screening(with_file_order(week), spec, rules, items, kde=kde)

@@ -15,7 +15,8 @@ def spark():
     b = SparkSession.builder.master("local[*]").appName("fleetpulse-tests")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
-    s = b.config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    s = (b.config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+         .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # Only tests set their own checkpoint folder, and only when none is configured.
     if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):

@@ -21,7 +21,9 @@ PRODUCT, LOG = "PM963", "SMART"
 def write_week(path, week_start, n_drives=12, seed=0, error_rows=True, encoding="utf-8", malformed=False):
     rng = np.random.default_rng(seed)
     items = C.screening_items(PRODUCT, LOG)
-    header = C.SYSTEM_COLUMNS + [C.SSDUID] + items
+    # exports carry their own column order and extra columns: items first,
+    # system columns after, plus a column the jobs never use
+    header = list(reversed(items)) + ["AvailSpareThreshold"] + C.SYSTEM_COLUMNS + [C.SSDUID]
     with open(path, "w", newline="", encoding=encoding) as fh:
         w = csv.writer(fh)
         w.writerow(header)
@@ -33,9 +35,10 @@ def write_week(path, week_start, n_drives=12, seed=0, error_rows=True, encoding=
                     vals[items.index("CritWarning")] = 4.0 if (s == 1 and d == 6) else 0.0
                     fw = "ERRORMOD" if (error_rows and s == 2 and hour == 15) else "FW1"
                     ssd = ("uid%d" % s).upper() if hour == 3 else "uid%d" % s
-                    w.writerow([f"{day} {hour:02d}:00:00", "c", "n", "g", "h", "p", f"SN{s:03d}", fw, ssd] + vals)
+                    w.writerow(list(reversed(vals)) + [10.0] +
+                               [f"{day} {hour:02d}:00:00", "c", "n", "g", "h", "p", f"SN{s:03d}", fw, ssd])
         if malformed:
-            w.writerow(["garbage", "row"] + ["x"] * (len(header) - 2))
+            w.writerow(["x"] * (len(header) - 9) + ["garbage", "c", "n", "g", "h", "p", "SNX", "FW1", "u"])
 
 
 def write_rules(path):
@@ -166,3 +169,21 @@ def test_text_and_report(spark, tmp_dir):
     assert rep["count"].first().n == 3 and rep["like"].count() == 2
     assert rep["distinct"].first().n == 1          # rows with a NULL column are not counted
     assert io.empty_frame(spark, RAW_RULE_SCHEMA).count() == 0
+
+
+def test_three_jobs_end_to_end(spark, exports, tmp_path_factory):
+    from fleetpulse.plans import runs
+    base = str(tmp_path_factory.mktemp("jobs"))
+    tel, rules = str(exports / "ssd"), str(exports / "rules.csv")
+    runs.screening_job(spark, PRODUCT, LOG, tel, rules, base + "/results", n_weeks=2)
+    # the trend items of a product span SMART and extended logs; this fixture
+    # has the SMART ones only, so the extended columns read as NULL
+    runs.trend_job(spark, PRODUCT, tel, rules, base + "/results", base + "/plots")
+    runs.histogram_job(spark, PRODUCT, LOG, tel, rules, base + "/plots")
+    for name in ("trend/recheck_counts", "trend/trend_points", "trend/heatmap", "trend/axis",
+                 "special/listed", "special/series", "last_reading/histogram", "last_reading/bars"):
+        assert os.path.isdir(os.path.join(base, "plots", name)), name
+    counts = io.read_result_set(spark, base + "/plots/trend", "recheck_counts").collect()
+    assert counts and all(r.n_after <= r.n_before for r in counts)
+    assert io.read_result_set(spark, base + "/plots/last_reading", "histogram").count() == 50 * len(
+        C.histogram_items(PRODUCT, LOG))
