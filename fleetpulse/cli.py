@@ -29,8 +29,7 @@ def main(argv=None) -> None:
         if name == "trends":
             s.add_argument("--results", required=True)
     a = p.parse_args(argv)
-    spark = build_session(a.master or "local[*]", a.shuffle_partitions) if a.master else \
-        build_session(shuffle_partitions=a.shuffle_partitions)
+    spark = build_session(a.master, a.shuffle_partitions)
     tel = a.telemetry if len(a.telemetry) > 1 else a.telemetry[0]
     if a.cmd == "screen":
         runs.screening_job(spark, a.product, a.log, tel, a.rules, a.out, n_weeks=a.weeks, kde=not a.no_kde,
