@@ -757,3 +757,59 @@ def q_density_stats(spark, sf_dir):
     normal = events_screen(spark, sf_dir)["normal"]
     _, stats = group_stats(normal, ["item", "date"])
     return stats.select("item", "date", "n", r6("mu").alias("mean"), r6("sd").alias("std"), "vmin", "vmax")
+
+
+# ---------------------------------------------------------------- multi-item re-check (lineitem)
+LI_RECHECK = LI_SCREEN + """,
+li_raw AS (SELECT *, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+                  CAST(date_trunc('year', l_shipdate) AS DATE) AS year FROM lineitem),
+li_drv AS (SELECT l_suppkey FROM li_crit UNION SELECT l_suppkey FROM li_warn),
+li_cut AS (SELECT min(date) AS cutoff FROM li_raw
+           WHERE year = (SELECT max(year) FROM li_raw) AND l_suppkey IN (SELECT l_suppkey FROM li_drv)),
+li_short AS (SELECT * FROM li_raw
+             WHERE l_suppkey IN (SELECT l_suppkey FROM li_drv) AND date >= (SELECT cutoff FROM li_cut)),
+li_cells0 AS (
+  SELECT l_suppkey, date, l_quantity, l_extendedprice, l_discount, l_tax FROM li_short
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey, date
+                             ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1),
+li_cells AS (UNPIVOT li_cells0 ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME item VALUE value),
+li_crit_new AS (
+  SELECT DISTINCT c.item, c.l_suppkey FROM li_cells c JOIN li_crit USING (item, l_suppkey)
+  WHERE (c.item = 'l_quantity' AND (c.value < 1 OR c.value > 50)) OR (c.item = 'l_extendedprice' AND c.value > 100000)
+     OR (c.item = 'l_tax' AND c.value < 0)),
+li_warn_new AS (
+  SELECT DISTINCT c.item, c.l_suppkey FROM li_cells c JOIN li_warn USING (item, l_suppkey)
+  LEFT JOIN li_bounds b USING (item, date)
+  WHERE CASE c.item WHEN 'l_quantity' THEN c.value < b.lower OR c.value > b.upper
+                    WHEN 'l_extendedprice' THEN c.value > b.upper
+                    WHEN 'l_discount' THEN c.value < b.lower OR c.value > b.upper
+                    WHEN 'l_tax' THEN c.value < b.lower END)"""
+
+
+@register("multi_item_recheck", "WITH " + LI_RECHECK + """
+SELECT item, 'critical' AS class, count(*) AS n_before,
+       (SELECT count(*) FROM li_crit_new n WHERE n.item = c.item) AS n_after
+FROM li_crit c GROUP BY item
+UNION ALL
+SELECT item, 'warning', count(*), (SELECT count(*) FROM li_warn_new n WHERE n.item = w.item)
+FROM li_warn w GROUP BY item""")
+def q_multi_item_recheck(spark, sf_dir):
+    """K11-K13 on multi-item telemetry: suppliers listed by the monthly
+    screening, their history, the short window of the last yearly batch, and
+    the re-checked critical / warning lists per item."""
+    from dataclasses import replace
+    long, res = lineitem_screen(spark, sf_dir)
+    spec = replace(TB.LINEITEM, identity="'all'", batch="year")   # no secondary id in this table
+    raw = TB.read(spark, sf_dir, "lineitem").withColumn("year", F.to_date(F.date_trunc("year", "l_shipdate")))
+    drives = H.union_lists([res["critical"], res["warning"]], "l_suppkey")
+    hist, cutoff = H.abnormal_history(raw, drives, spec, last_batch(raw, "year"))
+    cells = H.daily_cells(H.short_window(hist, cutoff), replace(spec, batch=None), list(TB.LINEITEM_ITEMS))
+    rules = TB.lineitem_rules(spark)
+    crit_new = H.recheck_critical(cells, res["critical"], rules, "l_suppkey")
+    warn_new = H.recheck_warning(cells, res["warning"], res["bounds"], rules, "l_suppkey")
+    return H.recheck_counts({"critical": res["critical"], "warning": res["warning"]},
+                            {"critical": crit_new, "warning": warn_new}, "l_suppkey")
+
+
+def last_batch(raw, batch):
+    return raw.where(F.col(batch) == raw.select(F.max(batch)).scalar())
