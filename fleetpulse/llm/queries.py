@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from fleetpulse.llm import decontaminate as D
 from fleetpulse.llm import dedup_exact as E
 from fleetpulse.llm import licenses as L
 from fleetpulse.llm import mixing as M
+from fleetpulse.llm import token_count as TC
+from fleetpulse.llm import token_store as TS
 from fleetpulse.llm.common import table
 
 # Target weights of the mix: every fourth source is a strong one, every second a middle one.
@@ -21,6 +24,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = TS.store_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return stored.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TC.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return M.mix(docs, MIX_WEIGHTS).select("doc_id", "source", "mix.*")
@@ -34,7 +46,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.license_digest(L.scan_licenses(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_mixing, op8_exact_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_token_counts, op5_mixing, op8_exact_dedup, op10_license_scan)}
 
 # ---------------------------------------------------------------- DuckDB twins
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
