@@ -33,6 +33,7 @@ from fleetpulse.session import materialize
 BLOCK_DOCS = 64
 CYCLE = 256
 SLICE_ROWS = 20_000
+LEAST_SLICES = 256              # a hot source is split in small tables, too
 REST = "(rest)"
 
 
@@ -151,7 +152,7 @@ def mix(docs: DataFrame, weights: dict[str, float], rest_weight: float = 1.0, bl
     number = F.create_map(*[x for c, n in enumerate(names[:-1]) for x in (F.lit(n), F.lit(c))]) if weights else None
     component = F.coalesce(F.try_element_at(number, F.col(source_col)) if weights else F.lit(None).cast("int"),
                            F.lit(len(names) - 1))
-    slices = max(1, -(-docs.count() // SLICE_ROWS))
+    slices = max(LEAST_SLICES, -(-docs.count() // SLICE_ROWS))
     digest = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("0" * 32))
     part = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * slices / F.lit(2.0 ** 32))
     rows = docs.select(F.struct("*").alias("doc"), component.alias("c"), digest.alias("h"), part.alias("slice"),

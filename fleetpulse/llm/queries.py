@@ -10,6 +10,7 @@ from fleetpulse.llm import decontaminate as D
 from fleetpulse.llm import dedup_exact as E
 from fleetpulse.llm import licenses as L
 from fleetpulse.llm import mixing as M
+from fleetpulse.llm import near_dup as N
 from fleetpulse.llm import token_count as TC
 from fleetpulse.llm import token_store as TS
 from fleetpulse.llm.common import table
@@ -42,11 +43,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.license_digest(L.scan_licenses(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_token_counts, op5_mixing, op8_exact_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_token_counts, op5_mixing, op8_exact_dedup, op9_near_dedup,
+                                    op10_license_scan)}
 
 # ---------------------------------------------------------------- DuckDB twins
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
