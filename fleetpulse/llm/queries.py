@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import decontaminate as D
 from fleetpulse.llm import dedup_exact as E
+from fleetpulse.llm import langid as G
 from fleetpulse.llm import licenses as L
 from fleetpulse.llm import mixing as M
 from fleetpulse.llm import near_dup as N
+from fleetpulse.llm import quality as Q
 from fleetpulse.llm import token_count as TC
 from fleetpulse.llm import token_store as TS
 from fleetpulse.llm.common import table
@@ -39,6 +41,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mix(docs, MIX_WEIGHTS).select("doc_id", "source", "mix.*")
 
 
+def id_part(parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts`` (0 for a null id)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(0))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = Q.train(docs, labels, id_part(5) != 0)
+    return Q.score_quality(docs, model).select("doc_id", (id_part(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = G.train(docs, id_part(3) != 1)
+    return G.identify(docs, model).select("doc_id", (id_part(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,8 +70,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.license_digest(L.scan_licenses(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_token_counts, op5_mixing, op8_exact_dedup, op9_near_dedup,
-                                    op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_token_counts, op5_mixing, op6_quality,
+                                    op7_language_id, op8_exact_dedup, op9_near_dedup, op10_license_scan)}
 
 # ---------------------------------------------------------------- DuckDB twins
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
