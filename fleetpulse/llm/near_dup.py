@@ -70,7 +70,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), base)]).cumprod(dtype=np.uint64)[:n]
 
 
-def _word_hashes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts that stand one after another in ``data``
     (``begin``: where each text begins), and the number of words of each text."""
     low = _LOWER[data]
@@ -100,7 +100,7 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
     row = 0
     while row < len(texts):                                # blocks of whole texts
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
-        words, count = _word_hashes(data[offsets[row]:offsets[stop]], offsets[row:stop] - offsets[row])
+        words, count = word_hashes(data[offsets[row]:offsets[stop]], offsets[row:stop] - offsets[row])
         ends = np.cumsum(count)
         # a run of `width` words from each word on; runs that leave the text are not used
         runs, scale = np.zeros(len(words), np.uint64), _powers(_STEP, width)

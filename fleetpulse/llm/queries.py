@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm import decontaminate as D
 from fleetpulse.llm import dedup_exact as E
+from fleetpulse.llm import html_extract as H
 from fleetpulse.llm import langid as G
 from fleetpulse.llm import licenses as L
 from fleetpulse.llm import mixing as M
@@ -32,6 +33,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return H.extract(pages, H.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TC.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -70,8 +76,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.license_digest(L.scan_licenses(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_token_counts, op5_mixing, op6_quality,
-                                    op7_language_id, op8_exact_dedup, op9_near_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_html_extraction, op4_token_counts, op5_mixing,
+                                    op6_quality, op7_language_id, op8_exact_dedup, op9_near_dedup, op10_license_scan)}
 
 # ---------------------------------------------------------------- DuckDB twins
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
