@@ -306,6 +306,8 @@ def lay_out(main: list[str], other: list[str], rng: random.Random) -> str:
                                                         f'<section class="{named}">{{}}</section>',
                                                         f'<article class="{named}">{{}}</article>', "<div>{}</div>", "{}"])
     draw = lambda roles, p: [boilerplate(r) for r in roles if rng.random() < p]
+    if rng.random() < 0.06:                                  # a page without any markup of its own
+        return rng.choice(["{}", "<html><body>{}</body></html>", "<pre>{}</pre>"]).replace("{}", _MARK + _escape(rng.choice(main)))
     page = [*draw(["notice", "header", "menu", "advert", "form", "sidebar"], 0.4), shell.replace("{}", "".join(inside)),
             *draw(["share", "comments", "comments", "advert", "sidebar", "form", "notice", "footer", "footer"], 0.4)]
     return f"<html><head><title>{some_text(False)}</title></head><body>{''.join(page)}</body></html>"
