@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import ascii_lower
+from fleetpulse.llm.common import ascii_lower, same
 from fleetpulse.session import materialize
 
 SALTS = 16
@@ -66,5 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")) \
+        .select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    return docs.join(gone, same(docs[id_col], gone["gone_id"])
+                     & (F.sha2(ascii_lower(docs[text_col]), 256) == gone["gone_sha"]), "left_anti")

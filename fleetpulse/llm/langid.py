@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.session import materialize
+
 WINDOW = 64
 HIDDEN = 8
 PER_LANGUAGE = 600
@@ -232,3 +234,17 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
     key_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(predict, f"doc_id {key_type}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: ByteGru, least_score: float, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a recognised language (not ``und``, score at least ``least_score``), all columns.
+
+    The verdict goes by a hash of the text, so rows that share an id are judged each by its own text."""
+    text = F.col(text_col).cast("string")
+    known = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    verdict = identify(known, model, id_col="text_hash")
+    bad = verdict.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))
+    bad = materialize(bad.select(F.col("doc_id").alias("bad_hash")).distinct(), "lang-rejected")
+    return docs.where(F.col(text_col).isNotNull()).join(bad, F.xxhash64(docs[text_col].cast("string")) == bad["bad_hash"],
+                                                        "left_anti")

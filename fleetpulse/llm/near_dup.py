@@ -44,7 +44,8 @@ K = 64
 TREES = 12
 LEAF = 256
 DEPTH = 8
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 2 << 20           # of text hashed at a time
+BLOCK_DOCS = 10_000
 BROADCAST_ROWS = 1_000_000      # of 40 bytes each
 
 _RNG = np.random.default_rng(20240229)
@@ -92,8 +93,7 @@ def word_hashes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    texts = pa.concat_arrays([texts]) if texts.offset else texts
+    texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
@@ -104,7 +104,7 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
         ends = np.cumsum(count)
         # a run of `width` words from each word on; runs that leave the text are not used
         runs, scale = np.zeros(len(words), np.uint64), _powers(_STEP, width)
-        for k in range(width):
+        for k in range(min(width, len(words))):
             runs[:len(words) - k] += words[k:] * scale[k]
         for n, end in zip(count.tolist(), ends.tolist(), strict=True):
             if n >= width:
@@ -132,20 +132,23 @@ def _class_id(items: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n, cls, mins``: set size, fingerprint and minwise tokens (null without words)."""
+    """``doc_id, text_hash, n, cls, mins``: set size, fingerprint and minwise tokens (null without words)."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, mins = [], [], []
-            for items in shingle_sets(batch.column(1), width):
-                n.append(len(items))
-                cls.append(_class_id(items) if len(items) else None)
-                mins.append(_minwise(items).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                                              pa.array(mins, pa.binary())], names=["doc_id", "n", "cls", "mins"])
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part, n, cls, mins = batch.slice(at, BLOCK_DOCS), [], [], []
+                for items in shingle_sets(part.column(2), width):
+                    n.append(len(items))
+                    cls.append(_class_id(items) if len(items) else None)
+                    mins.append(_minwise(items).tobytes() if len(items) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
+                     pa.array(mins, pa.binary())], names=["doc_id", "text_hash", "n", "cls", "mins"])
 
     key_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(sign, f"doc_id {key_type}, n bigint, cls binary, mins binary")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")) \
+        .mapInArrow(sign, f"doc_id {key_type}, text_hash bigint, n bigint, cls binary, mins binary")
 
 
 # ---------------------------------------------------------------- trees
@@ -296,7 +299,9 @@ def spanning_links(members: DataFrame, alike: Callable, leaf: int = LEAF) -> Dat
     queries = apart.join(count, "node").withColumn("u", block(1, F.col("u_blocks"))) \
         .withColumn("m", spread(m_blocks)).select("node", "u", "m", "cls", "n", "payload")
     bases = judged.join(count, "node").withColumn("m", block(2, m_blocks)) \
-        .withColumn("u", spread(F.col("u_blocks"))).select("node", "u", "m", "cls", "n", "payload", "near")
+        .withColumn("u", spread(F.col("u_blocks")))
+    # aliased anew: both sides come from the same table
+    bases = bases.select([F.col(c).alias(c) for c in ("node", "u", "m", "cls", "n", "payload", "near")])
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         both = pd.concat([left, right], ignore_index=True)
@@ -377,7 +382,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 # ---------------------------------------------------------------- operator
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, trees: int = TREES, leaf: int = LEAF,
                     depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+    """One row per input row: ``doc_id, text_hash, n_shingles, component_id, kept``.
 
     Words are runs of other than white space, lower-cased A-Z; a text of fewer
     than ``width`` words is one shingle, a null or wordless text has none and is
@@ -412,8 +417,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         .where(F.col("linked_id").isNotNull() | F.col("copied")) \
         .select(F.col("cls").alias("g_cls"), F.coalesce("linked_id", "least_id").alias("group_id"))
     groups = materialize(groups, "near-groups")
-    return signed.select("doc_id", "n", "cls").join(groups, F.col("cls") == F.col("g_cls"), "left_outer").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+    return signed.drop("mins").join(groups, F.col("cls") == F.col("g_cls"), "left_outer").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("g_cls").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("component_id")) \
         .withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
@@ -432,8 +437,8 @@ def _class_sets(docs: DataFrame, signed: DataFrame, candidates: DataFrame, width
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = [s for s in shingle_sets(batch.column(0).slice(at, 256), width) if len(s)]
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part = [s for s in shingle_sets(batch.column(0).slice(at, BLOCK_DOCS), width) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_class_id(s) for s in part], pa.binary()), pa.array([len(s) for s in part], pa.int64()),
                      pa.array([s.tobytes() for s in part], pa.binary())], names=["cls", "n", "payload"])
@@ -445,5 +450,6 @@ def _class_sets(docs: DataFrame, signed: DataFrame, candidates: DataFrame, width
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
     gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col, **options).where(~F.col("kept"))
-    gone = materialize(gone.select(F.col("doc_id").alias("gone_id")), "near-gone")
-    return docs.join(gone, same(docs[id_col], F.col("gone_id")), "left_anti")
+    gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "near-gone")
+    return docs.join(gone, same(docs[id_col], gone["gone_id"])
+                     & (F.xxhash64(docs[text_col].cast("string")) == gone["gone_hash"]), "left_anti")

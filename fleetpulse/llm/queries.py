@@ -69,7 +69,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return N.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
