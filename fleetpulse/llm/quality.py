@@ -229,8 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
     rate = F.when(F.col("label") == 0, per_class / counts[0]).otherwise(per_class / counts[1])
     drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < rate * (1 << 30)) \
         .select(F.col("doc_id").alias("m_id"), "label")
+    # the sample has about 2 * per_class rows whatever the tables, so the texts need not be dealt by id
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .join(drawn, same(F.col("doc_id"), F.col("m_id"))).select("doc_id", "label", "text")
+        .join(F.broadcast(drawn), same(F.col("doc_id"), F.col("m_id"))).select("doc_id", "label", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x, counts in _encoded(batches):
