@@ -29,8 +29,6 @@ from fleetpulse.session import materialize
 
 WINDOW = 10
 TOKEN_WORDS = 3
-# Fixed value: a run of these is one item word, capital A-Z included (used for counting only).
-WORD_RUN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id",
@@ -47,19 +45,27 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
         .withColumn("size", F.size("words"))
 
 
-def _shingles(words: Column, k: int) -> Column:
-    """``array<struct<pos, h>>``: hashes of ``k`` consecutive words and their start."""
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0)))
-    return F.transform(starts, lambda x, i: F.struct(
-        i.alias("pos"), F.xxhash64(x, *[F.get(words, i + j) for j in range(1, k)]).alias("h")))
+def _shingles(rows: DataFrame, widths: dict[int, Column]) -> DataFrame:
+    """``rows`` (with an array ``w`` of words, dropped) once for each shingle: ``pos`` (its first word) and ``h``
+    (hash of its words), for every width in ``widths`` on the rows where its condition holds.
+
+    The words are zipped with themselves shifted, so that a plain explode puts a
+    shingle's words side by side and the hash runs in generated code."""
+    most = max(widths)
+    shifted = F.arrays_zip(F.col("w").alias("w0"), *[F.slice("w", k + 1, 1 << 30).alias(f"w{k}") for k in range(1, most)])
+    kept = [c for c in rows.columns if c != "w"]
+    placed = rows.select(*kept, F.posexplode(shifted).alias("pos", "x"))
+    word = [F.col("x").getField(k) for k in (["w0"] + [f"w{k}" for k in range(1, most)])]
+    hashes = [F.when(on & word[k - 1].isNotNull(), F.xxhash64(*word[:k])) for k, on in sorted(widths.items())]
+    if len(hashes) == 1:
+        return placed.select(*kept, "pos", hashes[0].alias("h")).where(F.col("h").isNotNull())
+    return placed.select(*kept, "pos", F.explode(F.array_compact(F.array(*hashes))).alias("h"))
 
 
 def window_tokens(windows: DataFrame) -> DataFrame:
     """``wid, size, pos, h``: the shingles of each window with their offset."""
-    parts = F.when(F.col("size") >= TOKEN_WORDS, _shingles(F.col("words"), TOKEN_WORDS))
-    for k in range(1, TOKEN_WORDS):
-        parts = parts.when(F.col("size") == k, _shingles(F.col("words"), k))
-    return windows.select("wid", "size", F.inline(parts))
+    widths = {k: F.col("size") == k for k in range(1, TOKEN_WORDS)} | {TOKEN_WORDS: F.col("size") >= TOKEN_WORDS}
+    return _shingles(windows.select("wid", "size", F.col("words").alias("w")), widths)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
@@ -73,8 +79,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), item_words(F.col("text")).alias("w"))
-    shingles = F.concat(*[_shingles(F.col("w"), k) for k in sizes]) if sizes else _shingles(F.col("w"), TOKEN_WORDS)
-    placed = keyed.select("doc_id", "text_hash", F.size("w").alias("n"), F.inline(shingles))
+    placed = _shingles(keyed.withColumn("n", F.size("w")), dict.fromkeys(sizes or [TOKEN_WORDS], F.lit(True)))
     hits = materialize(placed.join(known, F.col("h") == F.col("known"), "left_semi"), "decon-hits")
 
     # rarity over all documents; a window whose rarest shingle never occurs cannot occur itself
@@ -128,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     text = F.col(text_col).cast("string")
     all_docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-                           F.coalesce(F.regexp_count(text, F.lit(WORD_RUN)), F.lit(0)).cast("long").alias("n_words"))
+                           F.size(item_words(text)).cast("long").alias("n_words"))
     return all_docs.join(hit, same(F.col("doc_id"), F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")),
                          "left_outer").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -142,5 +147,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     found = occurrences(docs, benchmark, window, id_col, text_col)
     bad = materialize(found.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(),
                       "decon-bad")
-    return docs.join(bad, same(docs[id_col], F.col("bad_id"))
-                     & (F.xxhash64(docs[text_col].cast("string")) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, same(docs[id_col], bad["bad_id"])
+                     & (F.xxhash64(docs[text_col].cast("string")) == bad["bad_hash"]), "left_anti")
