@@ -34,9 +34,6 @@ RAW_RULE_SCHEMA = T.StructType([
     T.StructField("Y_MAX", T.StringType(), True),
 ])
 
-# A rulebase has one row per item; anything bigger is not a rulebase.
-MAX_RULES = 100_000
-
 
 def threshold_kind(expr: Column) -> Column:
     parts = F.split(F.coalesce(expr, F.lit(KIND_EMPTY)), ",")
@@ -76,22 +73,28 @@ def parse_rules(raw: DataFrame) -> DataFrame:
 
 def rules_from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Build a parsed rulebase from literal rows in ``RULE_COLUMNS`` order."""
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rulebase has at most {MAX_RULES} rows")
+    for r in rows:
+        for side in r[3:5]:
+            if str(side).split(",")[0].strip().upper() == KIND_PPM and not _is_number(str(side).partition(",")[2]):
+                raise ValueError(f"rulebase: {r[0]!r} has a PPM limit without a number: {side!r}")
     norm = [tuple(None if v is None else str(v) for v in r) + (None,) * (8 - len(r)) for r in rows]
-    return parse_rules(spark.createDataFrame(norm, RAW_RULE_SCHEMA))
+    # literal rows: the planner knows the size of the table
+    return parse_rules(literal_rows(spark, norm, RAW_RULE_SCHEMA))
 
 
-def checked_rules(rules: DataFrame) -> DataFrame:
-    """Verify once that a rulebase read from storage is rulebase-sized.
+def _is_number(text: str) -> bool:
+    try:
+        return float(text) == float(text)
+    except ValueError:
+        return False
 
-    Every operator broadcasts the rulebase; this is the size check behind
-    those broadcasts.
-    """
-    n = rules.limit(MAX_RULES + 1).count()
-    if n > MAX_RULES:
-        raise ValueError(f"rulebase has more than {MAX_RULES} rows")
-    return rules
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small table whose rows are part of the plan."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
 
 
 def rule_key(item: Column) -> Column:
@@ -107,17 +110,25 @@ def ppm_high_fraction(ppm: Column) -> Column:
 
 
 def quantile_requests(rules: DataFrame) -> DataFrame:
-    """(rule_item, qid, fraction) for every PPM warning side of the rulebase."""
+    """(rule_item, qid, fraction) for every PPM warning side of the rulebase.
+
+    A PPM side without a number fails the query with a message that names the item."""
+    def number(side: str) -> Column:
+        return F.coalesce(F.col(side), F.raise_error(F.concat(
+            F.lit("rulebase: PPM limit without a number for item "), F.col("rule_item"))).cast("double"))
+
     low = rules.where(F.col("warn_low_kind") == KIND_PPM).select(
-        "rule_item", F.lit("lower").alias("qid"), ppm_low_fraction(F.col("warn_low_num")).alias("fraction"))
+        "rule_item", F.lit("lower").alias("qid"), ppm_low_fraction(number("warn_low_num")).alias("fraction"))
     high = rules.where(F.col("warn_high_kind") == KIND_PPM).select(
-        "rule_item", F.lit("upper").alias("qid"), ppm_high_fraction(F.col("warn_high_num")).alias("fraction"))
+        "rule_item", F.lit("upper").alias("qid"), ppm_high_fraction(number("warn_high_num")).alias("fraction"))
     return low.unionByName(high)
 
 
 def validate_items(items: list[str], rules: DataFrame) -> None:
     """Raise for items that have no rule (the original fails on lookup too)."""
-    known = {r[0] for r in rules.select("rule_item").distinct().limit(MAX_RULES).collect()}
-    missing = [i for i in items if i.lower() not in known]
+    spark = rules.sparkSession
+    asked = literal_rows(spark, [(i,) for i in items], T.StructType([T.StructField("asked", T.StringType())]))
+    lost = asked.join(rules, F.lower("asked") == rules["rule_item"], "left_anti").collect()   # at most the items
+    missing = [i for i in items if i in {r[0] for r in lost}]
     if missing:
         raise KeyError(f"items without a rule: {missing}")

@@ -50,25 +50,25 @@ def load_daily(df: DataFrame, spec: TelemetrySpec, split_firmware: bool = True,
     the last good reading of its day.  ``columns`` prunes the scan.
     """
     if columns is not None:
-        keep = list(dict.fromkeys([*spec.keys(), *spec.order_cols(),
+        keep = list(dict.fromkeys([*spec.reading_keys(), *spec.order_cols(),
                                    *([spec.firmware] if spec.firmware else []), *columns]))
         df = df.select(*keep)
     if split_firmware:
         df = without_error_firmware(df, spec)
     df = with_day(df, spec)
     if dedupe:
-        df = keep_last(df, [*spec.keys(), "date"], spec.order_cols())
+        df = keep_last(df, [*spec.reading_keys(), "date"], spec.order_cols())
     return df
 
 
 def to_long(daily: DataFrame, spec: TelemetrySpec, items: list[str] | None = None,
             extra: list[str] | None = None) -> DataFrame:
-    """Unpivot item columns to ``(…keys, date, item, value)``; NULL readings dropped."""
+    """Unpivot item columns to ``(…keys, date, item, value)``; NULL and NaN readings dropped."""
     items = list(items or spec.items)
     ids = [*spec.keys(), "date", *(extra or [])]
     long = daily.select(*ids, *[F.col(i).cast("double").alias(i) for i in items]) \
         .unpivot(ids, items, "item", "value")
-    return long.where(F.col("value").isNotNull())
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def pivot_days(long: DataFrame, serial: str, dates: list[str], how: str = "avg") -> DataFrame:
@@ -89,7 +89,7 @@ def pivot_days(long: DataFrame, serial: str, dates: list[str], how: str = "avg")
 
 def keep_last_per_drive(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
     """Last reading of each drive over the whole input (histogram input)."""
-    return keep_last(df, spec.keys(), spec.order_cols())
+    return keep_last(df, spec.reading_keys(), spec.order_cols())
 
 
 def daily_average(df: DataFrame, spec: TelemetrySpec, items: list[str]) -> DataFrame:

@@ -71,12 +71,18 @@ def grid_x(layer):
             .otherwise(F.col("z0") + layer * F.col("step")))
 
 
+def sample_number(serial, date):
+    """A number for sampling that any SQL engine can work out: 32 bits of the md5 of drive and day."""
+    key = F.concat_ws("|", serial.cast("string"), date.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
 def daily_density(normal: DataFrame, serial: str, batch: str | None = None,
                   sample_modulus: int | None = None) -> DataFrame:
     """``(…batch, item, date, layer, x, cdf)`` for every day with readings.
 
     ``sample_modulus=m`` fits the kernel sums on the drives with
-    ``xxhash64(serial, date) % m == 0`` only (deterministic 1/m sample; the
+    ``sample_number(serial, date) % m == 0`` only (deterministic 1/m sample; the
     statistics and grid still come from every reading).
     """
     keys = ([batch] if batch and batch in normal.columns else []) + ["item", "date"]
@@ -89,7 +95,7 @@ def daily_density(normal: DataFrame, serial: str, batch: str | None = None,
 
     sample = trimmed
     if sample_modulus:
-        sample = trimmed.where(F.pmod(F.xxhash64(F.col(serial), F.col("date")), F.lit(sample_modulus)) == 0)
+        sample = trimmed.where(sample_number(F.col(serial), F.col("date")) % sample_modulus == 0)
     compressed = sample.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
 
     layer = F.col("layer")

@@ -78,7 +78,7 @@ def short_window(hist: DataFrame, cutoff: DataFrame) -> DataFrame:
 
 def daily_cells(hist: DataFrame, spec: TelemetrySpec, items: list[str]) -> DataFrame:
     """Keep-last per (drive, day), long format ``(serial, date, item, value)``."""
-    last = keep_last(hist, [spec.serial, "date"], spec.order_cols())
+    last = keep_last(hist, [spec.serial, *([spec.log] if spec.log else []), "date"], spec.order_cols())
     return to_long(last, TelemetrySpec(serial=spec.serial, timestamp=spec.timestamp, firmware=None), items)
 
 
@@ -87,9 +87,8 @@ def recheck_critical(cells: DataFrame, crit: DataFrame, rules: DataFrame, serial
 
     Without any VALUE limit on the item, any non-null reading keeps the drive.
     """
-    small = F.broadcast(rules)
     j = (cells.join(crit.select("item", serial), ["item", serial], "left_semi")
-         .join(small, rule_key(F.col("item")) == small["rule_item"]))
+         .join(rules, rule_key(F.col("item")) == rules["rule_item"]))
     no_rule = F.col("crit_low").isNull() & F.col("crit_high").isNull()
     viol = no_rule | (F.col("value") < F.col("crit_low")) | (F.col("value") > F.col("crit_high"))
     return j.where(viol).select("item", serial).distinct()
@@ -102,9 +101,8 @@ def recheck_warning(cells: DataFrame, warn: DataFrame, bounds: DataFrame, rules:
     A side counts unless its kind is EMPTY; both EMPTY keeps every drive with
     a reading.  Days are matched to bounds by date.
     """
-    small = F.broadcast(rules)
     j = (cells.join(warn.select("item", serial), ["item", serial], "left_semi")
-         .join(small, rule_key(F.col("item")) == small["rule_item"])
+         .join(rules, rule_key(F.col("item")) == rules["rule_item"])
          .join(bounds.select("item", "date", "lower", "upper"), ["item", "date"], "left"))
     low_on = F.col("warn_low_kind") != KIND_EMPTY
     high_on = F.col("warn_high_kind") != KIND_EMPTY
@@ -130,9 +128,8 @@ def recheck_counts(before: dict[str, DataFrame], after: dict[str, DataFrame], se
 def special_item_drives(last_batch: DataFrame, serial: str, items: dict[str, float] | None = None) -> DataFrame:
     """``(item, serial)`` of drives with a non-null reading different from the default."""
     items = items or SPECIAL_DEFAULTS
-    lists = [last_batch.where(F.col(i).isNotNull() & (F.col(i) != F.lit(d)))
-             .select(F.lit(i).alias("item"), serial) for i, d in items.items()]
-    return reduce(lambda a, b: a.unionByName(b), lists).distinct()
+    flagged = F.array_compact(F.array(*[F.when(F.col(i) != F.lit(d), F.lit(i)) for i, d in items.items()]))
+    return last_batch.select(F.explode(flagged).alias("item"), serial).distinct()
 
 
 def recheck_special(cells: DataFrame, listed: DataFrame, serial: str,

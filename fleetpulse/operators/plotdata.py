@@ -35,19 +35,14 @@ def starts_with_any(item: Column, prefixes=ZOOM_PREFIXES) -> Column:
     return cond
 
 
-def _rules(rules: DataFrame) -> DataFrame:
-    return F.broadcast(rules)
-
-
 def heatmap_normaliser(density: DataFrame, keys: list[str]) -> DataFrame:
     """Max adjacent CDF difference over all days but the last, per ``keys``.
 
     ``keys`` excludes the date (e.g. ``[item]`` or ``[item, span]``).
     """
     wl = Window.partitionBy(*keys, "date").orderBy("layer")
-    wd = Window.partitionBy(*keys)
-    d = (density.withColumn("delta", F.lead("cdf").over(wl) - F.col("cdf"))
-         .withColumn("_last", F.max("date").over(wd)))
+    last = density.groupBy(*keys).agg(F.max("date").alias("_last"))
+    d = density.select(*keys, "date", (F.lead("cdf").over(wl) - F.col("cdf")).alias("delta")).join(last, keys)
     return d.where(F.col("date") < F.col("_last")).groupBy(*keys).agg(F.max("delta").alias("norm"))
 
 
@@ -71,7 +66,7 @@ def heatmap_cells(density: DataFrame, keys: list[str]) -> DataFrame:
     cells = (d.where(F.col("layer") < 99)
              .join(nxt.where(F.col("next_date").isNotNull()), [*keys, "date"])
              .join(nd, [*keys, "next_date", "layer"])
-             .join(F.broadcast(norm), keys))
+             .join(norm, keys))
     ratio = F.col("delta") / F.col("norm")
     return cells.select(*keys, "date", "next_date", "layer", "delta",
                         ((F.lit(1.0) - ratio) * 0.8 + 0.2).alias("colour"),
@@ -85,8 +80,7 @@ def axis_bounds(density: DataFrame, rules: DataFrame, keys: list[str]) -> DataFr
     Grid max (after TB conversion) capped by Y_MAX (Temp* items: exactly
     Y_MAX); without Y_MAX a max at or below Y_MIN becomes 200; 10 % padding.
     """
-    r = _rules(rules)
-    g = (density.join(r, rule_key(F.col("item")) == r["rule_item"])
+    g = (density.join(rules, rule_key(F.col("item")) == rules["rule_item"])
          .groupBy(*keys, "y_format", "y_min", "y_max")
          .agg(F.max(to_tb(F.col("x"), F.col("y_format"))).alias("vmax")))
     vm = (F.when(F.col("y_max").isNotNull(),
@@ -102,25 +96,38 @@ def trend_points(cells: DataFrame, drives: DataFrame, rules: DataFrame, serial:
                  no_density_items: DataFrame | None = None) -> DataFrame:
     """Points of the trend lines of listed drives.
 
-    ``(item, serial, date, value, single_point, in_zoom)``: NULL readings
-    dropped, TB conversion applied, ``single_point`` when the drive has one
-    point for the item, ``in_zoom`` when the item starts with Temp/Avail or
-    has no density.
+    ``(…span, …class, item, serial, date, value, single_point, in_zoom)``: NULL
+    readings dropped, TB conversion applied, ``single_point`` when the drive has
+    one point for the item, ``in_zoom`` when the item starts with Temp/Avail or
+    has no density.  Cells may carry a ``span``, drives a ``class``: all spans
+    and classes are then one pass, and points count within their own.
     """
-    r = _rules(rules)
-    pts = (cells.join(drives.select("item", serial), ["item", serial], "left_semi")
-           .where(F.col("value").isNotNull())
-           .join(r, rule_key(F.col("item")) == r["rule_item"], "left"))
-    w = Window.partitionBy("item", serial)
+    by = [c for c, t in (("span", cells), ("class", drives)) if c in t.columns]
+    listed = drives.select("item", serial, *[c for c in by if c == "class"]).distinct()
+    pts = (cells.join(listed, ["item", serial]).where(F.col("value").isNotNull())
+           .join(rules, rule_key(F.col("item")) == rules["rule_item"], "left"))
+    w = Window.partitionBy(*by, "item", serial)
     zoom = starts_with_any(F.col("item"))
     if no_density_items is not None:
-        pts = pts.join(F.broadcast(no_density_items.select("item").distinct().withColumn("_nd", F.lit(True))),
-                       "item", "left")
+        pts = pts.join(no_density_items.select("item").distinct().withColumn("_nd", F.lit(True)), "item", "left")
         zoom = zoom | F.coalesce(F.col("_nd"), F.lit(False))
-    return pts.select("item", serial, "date", to_tb(F.col("value"), F.col("y_format")).alias("value"),
+    return pts.select(*by, "item", serial, "date", to_tb(F.col("value"), F.col("y_format")).alias("value"),
                       (F.count(F.lit(1)).over(w) == 1).alias("single_point"), zoom.alias("in_zoom"))
 
 
+def with_spans(cells: DataFrame, cutoff: DataFrame) -> DataFrame:
+    """Cells labelled ``long``, and once more ``short`` from the cutoff day on."""
+    start = cutoff.select("cutoff").scalar()
+    return cells.withColumn("span", F.explode(F.array_compact(F.array(
+        F.lit("long"), F.when(F.col("date") >= start, F.lit("short"))))))
+
+
+def newest_density(density: DataFrame, batch: str, keys=("item",)) -> DataFrame:
+    """One density per (item, day): where weekly files share a day, the newest batch's."""
+    newest = density.groupBy(*keys, "date").agg(F.max(batch).alias(batch))
+    return density.join(newest, [*keys, "date", batch])
+
+
 def baseline(dates: DataFrame, items: DataFrame, quiet_items: DataFrame) -> DataFrame:
     """Constant line for items with no critical, no warning and no density.
 
@@ -137,9 +144,8 @@ def baseline(dates: DataFrame, items: DataFrame, quiet_items: DataFrame) -> Data
 
 def histogram_range(values: DataFrame, rules: DataFrame) -> DataFrame:
     """``(item, axis_min, axis_max)`` from the exact 99th percentile and the rule."""
-    r = _rules(rules)
     q = exact_quantiles(values, ["item"], "value", {"p99": HIST_QUANTILE})
-    g = q.join(r, rule_key(F.col("item")) == r["rule_item"])
+    g = q.join(rules, rule_key(F.col("item")) == rules["rule_item"])
     m = (F.when(F.col("y_max").isNotNull(), F.greatest(F.col("quantile"), F.col("y_max")))
          .otherwise(F.when(F.col("quantile") <= 0, F.lit(HIST_FALLBACK_MAX)).otherwise(F.col("quantile"))))
     g = g.withColumn("m", m)
@@ -164,7 +170,7 @@ def histogram(values: DataFrame, ranges: DataFrame, bins: int = HIST_BINS) -> Da
     def edge(k):
         return F.when(k >= bins, F.col("hi")).otherwise(F.col("lo") + k * F.col("step"))
 
-    v = (values.join(F.broadcast(rg), "item")
+    v = (values.join(rg, "item")
          .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))))
     i0 = F.least(F.floor((F.col("value") - F.col("lo")) * (F.lit(bins) / (F.col("hi") - F.col("lo")))).cast("int"),
                  F.lit(bins - 1))

@@ -2,29 +2,27 @@
 
 ``percentile()`` keeps every distinct value of a group in one aggregation
 buffer, and a ranking window puts a whole group in one task; a fleet-day that
-holds a third of all readings would then sit on one executor.  Here the values
-are range-partitioned on ``(group, value)`` instead, so a hot group is cut
-into many sorted slices:
-
-1. ``repartitionByRange`` + ``sortWithinPartitions``; each row gets an id that
-   grows with its position inside its slice.
-2. A per-slice summary ``(slice, group) -> first id, row count`` (at most
-   slices + groups rows) gives every slice its offset within the group.
-3. For a fraction ``f`` of a group with ``n`` values the linear-interpolation
-   quantile sits between ranks ``floor(f*(n-1))`` and ``ceil(f*(n-1))``; a
-   window over the slice starts and the wanted ranks (merged in rank order)
-   maps each rank to its slice and row id, and one join on the id picks the
-   two rows.
-
-Up to ``SMALL_GROUP_LIMIT`` values per group, Spark's exact ``percentile``
-is used instead (its per-group buffer is then bounded).  The result is tiny
-(groups x fractions) and is written to the shared checkpoint folder, which
-also ends the lineage of the sort.
+holds a third of all readings would then sit on one executor.  Here:
+
+1. The readings are counted by ``(group, value)`` with map-side combining.  A
+   value that fills most of a group (error counters are nearly all zero)
+   becomes one row, however often it occurs.
+2. The distinct values are range-partitioned on ``(group, value)`` into slices
+   and written with their slice number, so that all later steps see the same
+   slices.
+3. The slices' counts (at most slices + groups rows) give every slice its
+   offset within the group, and a window inside each (group, slice) gives each
+   value its span of ranks.
+4. For a fraction ``f`` of a group with ``n`` values the quantile sits between
+   ranks ``floor(f*(n-1))`` and ``ceil(f*(n-1))``; a value is picked when its
+   span holds a wanted rank.
+
+There is one path for groups of every size.  The result (groups x fractions)
+is written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,116 +32,50 @@ from fleetpulse.session import materialize
 def _with_fractions(groups: DataFrame, group_cols: list[str], fractions) -> DataFrame:
     """Attach ``(qid, fraction)`` rows to every group."""
     if isinstance(fractions, DataFrame):
-        keys = [c for c in fractions.columns if c in group_cols]
-        if keys:
-            # Per-key fractions (a rulebase): a small table, one row per key.
-            return groups.join(F.broadcast(fractions), keys)
-        fractions = {r["qid"]: r["fraction"] for r in fractions.collect()}
+        # per-key fractions (a rulebase), one row per key and side
+        return groups.join(fractions, [c for c in fractions.columns if c in group_cols])
     lits = [F.struct(F.lit(str(k)).alias("qid"), F.lit(float(v)).alias("fraction"))
             for k, v in dict(fractions).items()]
     return (groups.select("*", F.explode(F.array(*lits)).alias("_q"))
             .select(*groups.columns, "_q.qid", "_q.fraction"))
 
 
-# Groups up to this many values use Spark's exact ``percentile`` aggregate,
-# whose final merge holds one group's distinct values in one task; larger
-# groups take the range-sorted path below.
-SMALL_GROUP_LIMIT = 1_000_000
-
-
-def _fraction_list(fractions) -> list[float]:
-    if isinstance(fractions, DataFrame):
-        return sorted({float(r["fraction"]) for r in fractions.select("fraction").distinct().collect()})
-    return sorted({float(v) for v in dict(fractions).values()})
-
-
-def _percentile_path(vals: DataFrame, group_cols: list[str], fractions) -> DataFrame:
-    fl = _fraction_list(fractions) or [0.5]   # no request -> no rows after the join below
-    arr = F.array(*[F.lit(f) for f in fl])
-    agg = (vals.groupBy(*group_cols)
-           .agg(F.percentile(F.col("_v"), arr).alias("_p"), F.count(F.lit(1)).alias("_n")))
-    picked = _with_fractions(agg, group_cols, fractions)
-    return picked.select(*group_cols, "qid",
-                         F.element_at(F.col("_p"), F.array_position(arr, F.col("fraction")).cast("int"))
-                         .alias("quantile"),
-                         F.col("_n").alias("n"))
-
-
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, fractions,
-                    n_slices: int | None = None, small_group_limit: int = SMALL_GROUP_LIMIT,
-                    largest: int | None = None) -> DataFrame:
+                    n_slices: int | None = None) -> DataFrame:
     """Per-group quantiles ``(…group_cols, qid, quantile, n)``.
 
     ``fractions`` is either ``{qid: fraction}`` (same fractions for every group)
     or a DataFrame ``(…some group cols, qid, fraction)`` for per-key fractions
-    (e.g. per item from the rulebase).  ``largest`` is the size of the biggest
-    group when the caller already knows it.  NULL values are ignored; groups without
+    (e.g. per item from the rulebase).  NULL values are ignored; groups without
     values produce no rows.  Interpolation: ``v_lo + (v_hi - v_lo) * (k - floor(k))``
     with ``k = f * (n - 1)``, the definition of ``numpy.percentile`` and DuckDB
     ``quantile_cont``.
     """
-    spark = df.sparkSession
-    n_slices = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if largest is None and small_group_limit > 0:
-        largest = vals.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-    if small_group_limit > 0 and (largest is None or largest <= small_group_limit):
-        return materialize(_percentile_path(vals, group_cols, fractions), "quantiles")
-    ordered = (vals.repartitionByRange(n_slices, *group_cols, "_v")
-               .sortWithinPartitions(*group_cols, "_v")
-               .withColumn("_slice", F.spark_partition_id())
-               .withColumn("_id", F.monotonically_increasing_id())
-               .persist(StorageLevel.MEMORY_AND_DISK))
+    n_slices = n_slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = (df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    sliced = materialize(counts.repartitionByRange(n_slices, *group_cols, "_v")
+                         .withColumn("_slice", F.spark_partition_id()), "quantile-values")
 
-    # Every consumer below must see the same slices, so the per-slice summary
-    # and the target ids are checkpointed (both are tiny) and the big sorted
-    # frame is read only through its cache.
-    seg = ordered.groupBy("_slice", *group_cols).agg(F.min("_id").alias("_first"),
-                                                     F.count(F.lit(1)).alias("_cnt"))
     by_group = Window.partitionBy(*group_cols)
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-                by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_n", F.sum("_cnt").over(by_group)))
-    seg = materialize(seg, "quantile-slices")
-
-    groups = seg.select(*group_cols, "_n").distinct()
-    wanted = (_with_fractions(groups, group_cols, fractions).withColumn("_k", F.col("fraction") * (F.col("_n") - 1))
-              .withColumn("_lo", F.floor("_k").cast("long"))
-              .withColumn("_hi", F.ceil("_k").cast("long"))
-              .withColumn("_w", F.col("_k") - F.col("_lo")))
-    ranks = wanted.select(*group_cols, "qid", "_n", "_w",
-                          F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_lo").alias("rank")),
-                                            F.struct(F.lit(1).alias("side"), F.col("_hi").alias("rank")))).alias("_r"))
-    ranks = ranks.select(*group_cols, "qid", "_n", "_w", "_r.side", "_r.rank")
-    # Locate each target rank in its slice without pairing slices and targets:
-    # merge the slice starts and the target ranks in one ordered window per
-    # group; the latest slice start at or before a rank is its slice.
-    starts = seg.select(*group_cols, F.col("_off").alias("_pos"), F.lit(0).alias("_kind"), "_first", "_off",
-                        F.lit(None).cast("string").alias("qid"), F.lit(None).cast("long").alias("_n"),
-                        F.lit(None).cast("double").alias("_w"), F.lit(None).cast("int").alias("side"))
-    wanted_ranks = ranks.select(*group_cols, F.col("rank").alias("_pos"), F.lit(1).alias("_kind"),
-                                F.lit(None).cast("long").alias("_first"), F.lit(None).cast("long").alias("_off"),
-                                "qid", "_n", "_w", "side")
-    merge = Window.partitionBy(*group_cols).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    merged = (starts.unionByName(wanted_ranks)
-              .withColumn("_f", F.last("_first", ignorenulls=True).over(merge))
-              .withColumn("_o", F.last("_off", ignorenulls=True).over(merge)))
-    targets = (merged.where(F.col("_kind") == 1)
-               .select(*group_cols, "qid", "_n", "_w", "side",
-                       (F.col("_f") + F.col("_pos") - F.col("_o")).alias("_tid")))
-    targets = materialize(targets, "quantile-targets")
-
-    picked = (ordered.select("_id", "_v")
-              .join(targets, F.col("_id") == F.col("_tid"))   # written table: broadcast by file size
-              .drop("_id"))
-    out = (picked.groupBy(*group_cols, "qid", "_n", "_w")
-           .agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_a"),
-                F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_b"))
-           .select(*group_cols, "qid",
-                   (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("quantile"),
+    before = F.sum("_cnt").over(by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    seg = (sliced.groupBy(*group_cols, "_slice").agg(F.sum("_c").alias("_cnt"))
+           .select(*group_cols, "_slice", F.coalesce(before, F.lit(0)).alias("_off"),
+                   F.sum("_cnt").over(by_group).alias("_n")))
+    wanted = (_with_fractions(seg.select(*group_cols, "_n").distinct(), group_cols, fractions)
+              .withColumn("_k", F.col("fraction") * (F.col("_n") - 1))
+              .select(*group_cols, "qid", "_n", F.floor("_k").alias("_lo"), F.ceil("_k").alias("_hi"),
+                      (F.col("_k") - F.floor("_k")).alias("_w")))
+
+    inside = Window.partitionBy(*group_cols, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    spans = (sliced.withColumn("_cum", F.sum("_c").over(inside))
+             .join(seg.select(*group_cols, "_slice", "_off"), [*group_cols, "_slice"])
+             .select(*group_cols, "_v", (F.col("_off") + F.col("_cum") - F.col("_c")).alias("_from"),
+                     (F.col("_off") + F.col("_cum")).alias("_to")))
+    holds = lambda rank: (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_to"))
+    out = (spans.join(wanted, group_cols).where(holds("_lo") | holds("_hi"))
+           .groupBy(*group_cols, "qid", "_n", "_w")
+           .agg(F.max(F.when(holds("_lo"), F.col("_v"))).alias("_a"), F.max(F.when(holds("_hi"), F.col("_v"))).alias("_b"))
+           .select(*group_cols, "qid", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("quantile"),
                    F.col("_n").alias("n")))
-    out = materialize(out, "quantiles")
-    ordered.unpersist()
-    return out
-
+    return materialize(out, "quantiles")

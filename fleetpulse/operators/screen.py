@@ -5,8 +5,9 @@ All items are screened in one plan over the long table
 ``(…batch, item, serial)`` and removal is a left-anti join, never a collected
 ``isin`` list.  Keep-last left at most one reading per drive and day, so an
 ``(item, serial)`` key holds at most one row per day and these joins cannot be
-skewed by a hot drive.  The per-day tables (bounds) are small and are
-broadcast after a size check; a hot day therefore never meets a shuffle.
+skewed by a hot drive.  Rules and per-day bounds carry their size (literal
+rows, written tables), so the planner broadcasts them where they are small; a
+hot day then never meets a shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ def _batch(long: DataFrame, batch: str | None) -> list[str]:
 
 def with_rules(long: DataFrame, rules: DataFrame) -> DataFrame:
     """Attach each row's rule (inner join on the lower-case item name)."""
-    small = F.broadcast(rules)
-    return long.join(small, rule_key(long["item"]) == small["rule_item"]).drop("rule_item")
+    return long.join(rules, rule_key(long["item"]) == rules["rule_item"]).drop("rule_item")
 
 
 def critical_drives(long: DataFrame, rules: DataFrame, serial: str, batch: str | None = None) -> DataFrame:
@@ -51,23 +51,17 @@ def warning_bounds(pop: DataFrame, rules: DataFrame, batch: str | None = None,
     """
     b = _batch(pop, batch)
     keyed = pop.withColumn("rule_item", rule_key(F.col("item")))
-    days = keyed.groupBy(*b, "rule_item", "item", "date").agg(F.count(F.lit(1)).alias("n_values"))
-    if materialized:
-        days = materialize(days, "warning-days")
+    days = keyed.select(*b, "rule_item", "item", "date").distinct()
 
     req = quantile_requests(rules)
     ppm_items = req.select("rule_item").distinct()
-    largest = days.join(F.broadcast(ppm_items), "rule_item", "left_semi").agg(F.max("n_values")).first()[0]
-    if largest is None:
-        largest = 0
-    q = exact_quantiles(keyed.join(F.broadcast(ppm_items), "rule_item", "left_semi"),
-                        [*b, "rule_item", "item", "date"], "value", req, largest=largest)
+    q = exact_quantiles(keyed.join(ppm_items, "rule_item", "left_semi"),
+                        [*b, "rule_item", "item", "date"], "value", req)
     qw = (q.groupBy(*b, "rule_item", "item", "date")
           .agg(F.max(F.when(F.col("qid") == "lower", F.col("quantile"))).alias("q_lower"),
                F.max(F.when(F.col("qid") == "upper", F.col("quantile"))).alias("q_upper")))
 
-    small_rules = F.broadcast(rules)
-    out = (days.join(small_rules, "rule_item")
+    out = (days.join(rules, "rule_item")
            .join(qw, [*b, "rule_item", "item", "date"], "left")
            .select(*b, "item", "date",
                    F.when(F.col("warn_low_kind") == KIND_PPM, F.col("q_lower"))

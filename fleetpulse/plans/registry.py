@@ -7,9 +7,13 @@ column is aliased so Spark and SQL agree on names.
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.rules import rules_from_rows
 from fleetpulse.operators import daily as D
 from fleetpulse.operators import screen as S
 from fleetpulse.plans import tables as TB
@@ -194,7 +198,12 @@ def q_daily_density(spark, sf_dir):
     return d.select("item", "date", "layer", r6("x").alias("x"), r6("cdf").alias("cdf"))
 
 
-@register("density_sampled")
+@register("density_sampled", "WITH " + EV_DENSITY.replace(
+    "ev_cmp AS (SELECT date, value, count(*) AS c FROM ev_t GROUP BY date, value)",
+    "ev_cmp AS (SELECT date, value, count(*) AS c FROM ev_t "
+    "WHERE ('0x' || substring(md5(user_id::VARCHAR || '|' || date::VARCHAR), 1, 8))::BIGINT % 10 = 0 "
+    "GROUP BY date, value)") + """
+SELECT item, date, CAST(layer AS INTEGER) AS layer, round(x, 6) AS x, round(cdf, 6) AS cdf FROM ev_density""")
 def q_density_sampled(spark, sf_dir):
     d = events_density(spark, sf_dir, sample_modulus=10)
     return d.select("item", "date", "layer", r6("x").alias("x"), r6("cdf").alias("cdf"))
@@ -252,8 +261,8 @@ def events_history(spark, sf_dir) -> dict:
     drives = H.union_lists([res["critical"], res["warning"]], "user_id")
     hist, cutoff = H.abnormal_history(raw, drives, TB.EVENTS, last_week(raw))
     short = H.short_window(hist, cutoff)
-    cells = H.daily_cells(short, TB.EVENTS, ["value"])
     cells_long = H.daily_cells(hist, TB.EVENTS, ["value"])
+    cells = cells_long.where(F.col("date") >= cutoff.select("cutoff").scalar())   # keep-last is per day
     rules = TB.events_rules(spark)
     crit_new = H.recheck_critical(cells, res["critical"], rules, "user_id")
     warn_new = H.recheck_warning(cells, res["warning"], res["bounds"], rules, "user_id")
@@ -324,16 +333,11 @@ SELECT span, class, 'value' AS item, user_id, date, value,
        count(*) OVER (PARTITION BY span, class, user_id) = 1 AS single_point, false AS in_zoom
 FROM pts""")
 def q_trend_points(spark, sf_dir):
+    from fleetpulse.session import materialize
     h = events_history(spark, sf_dir)
-    parts = []
-    for span, cells in (("long", h["cells_long"]), ("short", h["cells"])):
-        for cls, lst in (("critical", h["crit_new"]), ("warning", h["warn_new"])):
-            pts = P.trend_points(cells, lst, h["rules"], "user_id")
-            parts.append(pts.select(F.lit(span).alias("span"), F.lit(cls).alias("class"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    lists = materialize(h["crit_new"].withColumn("class", F.lit("critical"))
+                        .unionByName(h["warn_new"].withColumn("class", F.lit("warning"))), "rechecked")
+    return P.trend_points(P.with_spans(h["cells_long"], h["cutoff"]), lists, h["rules"], "user_id")
 
 
 # ---------------------------------------------------------------- heatmap / axis / baseline
@@ -423,11 +427,39 @@ def q_special_item_drives(spark, sf_dir):
     return events_special(spark, sf_dir)["listed"]
 
 
-@register("special_item_history", "WITH " + EV_SPECIAL + """
-SELECT 'value_band' AS item, user_id, date, value FROM sp_cells WHERE user_id IN (SELECT user_id FROM sp_new)""")
+def events_special_plots(spark, sf_dir) -> dict:
+    from fleetpulse.plans import trends as TR
+    raw = with_week(TB.read(spark, sf_dir, "events")).withColumn("value_band", F.floor(F.col("value") / 200)
+                                                                 .cast("double"))
+    return TR.special_item_data(raw, replace(TB.EVENTS, batch="week"), {"value_band": 0.0})
+
+
+@register("special_item_history", "WITH " + EV_SPECIAL + """,
+sp_long AS (
+  SELECT * FROM (
+    SELECT user_id, date, floor(value / 200) AS value FROM sp_hist
+    QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts DESC, event_id DESC) = 1)
+  WHERE value IS NOT NULL)
+SELECT 'long' AS span, 'value_band' AS item, user_id, date, value, CAST(0 AS DOUBLE) AS "default" FROM sp_long
+WHERE user_id IN (SELECT user_id FROM sp_new)
+UNION ALL
+SELECT 'short', 'value_band', user_id, date, value, CAST(0 AS DOUBLE) FROM sp_cells
+WHERE user_id IN (SELECT user_id FROM sp_new)""")
 def q_special_item_history(spark, sf_dir):
-    s = events_special(spark, sf_dir)
-    return s["cells"].join(s["new"], ["item", "user_id"], "left_semi").select("item", "user_id", "date", "value")
+    """Both spans of the special item's series, with its default line."""
+    return events_special_plots(spark, sf_dir)["series"].select("span", "item", "user_id", "date", "value", "default")
+
+
+@register("special_abnormal_rows", "WITH " + EV_SPECIAL + """
+SELECT 'value_band' AS item, user_id, event_id, date, identity FROM sp_hist
+WHERE date >= (SELECT cutoff FROM sp_cut) AND user_id IN (SELECT user_id FROM sp_new)""")
+def q_special_abnormal_rows(spark, sf_dir):
+    """The raw rows of the re-checked special drives, written and read back."""
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    rows, path = events_special_plots(spark, sf_dir)["abnormal_rows"], scratch_path(spark, "abnormal-special")
+    io.write_abnormal_rows(rows, path, sort_by=("user_id", "ts"))
+    return io.read_table(spark, path, fmt="csv").select("item", "user_id", "event_id", "date", "identity")
 
 
 # ---------------------------------------------------------------- histogram / bars (orders)
@@ -462,9 +494,9 @@ SELECT 'o_totalprice' AS item, CAST(g.i AS INTEGER) AS bin,
        coalesce(cnt.n, 0) AS n
 FROM rg2, range(0, 50) g(i) LEFT JOIN cnt ON cnt.bin = g.i""")
 def q_histogram(spark, sf_dir):
-    from fleetpulse.functions.rules import rules_from_rows
     last = orders_last(spark, sf_dir)
-    vals = D.to_long(last.withColumn("date", F.to_date("o_orderdate")), TB.ORDERS, ["o_totalprice"])
+    from fleetpulse.session import materialize
+    vals = materialize(D.to_long(last.withColumn("date", F.to_date("o_orderdate")), TB.ORDERS, ["o_totalprice"]), "last")
     rules = rules_from_rows(spark, ORDERS_RULES)
     rng = P.histogram_range(vals, rules)
     h = P.histogram(vals, rng)
@@ -486,16 +518,28 @@ SELECT 'value' AS item, date, round(quantile_cont(value, 0.0001), 6) AS q_lo,
        count(*) AS n
 FROM ev_pop GROUP BY date""")
 def q_quantiles_range_path(spark, sf_dir):
-    """Exact quantiles forced through the range-sorted path (the path used for
-    groups too large for one task), on the screened population."""
+    """Exact quantiles of the screened population, values dealt over sorted slices."""
     from fleetpulse.operators.quantile import exact_quantiles
     pop = events_screen(spark, sf_dir)["population"]
-    q = exact_quantiles(pop, ["item", "date"], "value", {"q_lo": 0.0001, "q_mid": 0.5, "q_hi": 0.9999},
-                        small_group_limit=0)
+    q = exact_quantiles(pop, ["item", "date"], "value", {"q_lo": 0.0001, "q_mid": 0.5, "q_hi": 0.9999})
     return (q.groupBy("item", "date", "n").pivot("qid", ["q_lo", "q_mid", "q_hi"]).agg(F.first("quantile"))
             .select("item", "date", *[r6(c).alias(c) for c in ["q_lo", "q_mid", "q_hi"]], "n"))
 
 
+@register("quantiles_one_value", """
+WITH v AS (SELECT l_linenumber, CASE WHEN l_orderkey % 500 = 0 THEN l_quantity ELSE 0 END AS value FROM lineitem)
+SELECT l_linenumber, round(quantile_cont(value, 0.5), 6) AS q_mid, round(quantile_cont(value, 0.999), 6) AS q_hi,
+       round(quantile_cont(value, 0.9999), 6) AS q_top, count(*) AS n FROM v GROUP BY l_linenumber""")
+def q_quantiles_one_value(spark, sf_dir):
+    """An error counter: nearly every reading is 0, in groups of very different sizes."""
+    from fleetpulse.operators.quantile import exact_quantiles
+    v = TB.read(spark, sf_dir, "lineitem").select(
+        "l_linenumber", F.when(F.col("l_orderkey") % 500 == 0, F.col("l_quantity")).otherwise(0).cast("double").alias("value"))
+    q = exact_quantiles(v, ["l_linenumber"], "value", {"q_mid": 0.5, "q_hi": 0.999, "q_top": 0.9999})
+    return (q.groupBy("l_linenumber", "n").pivot("qid", ["q_mid", "q_hi", "q_top"]).agg(F.first("quantile"))
+            .select("l_linenumber", *[r6(c).alias(c) for c in ["q_mid", "q_hi", "q_top"]], "n"))
+
+
 # ---------------------------------------------------------------- multi-item screening (lineitem)
 LI_SCREEN = """
 li_daily AS (
@@ -573,7 +617,7 @@ w_class AS (
   FROM (SELECT DISTINCT week, user_id FROM w_daily) d
   LEFT JOIN w_crit c USING (week, user_id) LEFT JOIN w_warn w USING (week, user_id))"""
 
-EVENTS_WEEKLY = TB.EVENTS.__class__(**{**TB.EVENTS.__dict__, "batch": "week"})
+EVENTS_WEEKLY = replace(TB.EVENTS, batch="week")
 
 
 def weekly_screen(spark, sf_dir):
@@ -623,20 +667,28 @@ def q_difference(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- pivots, ad-hoc screening
-@register("pivot_daily_avg", """
-PIVOT (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, value FROM events)
-ON d USING round(avg(value), 6) GROUP BY user_id""")
+# The days of a matrix are given by the caller (no extra job to find them).
+PIVOT_DAYS = [(dt.date(2024, 1, 1) + dt.timedelta(days=k)).isoformat() for k in range(31)]
+
+
+def _cells_sql(agg: str, source: str) -> str:
+    cells = ", ".join(f"round({agg}(CASE WHEN date = DATE '{d}' THEN value END), 6) AS \"{d}\"" for d in PIVOT_DAYS)
+    return f"SELECT user_id, {cells} FROM {source} GROUP BY user_id"
+
+
+@register("pivot_daily_avg", _cells_sql("avg", "(SELECT user_id, CAST(ts AS DATE) AS date, value FROM events)"))
 def q_pivot_daily_avg(spark, sf_dir):
-    ev = TB.read(spark, sf_dir, "events")
-    d = D.with_day(ev, TB.EVENTS).withColumn("_d", F.col("date").cast("string"))
-    return d.groupBy("user_id").pivot("_d").agg(F.round(F.avg("value"), 6))
+    """Drive x day matrix, the readings of a cell averaged."""
+    ev = D.with_day(TB.read(spark, sf_dir, "events"), TB.EVENTS).select("user_id", "date", "value")
+    wide = D.pivot_days(ev, "user_id", PIVOT_DAYS)
+    return wide.select("user_id", *[r6(F.col(f"`{d}`")).alias(d) for d in PIVOT_DAYS])
 
 
-@register("pivot_unique", "WITH " + EV_DAILY + """
-PIVOT (SELECT user_id, CAST(date AS VARCHAR) AS d, value FROM ev_daily) ON d USING max(value) GROUP BY user_id""")
+@register("pivot_unique", "WITH " + EV_DAILY + _cells_sql("max", "ev_daily"))
 def q_pivot_unique(spark, sf_dir):
-    long = events_long(spark, sf_dir)
-    return long.withColumn("_d", F.col("date").cast("string")).groupBy("user_id").pivot("_d").agg(F.max("value"))
+    """Drive x day matrix of the keep-last readings, one per cell (checked)."""
+    wide = D.pivot_days(events_long(spark, sf_dir), "user_id", PIVOT_DAYS, how="unique")
+    return wide.select("user_id", *[r6(F.col(f"`{d}`")).alias(d) for d in PIVOT_DAYS])
 
 
 ADHOC = """
@@ -668,7 +720,7 @@ def q_matrix_summary(spark, sf_dir):
     q = exact_quantiles(normal, ["item"], "value", {"lo": 0.0001, "hi": 0.9999})
     qw = q.groupBy("item").agg(F.max(F.when(F.col("qid") == "lo", F.col("quantile"))).alias("lo"),
                                F.max(F.when(F.col("qid") == "hi", F.col("quantile"))).alias("hi"))
-    t = normal.join(F.broadcast(qw), "item").where(F.col("value").between(F.col("lo"), F.col("hi")))
+    t = normal.join(qw, "item").where(F.col("value").between(F.col("lo"), F.col("hi")))
     return t.groupBy("item", "lo", "hi").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n")) \
         .select("item", r6("lo").alias("lower_b"), r6("hi").alias("upper_b"), r6("mean").alias("mean"),
@@ -677,10 +729,11 @@ def q_matrix_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- counts, SQL, round trips
 @register("count_distinct_all", """
-SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events
-                           WHERE user_id IS NOT NULL AND event_type IS NOT NULL)""")
+SELECT count(*) AS n FROM (SELECT DISTINCT * FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL
+  AND user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL AND props IS NOT NULL)""")
 def q_count_distinct_all(spark, sf_dir):
-    ev = TB.read(spark, sf_dir, "events").select("user_id", "event_type")
+    """Distinct rows over all columns (rows with a NULL are not counted)."""
+    ev = TB.read(spark, sf_dir, "events")
     return ev.select(F.count_distinct(*[F.col(c) for c in ev.columns]).alias("n"))
 
 
@@ -797,7 +850,6 @@ def q_multi_item_recheck(spark, sf_dir):
     """K11-K13 on multi-item telemetry: suppliers listed by the monthly
     screening, their history, the short window of the last yearly batch, and
     the re-checked critical / warning lists per item."""
-    from dataclasses import replace
     long, res = lineitem_screen(spark, sf_dir)
     spec = replace(TB.LINEITEM, identity="'all'", batch="year")   # no secondary id in this table
     raw = TB.read(spark, sf_dir, "lineitem").withColumn("year", F.to_date(F.date_trunc("year", "l_shipdate")))
@@ -813,3 +865,244 @@ def q_multi_item_recheck(spark, sf_dir):
 
 def last_batch(raw, batch):
     return raw.where(F.col(batch) == raw.select(F.max(batch)).scalar())
+
+
+# ---------------------------------------------------------------- weekly exports and the record of runs
+def write_export(rows: DataFrame, folder: str, name: str, columns: list[str]) -> str:
+    """One weekly export with its own column order (a folder of part files named like the export)."""
+    path = f"{folder}/{name}.csv"
+    rows.select(*columns).write.option("header", True).csv(path)
+    return path
+
+
+def export_rows(events: DataFrame) -> DataFrame:
+    """Events under export column names, with cells that stand for missing values and some malformed ones."""
+    cell = (F.when(F.col("event_id") % 17 == 0, F.lit("NaN")).when(F.col("event_id") % 19 == 0, F.lit("NA"))
+            .when(F.col("event_id") % 23 == 0, F.lit("n/a")).when(F.col("event_id") % 29 == 0, F.lit("broken"))
+            .otherwise(F.col("value").cast("string")))
+    return events.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("TIMESTAMP"),
+                         F.col("user_id").alias("DriveSerialNumber"), F.col("event_type").alias("FirmwareRevision"),
+                         F.col("event_id").alias("MediaErrors"), cell.alias("Temperature"), F.lit("x").alias("NotUsed"))
+
+
+@register("csv_mixed_headers", """
+SELECT user_id::VARCHAR AS drive, event_id::DOUBLE AS media_errors, event_type AS firmware,
+       CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0 THEN NULL ELSE value END AS temperature,
+       CASE WHEN event_id % 2 = 0 THEN 'PM963_2024_w01' ELSE 'PM963_2024_w02' END AS batch,
+       CASE WHEN event_id % 2 = 0 THEN 'SMART' ELSE 'Ext_SMART' END AS log
+FROM events
+WHERE NOT (event_id % 29 = 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 23 <> 0)""")
+def q_csv_mixed_headers(spark, sf_dir):
+    """A1, A2: exports of two logs whose columns stand in different orders, with missing-value texts and
+    malformed rows, through the library's reader."""
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    rows, folder = export_rows(TB.read(spark, sf_dir, "events")), scratch_path(spark, "exports")
+    write_export(rows.where("MediaErrors % 2 = 0"), folder, "PM963_2024_w01_SMART",
+                 ["Temperature", "MediaErrors", "TIMESTAMP", "DriveSerialNumber", "FirmwareRevision", "NotUsed"])
+    write_export(rows.where("MediaErrors % 2 = 1"), folder, "PM963_2024_w02_Ext_SMART",
+                 ["DriveSerialNumber", "MediaErrors", "NotUsed", "Temperature", "FirmwareRevision", "TIMESTAMP"])
+    back = io.read_telemetry_csv(spark, folder, items=["Temperature", "MediaErrors"])
+    return back.select(F.col("DriveSerialNumber").alias("drive"), F.col("MediaErrors").alias("media_errors"),
+                       F.col("FirmwareRevision").alias("firmware"), F.col("Temperature").alias("temperature"), "batch", "log")
+
+
+@register("last_n_weeks_files", "WITH " + EV_RAW + """,
+two AS (SELECT DISTINCT week FROM ev_raw ORDER BY week DESC LIMIT 2)
+SELECT event_id::DOUBLE AS event_id, 'PM963_' || strftime(week, '%Y%m%d') AS batch, 2 AS n_exports
+FROM ev_raw WHERE week IN (SELECT week FROM two)""")
+def q_last_n_weeks_files(spark, sf_dir):
+    """The two latest weekly exports, chosen by name before anything is opened."""
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    raw, folder = with_week(TB.read(spark, sf_dir, "events")), scratch_path(spark, "exports")
+    for week in [r["week"] for r in raw.select("week").distinct().orderBy("week").collect()]:      # one export a week
+        write_export(export_rows(raw.where(F.col("week") == F.lit(week))), folder, f"PM963_{week:%Y%m%d}_SMART",
+                     ["TIMESTAMP", "DriveSerialNumber", "FirmwareRevision", "MediaErrors"])
+    back = io.read_telemetry_csv(spark, folder, items=["MediaErrors"], n_weeks=2, log_kind="SMART")
+    opened = {io.export_name(f) for f in back.inputFiles()}
+    return back.select(F.col("MediaErrors").alias("event_id"), "batch", F.lit(len(opened)).alias("n_exports"))
+
+
+QUIET_RULES = [("value", "EMPTY", "VALUE,1000000000", "PPM,10000", "PPM,10000", "-", "0", None)]
+
+
+@register("weekly_store", "WITH " + W_SCREEN + """
+SELECT 'all weeks' AS part, week, user_id FROM w_crit WHERE week < (SELECT max(week) FROM w_daily)
+UNION ALL SELECT 'newest week', max(week), NULL FROM w_daily
+UNION ALL SELECT 'bounds', week, count(*) FROM w_bounds WHERE week < (SELECT max(week) FROM w_daily) GROUP BY week
+UNION ALL SELECT 'bounds', (SELECT max(week) FROM w_daily), count(DISTINCT date) FROM w_daily
+          WHERE week = (SELECT max(week) FROM w_daily)""")
+def q_weekly_store(spark, sf_dir):
+    """All weeks are screened into one folder, then the newest week once more, now without
+    any critical drive.  Earlier weeks stay, the newest week's list is read back empty."""
+    from fleetpulse.plans.screening import run_screening
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    raw, base = with_week(TB.read(spark, sf_dir, "events")).withColumnRenamed("week", "batch"), scratch_path(spark, "store")
+    spec = replace(TB.EVENTS, batch="batch")
+    run_screening(raw, spec, TB.events_rules(spark), ["value"], out=base, kde=False)
+    run_screening(raw.where(F.col("batch") == raw.select(F.max("batch")).scalar()), spec,
+                  rules_from_rows(spark, QUIET_RULES), ["value"], out=base, kde=False)
+    everything = io.read_result_set(spark, base, "critical").select(
+        F.lit("all weeks").alias("part"), F.col("batch").alias("week"), "user_id")
+    latest = io.read_result_set(spark, base, "critical", latest_only=True).select(
+        F.lit("latest list").alias("part"), F.col("batch").alias("week"), "user_id")
+    newest = spark.range(1).select(F.lit("newest week").alias("part"), F.lit(io.newest_batch(spark, base)).alias("week"),
+                                   F.lit(None).cast("long").alias("user_id"))
+    bounds = io.read_result_set(spark, base, "bounds").groupBy(F.col("batch").alias("week")).agg(
+        F.count(F.lit(1)).alias("user_id")).select(F.lit("bounds").alias("part"), "week", "user_id")
+    return everything.unionByName(latest).unionByName(newest).unionByName(bounds)
+
+
+# ---------------------------------------------------------------- heatmap of shared days, axis branches
+SHARED_DAY = dt.date(2024, 1, 15)
+
+
+@register("heatmap_shared_days", "WITH " + EV_DENSITY + f""",
+d0 AS (SELECT item, date, layer, CASE WHEN date < DATE '{SHARED_DAY}' THEN x + 1 ELSE x END AS x, cdf FROM ev_density)""" + """,
+d AS (SELECT *, coalesce(cdf, 0) AS cdf0 FROM d0),
+d2 AS (SELECT *, lead(cdf0) OVER w - cdf0 AS delta, lead(cdf) OVER w - cdf AS raw_delta, lead(x) OVER w AS x_hi
+       FROM d WINDOW w AS (PARTITION BY item, date ORDER BY layer)),
+nrm AS (SELECT item, max(raw_delta) AS norm FROM d2 WHERE date < (SELECT max(date) FROM d2) GROUP BY item),
+days AS (SELECT item, date, lead(date) OVER (PARTITION BY item ORDER BY date) AS next_date
+         FROM (SELECT DISTINCT item, date FROM d))
+SELECT a.item, a.date, days.next_date, a.layer, round(a.delta, 6) AS delta, round(a.delta / nrm.norm, 6) AS opacity,
+       round(a.x, 6) AS x_lo, round(b.x, 6) AS next_x_lo
+FROM d2 a JOIN days USING (item, date) JOIN d2 b ON b.item = a.item AND b.date = days.next_date AND b.layer = a.layer
+JOIN nrm ON nrm.item = a.item
+WHERE a.layer < 99 AND days.next_date IS NOT NULL AND nrm.norm IS NOT NULL""")
+def q_heatmap_shared_days(spark, sf_dir):
+    """Two batches that share a day; the newer batch's density of that day counts, once."""
+    from fleetpulse.session import materialize
+    d = materialize(events_density(spark, sf_dir), "density")
+    day = F.lit(SHARED_DAY)
+    both = d.where(F.col("date") <= day).withColumn("x", F.col("x") + 1).withColumn("batch", F.lit("w03")).unionByName(
+        d.where(F.col("date") >= day).withColumn("batch", F.lit("w04")))
+    c = P.heatmap_cells(materialize(P.newest_density(both, "batch").drop("batch"), "density-by-day"), ["item"])
+    return c.select("item", "date", "next_date", "layer",
+                    *[r6(n).alias(n) for n in ["delta", "opacity", "x_lo", "next_x_lo"]])
+
+
+AXIS_RULES = [("temp_fixed", "EMPTY", "EMPTY", "EMPTY", "EMPTY", "-", "10", "500"),
+              ("capped", "EMPTY", "EMPTY", "EMPTY", "EMPTY", "-", "0", "100"),
+              ("below", "EMPTY", "EMPTY", "EMPTY", "EMPTY", "-", "100000", None),
+              ("units", "EMPTY", "EMPTY", "EMPTY", "EMPTY", "TB", "0", None)]
+
+
+@register("axis_branches", "WITH " + EV_DENSITY + """,
+m AS (SELECT max(x) AS v FROM ev_density)
+SELECT 'Temp_fixed' AS item, round(10 - 490 * 0.1, 6) AS axis_min, round(500 + 490 * 0.1, 6) AS axis_max
+UNION ALL SELECT 'Capped', round(0 - least(v, 100) * 0.1, 6), round(least(v, 100) * 1.1, 6) FROM m
+UNION ALL SELECT 'Below', round(100000 - (200 - 100000) * 0.1, 6), round(200 + (200 - 100000) * 0.1, 6) FROM m
+UNION ALL SELECT 'Units', round(0 - (v * 512000 / 1024 ** 4) * 0.1, 6), round((v * 512000 / 1024 ** 4) * 1.1, 6) FROM m""")
+def q_axis_branches(spark, sf_dir):
+    """All branches of the axis range on one density."""
+    d = events_density(spark, sf_dir).drop("item")
+    d = d.withColumn("item", F.explode(F.array(*[F.lit(n) for n in ("Temp_fixed", "Capped", "Below", "Units")])))
+    a = P.axis_bounds(d, rules_from_rows(spark, AXIS_RULES), ["item"])
+    return a.select("item", r6("axis_min").alias("axis_min"), r6("axis_max").alias("axis_max"))
+
+
+# ---------------------------------------------------------------- trend plots of several items
+PLOT_ITEMS = ["Temp_value", "Units", "Avail_quiet", "Plain_quiet"]
+PLOT_RULES = [("temp_value", "EMPTY", "VALUE,150", "PPM,10000", "PPM,10000", "-", "0", "300"),
+              ("units", "EMPTY", "VALUE,990", "EMPTY", "VALUE,980", "TB", "0", None),
+              ("avail_quiet", "EMPTY", "EMPTY", "EMPTY", "EMPTY", "-", "0", None),
+              ("plain_quiet", "EMPTY", "EMPTY", "EMPTY", "EMPTY", "-", "0", None)]
+EV_PLOT = """
+e_raw AS (
+  SELECT user_id, ts, event_id, event_type, CAST(ts AS DATE) AS date, upper(event_type) AS identity,
+         CAST(date_trunc('week', ts) AS DATE) AS week, value AS Temp_value, CAST(event_id % 997 AS DOUBLE) AS Units,
+         CAST(100 AS DOUBLE) AS Avail_quiet, CAST(0 AS DOUBLE) AS Plain_quiet
+  FROM events),
+e_daily AS (SELECT user_id, date, Temp_value, Units, Avail_quiet, Plain_quiet FROM e_raw
+            WHERE event_type IS DISTINCT FROM 'error'
+            QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts DESC, event_id DESC) = 1),
+e_long AS (UNPIVOT e_daily ON Temp_value, Units, Avail_quiet, Plain_quiet INTO NAME item VALUE value),
+e_crit AS (SELECT DISTINCT item, user_id FROM e_long
+           WHERE (item = 'Temp_value' AND value > 150) OR (item = 'Units' AND value > 990)),
+e_pop AS (SELECT l.* FROM e_long l ANTI JOIN e_crit c ON l.item = c.item AND l.user_id = c.user_id),
+e_bounds AS (SELECT item, date, CASE item WHEN 'Temp_value' THEN quantile_cont(value, 10000 / 1e6) END AS lower,
+                    CASE item WHEN 'Temp_value' THEN quantile_cont(value, 1 - 10000 / 1e6) WHEN 'Units' THEN 980 END AS upper
+             FROM e_pop GROUP BY item, date),
+e_warn AS (SELECT DISTINCT p.item, p.user_id FROM e_pop p JOIN e_bounds b USING (item, date)
+           WHERE p.value < b.lower OR p.value > b.upper),
+e_listed AS (SELECT user_id FROM e_crit UNION SELECT user_id FROM e_warn),
+e_mode AS (SELECT user_id, identity FROM (
+    SELECT user_id, identity, count(*) AS n FROM e_raw WHERE user_id IN (SELECT user_id FROM e_listed)
+      AND identity IS NOT NULL GROUP BY user_id, identity)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, identity) = 1),
+e_hist AS (SELECT r.* FROM e_raw r JOIN e_mode m ON r.user_id = m.user_id AND r.identity = m.identity),
+e_cut AS (SELECT min(date) AS cutoff FROM e_raw WHERE week = (SELECT max(week) FROM e_raw)
+          AND user_id IN (SELECT user_id FROM e_listed)),
+e_last AS (SELECT user_id, date, Temp_value, Units, Avail_quiet, Plain_quiet FROM e_hist
+           QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY ts DESC, event_id DESC) = 1),
+e_cells AS (UNPIVOT e_last ON Temp_value, Units, Avail_quiet, Plain_quiet INTO NAME item VALUE value),
+e_span AS (SELECT 'long' AS span, * FROM e_cells
+           UNION ALL SELECT 'short', * FROM e_cells WHERE date >= (SELECT cutoff FROM e_cut)),
+e_crit_new AS (SELECT DISTINCT s.item, s.user_id FROM e_span s JOIN e_crit c ON c.item = s.item AND c.user_id = s.user_id
+               WHERE span = 'short' AND ((s.item = 'Temp_value' AND value > 150) OR (s.item = 'Units' AND value > 990))),
+e_warn_new AS (SELECT DISTINCT s.item, s.user_id FROM e_span s JOIN e_warn c ON c.item = s.item AND c.user_id = s.user_id
+               LEFT JOIN e_bounds b ON b.item = s.item AND b.date = s.date
+               WHERE span = 'short' AND CASE s.item WHEN 'Temp_value' THEN value < lower OR value > upper
+                                                    WHEN 'Units' THEN value > upper END),
+e_new AS (SELECT 'critical' AS class, * FROM e_crit_new UNION ALL SELECT 'warning', * FROM e_warn_new)"""
+
+
+def events_plots(spark, sf_dir) -> dict:
+    """The trend plots of four items: one screening, its density, and the history of the listed drives."""
+    from fleetpulse.operators.density import daily_density
+    from fleetpulse.plans import trends as TR
+    from fleetpulse.session import materialize
+    raw = with_week(TB.read(spark, sf_dir, "events")).withColumnRenamed("value", "Temp_value").withColumns({
+        "Units": (F.col("event_id") % 997).cast("double"), "Avail_quiet": F.lit(100.0), "Plain_quiet": F.lit(0.0)})
+    spec, rules = replace(TB.EVENTS, items=tuple(PLOT_ITEMS), batch=None), rules_from_rows(spark, PLOT_RULES)
+    long = materialize(D.to_long(D.load_daily(raw, spec, columns=PLOT_ITEMS), spec), "daily-long")
+    res = S.screen(long, rules, "user_id")
+    res["density"] = materialize(daily_density(res["normal"], "user_id"), "density")
+    newest = raw.agg(F.max("week")).first()[0]
+    results = {n: res[n].withColumn("week", F.lit(newest)) for n in ("critical", "warning", "bounds", "density")}
+    return TR.trend_data(raw, replace(spec, batch="week"), rules, results, PLOT_ITEMS, newest)
+
+
+@register("trend_plots", "WITH " + EV_PLOT + """
+SELECT span, class, s.item, s.user_id, date,
+       round(CASE WHEN s.item = 'Units' THEN value * 512000 / 1024 ** 4 ELSE value END, 9) AS value,
+       count(*) OVER (PARTITION BY span, class, s.item, s.user_id) = 1 AS single_point, s.item LIKE 'Temp%' AS in_zoom
+FROM e_span s JOIN e_new n ON n.item = s.item AND n.user_id = s.user_id""")
+def q_trend_plots(spark, sf_dir):
+    """Both spans and classes, a TB item and a zoomed one."""
+    return events_plots(spark, sf_dir)["trend_points"].withColumn("value", F.round("value", 9))
+
+
+@register("trend_baseline", "WITH " + EV_PLOT + """
+SELECT item, date, CAST(CASE WHEN item LIKE 'Avail%' THEN 100 ELSE 0 END AS DOUBLE) AS baseline
+FROM (VALUES ('Avail_quiet'), ('Plain_quiet')) q(item), (SELECT DISTINCT date FROM e_hist)""")
+def q_trend_baseline(spark, sf_dir):
+    """Constant lines of the items that have neither listed drives nor a density."""
+    return events_plots(spark, sf_dir)["baseline"]
+
+
+@register("trend_abnormal_rows", "WITH " + EV_PLOT + """
+SELECT n.class, n.item, h.user_id, h.event_id, h.date FROM e_hist h JOIN e_new n ON n.user_id = h.user_id
+WHERE h.date >= (SELECT cutoff FROM e_cut)""")
+def q_trend_abnormal_rows(spark, sf_dir):
+    """Raw rows of the re-checked drives, exported by class and item and read back."""
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    path = scratch_path(spark, "abnormal")
+    io.write_abnormal_rows(events_plots(spark, sf_dir)["abnormal_rows"], path, sort_by=("user_id", "ts"))
+    return io.read_table(spark, path, fmt="csv").select("class", "item", "user_id", "event_id", "date")
+
+
+@register("quarantine_store", """
+SELECT CAST(date_trunc('week', ts) AS DATE) AS batch, event_id, user_id, event_type FROM events WHERE event_type = 'error'""")
+def q_quarantine_store(spark, sf_dir):
+    """A10: the quarantined rows of a run, written by batch and read back through the record of runs."""
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    raw, base = with_week(TB.read(spark, sf_dir, "events")).withColumnRenamed("week", "batch"), scratch_path(spark, "store")
+    bad = D.quarantine(raw.select("batch", "event_id", "user_id", "event_type"), TB.EVENTS)
+    io.write_screening({"quarantine": bad}, base, fmt="csv", batches=raw)
+    return io.read_result_set(spark, base, "quarantine", fmt="csv").select("batch", "event_id", "user_id", "event_type")

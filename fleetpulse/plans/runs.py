@@ -12,22 +12,22 @@ partitioned by its natural keys.
 
 from __future__ import annotations
 
-from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from fleetpulse import catalog as C
 from fleetpulse.catalog import TelemetrySpec
 from fleetpulse.plans import screening as SC
 from fleetpulse.plans import trends as TR
+from fleetpulse.session import materialize, scratch
 from fleetpulse.sources import io
 
 RESULTS = ("critical", "warning", "bounds", "density")
 
 
 def _spec(items: list[str]) -> TelemetrySpec:
-    return TelemetrySpec(tiebreak=(SC.ROW_ORDER,), items=tuple(items), batch="batch")
+    return TelemetrySpec(tiebreak=(SC.ROW_ORDER,), items=tuple(items), batch="batch", log="log")
 
 
 def _write_all(tables: dict, out: str, fmt: str = "parquet") -> None:
@@ -39,29 +39,41 @@ def _write_all(tables: dict, out: str, fmt: str = "parquet") -> None:
 def screening_job(spark: SparkSession, product: str, log_kind: str, telemetry: str, rules: str,
                   out: str, n_weeks: int = 2, kde: bool = True, sample: bool = False,
                   encoding: str | None = None) -> None:
-    SC.screen_product(spark, telemetry, rules, product, log_kind, out, n_weeks=n_weeks, kde=kde,
-                      encoding=encoding, sample_modulus=10 if sample else None)
+    with scratch(spark):
+        SC.screen_product(spark, telemetry, rules, product, log_kind, out, n_weeks=n_weeks, kde=kde,
+                          encoding=encoding, sample_modulus=10 if sample else None)
+
+
+def _exports(spark: SparkSession, telemetry, items: list[str], encoding: str | None, n_weeks: int | None = None):
+    """The pruned rows of the exports, parsed once and written."""
+    raw = SC.with_file_order(io.read_telemetry_csv(spark, telemetry, items=items, encoding=encoding, n_weeks=n_weeks))
+    return materialize(raw, "telemetry-rows")
 
 
 def trend_job(spark: SparkSession, product: str, telemetry, rules: str, results: str, out: str,
               encoding: str | None = None) -> None:
-    """``telemetry``: folder(s) holding every weekly export with the trend and
-    special items; ``results``: output folder of :func:`screening_job`."""
+    """``telemetry``: folder(s) holding every weekly export (basic and extended
+    logs) with the trend and special items; ``results``: output folder(s) of
+    :func:`screening_job`, one per log kind."""
     trend = C.trend_items(product)
     special = C.special_items(product)
     items = list(dict.fromkeys(trend + special))
-    raw = SC.with_file_order(io.read_telemetry_csv(spark, telemetry, items=items, encoding=encoding))
-    spec = replace(_spec(items))
-    rulebase = io.read_rulebase_csv(spark, rules)
-    res = {n: io.read_result_set(spark, results, n) for n in RESULTS}
-    t = TR.trend_data(raw, spec, rulebase, res, trend)
-    sp = TR.special_item_data(raw, spec, {i: C.SPECIAL_DEFAULTS[i] for i in special})
-    io.write_abnormal_rows(t.pop("abnormal_rows").drop(C.SSDUID), f"{out}/abnormal_rows",
-                           sort_by=(spec.serial, spec.timestamp))
-    io.write_abnormal_rows(sp.pop("abnormal_rows").withColumn("class", F.lit("critical")).drop(C.SSDUID),
-                           f"{out}/abnormal_rows_special", sort_by=(spec.serial, spec.timestamp))
-    _write_all({k: v for k, v in t.items() if k not in ("history", "short")}, f"{out}/trend")
-    _write_all(sp, f"{out}/special")
+    spec = _spec(items)
+    with scratch(spark):
+        raw = _exports(spark, telemetry, items, encoding)
+        rulebase = io.read_rulebase_csv(spark, rules)
+        bases = [results] if isinstance(results, str) else list(results)
+        res = {n: reduce(lambda x, y: x.unionByName(y), [io.read_result_set(spark, base, n) for base in bases])
+               for n in RESULTS}
+        newest = max(io.newest_batch(spark, base) for base in bases)
+        t = TR.trend_data(raw, spec, rulebase, res, trend, newest)
+        sp = TR.special_item_data(raw, spec, {i: C.SPECIAL_DEFAULTS[i] for i in special}, newest)
+        io.write_abnormal_rows(t.pop("abnormal_rows").drop(C.SSDUID), f"{out}/abnormal_rows",
+                               sort_by=(spec.serial, spec.timestamp))
+        io.write_abnormal_rows(sp.pop("abnormal_rows").drop(C.SSDUID), f"{out}/abnormal_rows_special",
+                               sort_by=(spec.serial, spec.timestamp))
+        _write_all({k: v for k, v in t.items() if k not in ("history", "short")}, f"{out}/trend")
+        _write_all(sp, f"{out}/special")
 
 
 def histogram_job(spark: SparkSession, product: str, log_kind: str, telemetry, rules: str, out: str,
@@ -69,6 +81,7 @@ def histogram_job(spark: SparkSession, product: str, log_kind: str, telemetry, r
     hist_items = C.histogram_items(product, log_kind)
     bars = C.bar_items(log_kind)
     items = list(dict.fromkeys(hist_items + [C.histogram_extra_item(log_kind)] + bars))
-    raw = SC.with_file_order(io.read_telemetry_csv(spark, telemetry, items=items, encoding=encoding))
-    rulebase = io.read_rulebase_csv(spark, rules)
-    _write_all(TR.last_reading_data(raw, _spec(items), rulebase, hist_items, bars), f"{out}/last_reading")
+    with scratch(spark):
+        raw = _exports(spark, telemetry, items, encoding, n_weeks=1)       # the newest week is the only one opened
+        rulebase = io.read_rulebase_csv(spark, rules)
+        _write_all(TR.last_reading_data(raw, _spec(items), rulebase, hist_items, bars), f"{out}/last_reading")

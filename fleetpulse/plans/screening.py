@@ -44,7 +44,7 @@ def with_file_order(df: DataFrame) -> DataFrame:
 def run_screening(telemetry: DataFrame, spec: TelemetrySpec, rules: DataFrame, items: list[str],
                   out: str | None = None, n_batches: int | None = None, kde: bool = True,
                   sample_modulus: int | None = None, fmt: str = "parquet",
-                  stage_input: bool = True) -> dict[str, DataFrame]:
+                  stage_input: bool = True, run: str | None = None) -> dict[str, DataFrame]:
     """Screen every item of ``items`` over the (last ``n_batches``) batches.
 
     ``stage_input`` writes the pruned input columns (keys, time, firmware,
@@ -56,7 +56,7 @@ def run_screening(telemetry: DataFrame, spec: TelemetrySpec, rules: DataFrame, i
     if n_batches and spec.batch:
         raw = io.last_batches(raw, spec.batch, n_batches)
     if stage_input:
-        keep = list(dict.fromkeys([*spec.keys(), *spec.order_cols(),
+        keep = list(dict.fromkeys([*spec.reading_keys(), *spec.order_cols(),
                                    *([spec.firmware] if spec.firmware else []), *items]))
         raw = materialize(raw.select(*keep), "telemetry-pruned")
     quarantined = D.with_day(D.quarantine(raw, spec), spec)
@@ -69,7 +69,8 @@ def run_screening(telemetry: DataFrame, spec: TelemetrySpec, rules: DataFrame, i
         results["density"] = daily_density(res["normal"], spec.serial, batch=spec.batch,
                                            sample_modulus=sample_modulus)
     if out:
-        io.write_screening(results, out, fmt=fmt)
+        io.write_screening(results, out, fmt=fmt, batches=raw.select(F.col(spec.batch).alias("batch")) if spec.batch else None,
+                           run=run)
     return results
 
 
@@ -84,8 +85,10 @@ def screen_product(spark: SparkSession, telemetry_paths, rules_path: str, produc
                    sample_modulus: int | None = None) -> dict[str, DataFrame]:
     """The weekly job: last ``n_weeks`` weekly exports of one product and log kind."""
     spec, items = product_spec(product, log_kind)
-    raw = io.read_telemetry_csv(spark, telemetry_paths, items=items, encoding=encoding)
+    # the weeks are chosen by file name: older exports are not opened
+    raw = io.read_telemetry_csv(spark, telemetry_paths, items=items, encoding=encoding, n_weeks=n_weeks,
+                                log_kind=log_kind)
     raw = with_file_order(raw)
     rules = io.read_rulebase_csv(spark, rules_path)
-    return run_screening(raw, replace(spec, items=tuple(items)), rules, items, out=out, n_batches=n_weeks,
+    return run_screening(raw, replace(spec, items=tuple(items)), rules, items, out=out,
                          kde=kde, sample_modulus=sample_modulus)

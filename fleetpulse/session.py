@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -17,7 +20,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version": "2",
 }
 
 
@@ -41,33 +43,64 @@ def build_session(master: str | None = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets this to a shared file system; we only set a
-    local default when nothing is configured (tests, a laptop).
+    On a cluster the setting must name a shared file system; only a ``local``
+    master (tests, a laptop) gets a default on the machine.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = os.path.join(os.environ.get("TMPDIR", "/tmp"), "fleetpulse-checkpoints")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = os.path.join(tempfile.gettempdir(), "fleetpulse-checkpoints")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
 
+_SCRATCH: list[str] = []        # folders written by materialize() that still exist
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
 
 
 def materialize(df, name: str = "stage"):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     One job, and the lineage ends at reliable storage (an executor loss later
-    never recomputes the upstream plan).  Meant for small intermediate tables.
+    never recomputes the upstream plan); the planner knows the table's size.
+    The folder lives until the surrounding :func:`scratch` scope ends or
+    :func:`release` is called.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     # the schema is known: an empty result (no data files) reads back as empty
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, kept: int = 0) -> int:
+    """Delete the intermediate tables written since ``kept`` of them existed; returns their number.
+
+    Call it when everything derived from them has been written or collected."""
+    gone = 0
+    while len(_SCRATCH) > kept:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        gone += 1
+    return gone
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Scope of a run: the intermediate tables written inside are deleted at its end."""
+    kept = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        release(spark, kept)

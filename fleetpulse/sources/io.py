@@ -1,38 +1,127 @@
 """Readers and writers.
 
-Telemetry arrives as weekly CSV exports; results leave as one table per
-result set partitioned by ``(batch, item)`` so the history step can prune to
-the latest batch instead of listing and sorting file names.  Every path is
-caller-supplied (any Hadoop URI); connection options for JDBC as well.
+Telemetry arrives as weekly CSV exports.  Which weeks are read is decided by
+file name before anything is opened, files with alike headers are read in one
+scan, and columns are matched by name across headers.  Screening results are
+kept by run: every run writes below its own ``run=`` folder and is entered in
+a record of runs when it is complete, so a run never touches another week's
+results, a repeated week replaces its earlier results, and a week without any
+listed drive is known to be empty.  Every path is caller-supplied (any Hadoop
+URI); connection options for JDBC as well.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetpulse import catalog as C
-from fleetpulse.functions.broadcast import broadcast_if_small
-from fleetpulse.functions.rules import RAW_RULE_SCHEMA, checked_rules, parse_rules
+from fleetpulse.functions.rules import RAW_RULE_SCHEMA, literal_rows, parse_rules
 
 RESULT_SETS = ("critical", "warning", "bounds", "density", "quarantine")
 
+# Cell texts that mean a missing value in the exports.
+MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                 "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+# ---------------------------------------------------------------- telemetry files
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_exports(spark: SparkSession, paths, suffix: str = ".csv") -> list[str]:
+    """The exports at ``paths`` (files, folders or patterns), sorted by path; nothing is opened.
+
+    An export is a file, or a folder named like one that holds part files (as Spark writes it)."""
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        at, fs = _file_system(spark, path)
+        for entry in fs.globStatus(at) or []:
+            folder = entry.isDirectory() and not entry.getPath().getName().lower().endswith(suffix)
+            found += [f.getPath().toString() for f in (fs.listStatus(entry.getPath()) if folder else [entry])
+                      if not f.getPath().getName().startswith(("_", "."))]
+    exact = [f for f in found if f.lower().endswith(suffix)]
+    return sorted(set(exact or found))
+
+
+# Fixed value: name of an export in a path, without extension; part files belong to their folder.
+EXPORT_NAME = r"([^/]+?)(?:\.[^./]*)?(?:/part-[^/]*)?$"
+
+
+def export_name(path: str) -> str:
+    return re.search(EXPORT_NAME, path).group(1)
+
+
+def week_of(path: str) -> str:
+    """Weekly batch of an export: its name without extension and log kind, so that
+    the SMART and the extended log of a week belong together."""
+    name = export_name(path)
+    for kind in sorted(C.LOG_KINDS, key=len, reverse=True):
+        if name.endswith(f"_{kind}"):
+            return name[:-len(kind) - 1]
+    return name
+
+
+def log_of(path: str) -> str:
+    """Log kind in an export's name (empty if none)."""
+    name = export_name(path)
+    return next((k for k in sorted(C.LOG_KINDS, key=len, reverse=True) if name.endswith(f"_{k}")), "")
+
+
+def latest_exports(files: list[str], n_weeks: int) -> list[str]:
+    """The files of the ``n_weeks`` latest weeks, by name."""
+    weeks = sorted({week_of(f) for f in files})[-n_weeks:]
+    return [f for f in files if week_of(f) in weeks]
+
+
+def header_of(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[str, ...]:
+    """Column names of one export: only its first line is read."""
+    jvm = spark.sparkContext._jvm
+    at, fs = _file_system(spark, path)
+    if fs.getFileStatus(at).isDirectory():
+        parts = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")),
+                       key=lambda q: q.getName())
+        if not parts:
+            return ()
+        at = parts[0]
+    stream = fs.open(at)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding or "UTF-8"))
+        line = reader.readLine()
+    finally:
+        stream.close()
+    if line is None:
+        return ()
+    parsed = spark.range(1).select(F.from_csv(F.lit(line), ", ".join(f"c{k} string" for k in range(line.count(",") + 1)))
+                                   .alias("h")).select("h.*").first()
+    return tuple(c.lstrip("\ufeff") for c in parsed if c is not None)
+
+
+def present_text(cell: Column) -> Column:
+    """A cell's text, NULL where it stands for a missing value."""
+    return F.when(~F.trim(cell).isin(*MISSING_TEXTS), cell)
+
 
-# ---------------------------------------------------------------- telemetry
 def telemetry_columns(raw: DataFrame, items: list[str], drop_malformed: bool = True) -> DataFrame:
     """Project a header-named, string-typed telemetry frame by column name.
 
-    System columns stay strings, items become doubles (``try_cast``); a column
-    missing from the export reads as NULL.  With ``drop_malformed`` a row whose
-    item field holds text that is not a number is dropped, as a typed CSV read
-    in DROPMALFORMED mode would.  Works on batch and streaming frames.
+    System columns stay strings, items become doubles (``try_cast``); texts
+    that mean a missing value, and columns missing from the export, read as
+    NULL.  With ``drop_malformed`` a row whose item field holds text that is
+    neither a number nor missing is dropped, as a typed CSV read in
+    DROPMALFORMED mode would.  Works on batch and streaming frames.
     """
     present = set(raw.columns)
-    text = {c: (F.col(f"`{c}`") if c in present else F.lit(None).cast("string"))
+    text = {c: (present_text(F.col(f"`{c}`")) if c in present else F.lit(None).cast("string"))
             for c in [*C.SYSTEM_COLUMNS, C.SSDUID, *items]}
     if drop_malformed:
         bad = [text[i].isNotNull() & text[i].try_cast("double").isNull() for i in items if i in present]
@@ -43,61 +132,70 @@ def telemetry_columns(raw: DataFrame, items: list[str], drop_malformed: bool = T
                       *[text[i].try_cast("double").alias(i) for i in items], *keep)
 
 
-def header_schema(spark: SparkSession, paths, encoding: str | None = None) -> T.StructType:
-    """All-string schema named after the header of the exports at ``paths``."""
-    r = spark.read.option("header", True)
-    if encoding:
-        r = r.option("encoding", encoding)
-    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in r.csv(paths).schema.fields])
-
-
-def batch_name(path_col) -> F.Column:
-    """File name without extension: the weekly export a row came from."""
-    return F.regexp_replace(F.element_at(F.split(path_col, "/"), -1), r"\.[^.]*$", "")
+def text_schema(header) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType(), True) for c in header])
 
 
 def read_telemetry_csv(spark: SparkSession, paths, items: list[str] | None = None,
                        schema: T.StructType | None = None, encoding: str | None = None,
-                       drop_malformed: bool = True, batch_from_file: bool = True) -> DataFrame:
-    """Weekly telemetry CSV files as one scan.
-
-    Columns are matched **by header name** (a CSV schema would be applied by
-    position, and exports carry their own column order): the files are read
-    as strings, then system columns and ``items`` are selected by name and the
-    items cast to double (see :func:`telemetry_columns`).  Pass ``schema``
-    only for files known to have exactly that column order.  ``encoding``
-    covers ISO-8859-1 exports.  With ``batch_from_file`` each row carries
-    ``batch``, the file name without extension, so one scan of many weekly
-    files keeps their identity.
+                       drop_malformed: bool = True, batch_from_file: bool = True,
+                       n_weeks: int | None = None, log_kind: str | None = None) -> DataFrame:
+    """Weekly telemetry CSV files, columns matched **by header name**.
+
+    Every file's own header names its columns (a CSV schema is applied by
+    position, and exports differ in column order and log kind): files with the
+    same header are one scan, and the scans are united by name.  Cells are read
+    as text, then ``items`` are cast (see :func:`telemetry_columns`).  Pass
+    ``schema`` only for files known to have exactly that column order.
+    ``encoding`` covers ISO-8859-1 exports.  With ``batch_from_file`` each row
+    carries ``batch`` (the week, :func:`week_of`) and ``log`` (the log kind).
+    ``n_weeks`` keeps the files of the latest weeks, ``log_kind`` those of one
+    log (and files that name none); the others are not opened.
     """
-    r = spark.read.option("header", True).option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE")
+    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE")
     if encoding:
-        r = r.option("encoding", encoding)
+        reader = reader.option("encoding", encoding)
+    files = [f for f in list_exports(spark, paths) if not log_kind or log_of(f) in ("", log_kind)]
+    if n_weeks:
+        files = latest_exports(files, n_weeks)
     if schema is not None:
-        df = r.schema(schema).csv(paths)
-    else:
-        df = r.schema(header_schema(spark, paths, encoding)).csv(paths)
-    if batch_from_file:
-        df = df.withColumn("batch", batch_name(F.col("_metadata.file_path")))
-    if schema is None:
-        df = telemetry_columns(df, list(items or []), drop_malformed)
-    return df
+        df = reader.schema(schema).csv(files) if files else empty_frame(spark, schema)
+        return _with_week(df) if batch_from_file else df
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        by_header.setdefault(header_of(spark, f, encoding), []).append(f)
+    scans = []
+    for header, same in sorted(by_header.items()):
+        if header:
+            scan = reader.schema(text_schema(header)).csv(same)
+            scans.append(telemetry_columns(_with_week(scan) if batch_from_file else scan, list(items or []),
+                                           drop_malformed))
+    if not scans:
+        none = empty_frame(spark, text_schema([*C.SYSTEM_COLUMNS, *(["batch", "log"] if batch_from_file else [])]))
+        return telemetry_columns(none, list(items or []), drop_malformed)
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), scans)
+
+
+def _with_week(df: DataFrame) -> DataFrame:
+    """``batch`` and ``log`` of every row, from the name of its export."""
+    kinds = "|".join(sorted(C.LOG_KINDS, key=len, reverse=True))
+    name = F.regexp_extract(F.col("_metadata.file_path"), EXPORT_NAME, 1)
+    return df.withColumns({"batch": F.regexp_replace(name, f"_({kinds})$", ""),
+                           "log": F.regexp_extract(name, f"_({kinds})$", 1)})
 
 
 def read_rulebase_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rulebase CSV (header ``ITEM, CRITICAL_LOW, …, Y_MAX``) parsed to typed rules."""
-    raw = spark.read.schema(RAW_RULE_SCHEMA).option("header", True).csv(path)
-    return checked_rules(parse_rules(raw))
+    return parse_rules(spark.read.schema(RAW_RULE_SCHEMA).option("header", True).csv(path))
 
 
 def last_batches(df: DataFrame, batch_col: str, n: int) -> DataFrame:
-    """Rows of the ``n`` latest batches (by sort order of the batch value).
+    """Rows of the ``n`` latest batches of a table (by sort order of the batch value).
 
-    The distinct batches are a small top-n (``TakeOrderedAndProject``), joined
-    back as a broadcast left-semi join after a size check.
-    """
+    For tables that carry their batch as a column; export files are chosen by
+    name before reading (:func:`latest_exports`)."""
     latest = df.select(batch_col).distinct().orderBy(F.col(batch_col).desc()).limit(n)
-    return df.join(broadcast_if_small(latest, max_rows=n, known_rows=n), batch_col, "left_semi")
+    return df.join(latest, batch_col, "left_semi")
 
 
 def source_files(df: DataFrame) -> DataFrame:
@@ -121,12 +219,14 @@ def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 # ---------------------------------------------------------------- result sets
 def write_result_set(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("batch", "item"),
-                     single_file: bool = False, mode: str = "overwrite", sort_by=()) -> None:
-    """One result set, partitioned so a reader can prune to one batch/item.
+                     single_file: bool = False, mode: str = "overwrite", sort_by=(),
+                     schema_path: str | None = None) -> None:
+    """One table, partitioned so a reader can prune to one batch/item.
 
     ``single_file`` coalesces to one partition (small outputs such as lists);
     ``sort_by`` orders rows inside each output file (no global sort); CSV
-    output carries a header.
+    output carries a header.  The schema is kept beside the data, so that an
+    empty table reads back with its columns (:func:`read_table`).
     """
     cols = [c for c in partition_by if c in df.columns]
     if single_file:
@@ -139,36 +239,72 @@ def write_result_set(df: DataFrame, path: str, fmt: str = "parquet", partition_b
     if fmt == "csv":
         w = w.option("header", True)
     w.format(fmt).save(path)
-    # Keep the schema next to the data (folders starting with "_" are skipped
-    # by readers), so an empty result set still reads back with its columns.
-    spark = df.sparkSession
-    spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{path.rstrip('/')}/_schema")
+    _keep_schema(df, schema_path or f"{path.rstrip('/')}/_schema")
 
 
-def write_screening(results: dict[str, DataFrame], base: str, fmt: str = "parquet") -> None:
-    for name, df in results.items():
-        if df is not None:
-            write_result_set(df, f"{base.rstrip('/')}/{name}", fmt=fmt)
+def _keep_schema(df: DataFrame, path: str) -> None:
+    literal_rows(df.sparkSession, [(df.schema.json(),)], text_schema(["value"])).coalesce(1) \
+        .write.mode("overwrite").text(path)
 
 
-def read_result_set(spark: SparkSession, base: str, name: str, fmt: str = "parquet",
-                    latest_only: bool = False, batch_col: str = "batch") -> DataFrame:
-    """Read a result set back; ``latest_only`` keeps the newest batch (partition pruning)."""
-    path = f"{base.rstrip('/')}/{name}"
-    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").first()[0]))
-    r = spark.read.format(fmt).schema(schema)
-    if fmt == "csv":
-        r = r.option("header", True)
-    df = r.load(path)
-    if latest_only and batch_col in df.columns:
-        df = df.where(F.col(batch_col) == df.select(F.max(batch_col)).scalar())
-    return df
+def _kept_schema(spark: SparkSession, path: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(spark.read.text(path).first()[0]))
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table written by :func:`write_result_set`, empty or not."""
+    reader = spark.read.format(fmt).schema(_kept_schema(spark, f"{path.rstrip('/')}/_schema"))
+    return (reader.option("header", True) if fmt == "csv" else reader).load(path)
+
 
+def write_screening(results: dict[str, DataFrame], base: str, fmt: str = "parquet", batches: DataFrame | None = None,
+                    run: str | None = None, sort_by=()) -> str:
+    """Stores the result sets of one run; returns the run's name.
 
-def write_quarantine(df: DataFrame, path: str, fmt: str = "csv", sort_by=()) -> None:
-    """Error-firmware rows keep their loaded columns."""
-    write_result_set(df, path, fmt=fmt, partition_by=("batch",), sort_by=sort_by)
+    Each set goes to ``base/<name>/run=<run>`` (partitioned by batch and item),
+    its schema to ``base/_schema/<name>`` (apart from the data), and last the
+    run's batches to ``base/runs/run=<run>``: only then do readers see the run.
+    ``batches``: the batches that were screened, default those of the bounds.
+    A run that is repeated under its name replaces itself.
+    """
+    base, run = base.rstrip("/"), run or uuid.uuid4().hex
+    sets = {k: v for k, v in results.items() if v is not None}
+    for name, df in sets.items():
+        write_result_set(df, f"{base}/{name}/run={run}", fmt=fmt, sort_by=sort_by, schema_path=f"{base}/_schema/{name}")
+    batches = results["bounds"].select("batch") if batches is None else batches.select("batch")
+    batches.distinct().coalesce(1).withColumns({"run_name": F.lit(run), "written_at": F.current_timestamp()}) \
+        .write.mode("overwrite").parquet(f"{base}/runs/run={run}")
+    return run
+
+
+def read_runs(spark: SparkSession, base: str) -> DataFrame:
+    """``batch, run``: the run that holds the results of each batch (the latest one written)."""
+    runs = spark.read.parquet(f"{base.rstrip('/')}/runs")
+    return runs.groupBy("batch").agg(F.max(F.struct("written_at", "run_name")).alias("r")) \
+        .select("batch", F.col("r.run_name").alias("run"))
+
+
+def newest_batch(spark: SparkSession, base: str):
+    """The newest batch that was screened, whether or not any drive was listed."""
+    return read_runs(spark, base).agg(F.max("batch")).first()[0]
+
+
+def read_result_set(spark: SparkSession, base: str, name: str, fmt: str = "parquet",
+                    latest_only: bool = False) -> DataFrame:
+    """A result set over all batches, each from its latest run; ``latest_only`` gives the
+    newest batch of the record of runs, which may be empty."""
+    base = base.rstrip("/")
+    path = f"{base}/{name}"
+    schema = _kept_schema(spark, f"{base}/_schema/{name}")
+    runs = read_runs(spark, base).withColumnRenamed("batch", "run_batch").withColumnRenamed("run", "run_name")
+    reader = spark.read.format(fmt).schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())]))
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    df = reader.load(path)
+    if latest_only:
+        newest = newest_batch(spark, base)
+        df = df.where(F.col("batch") == F.lit(newest))
+    return df.join(runs, (df["batch"] == runs["run_batch"]) & (df["run"] == runs["run_name"]), "left_semi").drop("run")
 
 
 def write_abnormal_rows(rows: DataFrame, path: str, fmt: str = "csv", sort_by=()) -> None:

@@ -52,12 +52,7 @@ def test_keep_last_tiebreak(spark):
     assert D.load_daily(df, spec).first().Temperature == 2.0
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])   # range-sorted path and percentile path
-def test_screening_worked_example(spark, limit, monkeypatch):
-    import fleetpulse.operators.quantile as Q
-    monkeypatch.setattr(Q, "SMALL_GROUP_LIMIT", limit)
-    monkeypatch.setattr(S, "exact_quantiles",
-                        lambda *a, **k: Q.exact_quantiles(*a, **{**k, "largest": None, "small_group_limit": limit}))
+def test_screening_worked_example(spark):
     rules = R.rules_from_rows(spark, TEMP_RULE)
     res = S.screen(screen_long(spark), rules, "serial")
     assert {r.serial for r in res["critical"].collect()} == {"D"}
@@ -70,8 +65,7 @@ def test_screening_worked_example(spark, limit, monkeypatch):
 
 def test_bound_depends_on_removing_critical_first(spark):
     # With D left in, day 1's 80th percentile would be 56.0 (sorted position 5.6).
-    q = exact_quantiles(screen_long(spark).where(F.col("date") == D1), ["date"], "value", {"u": 0.8},
-                        small_group_limit=0)
+    q = exact_quantiles(screen_long(spark).where(F.col("date") == D1), ["date"], "value", {"u": 0.8})
     assert q.first().quantile == pytest.approx(56.0)
 
 
@@ -202,6 +196,20 @@ def test_rule_grammar(spark):
     assert req[("x", "lower")] == pytest.approx(0.00005) and req[("x", "upper")] == pytest.approx(0.99995)
 
 
+def test_ppm_without_number_names_the_item(spark):
+    with pytest.raises(ValueError, match="humidity"):
+        R.rules_from_rows(spark, [("humidity", "EMPTY", "EMPTY", "PPM", "EMPTY")])
+    raw = spark.createDataFrame([("humidity", "EMPTY", "EMPTY", "PPM,x", "EMPTY", "-", "0", None)], R.RAW_RULE_SCHEMA)
+    with pytest.raises(Exception, match="humidity"):
+        R.quantile_requests(R.parse_rules(raw)).collect()
+
+
+def test_nan_reading_is_dropped(spark):
+    wide = spark.createDataFrame([("A", D1, float("nan"), 1.0), ("B", D1, None, 2.0)], "serial string, date date, t double, u double")
+    long = D.to_long(wide, TelemetrySpec(serial="serial", firmware=None), ["t", "u"])
+    assert sorted((r.serial, r.item) for r in long.collect()) == [("A", "u"), ("B", "u")]
+
+
 def test_missing_bound_is_null_not_nan(spark):
     # H1: a side without a limit must never flag (NaN would compare greater than everything).
     rules = R.rules_from_rows(spark, [("temperature", "EMPTY", "EMPTY", "EMPTY", "EMPTY")])

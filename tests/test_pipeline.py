@@ -72,8 +72,10 @@ def test_telemetry_scan(spark, exports):
     raw = io.read_telemetry_csv(spark, str(exports / "ssd"), items=items)
     # malformed row dropped once its item columns are parsed (CSV column pruning)
     assert len(raw.select("TIMESTAMP", *items).where(F.col("TIMESTAMP") == "garbage").collect()) == 0
-    assert sorted(r.batch for r in raw.select("batch").distinct().collect()) == [
-        "PM963_2021_w32_SMART", "PM963_2021_w33_SMART", "PM963_2021_w34_SMART"]
+    assert sorted(tuple(r) for r in raw.select("batch", "log").distinct().collect()) == [
+        ("PM963_2021_w32", "SMART"), ("PM963_2021_w33", "SMART"), ("PM963_2021_w34", "SMART")]
+    two = io.read_telemetry_csv(spark, str(exports / "ssd"), items=items, n_weeks=2)
+    assert sorted(f[-18:] for f in two.inputFiles()) == ["_2021_w33_SMART.csv"[-18:], "_2021_w34_SMART.csv"[-18:]]
     assert io.last_batches(raw, "batch", 2).select("batch").distinct().count() == 2
     assert io.source_files(raw).count() == 3
 
@@ -102,7 +104,7 @@ def test_screening_run_writes_result_sets(spark, screened):
         assert os.path.isdir(os.path.join(out, name))
     crit = io.read_result_set(spark, out, "critical")
     assert {r.batch for r in crit.select("batch").distinct().collect()} <= {
-        "PM963_2021_w33_SMART", "PM963_2021_w34_SMART"}
+        "PM963_2021_w33", "PM963_2021_w34"}
     # drive SN011 has mean 51 and sd 3: Temperature above 58 happens -> critical on some week
     temps = crit.where(F.col("item") == "Temperature").select("DriveSerialNumber").distinct().collect()
     assert len(temps) >= 1
@@ -139,7 +141,7 @@ def test_trend_and_special_and_histograms(spark, exports, screened):
     sp = TR.special_item_data(raw, spec, {"CritWarning": 0.0})
     assert {r.DriveSerialNumber for r in sp["listed"].collect()} == {"SN001"}
     assert sp["series"].where(F.col("span") == "short").count() >= 1
-    h = TR.last_reading_data(raw, spec, rules, C.histogram_items(PRODUCT, LOG), C.bar_items(LOG))
+    h = TR.last_reading_data(raw.where(F.col("batch") == "PM963_2021_w34"), spec, rules, C.histogram_items(PRODUCT, LOG), C.bar_items(LOG))
     n_drives = len({r.DriveSerialNumber for r in raw.select("DriveSerialNumber", *items).collect()})
     hist = h["histogram"].groupBy("item").agg(F.sum("n").alias("n")).collect()
     assert all(r.n <= n_drives for r in hist) and len(hist) == len(C.histogram_items(PRODUCT, LOG))
@@ -153,8 +155,8 @@ def test_streaming_weekly_loop(spark, exports, tmp_path_factory):
     q = weekly_screening_stream(spark, str(exports / "ssd"), rules, PRODUCT, LOG, out,
                                 checkpoint=str(tmp_path_factory.mktemp("stream-ckpt")), kde=False)
     q.awaitTermination(600)
-    weeks = {r.batch for r in spark.read.parquet(out + "/bounds").select("batch").distinct().collect()}
-    assert len(weeks) == 3
+    weeks = {r.batch for r in io.read_result_set(spark, out, "bounds").select("batch").distinct().collect()}
+    assert weeks == {"PM963_2021_w32", "PM963_2021_w33", "PM963_2021_w34"}
 
 
 def test_text_and_report(spark, tmp_dir):
@@ -175,6 +177,8 @@ def test_three_jobs_end_to_end(spark, exports, tmp_path_factory):
     from fleetpulse.plans import runs
     base = str(tmp_path_factory.mktemp("jobs"))
     tel, rules = str(exports / "ssd"), str(exports / "rules.csv")
+    from fleetpulse.session import _SCRATCH
+    before = len(_SCRATCH)
     runs.screening_job(spark, PRODUCT, LOG, tel, rules, base + "/results", n_weeks=2)
     # the trend items of a product span SMART and extended logs; this fixture
     # has the SMART ones only, so the extended columns read as NULL
@@ -183,7 +187,63 @@ def test_three_jobs_end_to_end(spark, exports, tmp_path_factory):
     for name in ("trend/recheck_counts", "trend/trend_points", "trend/heatmap", "trend/axis",
                  "special/listed", "special/series", "last_reading/histogram", "last_reading/bars"):
         assert os.path.isdir(os.path.join(base, "plots", name)), name
-    counts = io.read_result_set(spark, base + "/plots/trend", "recheck_counts").collect()
+    assert len(_SCRATCH) == before                 # a run leaves no intermediate table
+    counts = io.read_table(spark, base + "/plots/trend/recheck_counts").collect()
     assert counts and all(r.n_after <= r.n_before for r in counts)
-    assert io.read_result_set(spark, base + "/plots/last_reading", "histogram").count() == 50 * len(
+    assert io.read_table(spark, base + "/plots/last_reading/histogram").count() == 50 * len(
         C.histogram_items(PRODUCT, LOG))
+
+
+def write_csv(path, header, rows, encoding="utf-8"):
+    with open(path, "w", newline="", encoding=encoding) as fh:
+        w = csv.writer(fh)
+        w.writerow(header)
+        w.writerows(rows)
+
+
+def test_headers_missing_texts_and_both_logs(spark, tmp_dir):
+    write_csv(f"{tmp_dir}/P_w01_SMART.csv", ["DriveSerialNumber", "Temperature", "MediaErrors"],
+              [["A", "30", "0"], ["B", "NaN", "1"], ["C", "NA", ""], ["D", "hot", "2"]])
+    write_csv(f"{tmp_dir}/P_w02_SMART.csv", ["MediaErrors", "DriveSerialNumber", "Temperature"], [["0", "A", "31"]])
+    write_csv(f"{tmp_dir}/P_w02_Ext_SMART.csv", ["Erase_Fail_Count", "DriveSerialNumber"], [["7", "A"]])
+    got = {(r.batch, r.log, r.DriveSerialNumber): (r.Temperature, r.MediaErrors, r.Erase_Fail_Count)
+           for r in io.read_telemetry_csv(spark, tmp_dir, items=["Temperature", "MediaErrors", "Erase_Fail_Count"]).collect()}
+    assert got == {("P_w01", "SMART", "A"): (30.0, 0.0, None), ("P_w01", "SMART", "B"): (None, 1.0, None),
+                   ("P_w01", "SMART", "C"): (None, None, None), ("P_w02", "SMART", "A"): (31.0, 0.0, None),
+                   ("P_w02", "Ext_SMART", "A"): (None, None, 7.0)}
+    # one reading of each log a day: neither hides the other
+    from fleetpulse.catalog import TelemetrySpec
+    from fleetpulse.operators import daily as D
+    spec = TelemetrySpec(firmware=None, batch="batch", log="log")
+    raw = io.read_telemetry_csv(spark, tmp_dir, items=["Temperature", "Erase_Fail_Count"]) \
+        .withColumn("TIMESTAMP", F.lit("2024-01-08 00:00:00"))
+    long = D.to_long(D.load_daily(raw, spec), spec, ["Temperature", "Erase_Fail_Count"])
+    assert {(r.batch, r.item) for r in long.where("DriveSerialNumber = 'A'").collect()} == {
+        ("P_w01", "Temperature"), ("P_w02", "Temperature"), ("P_w02", "Erase_Fail_Count")}
+
+
+def test_runs_accumulate_and_newest_list_may_be_empty(spark, tmp_dir):
+    def store(batch, drives, run=None):
+        lists = spark.createDataFrame([(batch, "Temperature", d) for d in drives], "batch string, item string, drive string")
+        io.write_screening({"critical": lists}, tmp_dir, batches=spark.createDataFrame([(batch,)], "batch string"), run=run)
+
+    store("w01", ["A", "B"])
+    store("w02", ["C"])
+    store("w03", [])
+    read = lambda **k: sorted((r.batch, r.drive) for r in io.read_result_set(spark, tmp_dir, "critical", **k).collect())
+    assert read() == [("w01", "A"), ("w01", "B"), ("w02", "C")]
+    assert io.newest_batch(spark, tmp_dir) == "w03" and read(latest_only=True) == []
+    store("w01", ["Z"])                            # a repeated week replaces its earlier results
+    assert read() == [("w01", "Z"), ("w02", "C")]
+    store("w03", ["Q"], run="named")
+    store("w03", ["R"], run="named")               # so does a run repeated under its name
+    assert read(latest_only=True) == [("w03", "R")]
+
+
+def test_no_local_fallback_on_a_cluster():
+    from types import SimpleNamespace
+
+    from fleetpulse.session import ensure_checkpoint_dir
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))

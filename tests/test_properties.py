@@ -1,4 +1,4 @@
-"""Property tests on random frames (hypothesis): exact quantiles on both paths
+"""Property tests on random frames (hypothesis): exact quantiles
 equal numpy, classes partition the drives, CDFs are monotone with max 1,
 histogram counts add up, and results do not depend on the partitioning."""
 
@@ -25,13 +25,12 @@ groups_st = st.lists(
 
 
 @SETTINGS
-@given(groups=groups_st, fracs=st.lists(st.floats(min_value=0, max_value=1), min_size=1, max_size=3),
-       limit=st.sampled_from([0, 10**6]))
-def test_quantiles_equal_numpy(spark, groups, fracs, limit):
+@given(groups=groups_st, fracs=st.lists(st.floats(min_value=0, max_value=1), min_size=1, max_size=3))
+def test_quantiles_equal_numpy(spark, groups, fracs):
     rows = [(g, float(v)) for g, vals in enumerate(groups) for v in vals]
     df = spark.createDataFrame(rows, "g int, v double")
     req = {f"q{i}": f for i, f in enumerate(fracs)}
-    got = {(r.g, r.qid): r.quantile for r in exact_quantiles(df, ["g"], "v", req, small_group_limit=limit).collect()}
+    got = {(r.g, r.qid): r.quantile for r in exact_quantiles(df, ["g"], "v", req).collect()}
     for g, vals in enumerate(groups):
         for qid, f in req.items():
             assert got[(g, qid)] == pytest.approx(np.percentile(np.array(vals, dtype=float), f * 100),
@@ -39,17 +38,24 @@ def test_quantiles_equal_numpy(spark, groups, fracs, limit):
 
 
 def test_quantiles_hot_group_spread_over_slices(spark):
-    # one group holds most rows: the range-sorted path splits it across slices
+    # one group holds most rows: its values are split across slices
     rng = np.random.default_rng(11)
     hot = rng.normal(0, 1, 20000)
     cold = rng.normal(5, 1, 50)
     rows = [(0, float(v)) for v in hot] + [(1, float(v)) for v in cold]
     df = spark.createDataFrame(rows, "g int, v double").repartition(13)
-    got = {r.g: r.quantile for r in exact_quantiles(df, ["g"], "v", {"p": 0.37}, n_slices=16,
-                                                    small_group_limit=0).collect()}
+    got = {r.g: r.quantile for r in exact_quantiles(df, ["g"], "v", {"p": 0.37}, n_slices=16).collect()}
     assert got[0] == pytest.approx(np.percentile(hot, 37)) and got[1] == pytest.approx(np.percentile(cold, 37))
 
 
+def test_quantiles_of_mostly_one_value(spark):
+    rng = np.random.default_rng(12)
+    vals = np.where(rng.random(30_000) < 0.001, rng.integers(1, 9, 30_000), 0).astype(float)
+    df = spark.createDataFrame([(0, float(v)) for v in vals], "g int, v double").repartition(7)
+    got = {r.qid: r.quantile for r in exact_quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.9995, "c": 0.99999}).collect()}
+    assert [got[k] for k in "abc"] == pytest.approx([np.percentile(vals, p) for p in (50, 99.95, 99.999)])
+
+
 def random_long(spark, seed, n_drives=40, n_days=4):
     rng = np.random.default_rng(seed)
     rows = [(f"s{s}", D0 + dt.timedelta(days=d), "Temperature", float(np.round(rng.normal(40, 8), 1)))
