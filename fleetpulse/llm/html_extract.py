@@ -332,11 +332,11 @@ def training_set(htmls: list[str], layouts: int = LAYOUTS, seed: int = 23) -> tu
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_col: str = "page_id", html_col: str = "html") -> BlockLabeller:
-    """A labeller fitted to ``train_pages`` pages (the least hashes of their ids) and their new layouts."""
-    sample = pages.where(F.length(html_col) > 0).select(F.col(html_col).cast("string").alias("html"),
-                                                        F.xxhash64(F.col(id_col)).alias("h")) \
-        .where(F.length("html") < 100_000).orderBy("h", "html").limit(train_pages)
-    found, labels = training_set([r["html"] for r in sample.select("html").collect()])
+    """A labeller fitted to about ``train_pages`` pages, drawn by a hash of their ids, and their new layouts."""
+    share = train_pages / max(1, pages.count())
+    sample = pages.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)) \
+        .select(F.col(html_col).cast("string").alias("html")).where(F.length("html").between(1, 100_000))
+    found, labels = training_set(sorted(r["html"] for r in sample.collect()))
     return BlockLabeller().fit(found, labels) if found else BlockLabeller()
 
 

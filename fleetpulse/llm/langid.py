@@ -59,8 +59,9 @@ class ByteGru:
         self.p |= {"o": small(len(languages), 2 * hidden), "ob": np.zeros(len(languages), np.float32)}
 
     # ---- one direction over (steps, windows) bytes
-    def _forward(self, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        n, (steps, width) = self.hidden, x.shape
+    def _forward(self, d: str, x: np.ndarray, real: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States after each byte; the backward direction starts at the last real byte of each window."""
+        least, n, (steps, width) = int(real.min(initial=len(x))), self.hidden, x.shape
         table, mix = np.ascontiguousarray(self.p[f"{d}x"].T), self.p[f"{d}h"]
         states, h = np.empty((steps, n, width), np.float32), np.zeros((n, width), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -78,6 +79,8 @@ class ByteGru:
             step = cand - h
             step *= update
             h = np.add(h, step, out=states[t])
+            if t >= least and d == "b":
+                h *= real > t
         return states
 
     def _logits(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,7 +89,7 @@ class ByteGru:
 
     def window_sums(self, x: np.ndarray, real: np.ndarray) -> np.ndarray:
         """Sums of the positions' probabilities, (windows, languages); ``real`` bytes of each window count."""
-        f, b = self._forward("f", x), self._forward("b", x)
+        f, b = self._forward("f", x, real), self._forward("b", x, real)
         total = np.zeros((len(self.languages), x.shape[1]), np.float32)
         for t in range(len(x)):
             e = np.exp(np.clip(self._logits(f[t], b[t]), -30, 30))
@@ -99,7 +102,7 @@ class ByteGru:
         n, width = self.hidden, x.shape[1]
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         tapes = {"f": [], "b": []}
-        f, b = (self._forward(d, x, tapes[d]) for d in "fb")
+        f, b = (self._forward(d, x, real, tapes[d]) for d in "fb")
         loss, count = 0.0, float(np.minimum(real, len(x)).sum())
         back = {"f": np.empty_like(f), "b": np.empty_like(b)}
         for t in range(len(x)):
@@ -118,6 +121,8 @@ class ByteGru:
             mix, dh = self.p[f"{d}h"], np.zeros((n, width), np.float32)
             for t, h, update, reset, rec, cand in reversed(tapes[d]):
                 dh = dh + back[d][t]
+                if d == "b":
+                    dh = dh * (real > t)
                 d_cand = dh * update * (1 - cand * cand)
                 d_update = dh * (cand - h) * update * (1 - update)
                 d_reset = d_cand * rec * reset * (1 - reset)
@@ -131,7 +136,8 @@ class ByteGru:
     def fit(self, windows: list[bytes], labels: list[int], steps: int = STEPS, batch: int = BATCH, seed: int = 3) -> ByteGru:
         """Adam over random batches, languages drawn alike."""
         rng = np.random.default_rng(seed)
-        x, real = pack_windows(windows)
+        # every fourth window is cut short, as short texts and the ends of texts are
+        x, real = pack_windows([w[:rng.integers(4, WINDOW)] if k % 4 == 3 else w for k, w in enumerate(windows)])
         y = np.array(labels)
         by_label = [np.flatnonzero(y == k) for k in np.unique(y)]
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}

@@ -108,8 +108,8 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                               minlength=total * WORD_BUCKETS).reshape(total, WORD_BUCKETS) / some[:, None]
         pair = word[:-1] * np.uint64(3) + word[1:]
         in_doc = doc_of_word[:-1] == doc_of_word[1:]
-        doc_words = np.maximum(np.bincount(doc_of_word, minlength=len(sizes)), 1)
-        new_in_doc = _distinct(doc_of_word, word, len(sizes)) / doc_words
+        doc_words = np.bincount(doc_of_word, minlength=len(sizes))
+        new_in_doc = _distinct(doc_of_word, word, len(sizes)) / np.maximum(doc_words, 1)
         new_pairs = _distinct(doc_of_word[:-1][in_doc], pair[in_doc], len(sizes)) / np.maximum(doc_words - 1, 1)
         doc_of_passage = np.repeat(np.arange(len(sizes)), per_doc)
         shape = np.column_stack([
@@ -241,7 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
                  pa.array([f.astype(np.float16).tobytes() for f in np.split(x, cuts)], pa.binary())],
                 names=["doc_id", "label", "x"])
 
-    rows = sorted(tuple(r) for r in texts.mapInArrow(gather, "doc_id string, label int, x binary").collect())
+    rows = sorted((r["doc_id"] or "", r["label"], bytes(r["x"]))
+                  for r in texts.mapInArrow(gather, "doc_id string, label int, x binary").collect())
     bags = [np.frombuffer(x, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, _, x in rows]
     label = np.array([k for _, k, _ in rows])
     if len(set(label.tolist())) < 2:
