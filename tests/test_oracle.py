@@ -30,9 +30,9 @@ def _names():
     return sorted(QUERIES)
 
 
-def test_every_query_has_an_oracle_or_is_declared_rows_only():
+def test_every_core_query_has_an_oracle():
     from fleetpulse.plans.registry import ORACLE, QUERIES
-    assert set(QUERIES) - set(ORACLE) == {"density_sampled"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_registers_the_core_queries():
