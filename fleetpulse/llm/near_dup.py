@@ -44,8 +44,8 @@ K = 64
 TREES = 12
 LEAF = 256
 DEPTH = 8
-BLOCK_BYTES = 2 << 20           # of text hashed at a time
-BLOCK_DOCS = 10_000
+BLOCK_BYTES = 1 << 18           # of text hashed at a time
+BLOCK_DOCS = 256
 BROADCAST_ROWS = 1_000_000      # of 40 bytes each
 
 _RNG = np.random.default_rng(20240229)
@@ -132,23 +132,26 @@ def _class_id(items: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, n, cls, mins``: set size, fingerprint and minwise tokens (null without words)."""
+    """``doc_id, text_hash, n, cls, mins, sketch``: set size, fingerprint, minwise tokens and their low bytes
+    (null without words)."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_DOCS):
-                part, n, cls, mins = batch.slice(at, BLOCK_DOCS), [], [], []
+                part, n, cls, mins, sketch = batch.slice(at, BLOCK_DOCS), [], [], [], []
                 for items in shingle_sets(part.column(2), width):
                     n.append(len(items))
                     cls.append(_class_id(items) if len(items) else None)
-                    mins.append(_minwise(items).tobytes() if len(items) else None)
+                    low = _minwise(items)
+                    mins.append(low.tobytes() if len(items) else None)
+                    sketch.append(low.astype(np.uint8).tobytes() if len(items) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                     pa.array(mins, pa.binary())], names=["doc_id", "text_hash", "n", "cls", "mins"])
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (
+                        cls, mins, sketch))], names=["doc_id", "text_hash", "n", "cls", "mins", "sketch"])
 
     key_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")) \
-        .mapInArrow(sign, f"doc_id {key_type}, text_hash bigint, n bigint, cls binary, mins binary")
+        .mapInArrow(sign, f"doc_id {key_type}, text_hash bigint, n bigint, cls binary, mins binary, sketch binary")
 
 
 # ---------------------------------------------------------------- trees
@@ -176,22 +179,30 @@ def _roots(classes: DataFrame, trees: int) -> DataFrame:
     return classes.select("cls", "mins").mapInArrow(grow, "cls binary, node bigint")
 
 
-def _children(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _chains(members: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
+    """``cls, chain``: the nodes that follow a member's node on the next ``levels`` levels."""
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = np.asarray(batch.column("node")).view(np.uint64)
-            child = _branch(node, _tokens(batch.column("mins")))
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(child.view(np.int64))],
-                                             names=["cls", "node"])
+            node, mins, chain = np.asarray(batch.column("node")).view(np.uint64), _tokens(batch.column("mins")), []
+            for _ in range(levels):
+                node = _branch(node, mins)
+                chain.append(node)
+            flat = pa.array(np.stack(chain, axis=1).reshape(-1).view(np.int64))
+            ends = pa.array(np.arange(0, len(flat) + 1, levels, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(ends, flat)],
+                                             names=["cls", "chain"])
 
-    return members.select("cls", "node").join(classes.select("cls", "mins"), "cls").mapInArrow(grow, "cls binary, node bigint")
+    return members.join(classes.select("cls", "mins"), "cls").select("cls", "node", "mins") \
+        .mapInArrow(grow, "cls binary, chain array<bigint>")
 
 
 def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """``node, cls``: the members of all nodes with two and more classes where branching ends."""
-    frontier, ended = _roots(classes, trees), None
+    """``node, cls``: the members of all nodes with two and more classes where branching ends.
+
+    The paths of members of large nodes are followed to the end at once, as a
+    path depends on a class's own tokens only; where it stops depends on the counts."""
+    frontier, ended, chain = materialize(_roots(classes, trees), "near-frontier"), None, []
     for level in range(depth):
-        frontier = materialize(frontier, "near-frontier")
         size = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
         live = materialize(frontier.join(size, "node"), "near-live")
         large = live.where(F.col("size") > leaf)
@@ -200,7 +211,10 @@ def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth:
         ended = done if ended is None else ended.unionByName(done)
         if not more:
             break
-        frontier = _children(large, classes)
+        if not chain:
+            chain = ["chain"]
+            large = materialize(_chains(large, classes, depth - 1), "near-chains")
+        frontier = large.select("cls", "chain", F.get("chain", F.lit(level)).alias("node"))
     return ended
 
 
@@ -244,17 +258,19 @@ def _links(cls: np.ndarray, part: np.ndarray) -> pd.DataFrame:
 LINK = "a binary, b binary"
 
 
-def spanning_links(members: DataFrame, alike: Callable, leaf: int = LEAF) -> DataFrame:
-    """Links ``a, b`` that connect what ``alike`` connects inside each group.
+def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, Callable], leaf: int = LEAF) -> DataFrame:
+    """Links ``a, b`` that connect what is alike inside each group.
 
-    ``members``: ``node, cls, n, payload``.  ``alike(load(n, payload), i, others)``
-    tells which of the positions ``others`` are linked with ``i``.  Groups of up
-    to ``leaf`` members are compared exhaustively.  Larger ones: all members
-    with one pivot, then, in blocks, the members not linked to it with all.
+    ``members``: ``node, cls, n, payload``; ``keys``: their ``node, cls`` alone.
+    ``alike``: a function that loads ``n`` and ``payload``, and one that tells
+    which of the positions ``others`` are linked with ``i``.  Groups of up to
+    ``leaf`` members are compared exhaustively.  Larger ones: all members with
+    one pivot, then, in blocks, the members not linked to it with all.
     """
     load, linked = alike
-    sizes = materialize(members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot")),
-                        "near-sizes")
+    large = keys.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot")) \
+        .where(F.col("size") > leaf)
+    large = materialize(large, "near-large")
 
     def exhaustive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _whole_groups(frames, "node"):
@@ -268,10 +284,8 @@ def spanning_links(members: DataFrame, alike: Callable, leaf: int = LEAF) -> Dat
             if len(out):
                 yield out
 
-    every = members.join(sizes, "node")
-    small = every.where(F.col("size") <= leaf).select("node", "cls", "n", "payload").repartition("node") \
-        .sortWithinPartitions("node").mapInPandas(exhaustive, LINK)
-    large = sizes.where(F.col("size") > leaf)
+    small = members.join(large.select("node"), "node", "left_anti").select("node", "cls", "n", "payload") \
+        .repartition("node").sortWithinPartitions("node").mapInPandas(exhaustive, LINK)
     if large.isEmpty():
         return small
 
@@ -282,7 +296,7 @@ def spanning_links(members: DataFrame, alike: Callable, leaf: int = LEAF) -> Dat
                 flag.append(bool(linked(load(np.array([pn, n]), np.array([pp, payload], object)), 0, np.array([1]))[0]))
             yield frame[["node", "cls", "pivot", "size", "n", "payload"]].assign(near=flag)
 
-    big = every.where(F.col("size") > leaf)
+    big = members.join(large, "node")
     pivots = big.where(F.col("cls") == F.col("pivot")).select(
         "node", F.col("n").alias("pivot_n"), F.col("payload").alias("pivot_payload"))
     judged = materialize(big.join(pivots, "node").mapInPandas(
@@ -322,12 +336,12 @@ def spanning_links(members: DataFrame, alike: Callable, leaf: int = LEAF) -> Dat
 
 
 def _by_tokens(percent: int) -> tuple[Callable, Callable]:
-    """Alike by length and minwise tokens, with a tolerance of 4.5 standard errors."""
+    """Alike by length and the low bytes of the minwise tokens, with a tolerance of 4.5 standard errors."""
     s = percent / 100
     least = s - 4.5 * (s * (1 - s) / K) ** 0.5
 
     def load(n, payload):
-        return n, np.frombuffer(b"".join(payload), np.uint32).reshape(-1, K)
+        return n, np.frombuffer(b"".join(payload), np.uint8).reshape(-1, K)
 
     def linked(data, i, others):
         n, tokens = data
@@ -394,18 +408,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     """
     signed = materialize(signatures(docs, width, id_col, text_col), "near-signed")
     classes = signed.where(F.col("n") > 0).groupBy("cls").agg(
-        F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("mins").alias("mins"))
+        F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("mins").alias("mins"),
+        F.first("sketch").alias("sketch"))
     classes = materialize(classes, "near-classes")
 
     nodes = materialize(tree_nodes(classes, trees, leaf, depth), "near-nodes")
-    tokens = nodes.join(classes.select("cls", "n", F.col("mins").alias("payload")), "cls")
-    candidates = components(spanning_links(tokens, _by_tokens(percent), leaf))
-    candidates = materialize(candidates, "near-clusters")
+    tokens = nodes.join(classes.select("cls", "n", F.col("sketch").alias("payload")), "cls")
+    candidates = components(spanning_links(tokens, nodes, _by_tokens(percent), leaf))
+    clusters = materialize(candidates.select(F.col("member").alias("cls"), F.xxhash64("root").alias("node")), "near-clusters")
 
-    sets = materialize(_class_sets(docs, signed, candidates, width, id_col, text_col), "near-sets")
-    clustered = candidates.join(sets, F.col("member") == F.col("cls")).select(
-        F.xxhash64("root").alias("node"), "cls", "n", "payload")
-    linked = materialize(components(spanning_links(clustered, _by_sets(percent), leaf)), "near-components")
+    sets = materialize(_class_sets(docs, signed, clusters, width, id_col, text_col), "near-sets")
+    linked = materialize(components(spanning_links(sets, clusters, _by_sets(percent), leaf)), "near-components")
 
     least = linked.join(classes.select(F.col("cls").alias("member"), "least_id"), "member")
     least = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -417,34 +430,42 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         .where(F.col("linked_id").isNotNull() | F.col("copied")) \
         .select(F.col("cls").alias("g_cls"), F.coalesce("linked_id", "least_id").alias("group_id"))
     groups = materialize(groups, "near-groups")
-    return signed.drop("mins").join(groups, F.col("cls") == F.col("g_cls"), "left_outer").select(
+    return signed.select("doc_id", "text_hash", "n", "cls").join(groups, F.col("cls") == F.col("g_cls"), "left_outer").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("g_cls").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("component_id")) \
         .withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
 
-def _class_sets(docs: DataFrame, signed: DataFrame, candidates: DataFrame, width: int, id_col: str,
+def _class_sets(docs: DataFrame, signed: DataFrame, clusters: DataFrame, width: int, id_col: str,
                 text_col: str) -> DataFrame:
-    """``cls, n, payload`` (the whole set) of the clustered classes, from the text of one document of each."""
-    chosen = signed.join(candidates.select(F.col("member").alias("cls")), "cls", "left_semi") \
-        .groupBy("cls").agg(F.min("doc_id").alias("chosen_id"))
+    """``node, cls, n, payload`` (the whole set) of the clustered classes, from the text of one document of each."""
+    chosen = signed.select("cls", F.struct("doc_id", "text_hash").alias("one")).join(clusters, "cls") \
+        .groupBy("cls", "node").agg(F.min("one").alias("one")) \
+        .select("node", F.col("one.doc_id").alias("chosen_id"), F.col("one.text_hash").alias("chosen_hash"))
     chosen = materialize(chosen, "near-chosen")
-    wanted = chosen.select("chosen_id")
-    if chosen.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .join(wanted, same(F.col("doc_id"), F.col("chosen_id")), "left_semi").select("text")
+    wanted = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")) \
+        .join(wanted, same(F.col("doc_id"), F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash"))) \
+        .select("node", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()                                       # a row that is repeated gives its set once a task
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_DOCS):
-                part = [s for s in shingle_sets(batch.column(0).slice(at, BLOCK_DOCS), width) if len(s)]
+                part = batch.slice(at, BLOCK_DOCS)
+                rows = []
+                for k, items in enumerate(shingle_sets(part.column(1), width)):
+                    cls = _class_id(items)
+                    if cls not in seen:
+                        seen.add(cls)
+                        rows.append((k, cls, len(items), items.tobytes()))
+                k, cls, n, payload = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_class_id(s) for s in part], pa.binary()), pa.array([len(s) for s in part], pa.int64()),
-                     pa.array([s.tobytes() for s in part], pa.binary())], names=["cls", "n", "payload"])
+                    [part.column(0).take(pa.array(k, pa.int64())), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
+                     pa.array(payload, pa.binary())], names=["node", "cls", "n", "payload"])
 
-    return texts.mapInArrow(gather, "cls binary, n bigint, payload binary") \
-        .join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return texts.mapInArrow(gather, "node bigint, cls binary, n bigint, payload binary")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
