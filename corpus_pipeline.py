@@ -51,8 +51,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id shards in the order of the input, read back through their index (2)."""
     try:
-        places = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        order = [F.col("_file"), F.col("_row")]
+        places = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"),
+                             F.col("_metadata.row_index").alias("_row"))
+        order = [F.length("_file"), F.col("_file"), F.col("_row")]      # part numbers may grow beyond five digits
     except AnalysisException:
         places, order = docs, None
     stored = token_store.store_tokens(places, public_tokenizers.path("byte_bpe_50k.json"), order=order)

@@ -112,6 +112,23 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+_OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(""" + _LOWER.format("text") + r""", '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS sh
+      FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reach)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(reach), d.doc_id) AS component_id,
+       coalesce(min(reach), d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def _license_sql() -> str:
     """The notices, key phrases and labels as rows; positions by list comparison."""
     words = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
@@ -140,4 +157,5 @@ FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 
-ORACLE = {"op1_decontamination": _OP1, "op8_exact_dedup": _OP8, "op10_license_scan": _license_sql()}
+ORACLE = {"op1_decontamination": _OP1, "op8_exact_dedup": _OP8, "op9_near_dedup": _OP9,
+          "op10_license_scan": _license_sql()}
