@@ -27,9 +27,9 @@ from fleetpulse.session import materialize
 
 WINDOW = 64
 HIDDEN = 8
-PER_LANGUAGE = 600
-PIECES = 6
-STEPS = 500
+PER_LANGUAGE = 1000
+PIECES = 8
+STEPS = 800
 BATCH = 192
 BLOCK = 2048                    # windows at a time
 UNKNOWN = "und"
