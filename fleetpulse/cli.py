@@ -27,7 +27,7 @@ def main(argv=None) -> None:
             s.add_argument("--no-kde", action="store_true")
             s.add_argument("--sample", action="store_true")
         if name == "trends":
-            s.add_argument("--results", required=True)
+            s.add_argument("--results", required=True, nargs="+")
     a = p.parse_args(argv)
     spark = build_session(a.master, a.shuffle_partitions)
     tel = a.telemetry if len(a.telemetry) > 1 else a.telemetry[0]
