@@ -1,8 +1,8 @@
 """Token-id shards with a minimal perfect hash index.
 
 Written: documents are range-partitioned by key and sorted; each task encodes
-its texts and appends the raw ids (little-endian unsigned 32-bit, an end id
-after every document) to one payload file.  Its rows (key, place in the
+its texts and appends the raw ids (little-endian unsigned, 16 bits where the
+vocabulary allows, else 32; an end id after every document) to one payload file.  Its rows (key, place in the
 shard) are written by Spark in the same stage and name the file of the attempt
 that was committed, so files of lost or repeated attempts are never read.
 
@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,54 +34,123 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetpulse.llm.common import same
 from fleetpulse.session import materialize, scratch_path
 
 SHARD_BYTES = 32 << 20          # of text per payload file
 BUCKET_KEYS = 1 << 16           # keys per index file, at most on average
 LEAST_BUCKETS = 128             # so that small corpora are indexed in parallel, too
 END_ID = 0
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000            # parts in each of two generations
+ENCODE_DOCS = 1024              # texts at a time
 LEVELS = 64
 GAMMA = 2.0
 
 
 # ---------------------------------------------------------------- encoding
+def _byte_level() -> dict[int, str]:
+    """Character that stands for each byte in a byte-level vocabulary: printable bytes for themselves,
+    the others in order from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def _ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions begin[0], begin[0] + 1, ... of all runs, one run after another."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class PieceIds:
     """Ids of texts, put together from remembered parts.
 
     The byte-level splitter always begins a new pre-token at a space that is
     followed by a non-space, so a text may be cut there and each part encoded
     by itself.  Texts that contain a special token's string are encoded whole.
+    Two generations of parts are remembered: a full one becomes the old one, and
+    parts met again are copied from it, so frequent words stay at hand.  A new
+    part of Latin letters only, with or without the space before, is one
+    pre-token: its byte-level form goes to the tokenizer's model directly, all
+    others go through the whole tokenizer.
     """
 
     _CUT = re.compile(r" (?=\S)")
     _ODD_SPACE = re.compile(r" (?:\s|$)")
+    _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
     def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        # letters go to the model directly only where the tokenizer is byte-level without normalisation
+        self.bytewise = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
-        self._forget()
+        self._start({}, {})
 
-    def _forget(self) -> None:
-        self.first, self.later = {}, {}           # part -> number; as the first part, or after a space
+    def _start(self, old_first: dict[str, int], old_later: dict[str, int]) -> None:
+        self.first, self.later, self.old_first, self.old_later = {}, {}, old_first, old_later
+        self.size = self.used = 0
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.used, self.known = np.zeros(1 << 18, np.uint32), 0, 0
-
-    def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 20_000):
-            for e in self.tokenizer.encode_batch_fast(parts[at:at + 20_000], add_special_tokens=False):
-                ids = e.ids
-                if self.known == len(self.begin):
-                    self.begin, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.begin[self.known], self.length[self.known] = self.used, len(ids)
-                self.used += len(ids)
-                self.known += 1
+        self.ids = np.zeros(1 << 18, np.uint16 if self.width == 2 else np.uint32)
+
+    def _turn(self) -> None:
+        """The parts known now become the old generation."""
+        self.old_begin, self.old_length, self.old_ids = self.begin, self.length, self.ids[:self.used]
+        self._start(self.first, self.later)
+
+    def _numbers(self, parts: list[str], known: dict[str, int], old: dict[str, int], lead: str) -> np.ndarray:
+        """The number of every part; new parts are learned first."""
+        found = list(map(known.get, parts))
+        if None in found:
+            new = list(dict.fromkeys(p for p, n in zip(parts, found, strict=True) if n is None))
+            at = range(self.size, self.size + len(new))
+            known.update(zip(new, at, strict=True))
+            self._learn(new, at, list(map(old.get, new)), lead)
+            found = [known[p] if n is None else n for p, n in zip(parts, found, strict=True)]
+        return np.array(found, np.int64)
+
+    def _store(self, at: list[int], size: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.length[at] = size
+        self.begin[at] = self.used + np.cumsum(size) - size
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self, new: list[str], at: range, before: list[int | None], lead: str) -> None:
+        """Encodes new parts, copies those the old generation knows (``before``: their numbers there)."""
+        self.size += len(new)
+        while self.size > len(self.begin):
+            self.begin, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length))
+        model, mark = self.tokenizer.model.tokenize, _BYTE_LEVEL[32] if lead else ""
+        words, words_at, rest, rest_at, again, again_at = [], [], [], [], [], []
+        for part, n, b in zip(new, at, before, strict=True):
+            if b is not None:
+                again.append(b)
+                again_at.append(n)
+            elif self.bytewise and part.isascii() and part.isalpha():
+                words.append([t.id for t in model(mark + part)])
+                words_at.append(n)
+            elif self.bytewise and self._LETTERS.fullmatch(part):
+                words.append([t.id for t in model(mark + part.encode().decode("latin-1").translate(_BYTE_LEVEL))])
+                words_at.append(n)
+            else:
+                rest.append(lead + part)
+                rest_at.append(n)
+        for k in range(0, len(rest), 20_000):
+            words += [e.ids for e in self.tokenizer.encode_batch_fast(rest[k:k + 20_000], add_special_tokens=False)]
+        if words:
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            self._store(words_at + rest_at, size, np.fromiter(chain.from_iterable(words), self.ids.dtype, int(size.sum())))
+        if again:
+            size = self.old_length[again]
+            self._store(again_at, size, self.old_ids[_ragged(self.old_begin[again], size)])
 
     def _parts(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
@@ -89,35 +159,19 @@ class PieceIds:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        if self.known >= self.remembered:
-            self._forget()
-        new, number, count = [], self.known, []
-        numbers: list[int] = []
-        first, later = self.first, self.later
-        for text in texts:
-            parts = self._parts(text) if text else []
-            for k, part in enumerate(parts[:1]):
-                if part not in first:
-                    first[part] = number
-                    number += 1
-                    new.append(part)
-                numbers.append(first[part])
-            for part in parts[1:]:
-                n = later.get(part)
-                if n is None:
-                    n = later[part] = number
-                    number += 1
-                    new.append(" " + part)
-                numbers.append(n)
-            count.append(len(parts))
-        self._learn(new)
-        at = np.array(numbers, np.int64)
+        if self.size >= self.remembered:
+            self._turn()
+        split = [self._parts(t) if t else [] for t in texts]
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        ends = np.cumsum(count)
+        is_first = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+        is_first[(ends - count)[count > 0]] = True
+        at = np.empty(len(is_first), np.int64)
+        at[is_first] = self._numbers([p[0] for p in split if p], self.first, self.old_first, "")
+        at[~is_first] = self._numbers(list(chain.from_iterable(p[1:] for p in split)), self.later, self.old_later, " ")
         length = self.length[at]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.begin[at] - (ends - length), length) + np.arange(total)]
-        by_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
-        return ids, np.diff(by_text)
+        up_to = np.concatenate([[0], np.cumsum(length)])
+        return self.ids[_ragged(self.begin[at], length)], np.diff(up_to[np.concatenate([[0], ends])])
 
 
 @cache
@@ -130,17 +184,21 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
-def write_shards(docs: DataFrame, root: str, tokenizer_path: str, order: list, id_col: str = "doc_id",
+def write_shards(docs: DataFrame, root: str, tokenizer_path: str, order: list | None = None, id_col: str = "doc_id",
                  text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Payload files under ``root/payload``; a row per document: ``doc_id, copy, shard, path, offset, n_tokens``.
+    """Payload files under ``root/payload``; a row per document: ``doc_id, copy, shard, path,
+    width, offset, n_tokens`` (width: bytes of an id).
 
-    Documents stand in ``order``; ``copy`` numbers the rows of a shard that share an id."""
+    Documents stand in ``order`` (default: the id), rows alike in it by a hash of the text.  Rows alike in
+    ``order`` are in one shard.  ``copy`` numbers the rows that share an id."""
+    by_id, order = order is None, order or [F.col(id_col)]
     key_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
                        .alias("text"), *[c.alias(f"o{k}") for k, c in enumerate(order)])
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keys = [f"o{k}" for k in range(len(order))]
-    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *keys).sortWithinPartitions(*keys)
+    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *keys) \
+        .sortWithinPartitions(*keys, F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, context = _pieces(tokenizer_path), TaskContext.get()
@@ -149,10 +207,10 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str, order: list, i
         fs, path = _open(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(path) as out:
-            for batch in batches:
+            for batch in (b.slice(k, ENCODE_DOCS) for b in batches for k in range(0, b.num_rows, ENCODE_DOCS)):
                 ids, n = pieces.encode(batch.column("text").to_pylist())
                 n, ends = n + 1, np.cumsum(n)
-                out.write(np.insert(ids, ends, END_ID).astype("<u4").tobytes())
+                out.write(np.insert(ids, ends, END_ID).astype(f"<u{pieces.width}").tobytes())
                 begin = offset + np.cumsum(n) - n
                 offset += int(n.sum())
                 copy = []
@@ -162,11 +220,25 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str, order: list, i
                 size = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(copy, pa.int32()), pa.array([shard] * size, pa.int32()),
-                     pa.array([uri] * size), pa.array(begin, pa.int64()), pa.array(n, pa.int64())],
-                    names=["doc_id", "copy", "shard", "path", "offset", "n_tokens"])
+                     pa.array([uri] * size), pa.array([pieces.width] * size, pa.int32()), pa.array(begin, pa.int64()),
+                     pa.array(n, pa.int64())],
+                    names=["doc_id", "copy", "shard", "path", "width", "offset", "n_tokens"])
+
+    written = materialize(dealt.select("doc_id", "text").mapInArrow(
+        write, f"doc_id {key_type}, copy int, shard int, path string, width int, offset bigint, n_tokens bigint"),
+        "token-entries")
+    return written if by_id else _number_copies(written)
+
 
-    return dealt.select("doc_id", "text").mapInArrow(
-        write, f"doc_id {key_type}, copy int, shard int, path string, offset bigint, n_tokens bigint")
+def _number_copies(entries: DataFrame) -> DataFrame:
+    """Copy numbers that go on from shard to shard, for ids that occur in several shards."""
+    each = entries.groupBy("doc_id", "shard").agg(F.count(F.lit(1)).alias("n"))
+    spread = each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shards")).where("shards > 1")
+    ahead = F.sum("n").over(Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = each.join(spread.select(F.col("doc_id").alias("s_id")), same(F.col("doc_id"), F.col("s_id")), "left_semi") \
+        .select(F.col("doc_id").alias("a_id"), F.col("shard").alias("a_shard"), ahead.alias("ahead"))
+    joined = entries.join(ahead, same(F.col("doc_id"), F.col("a_id")) & (F.col("shard") == F.col("a_shard")), "left_outer")
+    return joined.withColumn("copy", (F.col("copy") + F.coalesce("ahead", F.lit(0))).cast("int")).select(entries.columns)
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -289,14 +361,15 @@ def look_up(records: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
 
 
 def read_payload(places: DataFrame) -> DataFrame:
-    """Adds ``ids_crc32`` of each record, read from its range of the payload file at ``path``."""
+    """Adds ``ids_crc32`` of each record (its ids as 32 bits), read from its range of the payload file at ``path``."""
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in places.schema if f.name != "path")
 
     def read(frame: pd.DataFrame) -> pd.DataFrame:
         fs, path = _open(frame["path"].iloc[0])
+        width = int(frame["width"].iloc[0])
         with fs.open_input_file(path) as f:
-            crc = [zlib.crc32(f.read_at(4 * n, 4 * o)) for o, n in zip(frame["offset"].tolist(), frame["n_tokens"].tolist(),
-                                                                       strict=True)]
+            crc = [zlib.crc32(np.frombuffer(f.read_at(width * n, width * o), f"<u{width}").astype("<u4"))
+                   for o, n in zip(frame["offset"].tolist(), frame["n_tokens"].tolist(), strict=True)]
         return frame.drop(columns="path").assign(ids_crc32=np.array(crc, np.int64))
 
     return places.groupBy("shard").applyInPandas(read, f"{shape}, ids_crc32 bigint")
@@ -326,11 +399,10 @@ def store_tokens(docs: DataFrame, tokenizer_path: str, root: str | None = None,
     is a key like any other and sorts first.  An empty table gives no rows.
     """
     root = root or scratch_path(docs.sparkSession, "token-store")
-    order = [*(order or [F.col(id_col)]), F.xxhash64(F.col(text_col))]
-    entries = materialize(write_shards(docs, root, tokenizer_path, order, id_col, text_col, shard_bytes), "token-entries")
+    entries = write_shards(docs, root, tokenizer_path, order, id_col, text_col, shard_bytes)
     buckets = max(LEAST_BUCKETS, -(-entries.count() // bucket_keys))
     index = materialize(write_index(entries, root, buckets), "token-index")
-    shards = entries.groupBy("shard", "path").agg(F.sum("n_tokens").alias("ids"))
+    shards = entries.groupBy("shard", "path", "width").agg(F.sum("n_tokens").alias("ids"))
     shards = materialize(running_start(shards, "ids").drop("ids"), "token-shards")
     places = look_up(entries, index, buckets).join(shards, "shard") \
         .withColumn("start", F.col("start") + F.col("offset"))
