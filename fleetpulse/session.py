@@ -96,6 +96,16 @@ def release(spark: SparkSession, kept: int = 0) -> int:
     return gone
 
 
+def settle(spark: SparkSession, build, name: str = "stage"):
+    """Materialize what ``build()`` returns and delete the intermediate tables it wrote."""
+    kept = len(_SCRATCH)
+    df = materialize(build(), name)
+    written = _SCRATCH.pop()
+    release(spark, kept)
+    _SCRATCH.append(written)
+    return df
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Scope of a run: the intermediate tables written inside are deleted at its end."""
