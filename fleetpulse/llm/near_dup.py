@@ -284,8 +284,10 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
             if len(out):
                 yield out
 
+    # comparing costs time, not bytes: a fixed number of tasks, not coalesced by size
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = members.join(large.select("node"), "node", "left_anti").select("node", "cls", "n", "payload") \
-        .repartition("node").sortWithinPartitions("node").mapInPandas(exhaustive, LINK)
+        .repartition(tasks, "node").sortWithinPartitions("node").mapInPandas(exhaustive, LINK)
     if large.isEmpty():
         return small
 
@@ -413,7 +415,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     classes = materialize(classes, "near-classes")
 
     nodes = materialize(tree_nodes(classes, trees, leaf, depth), "near-nodes")
-    tokens = nodes.join(classes.select("cls", "n", F.col("sketch").alias("payload")), "cls")
+    # read up to three times, so joined once
+    tokens = materialize(nodes.join(classes.select("cls", "n", F.col("sketch").alias("payload")), "cls"), "near-tokens")
     candidates = components(spanning_links(tokens, nodes, _by_tokens(percent), leaf))
     clusters = materialize(candidates.select(F.col("member").alias("cls"), F.xxhash64("root").alias("node")), "near-clusters")
 
@@ -442,8 +445,7 @@ def _class_sets(docs: DataFrame, signed: DataFrame, clusters: DataFrame, width:
     chosen = signed.select("cls", F.struct("doc_id", "text_hash").alias("one")).join(clusters, "cls") \
         .groupBy("cls", "node").agg(F.min("one").alias("one")) \
         .select("node", F.col("one.doc_id").alias("chosen_id"), F.col("one.text_hash").alias("chosen_hash"))
-    chosen = materialize(chosen, "near-chosen")
-    wanted = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    wanted = _small(materialize(chosen, "near-chosen"))
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")) \
         .join(wanted, same(F.col("doc_id"), F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash"))) \
@@ -468,6 +470,12 @@ def _class_sets(docs: DataFrame, signed: DataFrame, clusters: DataFrame, width:
     return texts.mapInArrow(gather, "node bigint, cls binary, n bigint, payload binary")
 
 
+def _small(written: DataFrame) -> DataFrame:
+    """A written table of ids and hashes, broadcast up to BROADCAST_ROWS rows, so that texts are not dealt by id;
+    beyond that the join is a shuffle."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
     gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col, **options).where(~F.col("kept"))
