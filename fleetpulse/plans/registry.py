@@ -991,8 +991,8 @@ AXIS_RULES = [("temp_fixed", "EMPTY", "EMPTY", "EMPTY", "EMPTY", "-", "10", "500
 
 
 @register("axis_branches", "WITH " + EV_DENSITY + """,
-m AS (SELECT max(x) AS v FROM ev_density)
-SELECT 'Temp_fixed' AS item, round(10 - 490 * 0.1, 6) AS axis_min, round(500 + 490 * 0.1, 6) AS axis_max
+m AS (SELECT * FROM (SELECT max(x) AS v FROM ev_density) WHERE v IS NOT NULL)
+SELECT 'Temp_fixed' AS item, round(10 - 490 * 0.1, 6) AS axis_min, round(500 + 490 * 0.1, 6) AS axis_max FROM m
 UNION ALL SELECT 'Capped', round(0 - least(v, 100) * 0.1, 6), round(least(v, 100) * 1.1, 6) FROM m
 UNION ALL SELECT 'Below', round(100000 - (200 - 100000) * 0.1, 6), round(200 + (200 - 100000) * 0.1, 6) FROM m
 UNION ALL SELECT 'Units', round(0 - (v * 512000 / 1024 ** 4) * 0.1, 6), round((v * 512000 / 1024 ** 4) * 1.1, 6) FROM m""")
