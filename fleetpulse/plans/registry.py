@@ -259,9 +259,11 @@ def events_history(spark, sf_dir) -> dict:
     res = events_screen(spark, sf_dir)
     raw = with_week(TB.read(spark, sf_dir, "events"))
     drives = H.union_lists([res["critical"], res["warning"]], "user_id")
+    from fleetpulse.session import materialize
     hist, cutoff = H.abnormal_history(raw, drives, TB.EVENTS, last_week(raw))
+    hist, cutoff = materialize(hist, "abnormal-history"), materialize(cutoff, "cutoff")
     short = H.short_window(hist, cutoff)
-    cells_long = H.daily_cells(hist, TB.EVENTS, ["value"])
+    cells_long = materialize(H.daily_cells(hist, TB.EVENTS, ["value"]), "history-cells")
     cells = cells_long.where(F.col("date") >= cutoff.select("cutoff").scalar())   # keep-last is per day
     rules = TB.events_rules(spark)
     crit_new = H.recheck_critical(cells, res["critical"], rules, "user_id")
