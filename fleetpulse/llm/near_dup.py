@@ -480,5 +480,6 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
     gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col, **options).where(~F.col("kept"))
     gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "near-gone")
+    gone = _small(gone)
     return docs.join(gone, same(docs[id_col], gone["gone_id"])
                      & (F.xxhash64(docs[text_col].cast("string")) == gone["gone_hash"]), "left_anti")
