@@ -14,6 +14,8 @@ order of its files and their rows; stage 5 reads it from the file metadata
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm import decontaminate, langid, mixing, near_dup, token_store
 from fleetpulse.llm.queries import MIX_WEIGHTS, id_part
-from fleetpulse.session import materialize
+from fleetpulse.session import settle
 
 LEAST_LANGUAGE_SCORE = 0.3
 NEAR_PERCENT = 80
@@ -69,5 +71,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settle(spark, partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
     return docs
