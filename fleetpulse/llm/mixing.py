@@ -1,18 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling (native DataFrame plan).
 
 Each component (a source named in ``weights``, or the rest) deals its documents
-in blocks.  Time is counted in block slots.  A *cycle* of ``L`` slots holds
-``q`` blocks of a component, ``q`` being its share of ``L`` by target weight
-(largest remainder).  Block ``j`` of the cycle is released at slot
-``floor(j * L / q)`` and due by slot ``ceil((j + 1) * L / q)``.  In every slot
+in blocks.  Time is counted in block slots.  The weights are taken as the exact
+decimals they are written as and scaled to whole numbers ``w`` without a common
+divisor; ``W`` is their sum.  Block ``j`` of a component is released at slot
+``floor(j * W / w)`` and due by slot ``ceil((j + 1) * W / w)``.  In every slot
 the released block with the earliest deadline goes next, so that after any slot
-each component is within one block of its weight times the slots.
+of a phase, however long it is, each component is less than one block away from
+its weight times the slots.
 
-Cycles of the same active components are alike, so the earliest-deadline-first
-order is worked out once per phase, over at most ``L`` slots, and a document
-finds its slot by arithmetic.  When a component runs out, a shorter closing
-cycle uses up its last blocks in proportion and a new phase goes on with the
-others at renormalised weights: every document gets a position.
+The schedule repeats itself every ``W`` slots, so one *cycle* (as many whole
+periods as fit ``CYCLE`` slots, one at least) is worked out once per phase, and
+a document finds its slot by arithmetic.  When a component runs out, the
+schedule is cut at its last block, and a new phase goes on with the others at
+renormalised weights: every document gets a position.  No phase lays out more
+slots than it has blocks, also where the period is longer (weights of many
+digits); with such weights the plan grows with the number of blocks.
 
 The rank of a document inside its component is found without gathering the
 component: rows are dealt to slices by the leading digits of the md5 of the
@@ -23,7 +26,12 @@ of all rows is split like any other.
 
 from __future__ import annotations
 
+import heapq
+import json
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,100 +45,98 @@ LEAST_SLICES = 256              # a hot source is split in small tables, too
 REST = "(rest)"
 
 
-def quotas(weights: dict[int, float], length: int) -> dict[int, int]:
-    """Blocks per cycle: largest remainder, at least one each."""
-    total = sum(weights.values())
-    exact = {c: length * w / total for c, w in weights.items()}
-    q = {c: max(1, math.floor(x)) for c, x in exact.items()}
-    spare = length - sum(q.values())
-    for c in sorted(exact, key=lambda c: (q[c] - exact[c], c))[:max(0, spare)]:
-        q[c] += 1
-    while sum(q.values()) > length:                       # the minimum of one took too much
-        q[max(q, key=lambda c: (q[c], -c))] -= 1
-    return q
+def shares(weights: dict[int, float]) -> dict[int, int]:
+    """The weights as whole numbers without a common divisor: blocks of each component per period."""
+    exact = {c: Fraction(str(w)) for c, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {c: int(x * scale) for c, x in exact.items()}
+    divisor = math.gcd(*whole.values())
+    return {c: n // divisor for c, n in whole.items()}
+
+
+def edf_order(share: dict[int, int]) -> Iterator[tuple[int, int, int]]:
+    """``component, release, deadline`` of slot after slot: earliest deadline first among the released blocks."""
+    total, done = sum(share.values()), dict.fromkeys(share, 0)
+    waiting, ready, t = [(0, c) for c in sorted(share)], [], 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            release, c = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[c] + 1) * total // share[c]), c, release))
+        deadline, c, release = heapq.heappop(ready)
+        yield c, release, deadline
+        done[c] += 1
+        heapq.heappush(waiting, (done[c] * total // share[c], c))
+        t += 1
 
 
 def phases(blocks: dict[int, int], weights: dict[int, float], cycle: int = CYCLE) -> list[dict]:
-    """Runs of alike cycles: ``start, length, cycles, quota{c}, first{c}`` (first block of c in the run).
+    """Runs of alike cycles: ``start, length, cycles, quota{c}, first{c}`` (first block of c in the run), ``order``
+    (``component, release, deadline`` of every slot of the cycle, counted from its start).
 
     Plain arithmetic over one number per component."""
     left, done, start, out = {c: n for c, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
 
-    def add(quota: dict[int, int], cycles: int) -> None:
+    def add(order: list[tuple[int, int, int]], cycles: int) -> None:
         nonlocal start
-        out.append({"start": start, "length": sum(quota.values()), "cycles": cycles, "quota": quota, "first": dict(done)})
-        start += cycles * sum(quota.values())
+        quota = dict.fromkeys(left, 0)
+        for c, _, _ in order:
+            quota[c] += 1
+        quota = {c: q for c, q in quota.items() if q}
+        out.append({"start": start, "length": len(order), "cycles": cycles, "quota": quota, "first": dict(done),
+                    "order": order})
+        start += cycles * len(order)
         for c, q in quota.items():
             done[c] += cycles * q
             left[c] -= cycles * q
 
     while left:
-        q = quotas({c: weights[c] for c in left}, max(cycle, 2 * len(left)))
-        if full := min(left[c] // q[c] for c in left):
-            add(q, full)
-        last = min((c for c in left), key=lambda c: (left[c] / q[c], c))
-        if left[last]:
-            part = left[last] / q[last]
-            closing = {c: left[c] if c == last else min(left[c], round(q[c] * part)) for c in left}
-            add({c: n for c, n in closing.items() if n}, 1)
+        share = shares({c: weights[c] for c in left})
+        period = sum(share.values())
+        repeats = max(1, cycle // period)
+        if full := min(left[c] // (repeats * share[c]) for c in left):
+            add(list(islice(edf_order(share), repeats * period)), full)
+        if all(left.values()):                             # up to the last block of the first to run out
+            rest, order = dict(left), []
+            for slot in edf_order(share):
+                order.append(slot)
+                rest[slot[0]] -= 1
+                if not rest[slot[0]]:
+                    break
+            add(order, 1)
         left = {c: n for c, n in left.items() if n}
     return out
 
 
-def edf_order(quota: Column, length: Column, components: int) -> Column:
-    """Component of every slot of one cycle: earliest deadline first among the released blocks."""
-    ids = F.sequence(F.lit(0), F.lit(components - 1))
-
-    def step(state: Column, t: Column) -> Column:
-        ready = F.filter(ids, lambda c: (F.get(state["next"], c) < F.get(quota, c))
-                         & (F.floor(F.get(state["next"], c) * length / F.get(quota, c)) <= t))
-        due = F.transform(ready, lambda c: F.struct(
-            F.ceil((F.get(state["next"], c) + 1) * length / F.get(quota, c)).alias("deadline"), c.alias("c")))
-        chosen = F.array_min(due)["c"]
-        return F.struct(F.transform(state["next"], lambda x, i: F.when(i == chosen, x + 1).otherwise(x)).alias("next"),
-                        F.concat(state["order"], F.array(chosen)).alias("order"))
-
-    first = F.struct(F.transform(ids, lambda c: F.lit(0)).alias("next"), F.array().cast("array<int>").alias("order"))
-    return F.aggregate(F.sequence(F.lit(0), length - 1), first, step, lambda s: s["order"])
+PLAN = ("array<struct<c:int,runs:array<struct<first:bigint,q:bigint,start:bigint,length:bigint,slots:array<bigint>,"
+        "releases:array<bigint>,deadlines:array<bigint>>>,ends:array<struct<slot:bigint,gap:bigint>>>>")
 
 
-def _plan(docs: DataFrame, counts: dict[int, int], weights: dict[int, float], names: list[str],
-          block_docs: int, cycle: int) -> DataFrame:
+def _plan(docs: DataFrame, counts: dict[int, int], weights: dict[int, float], block_docs: int, cycle: int) -> DataFrame:
     """One row per component: its runs of cycles with the slots of its blocks, and the short last blocks of all."""
-    spark, blocks = docs.sparkSession, {c: -(-n // block_docs) for c, n in counts.items()}
-    runs = phases(blocks, weights, cycle)
-    rows = [F.struct(F.lit(k).alias("run"), F.lit(r["start"]).cast("long").alias("start"),
-                     F.lit(r["length"]).alias("length"),
-                     F.array(*[F.lit(r["quota"].get(c, 0)) for c in range(len(names))]).alias("quota"),
-                     F.array(*[F.lit(r["first"].get(c, 0)).cast("long") for c in range(len(names))]).alias("first"))
-            for k, r in enumerate(runs)]
-    # one row per run first: the order of its slots is worked out in a task of its own
-    table = spark.range(1).select(F.inline(F.array(*rows))).repartition(min(len(runs), 64), "run") \
-        .withColumn("order", edf_order(F.col("quota"), F.col("length"), len(names)))
-    each = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("c")) \
-        .where(F.get("quota", F.col("c")) > 0) \
-        .select("c", F.struct("run", F.get("first", F.col("c")).alias("first"), F.get("quota", F.col("c")).alias("q"),
-                              "start", "length", F.filter(F.transform("order", lambda x, t: F.when(x == F.col("c"), t)),
-                                                          lambda t: t.isNotNull()).alias("slots")).alias("r"))
-    known = F.create_map(*[x for c in counts for x in (F.lit(c), F.struct(
-        F.lit(blocks[c] - 1).cast("long").alias("last"),
-        F.lit(blocks[c] * block_docs - counts[c]).cast("long").alias("gap")))])
-    plan = each.groupBy("c").agg(F.array_sort(F.collect_list("r")).alias("runs")) \
-        .withColumn("known", F.try_element_at(known, F.col("c")))
-    ends = F.struct(_slot(F.col("runs"), F.col("known.last"))["slot"].alias("slot"), F.col("known.gap").alias("gap"))
-    # as many rows as there are components
-    return materialize(plan.withColumn("end", ends).withColumn(
-        "ends", F.collect_list("end").over(Window.partitionBy(F.lit(0)))).select("c", "runs", "ends"), "mix-plan")
+    blocks = {c: -(-n // block_docs) for c, n in counts.items()}
+    runs, last = {c: [] for c in counts}, {}
+    for r in phases(blocks, weights, cycle):
+        places = {c: [] for c in r["quota"]}
+        for slot, (c, release, deadline) in enumerate(r["order"]):
+            places[c].append((slot, release, deadline))
+        for c, at in places.items():
+            slots, releases, deadlines = zip(*at, strict=True)
+            runs[c].append({"first": r["first"][c], "q": len(at), "start": r["start"], "length": r["length"],
+                            "slots": slots, "releases": releases, "deadlines": deadlines})
+            last[c] = r["start"] + (r["cycles"] - 1) * r["length"] + slots[-1]
+    ends = [{"slot": last[c], "gap": blocks[c] * block_docs - counts[c]} for c in counts]
+    # as many rows as there are components, from one text: a literal for each number would be slow to plan
+    text = json.dumps([{"c": c, "runs": runs[c], "ends": ends} for c in counts], separators=(",", ":"))
+    return materialize(docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), PLAN))), "mix-plan")
 
 
 def _slot(runs: Column, block: Column) -> Column:
     """Slot, release and deadline of a component's block."""
     r = F.element_at(F.filter(runs, lambda x: x["first"] <= block), -1)
     k = block - r["first"]
-    base, j = r["start"] + F.floor(k / r["q"]) * r["length"], k % r["q"]
-    return F.struct((base + F.get(r["slots"], j.cast("int"))).alias("slot"),
-                    (base + F.floor(j * r["length"] / r["q"])).alias("release"),
-                    (base + F.ceil((j + 1) * r["length"] / r["q"])).alias("deadline"))
+    base, j = r["start"] + F.floor(k / r["q"]) * r["length"], (k % r["q"]).cast("int")
+    return F.struct(*[(base + F.get(r[column], j)).alias(name) for column, name in (
+        ("slots", "slot"), ("releases", "release"), ("deadlines", "deadline"))])
 
 
 def mix(docs: DataFrame, weights: dict[str, float], rest_weight: float = 1.0, block_docs: int = BLOCK_DOCS,
@@ -143,7 +149,7 @@ def mix(docs: DataFrame, weights: dict[str, float], rest_weight: float = 1.0, bl
     component documents follow the md5 of their id, so a block is a random
     sample of its source; null ids come first, repeated ids stand together.  No
     row is dropped or repeated.  An empty table gives no rows.  Weights must be
-    positive.
+    positive and finite.
     """
     if any(w <= 0 for w in [*weights.values(), rest_weight]):
         raise ValueError("target weights must be positive")
@@ -165,7 +171,7 @@ def mix(docs: DataFrame, weights: dict[str, float], rest_weight: float = 1.0, bl
     shape = "struct<component:string,block:bigint,release:bigint,deadline:bigint,slot:bigint,position:bigint>"
     if not counts:
         return docs.select("*", F.lit(None).cast(shape).alias(out)).where(F.lit(False))
-    plan = _plan(docs, counts, target, names, block_docs, cycle)
+    plan = _plan(docs, counts, target, block_docs, cycle)
 
     ranked = rows.join(sizes.select("c", "slice", "before"), ["c", "slice"]).withColumn("rank", F.col("before") - 1 + (
         F.row_number().over(Window.partitionBy("c", "slice").orderBy("h", "doc_key"))))

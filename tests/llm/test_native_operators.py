@@ -170,6 +170,41 @@ def test_mix_follows_pfair_schedule(spark):
     assert first == sorted(first, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
 
 
+@pytest.mark.parametrize("weights, blocks", [
+    ({c: 4.0 if c % 4 == 0 else 2.0 if c % 2 == 0 else 1.0 for c in range(21)}, 76_000),
+    ({0: 1000.0, 1: 1.0, 2: 1 / 3}, 20_000), ({0: 0.7, 1: 0.2, 2: 0.1, 3: 0.0005}, 30_000)])
+def test_mix_keeps_true_weights_over_many_cycles(weights, blocks):
+    total = sum(weights.values())
+    left = {c: max(1, round(blocks * w / total * (1 + c % 3))) for c, w in weights.items()}
+    want = dict(left)
+    for r in mixing.phases(left, weights):
+        if {c for c, n in want.items() if n} != (active := {c for c in left if r["first"][c] < left[c]}):
+            raise AssertionError("a component is lost")
+        if r["start"] == 0 or active != before:                         # a new phase: counted anew
+            before, slots, dealt, whole = active, 0, dict.fromkeys(active, 0), sum(weights[c] for c in active)
+        for _ in range(r["cycles"]):
+            for c in (x[0] for x in r["order"]):
+                slots, want[c] = slots + 1, want[c] - 1
+                dealt[c] += 1
+                assert abs(dealt[c] - slots * weights[c] / whole) < 1 + 1e-6
+            assert all(abs(dealt[c] - slots * weights[c] / whole) < 1 + 1e-6 for c in active)
+    assert not any(want.values())
+
+
+def test_mix_of_weights_that_do_not_divide_a_cycle(spark):
+    weights = {"a": 4.0, "b": 2.0, "c": 1.0, "d": 1.0, "e": 0.3}        # 83 slots, not 256
+    sizes = {"a": 4800, "b": 2400, "c": 1200, "d": 1200, "e": 360}
+    docs = spark.createDataFrame([(k, s) for k, s in enumerate(x for x, n in sizes.items() for _ in range(n))],
+                                 "doc_id long, source string")
+    got = mixing.mix(docs, weights, block_docs=1).select("source", "mix.*").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(docs.collect())))
+    dealt = dict.fromkeys(weights, 0)
+    for t, r in enumerate(got, 1):
+        assert r.release <= r.slot < r.deadline
+        dealt[r.source] += 1
+        assert all(abs(n - t * weights[c] / 8.3) < 1 for c, n in dealt.items())
+
+
 def test_mix_edges(spark):
     docs = docs_of(spark, [(None, "t"), (1, "a"), (1, "a"), (2, None)])
     out = mixing.mixed_order(docs.withColumn("mix", F.lit(1)), {"src0": 1.0})
