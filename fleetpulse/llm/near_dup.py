@@ -13,6 +13,8 @@ A document is the set of its five-word shingles, hashed to 64 bits.
    is still larger at ``depth`` levels is compared through a pivot: all
    members with the pivot, then those not alike, block by block, with all
    members.  So nothing is capped, and no task holds more than two blocks.
+   Classes whose nodes branched deep (many documents that share a passage) are
+   grown in further trees, as many as their deepest level asks for.
 3. Comparing in a node uses the minwise tokens with a tolerance of 4.5
    standard errors and keeps a spanning set of links, not all pairs.  The
    connected groups of these candidate links are the clusters.
@@ -21,12 +23,17 @@ A document is the set of its five-word shingles, hashed to 64 bits.
    (documents that are already connected need no further comparison).
 5. Components of the verified links, by alternating star contraction.
 
-A pair of similarity s that meets leaves at level l is missed by all trees
-with probability (1 - s^l)^trees: below 1e-9 for 0.85 at level 1, 1e-6 at 2.
+A pair with m of the K tokens in common stays together to level l of a tree
+with probability (m / K)^l, so one of similarity s is missed by all trees with
+probability E[(1 - (m / K)^l)^trees], m being binomial (K, s).  TREES trees
+keep that below MISS to level 2 for 0.8 and above (5e-6 for 0.85, 4e-5 for 0.8);
+at deeper levels ``trees_needed`` gives the number, at level 8 70 trees for
+0.85 and 149 for 0.8.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +49,7 @@ SHINGLE = 5
 PERCENT = 80
 K = 64
 TREES = 12
+MISS = 1e-4                     # of pairs at the threshold, at any level
 LEAF = 256
 DEPTH = 8
 BLOCK_BYTES = 1 << 18           # of text hashed at a time
@@ -166,17 +174,40 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, K)
 
 
-def _roots(classes: DataFrame, trees: int) -> DataFrame:
+def trees_needed(percent: int, level: int, miss: float = MISS) -> int:
+    """Trees that miss a pair of ``percent`` similarity whose nodes branch to ``level`` with at most ``miss``."""
+    s = min(max(percent, 1), 99) / 100
+    m = np.arange(K + 1)
+    weight = np.array([math.comb(K, k) * s ** k * (1 - s) ** (K - k) for k in range(K + 1)])
+    apart = 1 - (m / K) ** level
+    lost = lambda trees: float((weight * apart ** trees).sum())
+    low, high = 0, 1
+    while lost(high) > miss:
+        low, high = high, 2 * high
+    while high - low > 1:
+        low, high = (low, mid) if lost(mid := (low + high) // 2) <= miss else (mid, high)
+    return high
+
+
+def _roots(growing: DataFrame, trees: int) -> DataFrame:
+    """``cls, node``: the roots' children of each class in its trees ``grown`` to ``wanted`` - 1."""
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mins = _tokens(batch.column("mins"))
-            for t in range(trees):                         # a coordinate of its own for each tree's root
-                root = np.full(len(mins), t + 1, np.uint64)
-                node = _mix(_mix(root, 5) + mins[:, t * K // trees].astype(np.uint64), 7)
-                yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(node.view(np.int64))],
+            if not batch.num_rows:
+                continue
+            mins, cls = _tokens(batch.column("mins")), batch.column("cls")
+            grown, wanted = np.asarray(batch.column("grown")), np.asarray(batch.column("wanted"))
+            for t in range(grown.min(), wanted.max()):
+                at = np.flatnonzero((grown <= t) & (t < wanted))
+                root = np.full(len(at), t + 1, np.uint64)
+                if t < trees:                              # a coordinate of its own for each of the first trees' roots
+                    node = _mix(_mix(root, 5) + mins[at, t * K // trees].astype(np.uint64), 7)
+                else:
+                    node = _branch(root, mins[at])
+                yield pa.RecordBatch.from_arrays([cls.take(pa.array(at)), pa.array(node.view(np.int64))],
                                                  names=["cls", "node"])
 
-    return classes.select("cls", "mins").mapInArrow(grow, "cls binary, node bigint")
+    return growing.select("cls", "mins", "grown", "wanted").mapInArrow(grow, "cls binary, node bigint")
 
 
 def _chains(members: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
@@ -196,12 +227,34 @@ def _chains(members: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
         .mapInArrow(grow, "cls binary, chain array<bigint>")
 
 
-def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
+               percent: int = PERCENT) -> DataFrame:
     """``node, cls``: the members of all nodes with two and more classes where branching ends.
 
+    All classes grow in ``trees`` trees.  Those whose nodes branched to a level that needs more trees for
+    ``percent`` (``trees_needed``) grow in the others together, until each has the trees of its deepest level."""
+    needed = [max(trees, trees_needed(percent, max(1, level))) for level in range(depth + 1)]
+    growing, ended = classes.select("cls", "mins", F.lit(0).alias("grown"), F.lit(trees).alias("wanted")), None
+    while True:
+        done, deep = _grow(growing, classes, trees, leaf, depth, needed)
+        ended = done if ended is None else ended.unionByName(done)
+        if deep is None:
+            return ended
+        deep = deep.groupBy("cls").agg(F.max("needed").alias("needed"))
+        growing = materialize(growing.join(deep, "cls").where(F.col("needed") > F.col("wanted")).select(
+            "cls", "mins", F.col("wanted").alias("grown"), F.col("needed").alias("wanted")), "near-growing")
+        if growing.isEmpty():
+            return ended
+
+
+def _grow(growing: DataFrame, classes: DataFrame, trees: int, leaf: int, depth: int,
+          needed: list[int]) -> tuple[DataFrame, DataFrame | None]:
+    """The members of the nodes where the trees of ``growing`` end, and ``cls, needed`` of the classes that
+    branched to levels which need more than ``trees`` trees.
+
     The paths of members of large nodes are followed to the end at once, as a
     path depends on a class's own tokens only; where it stops depends on the counts."""
-    frontier, ended, chain = materialize(_roots(classes, trees), "near-frontier"), None, []
+    frontier, ended, deep, chain = materialize(_roots(growing, trees), "near-frontier"), None, None, []
     for level in range(depth):
         size = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
         live = materialize(frontier.join(size, "node"), "near-live")
@@ -211,11 +264,14 @@ def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth:
         ended = done if ended is None else ended.unionByName(done)
         if not more:
             break
+        if needed[level + 2] > trees:
+            passed = large.select("cls", F.lit(needed[level + 2]).alias("needed"))
+            deep = passed if deep is None else deep.unionByName(passed)
         if not chain:
             chain = ["chain"]
             large = materialize(_chains(large, classes, depth - 1), "near-chains")
         frontier = large.select("cls", "chain", F.get("chain", F.lit(level)).alias("node"))
-    return ended
+    return ended, deep
 
 
 # ---------------------------------------------------------------- comparing inside groups
@@ -414,7 +470,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         F.first("sketch").alias("sketch"))
     classes = materialize(classes, "near-classes")
 
-    nodes = materialize(tree_nodes(classes, trees, leaf, depth), "near-nodes")
+    nodes = materialize(tree_nodes(classes, trees, leaf, depth, percent), "near-nodes")
     # read up to three times, so joined once
     tokens = materialize(nodes.join(classes.select("cls", "n", F.col("sketch").alias("payload")), "cls"), "near-tokens")
     candidates = components(spanning_links(tokens, nodes, _by_tokens(percent), leaf))

@@ -2,7 +2,9 @@
 
 import random
 import re
+from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from fleetpulse.llm import near_dup as N
@@ -73,6 +75,34 @@ def test_components_match_brute_force(spark, percent, options):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_pairs_in_deep_nodes_meet(spark):
+    # 1,600 classes share 75 % of their tokens; 800 pairs share 80 %, so nodes of more than 16 go to the last level
+    rng = np.random.default_rng(5)
+    passage, mins = rng.integers(0, 1 << 32, N.K), []
+    for _ in range(800):
+        own = rng.permutation(N.K)[:13]                        # 51 of 64 tokens in common
+        a, b = passage.copy(), passage.copy()
+        a[own], b[own] = rng.integers(0, 1 << 32, 13), rng.integers(0, 1 << 32, 13)
+        both = rng.choice(np.setdiff1d(np.arange(N.K), own), 3, replace=False)
+        a[both] = b[both] = rng.integers(0, 1 << 32, 3)
+        mins += [a, b]
+    classes = spark.createDataFrame([(k.to_bytes(4, "big"), m.astype(np.uint32).tobytes()) for k, m in enumerate(mins)],
+                                    "cls binary, mins binary")
+    nodes = defaultdict(set)
+    for r in N.tree_nodes(classes, leaf=16).collect():
+        nodes[int.from_bytes(r.cls, "big")].add(r.node)
+    assert [k for k in range(0, len(mins), 2) if not nodes[k] & nodes[k + 1]] == []
+
+
+def test_trees_needed_keeps_the_target():
+    assert N.trees_needed(85, 2) <= N.TREES and N.trees_needed(80, 2) <= N.TREES
+    for percent, level in ((85, 4), (80, 8)):
+        rng, t = np.random.default_rng(level), N.trees_needed(percent, level)
+        m = rng.binomial(N.K, percent / 100, 1_000_000)
+        assert ((1 - (m / N.K) ** level) ** t).mean() <= 1.3 * N.MISS
+        assert ((1 - (m / N.K) ** level) ** N.TREES).mean() > 5 * N.MISS
+
+
 def test_keep_one_keeps_columns_and_one_of_each(spark):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "other words here"), (2, "own text of a repeated id"), (4, None)]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, gone_id string")
