@@ -669,7 +669,7 @@ def q_difference(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- pivots, ad-hoc screening
-# The days of a matrix are given by the caller (no extra job to find them).
+# The days a matrix has at least; days of the table outside them get columns too.
 PIVOT_DAYS = [(dt.date(2024, 1, 1) + dt.timedelta(days=k)).isoformat() for k in range(31)]
 
 
@@ -678,19 +678,28 @@ def _cells_sql(agg: str, source: str) -> str:
     return f"SELECT user_id, {cells} FROM {source} GROUP BY user_id"
 
 
+def matrix_days(long) -> list[str]:
+    """``PIVOT_DAYS`` and every other day with readings, in order (one small aggregate)."""
+    found = long.select(F.col("date").cast("string").alias("d")).where("d is not null").distinct()
+    return sorted({*PIVOT_DAYS, *(r["d"] for r in found.collect())})   # a row per day
+
+
 @register("pivot_daily_avg", _cells_sql("avg", "(SELECT user_id, CAST(ts AS DATE) AS date, value FROM events)"))
 def q_pivot_daily_avg(spark, sf_dir):
     """Drive x day matrix, the readings of a cell averaged."""
     ev = D.with_day(TB.read(spark, sf_dir, "events"), TB.EVENTS).select("user_id", "date", "value")
-    wide = D.pivot_days(ev, "user_id", PIVOT_DAYS)
-    return wide.select("user_id", *[r6(F.col(f"`{d}`")).alias(d) for d in PIVOT_DAYS])
+    days = matrix_days(ev)
+    wide = D.pivot_days(ev, "user_id", days)
+    return wide.select("user_id", *[r6(F.col(f"`{d}`")).alias(d) for d in days])
 
 
 @register("pivot_unique", "WITH " + EV_DAILY + _cells_sql("max", "ev_daily"))
 def q_pivot_unique(spark, sf_dir):
     """Drive x day matrix of the keep-last readings, one per cell (checked)."""
-    wide = D.pivot_days(events_long(spark, sf_dir), "user_id", PIVOT_DAYS, how="unique")
-    return wide.select("user_id", *[r6(F.col(f"`{d}`")).alias(d) for d in PIVOT_DAYS])
+    long = events_long(spark, sf_dir)
+    days = matrix_days(long)
+    wide = D.pivot_days(long, "user_id", days, how="unique")
+    return wide.select("user_id", *[r6(F.col(f"`{d}`")).alias(d) for d in days])
 
 
 ADHOC = """

@@ -246,3 +246,16 @@ def test_item_catalogue_selections():
     assert C.trend_items("PM963")[0] == "Temperature" and "Media_Units_Written" in C.trend_items("PM963")
     assert C.histogram_extra_item("SMART") == "CritWarning" and C.histogram_extra_item("Ext_SMART") == "Capacitor_Health"
     assert C.special_items("PM1725b") == ["CritWarning"]
+
+
+@pytest.mark.parametrize("name", ["pivot_daily_avg", "pivot_unique"])
+def test_pivot_queries_take_every_day(spark, tmp_dir, name):
+    from fleetpulse.plans.registry import QUERIES
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    moved = events.withColumn("ts", (F.col("ts") + F.expr("INTERVAL 45 DAYS")).cast(events.schema["ts"].dataType))
+    moved.write.parquet(f"{tmp_dir}/events.parquet")
+    full = lambda rows: {(r["user_id"], d) for r in rows for d, v in r.asDict().items() if d != "user_id" and v is not None}
+    before = full(QUERIES[name](spark, "/root/testdata/sf0.001").collect())
+    after = full(QUERIES[name](spark, tmp_dir).collect())
+    shift = lambda d: str(dt.date.fromisoformat(d) + dt.timedelta(days=45))
+    assert before and after == {(u, shift(d)) for u, d in before}
