@@ -114,7 +114,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     ``n_hit`` counts the words inside any occurrence of a window (overlaps
     once), ``item_ids`` the items with occurring windows, as sorted strings.
     Null or empty texts have no words and are clean; null or wordless items
-    have no window; without items every document is clean.  Repeated rows get
+    have no window; without items every document is clean.  An item with a null
+    id counts in ``n_hit`` and ``contaminated`` but has no name in ``item_ids``.  Repeated rows get
     equal results, rows that share an id but not the text get their own (they
     are told apart by a hash of the text); a null id is an id like any other.
     """
@@ -127,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reach", "start")))).alias("n_hit"))
     items = found.select(*key, F.explode("item_ids").alias("item")).groupBy(*key) \
         .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
-    hit = covered.join(items, same(covered.doc_id, items.doc_id) & (covered.text_hash == items.text_hash)) \
+    hit = covered.join(items, same(covered.doc_id, items.doc_id) & (covered.text_hash == items.text_hash), "left_outer") \
         .select(covered.doc_id.alias("h_id"), covered.text_hash.alias("h_hash"), "n_hit", "item_ids")
     hit = materialize(hit, "decon-hit")
 

@@ -96,6 +96,14 @@ def test_decontamination_edges(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(want)
 
 
+def test_decontamination_null_item_ids(spark):
+    bench = spark.createDataFrame([(None, "only here"), (None, "both there"), (4, "both there")], "item_id long, text string")
+    docs = docs_of(spark, [(1, "x only here y"), (2, "both there"), (3, "neither")])
+    got = decontaminate.decontaminate(docs, bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.item_ids, r.contaminated) for r in got] == [(2, [], True), (2, ["4"], True), (0, [], False)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_decontamination_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, [(1, "a b"), (2, None)])
