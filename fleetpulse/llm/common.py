@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetpulse.session import materialize
+
 # Fixed value: everything in ASCII that is no word character once A-Z are lower case.
 ITEM_DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,3 +41,26 @@ def item_words(text: Column) -> Column:
 def same(left: Column, right: Column) -> Column:
     """Null-safe equality, usable as an equi-join key."""
     return left.eqNullSafe(right)
+
+
+def dealt(rows: DataFrame, group: str, order: list[str], slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Places of rows inside their groups (by ``order``, nulls first), without gathering a group.
+
+    Returns the rows with ``slice, inside`` (place in slice and group, from 1) and the *spans*: ``group, slice,
+    before`` (rows of the group in earlier slices), ``size`` (rows of the group).  Rows alike in ``order`` are dealt
+    by their place in the input; ``rows`` should be a written table, as it is sampled, counted and dealt."""
+    slices = max(1, -(-rows.count() // slice_rows))
+    cut = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(slices, group, *order, "row").drop("row")
+    cut = materialize(cut.withColumn("slice", F.spark_partition_id()), "dealt-slices")
+    spans = cut.groupBy(group, "slice").agg(F.count(F.lit(1)).alias("n"))
+    here = Window.partitionBy(group)
+    before = F.sum("n").over(here.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select(group, "slice", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(here).alias("size"))
+    inside = F.row_number().over(Window.partitionBy(group, "slice").orderBy(*order))
+    return cut.withColumn("inside", inside), materialize(spans, "dealt-spans")
+
+
+def placed(rows: DataFrame, group: str, order: list[str], slice_rows: int) -> DataFrame:
+    """``rows`` with ``at`` (place in the group, from 0) and ``size`` (rows of the group); ``group`` is not null."""
+    cut, spans = dealt(rows, group, order, slice_rows)
+    return cut.join(spans, [group, "slice"]).withColumn("at", F.col("before") + F.col("inside") - 1).drop("slice", "inside", "before")

@@ -11,11 +11,15 @@ from fleetpulse.llm import dedup_exact as E
 from fleetpulse.llm import html_extract as H
 from fleetpulse.llm import langid as G
 from fleetpulse.llm import licenses as L
+from fleetpulse.llm import merkle as K
 from fleetpulse.llm import mixing as M
 from fleetpulse.llm import near_dup as N
+from fleetpulse.llm import packing as P
+from fleetpulse.llm import prefix_trie as V
 from fleetpulse.llm import quality as Q
 from fleetpulse.llm import token_count as TC
 from fleetpulse.llm import token_store as TS
+from fleetpulse.llm import twins
 from fleetpulse.llm.common import table
 
 # Target weights of the mix: every fourth source is a strong one, every second a middle one.
@@ -76,8 +80,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.license_digest(L.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.verify_tampered(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_html_extraction, op4_token_counts, op5_mixing,
-                                    op6_quality, op7_language_id, op8_exact_dedup, op9_near_dedup, op10_license_scan)}
+                                    op6_quality, op7_language_id, op8_exact_dedup, op9_near_dedup, op10_license_scan,
+                                    op11_packing, op12_merkle, op13_prefix_trie)}
 
 # ---------------------------------------------------------------- DuckDB twins
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -158,4 +175,4 @@ FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN best USING (doc_id)
 
 
 ORACLE = {"op1_decontamination": _OP1, "op8_exact_dedup": _OP8, "op9_near_dedup": _OP9,
-          "op10_license_scan": _license_sql()}
+          "op10_license_scan": _license_sql(), "op12_merkle": twins.MERKLE, "op13_prefix_trie": twins.PREFIX_TRIE}

@@ -22,7 +22,7 @@ import io
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -59,12 +59,31 @@ def _byte_level() -> dict[int, str]:
 _BYTE_LEVEL = _byte_level()
 
 
+def byte_level(text: str) -> str:
+    """A text as a byte-level vocabulary spells it."""
+    return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(_BYTE_LEVEL)
+
+
 def _ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Positions begin[0], begin[0] + 1, ... of all runs, one run after another."""
     ends = np.cumsum(length)
     return np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+class Known(dict):
+    """Number by part; one that is not known gets the next number and is listed in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.next, self.new = 0, []
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = self.next
+        self.next = n + 1
+        self.new.append(part)
+        return n
+
+
 class PieceIds:
     """Ids of texts, put together from remembered parts.
 
@@ -94,7 +113,7 @@ class PieceIds:
         self._start({}, {})
 
     def _start(self, old_first: dict[str, int], old_later: dict[str, int]) -> None:
-        self.first, self.later, self.old_first, self.old_later = {}, {}, old_first, old_later
+        self.first, self.later, self.old_first, self.old_later = Known(), Known(), old_first, old_later
         self.size = self.used = 0
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint16 if self.width == 2 else np.uint32)
@@ -104,16 +123,14 @@ class PieceIds:
         self.old_begin, self.old_length, self.old_ids = self.begin, self.length, self.ids[:self.used]
         self._start(self.first, self.later)
 
-    def _numbers(self, parts: list[str], known: dict[str, int], old: dict[str, int], lead: str) -> np.ndarray:
-        """The number of every part; new parts are learned first."""
-        found = list(map(known.get, parts))
-        if None in found:
-            new = list(dict.fromkeys(p for p, n in zip(parts, found, strict=True) if n is None))
-            at = range(self.size, self.size + len(new))
-            known.update(zip(new, at, strict=True))
-            self._learn(new, at, list(map(old.get, new)), lead)
-            found = [known[p] if n is None else n for p, n in zip(parts, found, strict=True)]
-        return np.array(found, np.int64)
+    def _numbers(self, parts: Iterable[str], count: int, known: Known, old: dict[str, int], lead: str) -> np.ndarray:
+        """The number of every part; new parts are numbered on from ``size`` and then learned."""
+        known.next = self.size
+        at = np.fromiter(map(known.__getitem__, parts), np.int64, count)
+        if new := known.new:
+            known.new = []
+            self._learn(new, range(self.size, self.size + len(new)), list(map(old.get, new)), lead)
+        return at
 
     def _store(self, at: list[int], size: np.ndarray, ids: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
@@ -123,22 +140,24 @@ class PieceIds:
         self.ids[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def _direct(self, part: str, lead: str) -> list[int] | None:
+        """Ids of a part that may go to the model itself; None for others."""
+        if self.bytewise and (part.isascii() and part.isalpha() or self._LETTERS.fullmatch(part)):
+            return [t.id for t in self.tokenizer.model.tokenize((_BYTE_LEVEL[32] if lead else "") + byte_level(part))]
+        return None
+
     def _learn(self, new: list[str], at: range, before: list[int | None], lead: str) -> None:
         """Encodes new parts, copies those the old generation knows (``before``: their numbers there)."""
         self.size += len(new)
         while self.size > len(self.begin):
             self.begin, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length))
-        model, mark = self.tokenizer.model.tokenize, _BYTE_LEVEL[32] if lead else ""
         words, words_at, rest, rest_at, again, again_at = [], [], [], [], [], []
         for part, n, b in zip(new, at, before, strict=True):
             if b is not None:
                 again.append(b)
                 again_at.append(n)
-            elif self.bytewise and part.isascii() and part.isalpha():
-                words.append([t.id for t in model(mark + part)])
-                words_at.append(n)
-            elif self.bytewise and self._LETTERS.fullmatch(part):
-                words.append([t.id for t in model(mark + part.encode().decode("latin-1").translate(_BYTE_LEVEL))])
+            elif (ids := self._direct(part, lead)) is not None:
+                words.append(ids)
                 words_at.append(n)
             else:
                 rest.append(lead + part)
@@ -167,8 +186,10 @@ class PieceIds:
         is_first = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
         is_first[(ends - count)[count > 0]] = True
         at = np.empty(len(is_first), np.int64)
-        at[is_first] = self._numbers([p[0] for p in split if p], self.first, self.old_first, "")
-        at[~is_first] = self._numbers(list(chain.from_iterable(p[1:] for p in split)), self.later, self.old_later, " ")
+        firsts = [p[0] for p in split if p]
+        at[is_first] = self._numbers(firsts, len(firsts), self.first, self.old_first, "")
+        rest = chain.from_iterable(p[1:] for p in split)
+        at[~is_first] = self._numbers(rest, len(at) - len(firsts), self.later, self.old_later, " ")
         length = self.length[at]
         up_to = np.concatenate([[0], np.cumsum(length)])
         return self.ids[_ragged(self.begin[at], length)], np.diff(up_to[np.concatenate([[0], ends])])
