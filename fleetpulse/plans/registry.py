@@ -185,10 +185,10 @@ ev_density AS (
   FROM ev_cum)"""
 
 
-def events_density(spark, sf_dir, sample_modulus=None):
+def events_density(spark, sf_dir, **sampling):
     res = events_screen(spark, sf_dir)
     from fleetpulse.operators.density import daily_density
-    return daily_density(res["normal"], "user_id", sample_modulus=sample_modulus)
+    return daily_density(res["normal"], "user_id", **sampling)
 
 
 @register("daily_density", "WITH " + EV_DENSITY + """
@@ -209,6 +209,19 @@ def q_density_sampled(spark, sf_dir):
     return d.select("item", "date", "layer", r6("x").alias("x"), r6("cdf").alias("cdf"))
 
 
+@register("density_drawn", "WITH " + EV_DENSITY.replace(
+    "ev_cmp AS (SELECT date, value, count(*) AS c FROM ev_t GROUP BY date, value)", """
+ev_rank AS (SELECT date, value, row_number() OVER (PARTITION BY date ORDER BY value) - 1 AS r FROM ev_t),
+ev_draw AS (SELECT date, ('0x' || substring(md5('value|' || date::VARCHAR || '|' || d::VARCHAR), 1, 13))::BIGINT % n AS r
+            FROM (SELECT date, n, unnest(range(n // 10)) AS d FROM ev_st)),
+ev_cmp AS (SELECT date, value, count(*) AS c FROM ev_draw JOIN ev_rank USING (date, r) GROUP BY date, value)""") + """
+SELECT item, date, CAST(layer AS INTEGER) AS layer, round(x, 6) AS x, round(cdf, 6) AS cdf FROM ev_density""")
+def q_density_drawn(spark, sf_dir):
+    """K8: a tenth of each day's readings, drawn with replacement by rank."""
+    d = events_density(spark, sf_dir, draw_share=10)
+    return d.select("item", "date", "layer", r6("x").alias("x"), r6("cdf").alias("cdf"))
+
+
 # ---------------------------------------------------------------- history / re-check
 from fleetpulse.operators import history as H  # noqa: E402
 from fleetpulse.operators import plotdata as P  # noqa: E402

@@ -41,7 +41,7 @@ def screening_job(spark: SparkSession, product: str, log_kind: str, telemetry: s
                   encoding: str | None = None) -> None:
     with scratch(spark):
         SC.screen_product(spark, telemetry, rules, product, log_kind, out, n_weeks=n_weeks, kde=kde,
-                          encoding=encoding, sample_modulus=10 if sample else None)
+                          encoding=encoding, draw_share=10 if sample else None)
 
 
 def _exports(spark: SparkSession, telemetry, items: list[str], encoding: str | None, n_weeks: int | None = None):

@@ -43,7 +43,7 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
 def run_screening(telemetry: DataFrame, spec: TelemetrySpec, rules: DataFrame, items: list[str],
                   out: str | None = None, n_batches: int | None = None, kde: bool = True,
-                  sample_modulus: int | None = None, fmt: str = "parquet",
+                  draw_share: int | None = None, fmt: str = "parquet",
                   stage_input: bool = True, run: str | None = None) -> dict[str, DataFrame]:
     """Screen every item of ``items`` over the (last ``n_batches``) batches.
 
@@ -67,7 +67,7 @@ def run_screening(telemetry: DataFrame, spec: TelemetrySpec, rules: DataFrame, i
                "quarantine": quarantined}
     if kde:
         results["density"] = daily_density(res["normal"], spec.serial, batch=spec.batch,
-                                           sample_modulus=sample_modulus)
+                                           draw_share=draw_share)
     if out:
         io.write_screening(results, out, fmt=fmt, batches=raw.select(F.col(spec.batch).alias("batch")) if spec.batch else None,
                            run=run)
@@ -82,7 +82,7 @@ def product_spec(product: str, log_kind: str) -> tuple[TelemetrySpec, list[str]]
 
 def screen_product(spark: SparkSession, telemetry_paths, rules_path: str, product: str, log_kind: str,
                    out: str, n_weeks: int = 2, kde: bool = True, encoding: str | None = None,
-                   sample_modulus: int | None = None) -> dict[str, DataFrame]:
+                   draw_share: int | None = None) -> dict[str, DataFrame]:
     """The weekly job: last ``n_weeks`` weekly exports of one product and log kind."""
     spec, items = product_spec(product, log_kind)
     # the weeks are chosen by file name: older exports are not opened
@@ -91,4 +91,4 @@ def screen_product(spark: SparkSession, telemetry_paths, rules_path: str, produc
     raw = with_file_order(raw)
     rules = io.read_rulebase_csv(spark, rules_path)
     return run_screening(raw, replace(spec, items=tuple(items)), rules, items, out=out,
-                         kde=kde, sample_modulus=sample_modulus)
+                         kde=kde, draw_share=draw_share)
