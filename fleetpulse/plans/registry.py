@@ -275,14 +275,19 @@ def events_history(spark, sf_dir) -> dict:
     from fleetpulse.session import materialize
     hist, cutoff = H.abnormal_history(raw, drives, TB.EVENTS, last_week(raw))
     hist, cutoff = materialize(hist, "abnormal-history"), materialize(cutoff, "cutoff")
-    short = H.short_window(hist, cutoff)
-    cells_long = materialize(H.daily_cells(hist, TB.EVENTS, ["value"]), "history-cells")
-    cells = cells_long.where(F.col("date") >= cutoff.select("cutoff").scalar())   # keep-last is per day
+    return dict(res, raw=raw, drives=drives, hist=hist, cutoff=cutoff, short=H.short_window(hist, cutoff))
+
+
+def events_rechecks(spark, sf_dir) -> dict:
+    """The history with the daily cells of the listed drives and the re-checked lists."""
+    from fleetpulse.session import materialize
+    h = events_history(spark, sf_dir)
+    cells_long = materialize(H.daily_cells(h["hist"], TB.EVENTS, ["value"]), "history-cells")
+    cells = cells_long.where(F.col("date") >= h["cutoff"].select("cutoff").scalar())   # keep-last is per day
     rules = TB.events_rules(spark)
-    crit_new = H.recheck_critical(cells, res["critical"], rules, "user_id")
-    warn_new = H.recheck_warning(cells, res["warning"], res["bounds"], rules, "user_id")
-    return dict(res, raw=raw, drives=drives, hist=hist, cutoff=cutoff, short=short, cells=cells,
-                cells_long=cells_long, crit_new=crit_new, warn_new=warn_new, rules=rules)
+    crit_new = H.recheck_critical(cells, h["critical"], rules, "user_id")
+    warn_new = H.recheck_warning(cells, h["warning"], h["bounds"], rules, "user_id")
+    return dict(h, cells=cells, cells_long=cells_long, crit_new=crit_new, warn_new=warn_new, rules=rules)
 
 
 @register("set_union_distinct", "WITH " + EV_HIST + """
@@ -315,13 +320,13 @@ def q_short_window(spark, sf_dir):
 @register("recheck_critical", "WITH " + EV_HIST + """
 SELECT 'value' AS item, user_id FROM ev_crit_new""")
 def q_recheck_critical(spark, sf_dir):
-    return events_history(spark, sf_dir)["crit_new"]
+    return events_rechecks(spark, sf_dir)["crit_new"]
 
 
 @register("recheck_warning", "WITH " + EV_HIST + """
 SELECT 'value' AS item, user_id FROM ev_warn_new""")
 def q_recheck_warning(spark, sf_dir):
-    return events_history(spark, sf_dir)["warn_new"]
+    return events_rechecks(spark, sf_dir)["warn_new"]
 
 
 @register("recheck_counts", "WITH " + EV_HIST + """
@@ -330,7 +335,7 @@ SELECT 'value' AS item, 'critical' AS class, (SELECT count(*) FROM ev_crit) AS n
 UNION ALL
 SELECT 'value', 'warning', (SELECT count(*) FROM ev_warn), (SELECT count(*) FROM ev_warn_new)""")
 def q_recheck_counts(spark, sf_dir):
-    h = events_history(spark, sf_dir)
+    h = events_rechecks(spark, sf_dir)
     return H.recheck_counts({"critical": h["critical"], "warning": h["warning"]},
                             {"critical": h["crit_new"], "warning": h["warn_new"]}, "user_id")
 
@@ -349,7 +354,7 @@ SELECT span, class, 'value' AS item, user_id, date, value,
 FROM pts""")
 def q_trend_points(spark, sf_dir):
     from fleetpulse.session import materialize
-    h = events_history(spark, sf_dir)
+    h = events_rechecks(spark, sf_dir)
     lists = materialize(h["crit_new"].withColumn("class", F.lit("critical"))
                         .unionByName(h["warn_new"].withColumn("class", F.lit("warning"))), "rechecked")
     return P.trend_points(P.with_spans(h["cells_long"], h["cutoff"]), lists, h["rules"], "user_id")
@@ -395,7 +400,7 @@ quiet AS (
     AND NOT EXISTS (SELECT 1 FROM ev_normal))
 SELECT item, date, CAST(0.0 AS DOUBLE) AS baseline FROM quiet, (SELECT DISTINCT date FROM ev_hist)""")
 def q_baseline(spark, sf_dir):
-    h = events_history(spark, sf_dir)
+    h = events_rechecks(spark, sf_dir)
     items = h["raw"].select(F.lit("value").alias("item")).distinct()
     busy = (h["crit_new"].select("item").unionByName(h["warn_new"].select("item"))
             .unionByName(h["normal"].select("item")))
@@ -757,8 +762,62 @@ SELECT count(*) AS n FROM (SELECT DISTINCT * FROM events WHERE event_id IS NOT N
   AND user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL AND props IS NOT NULL)""")
 def q_count_distinct_all(spark, sf_dir):
     """Distinct rows over all columns (rows with a NULL are not counted)."""
-    ev = TB.read(spark, sf_dir, "events")
-    return ev.select(F.count_distinct(*[F.col(c) for c in ev.columns]).alias("n"))
+    from fleetpulse.operators.distinct import count_distinct_rows
+    return count_distinct_rows(TB.read(spark, sf_dir, "events"))
+
+
+@register("count_distinct_wide", """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS n_rows,
+       (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey, l_quantity, l_shipdate FROM lineitem)) AS n_short""")
+def q_count_distinct_wide(spark, sf_dir):
+    """D9 on a wide table: all columns, and some that repeat."""
+    from fleetpulse.operators.distinct import count_distinct_rows
+    li = TB.read(spark, sf_dir, "lineitem")
+    return count_distinct_rows(li, out="n_rows").join(
+        count_distinct_rows(li, ["l_partkey", "l_suppkey", "l_quantity", "l_shipdate"], out="n_short"))
+
+
+# ---------------------------------------------------------------- matrices in blocks
+@register("matrix_blocks", """
+WITH idx AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS i FROM (SELECT DISTINCT l_orderkey FROM lineitem)),
+c AS (SELECT l_suppkey, i // 128 AS block, i % 128 AS p, avg(l_quantity) AS v FROM lineitem JOIN idx USING (l_orderkey) GROUP BY ALL)
+SELECT l_suppkey, block::BIGINT AS block, count(*) AS n_cells, min(p)::INTEGER AS first_cell, round(sum(v), 6) AS total,
+       round(sum(p * v), 6) AS weighted FROM c GROUP BY l_suppkey, block""")
+def q_matrix_blocks(spark, sf_dir):
+    """D1 beyond the columns a plan can have: supplier x order, in blocks of 128 cells."""
+    from fleetpulse.operators.matrix import matrix_blocks
+    li = TB.read(spark, sf_dir, "lineitem")
+    cells = matrix_blocks(li, "l_suppkey", "l_orderkey", "l_quantity").select("l_suppkey", "block", F.posexplode("cells").alias("p", "v")) \
+        .where(F.col("v").isNotNull())
+    return cells.groupBy("l_suppkey", "block").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.min("p").alias("first_cell"), r6(F.sum("v")).alias("total"),
+        r6(F.sum(F.col("p") * F.col("v"))).alias("weighted"))
+
+
+@register("matrix_unique", "WITH " + EV_DAILY + """
+SELECT user_id, date, round(value, 6) AS value FROM ev_daily WHERE value IS NOT NULL""")
+def q_matrix_unique(spark, sf_dir):
+    """D2 in blocks: drive x day of the keep-last readings, one per cell (checked), and back to cells."""
+    from fleetpulse.operators.matrix import column_index, matrix_blocks, matrix_cells
+    long = events_long(spark, sf_dir)
+    index = column_index(long, "date")
+    blocks = matrix_blocks(long, "user_id", "date", how="unique", width=8, index=index)
+    return matrix_cells(blocks, "user_id", "date", index, width=8).select("user_id", "date", r6("value").alias("value"))
+
+
+# ---------------------------------------------------------------- history by data skipping
+@register("history_skipping", "WITH " + EV_RAW + """,
+listed AS (SELECT DISTINCT user_id FROM ev_raw WHERE value > 250)
+SELECT week, event_id, user_id, round(value, 6) AS value FROM ev_raw WHERE user_id IN (SELECT user_id FROM listed)""")
+def q_history_skipping(spark, sf_dir):
+    """Readings kept by week and drive; only the parts that may hold the listed drives are read."""
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import history as HS
+    raw, base = with_week(TB.read(spark, sf_dir, "events")).select("week", "event_id", "user_id", "ts", "value"), \
+        scratch_path(spark, "history")
+    HS.write_history(raw, base, "user_id", "ts", batch="week")
+    listed = TB.read(spark, sf_dir, "events").where("value > 250")
+    return HS.read_history(spark, base, listed, "user_id").select("week", "event_id", "user_id", r6("value").alias("value"))
 
 
 @register("row_count", "SELECT count(*) AS n FROM lineitem")
@@ -1130,3 +1189,87 @@ def q_quarantine_store(spark, sf_dir):
     bad = D.quarantine(raw.select("batch", "event_id", "user_id", "event_type"), TB.EVENTS)
     io.write_screening({"quarantine": bad}, base, fmt="csv", batches=raw)
     return io.read_result_set(spark, base, "quarantine", fmt="csv").select("batch", "event_id", "user_id", "event_type")
+
+
+@register("interleaved_runs", "WITH " + W_SCREEN + """,
+newest AS (SELECT max(week) AS week FROM w_daily)
+SELECT 'now' AS part, week, user_id FROM w_crit, (SELECT week AS top FROM newest) WHERE week < top
+UNION ALL SELECT 'version 1', week, user_id FROM w_crit
+UNION ALL SELECT 'weeks now', NULL, count(DISTINCT week) FROM w_daily""")
+def q_interleaved_runs(spark, sf_dir):
+    """A run of the newest week is written before a run of all weeks and committed after it: its (empty)
+    list counts, the other weeks stay, and a reader of version 1 sees the first commit only."""
+    from fleetpulse.plans.screening import run_screening
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    raw, base = with_week(TB.read(spark, sf_dir, "events")).withColumnRenamed("week", "batch"), scratch_path(spark, "store")
+    spec = replace(TB.EVENTS, batch="batch")
+    last = raw.where(F.col("batch") == raw.select(F.max("batch")).scalar())
+    late = io.write_run(run_screening(last, spec, rules_from_rows(spark, QUIET_RULES), ["value"], kde=False), base,
+                        batches=last.select("batch"))
+    early = io.write_run(run_screening(raw, spec, TB.events_rules(spark), ["value"], kde=False), base, batches=raw.select("batch"))
+    first = io.commit_run(spark, base, early)
+    io.commit_run(spark, base, late)
+    part = lambda name, df: df.select(F.lit(name).alias("part"), F.col("batch").alias("week"), "user_id")
+    weeks = io.read_runs(spark, base).select(F.lit("weeks now").alias("part"), F.lit(None).cast("date").alias("week"), "batch") \
+        .groupBy("part", "week").agg(F.count_distinct("batch").alias("user_id"))
+    return part("now", io.read_result_set(spark, base, "critical")).unionByName(
+        part("version 1", io.read_result_set(spark, base, "critical", version=first))).unionByName(weeks)
+
+
+# ---------------------------------------------------------------- encoded exports, rulebase files, sorted exports
+@register("csv_encoded", """
+SELECT event_id::DOUBLE AS media_errors, 'Zürich é ' || (event_id % 7)::VARCHAR AS cluster, event_type AS firmware FROM events""")
+def q_csv_encoded(spark, sf_dir):
+    """A2: an export in ISO-8859-1 with letters beyond ASCII in its cells."""
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    path = f"{scratch_path(spark, 'exports')}/PM963_2024_w01_SMART.csv"
+    rows = export_rows(TB.read(spark, sf_dir, "events")).withColumn("Cluster", F.concat(
+        F.lit("Zürich é "), (F.col("MediaErrors") % 7).cast("string")))
+    rows.select("MediaErrors", "Cluster", "FirmwareRevision", "TIMESTAMP").write.option("header", True) \
+        .option("encoding", "ISO-8859-1").csv(path)
+    back = io.read_telemetry_csv(spark, path, items=["MediaErrors"], encoding="ISO-8859-1")
+    return back.select(F.col("MediaErrors").alias("media_errors"), F.col("Cluster").alias("cluster"),
+                       F.col("FirmwareRevision").alias("firmware"))
+
+
+@register("rulebase_file", "WITH " + EV_SCREEN + """
+SELECT 'critical' AS part, user_id, NULL AS date, NULL AS lower, NULL AS upper FROM ev_crit
+UNION ALL SELECT 'bounds', NULL, date, round(lower, 6), round(upper, 6) FROM ev_bounds""")
+def q_rulebase_file(spark, sf_dir):
+    """A4: the screening with its rules from a rulebase file, among rules of other items."""
+    from fleetpulse.functions.rules import RAW_RULE_SCHEMA, literal_rows
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    path = scratch_path(spark, "rulebase")
+    raw = [(r.rule_item,) for r in TB.events_rules(spark).select("rule_item").collect()]       # the rulebase: a few rows
+    lines = [(item, "EMPTY", "VALUE,250", "PPM,10000", "PPM,10000", "-", "0", None) for (item,) in raw]
+    lines += [("other", "VALUE,1", "VALUE,2", "EMPTY", "PPM,5", "TB", "0", "9")]
+    literal_rows(spark, lines, RAW_RULE_SCHEMA).coalesce(1).write.option("header", True).csv(path)
+    res = S.screen(events_long(spark, sf_dir), io.read_rulebase_csv(spark, path), "user_id")
+    crit = res["critical"].select(F.lit("critical").alias("part"), "user_id", F.lit(None).cast("date").alias("date"),
+                                  F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"))
+    return crit.unionByName(res["bounds"].select(F.lit("bounds").alias("part"), F.lit(None).cast("long").alias("user_id"), "date",
+                                                 r6("lower").alias("lower"), r6("upper").alias("upper")))
+
+
+@register("sorted_export", """
+SELECT event_type AS class, 'value' AS item, count(*) AS n, 0::BIGINT AS n_out_of_order FROM events WHERE value > 100 GROUP BY event_type""")
+def q_sorted_export(spark, sf_dir):
+    """exported rows stand by drive and time inside each file (looked at in file order)."""
+    from pyspark.sql import Window
+
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import io
+    path = scratch_path(spark, "sorted")
+    rows = TB.read(spark, sf_dir, "events").where("value > 100").select(
+        "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "value",
+        F.col("event_type").alias("class"), F.lit("value").alias("item"))
+    io.write_abnormal_rows(rows, path, sort_by=("user_id", "ts"))
+    back = io.read_table(spark, path, fmt="csv").select("class", "item", "user_id", "ts", F.col("_metadata.file_path").alias("file"),
+                                                        F.monotonically_increasing_id().alias("at"))
+    w = Window.partitionBy("file").orderBy("at")
+    early = (F.lag("user_id").over(w) > F.col("user_id")) | ((F.lag("user_id").over(w) == F.col("user_id")) & (F.lag("ts").over(w) > F.col("ts")))
+    return back.withColumn("early", F.coalesce(early, F.lit(False)).cast("long")).groupBy("class", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("early").alias("n_out_of_order"))

@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from fleetpulse import catalog as C
 from fleetpulse.catalog import TelemetrySpec
+from fleetpulse.operators import history as H
 from fleetpulse.plans import screening as SC
 from fleetpulse.plans import trends as TR
 from fleetpulse.session import materialize, scratch
@@ -44,9 +45,12 @@ def screening_job(spark: SparkSession, product: str, log_kind: str, telemetry: s
                           encoding=encoding, draw_share=10 if sample else None)
 
 
-def _exports(spark: SparkSession, telemetry, items: list[str], encoding: str | None, n_weeks: int | None = None):
-    """The pruned rows of the exports, parsed once and written."""
+def _exports(spark: SparkSession, telemetry, items: list[str], encoding: str | None, n_weeks: int | None = None,
+             drives: DataFrame | None = None):
+    """The pruned rows of the exports, of ``drives`` only if given, parsed once and written."""
     raw = SC.with_file_order(io.read_telemetry_csv(spark, telemetry, items=items, encoding=encoding, n_weeks=n_weeks))
+    if drives is not None:
+        raw = raw.join(drives, drives.columns, "left_semi")
     return materialize(raw, "telemetry-rows")
 
 
@@ -60,14 +64,21 @@ def trend_job(spark: SparkSession, product: str, telemetry, rules: str, results:
     items = list(dict.fromkeys(trend + special))
     spec = _spec(items)
     with scratch(spark):
-        raw = _exports(spark, telemetry, items, encoding)
         rulebase = io.read_rulebase_csv(spark, rules)
         bases = [results] if isinstance(results, str) else list(results)
         res = {n: reduce(lambda x, y: x.unionByName(y), [io.read_result_set(spark, base, n) for base in bases])
                for n in RESULTS}
         newest = max(io.newest_batch(spark, base) for base in bases)
+        # the lists first: of the listed drives the history is kept, of all others nothing
+        defaults = {i: C.SPECIAL_DEFAULTS[i] for i in special}
+        last = [f for f in io.list_exports(spark, telemetry) if io.week_of(f) == newest]
+        flagged = H.special_item_drives(io.read_telemetry_csv(spark, last, items=special, encoding=encoding), spec.serial, defaults)
+        flagged = materialize(flagged, "special-listed")
+        listed = TR.listed_drives(res, spec.batch, newest, spec.serial, trend).select(spec.serial)
+        drives = materialize(listed.unionByName(flagged.select(spec.serial)).distinct(), "listed-drives")
+        raw = _exports(spark, telemetry, items, encoding, drives=drives)
         t = TR.trend_data(raw, spec, rulebase, res, trend, newest)
-        sp = TR.special_item_data(raw, spec, {i: C.SPECIAL_DEFAULTS[i] for i in special}, newest)
+        sp = TR.special_item_data(raw, spec, defaults, newest, listed=flagged)
         io.write_abnormal_rows(t.pop("abnormal_rows").drop(C.SSDUID), f"{out}/abnormal_rows",
                                sort_by=(spec.serial, spec.timestamp))
         io.write_abnormal_rows(sp.pop("abnormal_rows").drop(C.SSDUID), f"{out}/abnormal_rows_special",

@@ -86,12 +86,15 @@ def trend_data(raw: DataFrame, spec: TelemetrySpec, rules: DataFrame, results: d
     return out
 
 
-def special_item_data(raw: DataFrame, spec: TelemetrySpec, items: dict[str, float] | None = None, newest=None) -> dict:
-    """Drives whose special items leave their default in the newest batch."""
+def special_item_data(raw: DataFrame, spec: TelemetrySpec, items: dict[str, float] | None = None, newest=None,
+                      listed: DataFrame | None = None) -> dict:
+    """Drives whose special items leave their default in the newest batch.
+
+    ``listed``: their list, if it is known already; ``raw`` may then hold the listed drives only."""
     items, b = items or SPECIAL_DEFAULTS, spec.batch
     newest = raw.agg(F.max(b)).first()[0] if newest is None else newest
     last = raw.where(F.col(b) == F.lit(newest))
-    listed = materialize(H.special_item_drives(last, spec.serial, items), "special-listed")
+    listed = materialize(H.special_item_drives(last, spec.serial, items), "special-listed") if listed is None else listed
     hist, cutoff = H.abnormal_history(raw, listed, spec, last)
     hist, cutoff = materialize(hist, "special-history"), materialize(cutoff, "cutoff")
     short = H.short_window(hist, cutoff)

@@ -6,17 +6,21 @@ scan, and columns are matched by name across headers.  Screening results are
 kept by run: every run writes below its own ``run=`` folder and is entered in
 a record of runs when it is complete, so a run never touches another week's
 results, a repeated week replaces its earlier results, and a week without any
-listed drive is known to be empty.  Every path is caller-supplied (any Hadoop
+listed drive is known to be empty.  The record is a series of numbered commits,
+so two writers never hide each other's weeks and a reader may stay at a number.  Every path is caller-supplied (any Hadoop
 URI); connection options for JDBC as well.
 """
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +28,7 @@ from pyspark.sql import types as T
 from fleetpulse import catalog as C
 from fleetpulse.functions.rules import RAW_RULE_SCHEMA, literal_rows, parse_rules
 
+HEADER_READERS = 32             # exports whose first lines are read at a time
 RESULT_SETS = ("critical", "warning", "bounds", "density", "quarantine")
 
 # Cell texts that mean a missing value in the exports.
@@ -83,27 +88,44 @@ def latest_exports(files: list[str], n_weeks: int) -> list[str]:
     return [f for f in files if week_of(f) in weeks]
 
 
-def header_of(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[str, ...]:
-    """Column names of one export: only its first line is read."""
+def first_line(spark: SparkSession, path: str, encoding: str | None = None) -> str | None:
+    """The first line of one export (of its first part file); nothing else is read."""
     jvm = spark.sparkContext._jvm
     at, fs = _file_system(spark, path)
     if fs.getFileStatus(at).isDirectory():
         parts = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")),
                        key=lambda q: q.getName())
         if not parts:
-            return ()
+            return None
         at = parts[0]
     stream = fs.open(at)
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding or "UTF-8"))
-        line = reader.readLine()
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding or "UTF-8")).readLine()
     finally:
         stream.close()
-    if line is None:
-        return ()
-    parsed = spark.range(1).select(F.from_csv(F.lit(line), ", ".join(f"c{k} string" for k in range(line.count(",") + 1)))
-                                   .alias("h")).select("h.*").first()
-    return tuple(c.lstrip("\ufeff") for c in parsed if c is not None)
+
+
+def parse_header(line: str | None) -> tuple[str, ...]:
+    """Column names in a header line (quoted names may hold commas)."""
+    cells = next(csv.reader([line]), []) if line else []
+    return tuple(c.lstrip("\ufeff").strip() for c in cells)
+
+
+def header_of(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[str, ...]:
+    """Column names of one export: only its first line is read."""
+    return parse_header(first_line(spark, path, encoding))
+
+
+def header_index(spark: SparkSession, files: list[str], encoding: str | None = None) -> dict[tuple[str, ...], list[str]]:
+    """The exports by header.  First lines are read side by side, without a Spark job, and each distinct line is
+    parsed once, however many exports have it."""
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        lines = list(pool.map(lambda f: first_line(spark, f, encoding), files))
+    headers = {line: parse_header(line) for line in set(lines)}
+    out: dict[tuple[str, ...], list[str]] = {}
+    for f, line in zip(files, lines, strict=True):
+        out.setdefault(headers[line], []).append(f)
+    return out
 
 
 def present_text(cell: Column) -> Column:
@@ -161,11 +183,8 @@ def read_telemetry_csv(spark: SparkSession, paths, items: list[str] | None = Non
     if schema is not None:
         df = reader.schema(schema).csv(files) if files else empty_frame(spark, schema)
         return _with_week(df) if batch_from_file else df
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        by_header.setdefault(header_of(spark, f, encoding), []).append(f)
     scans = []
-    for header, same in sorted(by_header.items()):
+    for header, same in sorted(header_index(spark, files, encoding).items()):
         if header:
             scan = reader.schema(text_schema(header)).csv(same)
             scans.append(telemetry_columns(_with_week(scan) if batch_from_file else scan, list(items or []),
@@ -231,8 +250,8 @@ def write_result_set(df: DataFrame, path: str, fmt: str = "parquet", partition_b
     cols = [c for c in partition_by if c in df.columns]
     if single_file:
         df = df.coalesce(1)
-    if sort_by:
-        df = df.sortWithinPartitions(*sort_by)
+    if sort_by:                # behind the folders, as the writer would sort anew by them
+        df = df.sortWithinPartitions(*cols, *sort_by)
     w = df.write.mode(mode)
     if cols:
         w = w.partitionBy(*cols)
@@ -257,15 +276,14 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return (reader.option("header", True) if fmt == "csv" else reader).load(path)
 
 
-def write_screening(results: dict[str, DataFrame], base: str, fmt: str = "parquet", batches: DataFrame | None = None,
-                    run: str | None = None, sort_by=()) -> str:
-    """Stores the result sets of one run; returns the run's name.
+def write_run(results: dict[str, DataFrame], base: str, fmt: str = "parquet", batches: DataFrame | None = None,
+              run: str | None = None, sort_by=()) -> str:
+    """Writes the result sets of one run; returns the run's name.  Readers do not see it before :func:`commit_run`.
 
     Each set goes to ``base/<name>/run=<run>`` (partitioned by batch and item),
-    its schema to ``base/_schema/<name>`` (apart from the data), and last the
-    run's batches to ``base/runs/run=<run>``: only then do readers see the run.
-    ``batches``: the batches that were screened, default those of the bounds.
-    A run that is repeated under its name replaces itself.
+    its schema to ``base/_schema/<name>`` (apart from the data), and the run's
+    batches to ``base/runs/run=<run>``.  ``batches``: the batches that were
+    screened, default those of the bounds.
     """
     base, run = base.rstrip("/"), run or uuid.uuid4().hex
     sets = {k: v for k, v in results.items() if v is not None}
@@ -277,32 +295,88 @@ def write_screening(results: dict[str, DataFrame], base: str, fmt: str = "parque
     return run
 
 
-def read_runs(spark: SparkSession, base: str) -> DataFrame:
-    """``batch, run``: the run that holds the results of each batch (the latest one written)."""
+# Fixed value: name of a commit file.
+COMMIT = re.compile(r"(\d{10})\.commit$")
+
+
+def commits(spark: SparkSession, base: str, version: int | None = None) -> list[tuple[int, str]]:
+    """``version, run`` of every commit, oldest first, up to ``version``."""
+    at, fs = _file_system(spark, f"{base.rstrip('/')}/commits")
+    if not fs.exists(at):
+        return []
+    found = sorted((int(m.group(1)), f.getPath().toString()) for f in fs.listStatus(at) if (m := COMMIT.search(f.getPath().getName())))
+    runs = [(v, first_line(spark, path)) for v, path in found if version is None or v <= version]
+    return [(v, run) for v, run in runs if run]            # a commit that was never filled belongs to a writer that died
+
+
+def commit_run(spark: SparkSession, base: str, run: str) -> int:
+    """Makes a written run visible; returns its version.
+
+    A version is a file that only one writer can create: whoever finds it taken tries the next number.  The order
+    of versions, not a clock, decides which run holds a batch.  (The file system must create files exclusively, as
+    HDFS and the object stores with conditional writes do; Hadoop's local one does not, so Python creates the file.)"""
+    folder = f"{base.rstrip('/')}/commits"
+    at, fs = _file_system(spark, folder)
+    fs.mkdirs(at)
+    taken = [int(m.group(1)) for f in fs.listStatus(at) if (m := COMMIT.search(f.getPath().getName()))]
+    version = max(taken, default=0) + 1
+    while True:
+        path, _ = _file_system(spark, f"{folder}/{version:010d}.commit")
+        try:
+            if fs.getUri().getScheme() == "file":
+                out = open(path.toUri().getPath(), "xb")
+            else:
+                out = fs.create(path, False)
+        except (FileExistsError, Py4JJavaError):
+            if not fs.exists(path):
+                raise
+            version += 1
+            continue
+        out.write(bytearray(run.encode()))
+        out.close()
+        return version
+
+
+def write_screening(results: dict[str, DataFrame], base: str, fmt: str = "parquet", batches: DataFrame | None = None,
+                    run: str | None = None, sort_by=()) -> str:
+    """Writes and commits the result sets of one run (:func:`write_run`, :func:`commit_run`); returns its name.
+
+    A run that is repeated under its name replaces itself."""
+    run = write_run(results, base, fmt, batches, run, sort_by)
+    spark = next(df for df in results.values() if df is not None).sparkSession
+    commit_run(spark, base, run)
+    return run
+
+
+def read_runs(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
+    """``batch, run``: the run that holds the results of each batch, by the last commit, or as of ``version``."""
+    known = commits(spark, base, version)
     runs = spark.read.parquet(f"{base.rstrip('/')}/runs")
-    return runs.groupBy("batch").agg(F.max(F.struct("written_at", "run_name")).alias("r")) \
-        .select("batch", F.col("r.run_name").alias("run"))
+    schema = T.StructType([T.StructField("version", T.LongType()), T.StructField("run_name", T.StringType())])
+    order = literal_rows(spark, known, schema) if known else empty_frame(spark, schema)
+    return runs.join(order, "run_name").groupBy("batch").agg(F.max_by("run_name", "version").alias("run"))
 
 
-def newest_batch(spark: SparkSession, base: str):
+def newest_batch(spark: SparkSession, base: str, version: int | None = None):
     """The newest batch that was screened, whether or not any drive was listed."""
-    return read_runs(spark, base).agg(F.max("batch")).first()[0]
+    return read_runs(spark, base, version).agg(F.max("batch")).first()[0]
 
 
 def read_result_set(spark: SparkSession, base: str, name: str, fmt: str = "parquet",
-                    latest_only: bool = False) -> DataFrame:
+                    latest_only: bool = False, version: int | None = None) -> DataFrame:
     """A result set over all batches, each from its latest run; ``latest_only`` gives the
-    newest batch of the record of runs, which may be empty."""
+    newest batch of the record of runs, which may be empty.  ``version`` reads the store as
+    of that commit, whatever was committed since."""
     base = base.rstrip("/")
     path = f"{base}/{name}"
     schema = _kept_schema(spark, f"{base}/_schema/{name}")
-    runs = read_runs(spark, base).withColumnRenamed("batch", "run_batch").withColumnRenamed("run", "run_name")
+    runs = read_runs(spark, base, version).withColumnRenamed("batch", "run_batch").withColumnRenamed("run", "run_name")
     reader = spark.read.format(fmt).schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())]))
     if fmt == "csv":
         reader = reader.option("header", True)
     df = reader.load(path)
     if latest_only:
-        newest = newest_batch(spark, base)
+        newest = newest_batch(spark, base, version)
         df = df.where(F.col("batch") == F.lit(newest))
     return df.join(runs, (df["batch"] == runs["run_batch"]) & (df["run"] == runs["run_name"]), "left_semi").drop("run")
 
