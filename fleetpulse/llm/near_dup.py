@@ -9,9 +9,11 @@ A document is the set of its five-word shingles, hashed to 64 bits.
    minwise coordinates (by a hash of the path that leads to it) and branches
    its classes by their token there, which similar sets share with the
    probability of their similarity.  Nodes of one class end, nodes of up to
-   ``leaf`` classes are compared exhaustively, larger ones branch again.  What
-   is still larger at ``depth`` levels is compared through a pivot: all
-   members with the pivot, then those not alike, block by block, with all
+   ``leaf`` classes are compared exhaustively.  A larger one is compared with a
+   pivot: if at most ``leaf`` members are unlike it (near copies of one text
+   and a few others) it ends, too, else it branches again.  Larger nodes that
+   ended, also for being ``depth`` levels deep, are compared through the pivot:
+   all members with it, then those not alike, block by block, with all
    members.  So nothing is capped, and no task holds more than two blocks.
    Classes whose nodes branched deep (many documents that share a passage) are
    grown in further trees, as many as their deepest level asks for.
@@ -236,7 +238,7 @@ def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth:
     needed = [max(trees, trees_needed(percent, max(1, level))) for level in range(depth + 1)]
     growing, ended = classes.select("cls", "mins", F.lit(0).alias("grown"), F.lit(trees).alias("wanted")), None
     while True:
-        done, deep = _grow(growing, classes, trees, leaf, depth, needed)
+        done, deep = _grow(growing, classes, trees, leaf, depth, needed, percent)
         ended = done if ended is None else ended.unionByName(done)
         if deep is None:
             return ended
@@ -247,8 +249,27 @@ def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth:
             return ended
 
 
+def _through_pivot(large: DataFrame, classes: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """``node``: the large nodes with at most ``leaf`` members unlike a pivot, which are best compared through it."""
+    least = _least_share(percent)
+
+    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, p = np.asarray(batch.column("n")), np.asarray(batch.column("pivot_n"))
+            near = np.minimum(n, p) * 100 >= percent * np.maximum(n, p)
+            near &= (_sketches(batch.column("sketch")) == _sketches(batch.column("pivot_sketch"))).mean(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((~near).astype(np.int64))], names=["node", "apart"])
+
+    rows = large.select("node", "cls").join(classes.select("cls", "n", "sketch"), "cls")
+    pivots = large.groupBy("node").agg(F.min("cls").alias("cls")).join(classes.select("cls", "n", "sketch"), "cls") \
+        .select("node", F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+    judged = rows.join(pivots, "node").select("node", "n", "sketch", "pivot_n", "pivot_sketch") \
+        .mapInArrow(unlike, "node bigint, apart bigint")
+    return materialize(judged.groupBy("node").agg(F.sum("apart").alias("apart")).where(F.col("apart") <= leaf).select("node"), "near-ending")
+
+
 def _grow(growing: DataFrame, classes: DataFrame, trees: int, leaf: int, depth: int,
-          needed: list[int]) -> tuple[DataFrame, DataFrame | None]:
+          needed: list[int], percent: int) -> tuple[DataFrame, DataFrame | None]:
     """The members of the nodes where the trees of ``growing`` end, and ``cls, needed`` of the classes that
     branched to levels which need more than ``trees`` trees.
 
@@ -264,6 +285,9 @@ def _grow(growing: DataFrame, classes: DataFrame, trees: int, leaf: int, depth:
         ended = done if ended is None else ended.unionByName(done)
         if not more:
             break
+        ending = _through_pivot(large, classes, percent, leaf)
+        ended = ended.unionByName(large.join(ending, "node", "left_semi").select("node", "cls"))
+        large = large.join(ending, "node", "left_anti")
         if needed[level + 2] > trees:
             passed = large.select("cls", F.lit(needed[level + 2]).alias("needed"))
             deep = passed if deep is None else deep.unionByName(passed)
@@ -349,10 +373,13 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
 
     def star(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            flag = []
-            for n, payload, pn, pp in frame[["n", "payload", "pivot_n", "pivot_payload"]].itertuples(index=False):
-                flag.append(bool(linked(load(np.array([pn, n]), np.array([pp, payload], object)), 0, np.array([1]))[0]))
-            yield frame[["node", "cls", "pivot", "size", "n", "payload"]].assign(near=flag)
+            near = np.zeros(len(frame), bool)
+            for at in frame.groupby("node").indices.values():      # the pivot first, then its members in this batch
+                one = frame.iloc[at[0]]
+                data = load(np.append(one["pivot_n"], frame["n"].to_numpy()[at]),
+                            np.concatenate([np.array([one["pivot_payload"]], object), frame["payload"].to_numpy()[at]]))
+                near[at] = linked(data, 0, np.arange(1, len(at) + 1))
+            yield frame[["node", "cls", "pivot", "size", "n", "payload"]].assign(near=near)
 
     big = members.join(large, "node")
     pivots = big.where(F.col("cls") == F.col("pivot")).select(
@@ -393,10 +420,19 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
     return small.unionByName(stars).unionByName(blocks.where(F.col("a") != F.col("b")))
 
 
-def _by_tokens(percent: int) -> tuple[Callable, Callable]:
-    """Alike by length and the low bytes of the minwise tokens, with a tolerance of 4.5 standard errors."""
+def _least_share(percent: int) -> float:
+    """Least share of equal tokens of a pair that may be linked: a tolerance of 4.5 standard errors."""
     s = percent / 100
-    least = s - 4.5 * (s * (1 - s) / K) ** 0.5
+    return s - 4.5 * (s * (1 - s) / K) ** 0.5
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, K)
+
+
+def _by_tokens(percent: int) -> tuple[Callable, Callable]:
+    """Alike by length and the low bytes of the minwise tokens, with a tolerance (``_least_share``)."""
+    least = _least_share(percent)
 
     def load(n, payload):
         return n, np.frombuffer(b"".join(payload), np.uint8).reshape(-1, K)
@@ -429,11 +465,11 @@ def _by_sets(percent: int) -> tuple[Callable, Callable]:
 
 
 # ---------------------------------------------------------------- components
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``member, root`` (the smallest member reachable) of every node of ``links``, by alternating stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges, before = materialize(edges, "near-edges"), None
-    for _ in range(most):
+    while True:                                            # every round that changes something gets nearer to stars
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -445,8 +481,6 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
         edges = materialize(small.select("e.*").where("u != v").distinct(), "near-edges")
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("member"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("member"), F.col("v").alias("root")).distinct())
 

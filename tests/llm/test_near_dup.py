@@ -65,7 +65,7 @@ def run(spark, rows, **options):
     return sorted((tuple(r) for r in got.drop("text_hash").collect()), key=str)
 
 
-@pytest.mark.parametrize("percent, options", [(85, {}), (70, {"leaf": 4, "depth": 2, "trees": 16})])
+@pytest.mark.parametrize("percent, options", [(85, {}), (85, {"leaf": 2}), (70, {"leaf": 4, "depth": 2, "trees": 16})])
 def test_components_match_brute_force(spark, percent, options):
     rows = corpus(percent)
     got = [(i, n, c, k) for i, n, c, k in run(spark, rows, percent=percent, **options)]
@@ -86,14 +86,36 @@ def test_pairs_in_deep_nodes_meet(spark):
         both = rng.choice(np.setdiff1d(np.arange(N.K), own), 3, replace=False)
         a[both] = b[both] = rng.integers(0, 1 << 32, 3)
         mins += [a, b]
-    classes = spark.createDataFrame([(k.to_bytes(4, "big"), m.astype(np.uint32).tobytes()) for k, m in enumerate(mins)],
-                                    "cls binary, mins binary")
+    # sketches of which none are alike, so that no node ends through a pivot
+    classes = spark.createDataFrame([(k.to_bytes(4, "big"), m.astype(np.uint32).tobytes(), 100, rng.bytes(N.K)) for k, m in enumerate(mins)],
+                                    "cls binary, mins binary, n long, sketch binary")
     nodes = defaultdict(set)
     for r in N.tree_nodes(classes, leaf=16).collect():
         nodes[int.from_bytes(r.cls, "big")].add(r.node)
     assert [k for k in range(0, len(mins), 2) if not nodes[k] & nodes[k + 1]] == []
 
 
+def test_near_copies_end_through_a_pivot(spark):
+    """3,000 near copies of one text beside 300 documents that share less: their nodes end at the first levels, in the
+    first trees, with all members in them."""
+    rng = np.random.default_rng(6)
+    text, mins = rng.integers(0, 1 << 32, N.K), []
+    for k in range(3300):
+        own = rng.permutation(N.K)[:4 if k < 3000 else 30]
+        m = text.copy()
+        m[own] = rng.integers(0, 1 << 32, len(own))
+        mins.append(m.astype(np.uint32))
+    rows = [(k.to_bytes(4, "big"), m.tobytes(), 100, m.astype(np.uint8).tobytes()) for k, m in enumerate(mins)]
+    classes = spark.createDataFrame(rows, "cls binary, mins binary, n long, sketch binary")
+    ended = N.tree_nodes(classes, percent=85).groupBy("node").count().collect()
+    assert sum(r["count"] > 2000 for r in ended) == N.TREES                   # a node per tree, at the first level
+    assert sum(r["count"] for r in ended) <= N.TREES * len(mins)
+    spread = defaultdict(set)
+    for r in N.tree_nodes(classes, percent=85).collect():
+        spread[int.from_bytes(r.cls, "big")].add(r.node)
+    assert [k for k in range(1, 3000) if not spread[0] & spread[k]] == []
+
+
 def test_trees_needed_keeps_the_target():
     assert N.trees_needed(85, 2) <= N.TREES and N.trees_needed(80, 2) <= N.TREES
     for percent, level in ((85, 4), (80, 8)):
