@@ -39,13 +39,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import same
-from fleetpulse.llm.token_store import ENCODE_DOCS, END_ID, PieceIds, _ragged, byte_level
+from fleetpulse.llm.token_store import END_ID, PieceIds, _ragged, byte_level
 from fleetpulse.session import materialize
 
 CAPACITY = 2048
 GROUPS = 192
 SMALL = (1 / 4, 1 / 3, 1 / 2)   # of the capacity: thresholds tried
 ROUNDS = 400                    # of column generation, at most
+REMEMBERED = 400_000            # words in each of two generations
+ENCODE_DOCS = 1024              # texts at a time
 
 
 # ---------------------------------------------------------------- encoding
@@ -60,7 +62,7 @@ class WordIds(PieceIds):
     _MARKS = ".,;:!?"
     _SEPARATORS = "\x1c\x1d\x1e\x1f"                       # white space for str.split only
 
-    def __init__(self, tokenizer_path: str, remembered: int = 400_000):
+    def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         super().__init__(tokenizer_path, remembered)
         self.stems: dict[str, list[int]] = {}
         self.model = self.tokenizer.model.tokenize

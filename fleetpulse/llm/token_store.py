@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 from fleetpulse.llm.common import same
 from fleetpulse.session import materialize, scratch_path
 
-SHARD_BYTES = 32 << 20          # of text per payload file
+SHARD_BYTES = 16 << 20          # of text per payload file
+ROW_BYTES = 64                  # that a row counts for besides its text
 BUCKET_KEYS = 1 << 16           # keys per index file, at most on average
 LEAST_BUCKETS = 128             # so that small corpora are indexed in parallel, too
 END_ID = 0
-REMEMBERED = 400_000            # parts in each of two generations
-ENCODE_DOCS = 1024              # texts at a time
+REMEMBERED = 300_000            # parts in each of two generations
+ENCODE_DOCS = 256               # texts at a time
 LEVELS = 64
 GAMMA = 2.0
 
@@ -210,16 +211,17 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str, order: list |
     """Payload files under ``root/payload``; a row per document: ``doc_id, copy, shard, path,
     width, offset, n_tokens`` (width: bytes of an id).
 
-    Documents stand in ``order`` (default: the id), rows alike in it by a hash of the text.  Rows alike in
-    ``order`` are in one shard.  ``copy`` numbers the rows that share an id."""
-    by_id, order = order is None, order or [F.col(id_col)]
+    Documents stand in ``order`` (default: the id), rows alike in it by a hash of the text.  Alike rows are dealt over
+    several shards like any others.  ``copy`` numbers the rows that share an id."""
+    order = order or [F.col(id_col)]
     key_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-                       .alias("text"), *[c.alias(f"o{k}") for k, c in enumerate(order)])
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    keys = [f"o{k}" for k in range(len(order))]
-    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *keys) \
-        .sortWithinPartitions(*keys, F.xxhash64("text"))
+                       .alias("text"), *[c.alias(f"o{k}") for k, c in enumerate(order)],
+                       F.monotonically_increasing_id().alias("row"))
+    # a row counts for some bytes besides its text, so that empty texts fill shards, too
+    total = rows.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
+    keys = [*[f"o{k}" for k in range(len(order))], F.xxhash64("text"), "row"]
+    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *keys).sortWithinPartitions(*keys)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, context = _pieces(tokenizer_path), TaskContext.get()
@@ -248,7 +250,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str, order: list |
     written = materialize(dealt.select("doc_id", "text").mapInArrow(
         write, f"doc_id {key_type}, copy int, shard int, path string, width int, offset bigint, n_tokens bigint"),
         "token-entries")
-    return written if by_id else _number_copies(written)
+    return _number_copies(written)
 
 
 def _number_copies(entries: DataFrame) -> DataFrame:

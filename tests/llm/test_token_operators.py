@@ -118,3 +118,18 @@ def test_keys_that_are_not_stored_give_no_row(spark):
     index = TS.write_index(entries, root, 4)
     asked = spark.createDataFrame([(2, 0), (3, 0), (3, 1), (3, 2), (77, 0)], "doc_id long, copy int")
     assert sorted((r.doc_id, r.copy) for r in TS.look_up(asked, index, 4).collect()) == [(2, 0), (3, 0), (3, 1)]
+
+
+@pytest.mark.parametrize("text, one_id", [("", False), ("b b", True), (None, True)])
+def test_many_alike_rows_fill_several_shards(spark, text, one_id):
+    """Empty texts, and one id (or none) repeated: dealt over shards, every row with a place and a copy number of its own."""
+    n, each = 20_000, 1 if not text else 3
+    docs = spark.range(n).select(
+        (F.lit(None).cast("long") if one_id and text is None else F.lit(7) if one_id else F.col("id")).alias("doc_id"),
+        F.lit(text).cast("string").alias("text")).repartition(4)
+    got = TS.store_tokens(docs, BYTES, shard_bytes=200_000)
+    assert got.select("shard").distinct().count() > 4
+    assert got.groupBy("shard").count().agg(F.max("count")).first()[0] < n / 3
+    rows = sorted((r.start, r.n_tokens, r.copy) for r in got.collect())
+    assert [r[0] for r in rows] == [each * k for k in range(n)] and {r[1] for r in rows} == {each}
+    assert sorted(r[2] for r in rows) == (list(range(n)) if one_id else [0] * n)
