@@ -1217,6 +1217,25 @@ def q_interleaved_runs(spark, sf_dir):
         part("version 1", io.read_result_set(spark, base, "critical", version=first))).unionByName(weeks)
 
 
+# ---------------------------------------------------------------- last readings, week by week
+@register("last_readings_merged", """
+SELECT user_id, ts, event_id, event_type, value, week FROM
+  (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week FROM events)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def q_last_readings_merged(spark, sf_dir):
+    """The weeks before the newest make the stored table; the newest week is merged into it, and then
+    all weeks but the newest come again, which changes nothing."""
+    from fleetpulse.session import scratch_path
+    from fleetpulse.sources import lastread as LR
+    raw, base = with_week(TB.read(spark, sf_dir, "events")), scratch_path(spark, "last-readings")
+    raw = raw.select("user_id", "ts", "event_id", "event_type", "value", "week")
+    top = raw.select(F.max("week")).scalar()
+    keys, order = TB.EVENTS.reading_keys(), TB.EVENTS.order_cols()
+    for part in (F.col("week") < top, F.col("week") == top, F.col("week") < top):
+        LR.merge_last(raw.where(part), base, keys, order, buckets=8)
+    return LR.read_last(spark, base, raw, buckets=8).drop(LR.KEY)
+
+
 # ---------------------------------------------------------------- encoded exports, rulebase files, sorted exports
 @register("csv_encoded", """
 SELECT event_id::DOUBLE AS media_errors, 'Zürich é ' || (event_id % 7)::VARCHAR AS cluster, event_type AS firmware FROM events""")

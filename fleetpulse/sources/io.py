@@ -309,8 +309,13 @@ def commits(spark: SparkSession, base: str, version: int | None = None) -> list[
     return [(v, run) for v, run in runs if run]            # a commit that was never filled belongs to a writer that died
 
 
-def commit_run(spark: SparkSession, base: str, run: str) -> int:
-    """Makes a written run visible; returns its version.
+class StaleVersion(RuntimeError):
+    """Another run was committed since the version this one builds on."""
+
+
+def commit_run(spark: SparkSession, base: str, run: str, after: int | None = None) -> int:
+    """Makes a written run visible; returns its version.  A run that builds on version ``after`` gets the next number
+    or, where that is taken, :class:`StaleVersion` (a file left empty by a writer that died has to be removed first).
 
     A version is a file that only one writer can create: whoever finds it taken tries the next number.  The order
     of versions, not a clock, decides which run holds a batch.  (The file system must create files exclusively, as
@@ -319,7 +324,7 @@ def commit_run(spark: SparkSession, base: str, run: str) -> int:
     at, fs = _file_system(spark, folder)
     fs.mkdirs(at)
     taken = [int(m.group(1)) for f in fs.listStatus(at) if (m := COMMIT.search(f.getPath().getName()))]
-    version = max(taken, default=0) + 1
+    version = (max(taken, default=0) if after is None else after) + 1
     while True:
         path, _ = _file_system(spark, f"{folder}/{version:010d}.commit")
         try:
@@ -330,6 +335,8 @@ def commit_run(spark: SparkSession, base: str, run: str) -> int:
         except (FileExistsError, Py4JJavaError):
             if not fs.exists(path):
                 raise
+            if after is not None:
+                raise StaleVersion(f"version {version} of {base} is taken") from None
             version += 1
             continue
         out.write(bytearray(run.encode()))

@@ -1,15 +1,18 @@
 """History by data skipping, commits of runs, matrices in blocks, distinct rows, header index."""
 
+import pathlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetpulse.operators import daily as D
 from fleetpulse.operators import distinct as U
 from fleetpulse.operators import matrix as X
 from fleetpulse.sources import history as HS
 from fleetpulse.sources import io
+from fleetpulse.sources import lastread as LR
 
 
 # ---------------------------------------------------------------- history
@@ -168,3 +171,38 @@ def test_headers_of_many_exports_without_a_job(spark, tmp_dir):
     got = sorted((r.DriveSerialNumber, r.Temperature) for r in df.collect())
     assert got == sorted((f"d{k}", float(k)) for k in range(500) if k % 3 < 2)
     assert io.parse_header('a,"b ""c"", d", e ') == ("a", 'b "c", d', "e")
+
+
+# ---------------------------------------------------------------- last readings, week by week
+READINGS = "drive string, log string, ts long, no long, value double"
+
+
+def test_last_readings_merge_without_moving_the_store(spark, tmp_dir):
+    rng, base, seen = random.Random(11), f"{tmp_dir}/last", []
+    for week in range(4):
+        rows = [(rng.choice(["hot", "hot", None, "", f"d{rng.randrange(200)}"]), rng.choice(["a", None]),
+                 rng.choice([None, rng.randrange(1000)]), 1000 * week + k, rng.random()) for k in range(500)]
+        seen += rows
+        new = spark.createDataFrame(rows, READINGS)
+        if week:
+            stored = LR.read_last(spark, base, new, buckets=4)
+            plan = LR.merged(stored, new, ["drive", "log"], ["ts", "no"])._jdf.queryExecution().toString()
+            old, of_new = plan.split("== Physical Plan ==")[1].split("Bucketed: true")[0], plan.count("Exchange")
+            assert "Bucketed: true" in plan and "Exchange" not in old and of_new == 2       # keep-last, then the buckets
+        assert LR.merge_last(new, base, ["drive", "log"], ["ts", "no"], buckets=4) == week + 1
+        want = D.keep_last(spark.createDataFrame(seen, READINGS), ["drive", "log"], ["ts", "no"])
+        got = LR.read_last(spark, base, new, buckets=4)
+        assert sorted(map(str, got.drop(LR.KEY).collect())) == sorted(map(str, want.collect()))
+    files = [f for f in (pathlib.Path(base) / io.commits(spark, base)[-1][1]).glob("*.parquet")]
+    assert 0 < len(files) <= 4                                                               # one a bucket
+    assert LR.read_last(spark, base, new, version=1, buckets=4).agg(F.max("no")).first()[0] < 1000
+    with pytest.raises(io.StaleVersion):
+        io.commit_run(spark, base, "version=late", after=3)
+
+
+def test_last_readings_of_nothing(spark, tmp_dir):
+    none = spark.createDataFrame([], READINGS)
+    assert LR.read_last(spark, f"{tmp_dir}/none", none) is None
+    assert LR.merge_last(none, f"{tmp_dir}/none", ["drive"], ["ts"], buckets=2) == 1
+    assert LR.merge_last(none, f"{tmp_dir}/none", ["drive"], ["ts"], buckets=2) == 2
+    assert LR.read_last(spark, f"{tmp_dir}/none", none, buckets=2).count() == 0
