@@ -5,9 +5,11 @@ Texts travel in Arrow batches and only lengths come back.  A text is cut at
 space after any character but a space or the word mark, and not at the end: no
 piece of the vocabulary holds a word mark after another character, so no merge
 crosses it, and the tokenizer puts the mark back in front of the next part.
-The cut bounds the work of one call whatever the length of the text; the
-parts' lengths are remembered per worker in a table of bounded size, as words
-repeat.
+The parts that a batch brings anew go to the tokenizer as one list, in an
+encoding call over the whole batch; their lengths are remembered per worker in
+a table of bounded size, as words repeat.  Arrow batches are cut into batches
+of about ``BATCH_BYTES`` of text (one text at least), so that a call is bounded
+by bytes and not by rows.
 
 Tasks are balanced by bytes twice: the scan deals splits of like size, and a
 text beyond ``long_bytes`` is cut into segments (at safe boundaries again)
@@ -20,8 +22,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ SPACE_MARK = "▁"
 REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 48
 LONG_BYTES = 1 << 20
+BATCH_BYTES = 1 << 20
 _BOUNDARY = re.compile(f"(?<=[^ {SPACE_MARK}]) (?=.)", re.DOTALL)
 
 
@@ -52,22 +57,38 @@ def segments(text: str | None, most: int) -> list[str]:
 
 
 class PartLengths(dict):
-    """Token count by part: encodes what it has not seen, remembers short parts, starts anew when full."""
+    """Token count by part; short parts are remembered, and all is forgotten when the table is full."""
 
     def __init__(self, encode, remembered: int = REMEMBERED):
         super().__init__()
-        self.encode, self.remembered = encode, remembered
-
-    def __missing__(self, part: str) -> int:
-        n = len(self.encode(part))
-        if len(part) <= LONGEST_REMEMBERED:
-            if len(self) >= self.remembered:
-                self.clear()
-            self[part] = n
-        return n
-
-    def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, safe_parts(text))) if text else 0
+        self.encode, self.remembered = encode, remembered      # encode: list of texts -> list of ids of each
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Token counts of a batch of texts: one encoding call for the parts not remembered."""
+        split = [safe_parts(t) if t else [] for t in texts]
+        new = list({p for parts in split for p in parts if p not in self})
+        lengths = dict(zip(new, map(len, self.encode(new)), strict=True)) if new else {}
+        known = [sum(lengths[p] if p in lengths else self[p] for p in parts) for parts in split]
+        short = {p: n for p, n in lengths.items() if len(p) <= LONGEST_REMEMBERED}
+        if len(self) + len(short) > self.remembered:
+            self.clear()
+        self.update(islice(short.items(), self.remembered))
+        return known
+
+    def count(self, text: str | None) -> int:
+        return self.counts([text])[0]
+
+
+def byte_batches(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of ``most`` bytes together, one text at least."""
+    begin, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > begin and total + size > most:
+            yield begin, k
+            begin, total = k, 0
+        total += size
+    if sizes:
+        yield begin, len(sizes)
 
 
 @cache
@@ -78,7 +99,7 @@ def _counter(model_path: str) -> PartLengths:
     crossing = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if SPACE_MARK in p.lstrip(SPACE_MARK)]
     if crossing or model.encode("a") != model.encode("a b")[:1] or model.encode("b") != model.encode("a b")[1:]:
         raise ValueError(f"texts cannot be cut at spaces for this vocabulary: {crossing[:5]}")
-    return PartLengths(model.encode)
+    return PartLengths(lambda parts: model.encode(parts, num_threads=1))
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id",
@@ -93,7 +114,9 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model_path)
         for batch in batches:
-            n = [counter.count(x.as_py()) for x in batch.column("text")]
+            text = batch.column("text")
+            n = [k for begin, end in byte_batches(pc.fill_null(pc.binary_length(text), 0).to_pylist())
+                 for k in counter.counts(text.slice(begin, end - begin).to_pylist())]
             rest = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64())],
                                              names=[*batch.schema.names[:-1], "n_tokens"])

@@ -36,6 +36,15 @@ def test_cuts_never_change_counts():
         parts = TC.segments(text, 4)
         assert sum(len(model.encode(p)) for p in parts) == n, repr(text)
     assert len(counter) <= 50
+    texts = [*odd_texts(3000, seed=5), None, ""]               # batches: one encoding call for all that is new
+    for begin, end in TC.byte_batches([len((t or "").encode()) for t in texts], 700):
+        assert counter.counts(texts[begin:end]) == [len(model.encode(t or "")) for t in texts[begin:end]]
+
+
+def test_batches_are_balanced_by_bytes():
+    assert list(TC.byte_batches([])) == []
+    assert list(TC.byte_batches([900, 1, 2, 300, 5, 5], 10)) == [(0, 1), (1, 3), (3, 4), (4, 6)]
+    assert list(TC.byte_batches([0] * 5, 10)) == [(0, 5)]
 
 
 def test_parts_give_the_same_ids():
