@@ -12,8 +12,9 @@ from html.parser import HTMLParser
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre
     search section select summary table tbody td tfoot th thead tr ul""".split())
+FALLBACK = frozenset("audio canvas iframe noscript object video".split())    # what they hold is text of its own
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title template noscript svg math iframe object canvas audio video datalist".split())
+UNSEEN = frozenset("head title template datalist annotation".split())        # their text is not of the page
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
 HOLDERS = frozenset("ul ol menu dl table select".split())
@@ -39,13 +40,13 @@ class _Reader(HTMLParser):
         self.path = None
 
     def handle_starttag(self, tag, attrs):
-        if tag in UNSEEN:
-            self.unseen += 1
-            return
         if tag == "br":
             self.parts.append(" ")
-        if tag == "body":
-            self.unseen = 0                                  # a head that was never closed
+        if tag in FALLBACK:
+            self.end_block()
+        if self.unseen and (tag == "body" or tag in BLOCK):  # a head or title that was never closed
+            self._close({"title"}, ())
+            self._close({"head"}, ())
         if tag in BLOCK:
             self.end_block()
             self._close({"p"}, ())
@@ -63,6 +64,7 @@ class _Reader(HTMLParser):
                     key == "style" and _HIDDEN.search(value or "")):
                 names.append("hidden")
         self.open.append((tag, tuple(names)))
+        self.unseen += tag in UNSEEN
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -79,17 +81,17 @@ class _Reader(HTMLParser):
 
     def _pop(self, k: int) -> None:
         self.links -= sum(tag == "a" for tag, _ in self.open[k:])
+        self.unseen -= sum(tag in UNSEEN for tag, _ in self.open[k:])
         del self.open[k:]
 
     def handle_endtag(self, tag):
-        if tag in UNSEEN:
-            self.unseen = max(0, self.unseen - 1)
-            return
-        if tag in BLOCK:
+        if tag in BLOCK or tag in FALLBACK:
             self.end_block()
         self._close({tag}, ())
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._close({"head"}, ())                        # text ends a head that was never closed
         if self.unseen or (self.open and self.open[-1][0] in ("script", "style")):
             return
         if self.path is None and not data.isspace():
@@ -104,7 +106,12 @@ class _Reader(HTMLParser):
 
 def leaf_blocks(html: str | None) -> list[tuple[tuple, str, int]]:
     """``(path, text, linked characters)`` of each block in page order; the path is a tuple of (tag, names)
-    from the root down.  Scripts, styles, comments and the head give no blocks; white space is collapsed."""
+    from the root down.  White space is collapsed.
+
+    Scripts, styles, comments, the head, titles, templates, choices of an input (datalist) and the annotation of a
+    formula give no blocks.  Other elements do, whatever they are: formulas and drawings stand in their block, the text
+    of noscript, object, iframe, canvas, audio and video is a block of its own.  An unclosed element ends with its
+    parent; an unclosed head or title at the next block."""
     reader = _Reader()
     reader.feed((html or "").replace("\x00", ""))
     reader.close()

@@ -285,13 +285,18 @@ def lay_out(main: list[str], other: list[str], rng: random.Random) -> str:
                 some_text(rng.random() < 0.5)) for _ in range(rng.randint(1, 3)))
             if role == "footer" and rng.random() < 0.7:
                 inner = f"&copy; {some_text(False)} &middot; {inner}"
+        if rng.random() < 0.04:
+            holder = rng.choice(["noscript", "iframe", "video", "object"])
+            inner = f"<{holder}>{some_text(rng.random() < 0.5)}</{holder}>{inner}"
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def body_block(text: str) -> str:
         text = _MARK + _escape(text)
         return rng.choice(["<p>{}</p>"] * 8 + ["<p>{}", "<p><b>{}<br></p>", "<div>{}</div>", "<blockquote>{}</blockquote>",
                                                "<ul><li>{}</li></ul>", "<h2>{}</h2>", "<pre>{}</pre>", "<p><a href='/y'>{}</a></p>",
-                                               "<section><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>"]).format(text)
+                                               "<section><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>",
+                                               "<object><p>{}</p></object>", "<noscript>{}</noscript>",
+                                               "<p><math><mi>{}</mi></math></p>", "<svg><p>{}</p>"]).format(text)
 
     inside = [rng.choice(["<h1>{}</h1>"] * 3 + ["<h2>{}</h2>", "<header><h1>{}</h1></header>"]).format(_MARK + _escape(main[0]))]
     for text in main[1:]:
@@ -331,11 +336,13 @@ def training_set(htmls: list[str], layouts: int = LAYOUTS, seed: int = 23) -> tu
     return pages, labels
 
 
-def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_col: str = "page_id", html_col: str = "html") -> BlockLabeller:
-    """A labeller fitted to about ``train_pages`` pages, drawn by a hash of their ids, and their new layouts."""
-    share = train_pages / max(1, pages.count())
-    sample = pages.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)) \
-        .select(F.col(html_col).cast("string").alias("html")).where(F.length("html").between(1, 100_000))
+def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, train_chars: int = 100_000, id_col: str = "page_id",
+          html_col: str = "html") -> BlockLabeller:
+    """A labeller fitted to at most ``train_pages`` pages of at most ``train_chars`` characters, the first by a hash
+    of id and content (so rows that share an id, or have none, are drawn apart), and their new layouts."""
+    html = F.col(html_col).cast("string")
+    sample = pages.select(F.xxhash64(F.col(id_col), html).alias("draw"), html.alias("html")) \
+        .where(F.length("html").between(1, train_chars)).orderBy("draw").limit(train_pages)
     found, labels = training_set(sorted(r["html"] for r in sample.collect()))
     return BlockLabeller().fit(found, labels) if found else BlockLabeller()
 

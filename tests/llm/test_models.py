@@ -151,6 +151,25 @@ def test_leaf_blocks():
     assert [b[1] for b in leaf_blocks("a<br>b<li>c<li>d")] == ["a b", "c", "d"]
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<article><p>one</p><svg><p>two</p><p>three</p>", ["one", "two", "three"]),
+    ("<article><p>one <object data=x></p><p>two</p></article><p>three", ["one", "two", "three"]),
+    ("<article><p>one</p><object><p>two</p></article><p>three</p>", ["one", "two", "three"]),
+    ("<head><title>T<p>one</p><p>two</p>", ["one", "two"]),
+    ("<html><head><title>T</title><meta charset=x><div>one</div><p>two", ["one", "two"]),
+    ("<html><head><title>T</title>one <b>two</b>", ["one two"]),
+    ("<head><title>T<body>one", ["one"]),
+    ("<head><noscript><img src=x></noscript><title>T</title></head><p>one", ["one"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds", ["so x=2 holds"]),
+    ("<p>a<noscript>b</noscript>c</p><iframe>d</iframe><video>e", ["a", "b", "c", "d", "e"]),
+    ("<p>a<svg><title>no</title><path d=m><g/></svg>b</p>", ["ab"]),
+    ("<div><template><p>no</p></div><p>a", ["a"]),
+    ("<form><datalist><option>no</form><p>a", ["a"]),
+])
+def test_no_text_is_lost_to_an_element(html, want):
+    assert [b[1] for b in leaf_blocks(html)] == want
+
+
 def test_block_gradients():
     rng = np.random.default_rng(3)
     pages, labels = H.training_set([PAGE, PAGE.replace("Four", "More words stand here. " * 9)], 1)
@@ -187,6 +206,27 @@ def test_pages_give_their_articles(spark, labeller):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_text_in_any_element_of_the_article_stays(spark, labeller):
+    words = [" ".join(f"{w}{k}" for w in "the river ran past our house and over stones".split()) + "." for k in range(6)]
+    inside = ("<h1>{}</h1><p>{}</p><object><p>{}</p></object><p><math><mi>{}</mi></math></p>"
+              "<noscript><p>{}</p></noscript><svg><p>{}</p>").format(*words)
+    html = f"<head><title>t</title></head><body><nav><ul><li><a href=x>Home</a></ul></nav><article>{inside}</article></body>"
+    got = H.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), labeller).first()
+    assert got.text == "\n\n".join(words)
+
+
+def test_sample_of_one_repeated_id_is_bounded(spark):
+    page = spark.read.parquet(f"{SF}/pages.parquet").select("url", "html").limit(1)
+    many = page.crossJoin(F.broadcast(spark.range(3000))).select(F.lit(7).alias("page_id"), "url", "html")
+    seen = []
+    real, H.training_set = H.training_set, lambda htmls, **o: (seen.append(len(htmls)), ([], []))[1]
+    try:
+        H.train(many, train_pages=20)
+    finally:
+        H.training_set = real
+    assert seen == [20]
+
+
 def test_extract_edges(spark, labeller):
     long = "<html><body><article>" + "<p>Some words stand in this paragraph.</p>" * 20_000 + "</article></body></html>"
     rows = [(1, "u", None), (2, None, ""), (None, "u", PAGE), (3, "u", PAGE), (3, "u", PAGE), (4, "u", long),
