@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.session import materialize
@@ -33,6 +33,7 @@ STEPS = 800
 BATCH = 192
 BLOCK = 2048                    # windows at a time
 UNKNOWN = "und"
+STRANGE = "(none)"            # class of texts in no learned language; no language is named so
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = re.compile(r"[^\W\d_]")
@@ -181,7 +182,8 @@ class ByteGru:
             by_doc = np.add.reduceat(sums, start // WINDOW, axis=0, dtype=np.float64) / sizes[:, None]
             best = by_doc.argmax(axis=1)
             for k, c, p in zip(known, best.tolist(), by_doc[np.arange(len(best)), best].tolist(), strict=True):
-                names[k], scores[k] = self.languages[c], min(1.0, p)
+                names[k] = UNKNOWN if self.languages[c] == STRANGE else self.languages[c]
+                scores[k] = min(1.0, p)
         return names, scores
 
 
@@ -193,28 +195,80 @@ def pack_windows(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(_LOWER[x].T), np.array([min(len(w), WINDOW) for w in windows])
 
 
+# First letter and size of alphabets that windows in no learned language are written in.
+ALPHABETS = ((0x61, 26), (0x3b1, 25), (0x430, 32), (0x561, 38), (0x5d0, 27), (0x627, 36), (0x905, 53), (0xe01, 46),
+             (0x10d0, 33), (0x3041, 86), (0x30a1, 90), (0x4e00, 3000), (0xac00, 3000))
+MARKUP = ("<div class=\"{}\">", "</div>", "<a href=\"/{}/{}\">", "<li id={}>", "</span>", "&{};", "{{\"{}\": \"{}\"}}", "{} = {}();",
+          "if ({} != {}) {{", "function {}({})", "[{}, {}]", "0x{}", "{}.{}({})")
+
+
+def strange_windows(windows: list[str], n: int, seed: int = 5) -> list[str]:
+    """``n`` windows in no learned language, made from ``windows`` of learned ones.
+
+    A third has the letters of a window exchanged one for another (the look of an unknown language), the others are
+    its characters in another order, words of random letters of some alphabet, hexadecimal and base-64 digits, and
+    markup or code with random names."""
+    rng = np.random.default_rng(seed)
+    latin, digits = [chr(k) for k in range(97, 123)], "0123456789abcdef"
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def word(alphabet, least=2, most=10) -> str:
+        first, size = alphabet
+        return "".join(chr(first + k) for k in rng.integers(0, size, rng.integers(least, most)))
+
+    def line() -> str:
+        kind = rng.integers(0, 6)
+        window = windows[rng.integers(0, len(windows))] if windows else ""
+        if kind < 2:
+            return window.lower().translate(dict(zip(map(ord, latin), rng.permutation(latin), strict=True)))
+        if kind == 2:
+            return "".join(rng.permutation(list(window)))
+        if kind == 3:
+            alphabet = ALPHABETS[rng.integers(0, len(ALPHABETS))]
+            return " ".join(word(alphabet) for _ in range(WINDOW // 4))
+        if kind == 4:
+            letters = (digits, base64)[rng.integers(0, 2)]
+            return "".join(letters[k] for k in rng.integers(0, len(letters), WINDOW))
+        return " ".join(MARKUP[rng.integers(0, len(MARKUP))].format(*(word(ALPHABETS[0], 1, 8) for _ in range(3)))
+                        for _ in range(WINDOW // 8))
+
+    return [line()[:WINDOW] for _ in range(n)]
+
+
 def training_windows(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, pieces: int = PIECES,
                      id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, piece``: windows of about ``per_language`` documents of each language.
 
-    Rows are drawn where a hash of the id falls under the language's share, so
-    the sample is bounded by languages * per_language * pieces whatever the table."""
+    Rows are drawn where a hash of id and text falls under the language's
+    share.  Rows that repeat both fall in or out together, so the windows of a
+    language are also held to the first ``2 * per_language * pieces`` by that
+    hash: the sample is bounded whatever the table."""
     rows = docs.where(learnable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)) \
         .select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     share = {r["lang"]: per_language / r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not share:
         return rows.select("lang", F.col("text").alias("piece")).limit(0)
     rate = F.create_map(*[x for k, v in sorted(share.items()) for x in (F.lit(k), F.lit(float(v)))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text", F.lit("sample")))
+    drawn = rows.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
     at = F.pmod(F.xxhash64("doc_id", F.col("k")), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1
-    return drawn.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(pieces)))) \
-        .select("lang", F.col("text").substr(at.cast("int"), F.lit(WINDOW)).alias("piece"))
+    windows = drawn.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(pieces)))) \
+        .select("lang", F.col("text").substr(at.cast("int"), F.lit(WINDOW)).alias("piece"), "draw", "k")
+    first = Window.partitionBy("lang").orderBy("draw", "k")
+    return windows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * per_language * pieces) \
+        .select("lang", "piece")
+
 
+def train(docs: DataFrame, learnable: Column, strangers: bool = False, **options) -> ByteGru:
+    """A network fitted on the driver to the bounded sample; without labelled rows it knows no language.
 
-def train(docs: DataFrame, learnable: Column, **options) -> ByteGru:
-    """A network fitted on the driver to the bounded sample; without labelled rows it knows no language."""
+    With ``strangers`` it learns one more class, of :func:`strange_windows`, as many as a language has; a text that
+    belongs to it most is ``und``."""
     rows = sorted(tuple(r) for r in training_windows(docs, learnable, **options).collect())
     languages = sorted({lang for lang, _ in rows})
+    if strangers and languages:
+        rows += [(STRANGE, w) for w in strange_windows([w for _, w in rows], len(rows) // len(languages))]
+        languages = [*languages, STRANGE]
     model = ByteGru(languages)
     if len(languages) > 1:
         number = {c: k for k, c in enumerate(languages)}
@@ -226,7 +280,7 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
     """One row per input row: ``doc_id, lang_pred, score``.
 
     Only the text is read.  Null, empty and letterless texts are ``und`` with
-    score 0; a model without languages answers ``und`` throughout, with one
+    score 0; with a class of strangers, their texts are ``und`` with its probability; a model without languages answers ``und`` throughout, with one
     language always that one.  Repeated rows get equal answers.
     """
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +296,18 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
         .mapInArrow(predict, f"doc_id {key_type}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: ByteGru, least_score: float, id_col: str = "doc_id",
+def keep_identified(docs: DataFrame, model: ByteGru, least_score: float, least_strange: float = 0.75,
                     text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a recognised language (not ``und``, score at least ``least_score``), all columns.
+    """The rows of ``docs`` that are not rejected, with all columns.
 
+    Rejected are null texts, texts without a letter, texts of a language with a score below ``least_score`` and, where
+    the model has a class of strangers, texts that belong to it with a probability of ``least_strange`` or more.
     The verdict goes by a hash of the text, so rows that share an id are judged each by its own text."""
     text = F.col(text_col).cast("string")
     known = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
     verdict = identify(known, model, id_col="text_hash")
-    bad = verdict.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))
+    bad = verdict.where(F.when(F.col("lang_pred") == UNKNOWN, (F.col("score") == 0) | (F.col("score") >= least_strange))
+                        .otherwise(F.col("score") < least_score))
     bad = materialize(bad.select(F.col("doc_id").alias("bad_hash")).distinct(), "lang-rejected")
     return docs.where(F.col(text_col).isNotNull()).join(bad, F.xxhash64(docs[text_col].cast("string")) == bad["bad_hash"],
                                                         "left_anti")

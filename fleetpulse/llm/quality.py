@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import same
@@ -220,16 +220,21 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
     """A model fitted to the bounded sample; None unless both labels occur.
 
     ``learnable`` is a condition on ``doc_id``.  Null labels and labels other
-    than 0 and 1 are ignored; an id with several label rows counts for each."""
+    than 0 and 1 are ignored; an id with both labels counts for each.
+    Labels are drawn by a hash of the id, about ``per_class`` of each and twice
+    that at most; of the documents they mark, where ids repeat, the first
+    ``4 * per_class`` by a hash of their content are taken."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")) \
         .where(learnable & F.col("label").isin(0, 1))
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(counts) != {0, 1}:
         return None
     rate = F.when(F.col("label") == 0, per_class / counts[0]).otherwise(per_class / counts[1])
-    drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < rate * (1 << 30)) \
-        .select(F.col("doc_id").alias("m_id"), "label")
-    # the sample has about 2 * per_class rows whatever the tables, so the texts need not be dealt by id
+    drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < rate * (1 << 30))
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("place")))
+    drawn = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * per_class) \
+        .select(F.col("doc_id").alias("m_id"), "label").distinct()
+    # about 2 * per_class rows, 4 * per_class at most whatever the tables, so the texts need not be dealt by id
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .join(F.broadcast(drawn), same(F.col("doc_id"), F.col("m_id"))).select("doc_id", "label", "text")
 
@@ -242,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
                 names=["doc_id", "label", "x"])
 
     rows = sorted((r["doc_id"] or "", r["label"], bytes(r["x"]))
-                  for r in texts.mapInArrow(gather, "doc_id string, label int, x binary").collect())
+                  for r in texts.mapInArrow(gather, "doc_id string, label int, x binary")
+                  .orderBy(F.xxhash64("doc_id", "x")).limit(4 * per_class).collect())
     bags = [np.frombuffer(x, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, _, x in rows]
     label = np.array([k for _, k, _ in rows])
     if len(set(label.tolist())) < 2:

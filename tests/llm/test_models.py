@@ -49,6 +49,41 @@ def test_language_accuracy_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+STRANGERS = [
+    "Tämä on suomenkielinen teksti, jossa kerrotaan kaupungin kaduista ja ihmisistä, jotka kulkevat siellä joka päivä.",
+    "Это обычный русский текст о городе и людях, которые там живут каждый день.", "deadbeef0123456789abcdef" * 6,
+    "To jest zwykły polski tekst o mieście i ludziach, którzy tam mieszkają na co dzień.", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==" * 4,
+    '<div class="a"><ul><li><a href="/x">x</a></li></ul></div>' * 3, "这是一个关于城市和人们的普通文本，每天都有人住在那里。"]
+
+
+def test_strangers_go_and_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    letters = [r for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    model = G.train(docs, F.col("doc_id") % 3 != 1, strangers=True, per_language=400)
+    assert model.languages[-1] == G.STRANGE
+    odd = spark.createDataFrame([(-k, t, None) for k, t in enumerate(STRANGERS, 1)] + [(-98, "12 34", None), (-99, None, None)],
+                                docs.schema)
+    kept = {r.doc_id for r in G.keep_identified(docs.unionByName(odd), model, 0.3).select("doc_id").collect()}
+    assert min(kept) >= 0
+    assert len(kept) >= 0.995 * len(letters)
+
+
+def test_samples_of_repeated_rows_are_bounded(spark):
+    docs = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.lit("en").alias("lang"),
+                                   F.concat(F.lit("the same words "), (F.col("id") % 3).cast("string")).alias("text"))
+    for seed in range(4):                                      # all rows of a text fall in or out together
+        alike = docs.withColumn("text", F.concat("text", F.lit(f" {seed}")))
+        assert G.training_windows(alike, F.lit(True), per_language=20, pieces=2).count() <= 2 * 20 * 2
+    labels = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    real, Q.AttentionModel.fit = Q.AttentionModel.fit, lambda self, x, n, y, **o: (seen.append(len(n)), self)[1]
+    try:
+        Q.train(docs, labels, F.lit(True), per_class=200)      # the whole of the id is drawn
+    finally:
+        Q.AttentionModel.fit = real
+    assert seen == [4 * 200]
+
+
 def test_language_edges(spark):
     rows = [(k, t, lang) for k, (t, lang) in enumerate(
         [("the cat and the dog of that house " * 3, "en"), ("el perro que corre por la casa niño " * 3, "es")] * 30)]
