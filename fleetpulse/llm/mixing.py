@@ -139,10 +139,20 @@ def _slot(runs: Column, block: Column) -> Column:
         ("slots", "slot"), ("releases", "release"), ("deadlines", "deadline"))])
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name`` with as many leading underscores as no column of ``docs`` has (letter case apart)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix(docs: DataFrame, weights: dict[str, float], rest_weight: float = 1.0, block_docs: int = BLOCK_DOCS,
         cycle: int = CYCLE, id_col: str = "doc_id", source_col: str = "source", out: str = "mix") -> DataFrame:
     """``docs`` with one more column ``out``: a struct of ``component, block, release,
     deadline, slot, position`` (position: place of the document in the whole mix, from 0).
+    Where ``docs`` has a column of that name, it stays as it is and the new one is
+    called :func:`free_name` of it.
 
     ``weights`` gives the target weight of the named sources; all other
     sources, null included, form one component with ``rest_weight``.  Inside a
@@ -153,6 +163,7 @@ def mix(docs: DataFrame, weights: dict[str, float], rest_weight: float = 1.0, bl
     """
     if any(w <= 0 for w in [*weights.values(), rest_weight]):
         raise ValueError("target weights must be positive")
+    out = free_name(docs, out)
     names = [*sorted(weights), REST]
     target = {c: weights.get(n, rest_weight) for c, n in enumerate(names)}
     number = F.create_map(*[x for c, n in enumerate(names[:-1]) for x in (F.lit(n), F.lit(c))]) if weights else None
@@ -188,7 +199,5 @@ def mix(docs: DataFrame, weights: dict[str, float], rest_weight: float = 1.0, bl
 
 def mixed_order(docs: DataFrame, weights: dict[str, float], rest_weight: float = 1.0, **options) -> DataFrame:
     """``docs`` sorted by mix position (a range-partitioned sort; written files follow the order)."""
-    name = "mix"
-    while name in docs.columns:
-        name = f"_{name}"
+    name = free_name(docs, "mix")
     return mix(docs, weights, rest_weight, out=name, **options).orderBy(F.col(f"`{name}`.position")).drop(name)
