@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -57,6 +58,14 @@ def test_exact_dedup_edges(spark):
     assert len(kept.columns) == 10 and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 2, 4, 5, 6, 8, 9]
 
 
+@pytest.mark.parametrize("digest", [lambda norm: F.lit("d"), lambda norm: F.length(norm).cast("string")])
+def test_exact_dedup_compares_texts_of_a_shared_digest(spark, digest):
+    rows = [*ROWS, (20, "abcd"), (21, "abce"), (22, "ABCD")]
+    got = dedup_exact.exact_dedup(docs_of(spark, rows), salts=3, digest=digest).collect()
+    want = dedup_exact.exact_dedup(docs_of(spark, rows), salts=3).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_exact_dedup_empty(spark):
     assert dedup_exact.exact_dedup(docs_of(spark, [])).collect() == []
 
@@ -139,6 +148,31 @@ def test_license_edges(spark):
     assert licenses.scan_licenses(docs_of(spark, [])).collect() == []
 
 
+def brute_places(words, templates):
+    return sorted((t.label, s) for t in templates for s in range(len(words))
+                  if words[s:s + len(t.key_words)] == list(t.key_words))
+
+
+def test_license_postings_are_intersected_by_position(spark):
+    rng = random.Random(7)
+    notices = {t.label: t.words for t in licenses.TEMPLATES if len(t.words) > 60}
+    assert {"mit", "bsd", "isc", "zlib"} <= set(notices)
+    vocab = sorted({w for t in licenses.TEMPLATES for w in t.key_words})
+    docs = [(k, " ".join(rng.choice(vocab) for _ in range(300))) for k in range(40)]        # rare words out of order
+    for k, t in enumerate(licenses.TEMPLATES):
+        words = list(t.key_words)
+        docs += [(100 + k, " ".join(words)), (200 + k, " ".join(words[:-1])), (300 + k, " ".join(words[::-1])),
+                 (400 + k, " ".join([*words, *words, "x", *words]))]
+    docs += [(500 + k, "start " + " ".join(w) + " end") for k, w in enumerate(notices.values())]
+    assert all(len(a) == min(licenses.ANCHORS, len(t.key_words)) for t, a in zip(
+        licenses.TEMPLATES, licenses.anchors(licenses.TEMPLATES, collections.defaultdict(float)), strict=True))
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs_of(spark, docs)).collect()}
+    for i, t in docs:
+        assert sorted((p.label, p.start) for p in got[i].places) == brute_places(t.split(), licenses.TEMPLATES), i
+    for k, label in enumerate(notices):
+        assert got[500 + k].score == 1.0 and label in {p.label for p in got[500 + k].places}
+
+
 # ---------------------------------------------------------------- mixing
 def brute_cycle(quota):
     """Earliest deadline first, slot by slot."""
@@ -215,6 +249,9 @@ def test_mix_of_weights_that_do_not_divide_a_cycle(spark):
 
 def test_mix_edges(spark):
     docs = docs_of(spark, [(None, "t"), (1, "a"), (1, "a"), (2, None)])
+    own = mixing.mix(docs.withColumn("Mix", F.lit(1)), {"src0": 1.0})
+    assert own.columns == [*docs.columns, "Mix", "_mix"] and {r.Mix for r in own.collect()} == {1}
+    assert sorted(r._mix.position for r in own.collect()) == [0, 1, 2, 3]
     out = mixing.mixed_order(docs.withColumn("mix", F.lit(1)), {"src0": 1.0})
     assert out.columns == [*docs.columns, "mix"] and out.count() == 4
     assert sorted(r.mix.position for r in mixing.mix(docs, {}).collect()) == [0, 1, 2, 3]
