@@ -57,6 +57,7 @@ DEPTH = 8
 BLOCK_BYTES = 1 << 18           # of text hashed at a time
 BLOCK_DOCS = 256
 BROADCAST_ROWS = 1_000_000      # of 40 bytes each
+MEMBER = ("node", "cls", "n", "sketch")
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -213,7 +214,7 @@ def _roots(growing: DataFrame, trees: int) -> DataFrame:
 
 
 def _chains(members: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
-    """``cls, chain``: the nodes that follow a member's node on the next ``levels`` levels."""
+    """``node, cls, chain, n, sketch``: a member's node, and the nodes that follow it on the next ``levels`` levels."""
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, mins, chain = np.asarray(batch.column("node")).view(np.uint64), _tokens(batch.column("mins")), []
@@ -222,16 +223,17 @@ def _chains(members: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
                 chain.append(node)
             flat = pa.array(np.stack(chain, axis=1).reshape(-1).view(np.int64))
             ends = pa.array(np.arange(0, len(flat) + 1, levels, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(ends, flat)],
-                                             names=["cls", "chain"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("cls"), pa.ListArray.from_arrays(ends, flat), batch.column("n"),
+                 batch.column("sketch")], names=["node", "cls", "chain", "n", "sketch"])
 
-    return members.join(classes.select("cls", "mins"), "cls").select("cls", "node", "mins") \
-        .mapInArrow(grow, "cls binary, chain array<bigint>")
+    return members.select("node", "cls").join(classes.select("cls", "n", "mins", "sketch"), "cls") \
+        .mapInArrow(grow, "node bigint, cls binary, chain array<bigint>, n bigint, sketch binary")
 
 
 def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
                percent: int = PERCENT) -> DataFrame:
-    """``node, cls``: the members of all nodes with two and more classes where branching ends.
+    """``node, cls, n, sketch``: the members of all nodes with two and more classes where branching ends.
 
     All classes grow in ``trees`` trees.  Those whose nodes branched to a level that needs more trees for
     ``percent`` (``trees_needed``) grow in the others together, until each has the trees of its deepest level."""
@@ -249,8 +251,9 @@ def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth:
             return ended
 
 
-def _through_pivot(large: DataFrame, classes: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """``node``: the large nodes with at most ``leaf`` members unlike a pivot, which are best compared through it."""
+def _through_pivot(large: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """``node``: the nodes of ``large`` (``node, cls, n, sketch``) with at most ``leaf`` members unlike a pivot, which are
+    best compared through it."""
     least = _least_share(percent)
 
     def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +263,9 @@ def _through_pivot(large: DataFrame, classes: DataFrame, percent: int, leaf: int
             near &= (_sketches(batch.column("sketch")) == _sketches(batch.column("pivot_sketch"))).mean(axis=1) >= least
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((~near).astype(np.int64))], names=["node", "apart"])
 
-    rows = large.select("node", "cls").join(classes.select("cls", "n", "sketch"), "cls")
-    pivots = large.groupBy("node").agg(F.min("cls").alias("cls")).join(classes.select("cls", "n", "sketch"), "cls") \
-        .select("node", F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
-    judged = rows.join(pivots, "node").select("node", "n", "sketch", "pivot_n", "pivot_sketch") \
+    pivots = large.groupBy("node").agg(F.min(F.struct("cls", "n", "sketch")).alias("pivot")) \
+        .select("node", F.col("pivot.n").alias("pivot_n"), F.col("pivot.sketch").alias("pivot_sketch"))
+    judged = large.join(pivots, "node").select("node", "n", "sketch", "pivot_n", "pivot_sketch") \
         .mapInArrow(unlike, "node bigint, apart bigint")
     return materialize(judged.groupBy("node").agg(F.sum("apart").alias("apart")).where(F.col("apart") <= leaf).select("node"), "near-ending")
 
@@ -274,27 +276,28 @@ def _grow(growing: DataFrame, classes: DataFrame, trees: int, leaf: int, depth:
     branched to levels which need more than ``trees`` trees.
 
     The paths of members of large nodes are followed to the end at once, as a
-    path depends on a class's own tokens only; where it stops depends on the counts."""
-    frontier, ended, deep, chain = materialize(_roots(growing, trees), "near-frontier"), None, None, []
+    path depends on a class's own tokens only; where it stops depends on the counts.
+    They carry their size and sketch, so that no level looks them up again."""
+    frontier, ended, deep, carried = materialize(_roots(growing, trees), "near-frontier"), None, None, False
     for level in range(depth):
         size = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
         live = materialize(frontier.join(size, "node"), "near-live")
         large = live.where(F.col("size") > leaf)
         more = level + 1 < depth and not large.isEmpty()
-        done = (live.where(F.col("size") <= leaf) if more else live).select("node", "cls")
+        done = live.where(F.col("size") <= leaf) if more else live
+        done = (done if carried else done.join(classes.select("cls", "n", "sketch"), "cls")).select(*MEMBER)
         ended = done if ended is None else ended.unionByName(done)
         if not more:
             break
-        ending = _through_pivot(large, classes, percent, leaf)
-        ended = ended.unionByName(large.join(ending, "node", "left_semi").select("node", "cls"))
+        if not carried:
+            large, carried = materialize(_chains(large, classes, depth - 1), "near-chains"), True
+        ending = _through_pivot(large, percent, leaf)
+        ended = ended.unionByName(large.join(ending, "node", "left_semi").select(*MEMBER))
         large = large.join(ending, "node", "left_anti")
         if needed[level + 2] > trees:
             passed = large.select("cls", F.lit(needed[level + 2]).alias("needed"))
             deep = passed if deep is None else deep.unionByName(passed)
-        if not chain:
-            chain = ["chain"]
-            large = materialize(_chains(large, classes, depth - 1), "near-chains")
-        frontier = large.select("cls", "chain", F.get("chain", F.lit(level)).alias("node"))
+        frontier = large.select("cls", "chain", "n", "sketch", F.get("chain", F.lit(level)).alias("node"))
     return ended, deep
 
 
@@ -328,7 +331,9 @@ def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
 
 
 def _links(cls: np.ndarray, part: np.ndarray) -> pd.DataFrame:
-    """Every member of a part with the part's first member."""
+    """Every member of a part with the part's least member, so that groups with common members repeat their links."""
+    order = np.argsort(cls)
+    cls, part = cls[order], part[order]
     _, first, inverse = np.unique(part, return_index=True, return_inverse=True)
     head = cls[first[inverse]]
     differs = first[inverse] != np.arange(len(part))
@@ -400,7 +405,7 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
     bases = judged.join(count, "node").withColumn("m", block(2, m_blocks)) \
         .withColumn("u", spread(F.col("u_blocks")))
     # aliased anew: both sides come from the same table
-    bases = bases.select([F.col(c).alias(c) for c in ("node", "u", "m", "cls", "n", "payload", "near")])
+    bases = bases.select([F.col(c).alias(c) for c in ("node", "u", "m", "cls", "n", "payload", "near", "pivot")])
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         both = pd.concat([left, right], ignore_index=True)
@@ -414,7 +419,13 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
             others = others[others >= k]
             if len(others):
                 forest.join(i, others[linked(data, i, others)])
-        return _links(cls, forest.part)
+        if not len(near):
+            return _links(cls, forest.part)
+        # the star has the links of `near` already: the others of their part go to the pivot
+        hub = forest.part == forest.part[near[0]]
+        out = _links(cls[~hub], forest.part[~hub])
+        hub[near] = False
+        return pd.concat([out, pd.DataFrame({"a": right["pivot"].iloc[0], "b": cls[hub]})], ignore_index=True)
 
     blocks = queries.groupBy("node", "u", "m").cogroup(bases.groupBy("node", "u", "m")).applyInPandas(across, LINK)
     return small.unionByName(stars).unionByName(blocks.where(F.col("a") != F.col("b")))
@@ -504,10 +515,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         F.first("sketch").alias("sketch"))
     classes = materialize(classes, "near-classes")
 
-    nodes = materialize(tree_nodes(classes, trees, leaf, depth, percent), "near-nodes")
-    # read up to three times, so joined once
-    tokens = materialize(nodes.join(classes.select("cls", "n", F.col("sketch").alias("payload")), "cls"), "near-tokens")
-    candidates = components(spanning_links(tokens, nodes, _by_tokens(percent), leaf))
+    tokens = materialize(tree_nodes(classes, trees, leaf, depth, percent).withColumnRenamed("sketch", "payload"), "near-tokens")
+    candidates = components(spanning_links(tokens, tokens.select("node", "cls"), _by_tokens(percent), leaf))
     clusters = materialize(candidates.select(F.col("member").alias("cls"), F.xxhash64("root").alias("node")), "near-clusters")
 
     sets = materialize(_class_sets(docs, signed, clusters, width, id_col, text_col), "near-sets")

@@ -116,6 +116,33 @@ def test_near_copies_end_through_a_pivot(spark):
     assert [k for k in range(1, 3000) if not spread[0] & spread[k]] == []
 
 
+def test_nodes_carry_what_comparing_needs(spark):
+    """Members of nodes come with their size and sketch, so nothing is joined to them by class again."""
+    rng = np.random.default_rng(7)
+    text = rng.integers(0, 1 << 32, N.K)
+    rows = []
+    for k in range(60):
+        m = text.copy()
+        m[rng.permutation(N.K)[:20]] = rng.integers(0, 1 << 32, 20)
+        rows.append((k.to_bytes(4, "big"), m.astype(np.uint32).tobytes(), 100 + k, m.astype(np.uint8).tobytes()))
+    classes = spark.createDataFrame(rows, "cls binary, mins binary, n long, sketch binary")
+    got = N.tree_nodes(classes, leaf=4, percent=85).collect()
+    assert got and {(bytes(r.cls), r.n, bytes(r.sketch)) for r in got} <= {(c, n, s) for c, _, n, s in rows}
+
+
+def test_links_of_a_large_node_do_not_grow_with_its_blocks(spark):
+    """40 alike members and 12 unlike ones, in two nodes, with blocks of 2: a link for each member, not for each block."""
+    sets = [np.arange(100, dtype=np.uint64)] * 40 + [np.arange(1000 * k, 1000 * k + 100, dtype=np.uint64) for k in range(1, 13)]
+    rows = [(node, bytes([k]), 100, s.tobytes()) for node in (1, 2) for k, s in enumerate(sets)]
+    rows.append((1, bytes([99]), 100, np.arange(1005, 1105, dtype=np.uint64).tobytes()))       # like one of the unlike
+    rows.append((2, bytes([98]), 92, np.arange(92, dtype=np.uint64).tobytes()))                # like the pivot
+    members = spark.createDataFrame(rows, "node long, cls binary, n long, payload binary")
+    links = N.spanning_links(members, members.select("node", "cls"), N._by_sets(85), leaf=2).collect()
+    assert len(links) <= len(rows)
+    assert {frozenset((bytes(r.a), bytes(r.b))) for r in links} == {
+        *(frozenset((b"\0", bytes([k]))) for k in (*range(1, 40), 98)), frozenset((bytes([40]), bytes([99])))}
+
+
 def test_trees_needed_keeps_the_target():
     assert N.trees_needed(85, 2) <= N.TREES and N.trees_needed(80, 2) <= N.TREES
     for percent, level in ((85, 4), (80, 8)):
