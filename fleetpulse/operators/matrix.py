@@ -44,9 +44,12 @@ def matrix_blocks(df: DataFrame, row: str, column: str, value: str = "value", ho
                       .cast("double")).otherwise(F.max("_v"))
     cells = whole.groupBy(row, column).agg(cell.alias("_v")).join(index, column)
     blocks = cells.groupBy(row, F.floor(F.col("idx") / width).alias("block")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("idx") % width).cast("int"), "_v"))).alias("_m"))
-    places = F.sequence(F.lit(0), F.lit(width - 1))
-    return blocks.select(row, "block", F.transform(places, lambda i: F.try_element_at(F.col("_m"), i)).alias("cells"))
+        F.sort_array(F.collect_list(F.struct((F.col("idx") % width).cast("int").alias("p"), "_v"))).alias("_e"))
+    # a step per cell that is there: the gap before it as a run of nulls, then the cell; the rest behind the last one
+    gap = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(F.col("_e"), k - 1)["p"])
+    filled = F.flatten(F.transform("_e", lambda e, k: F.concat(gap(e["p"] - before(k) - 1), F.array(e["_v"]))))
+    return blocks.select(row, "block", F.concat(filled, gap(width - 1 - F.element_at("_e", -1)["p"])).alias("cells"))
 
 
 def matrix_cells(blocks: DataFrame, row: str, column: str, index: DataFrame, width: int = WIDTH) -> DataFrame:

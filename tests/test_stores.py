@@ -127,6 +127,17 @@ def test_blocks_equal_a_pivot(spark):
     assert back.count() == sum(v is not None for c in want.values() for v in c)
 
 
+def test_a_block_costs_a_step_per_cell_that_is_there(spark):
+    """One cell in a block of many: no step for each place, and no look-up of it."""
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 5, 2.0), ("b", 7, 3.0), ("b", 9, 4.0)], "r string, c int, value double")
+    index = spark.createDataFrame([(0, 0), (5, 127), (7, 130), (9, 255)], "c int, idx long")
+    blocks = X.matrix_blocks(df, "r", "c", index=index)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "element_at(map" not in plan and "127" in plan
+    got = {(r.r, r.block): r.cells for r in blocks.collect()}
+    assert got == {("a", 0): [1.0, *[None] * 126, 2.0], ("b", 1): [None, None, 3.0, *[None] * 124, 4.0]}
+
+
 def test_several_readings_in_a_unique_cell_fail(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0)], "r string, c int, value double")
     with pytest.raises(Exception, match="several readings in cell 1"):
