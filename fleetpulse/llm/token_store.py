@@ -18,6 +18,7 @@ the given root, a URI that driver and executors share.
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import re
@@ -43,6 +44,7 @@ BUCKET_KEYS = 1 << 16           # keys per index file, at most on average
 LEAST_BUCKETS = 128             # so that small corpora are indexed in parallel, too
 END_ID = 0
 REMEMBERED = 300_000            # parts in each of two generations
+SIGNS = 20_000                  # runs of signs remembered
 ENCODE_DOCS = 256               # texts at a time
 LEVELS = 64
 GAMMA = 2.0
@@ -94,13 +96,19 @@ class PieceIds:
     Two generations of parts are remembered: a full one becomes the old one, and
     parts met again are copied from it, so frequent words stay at hand.  A new
     part of Latin letters only, with or without the space before, is one
-    pre-token: its byte-level form goes to the tokenizer's model directly, all
-    others go through the whole tokenizer.
+    pre-token: its byte-level form goes to the tokenizer's model directly.  Parts
+    of Latin letters, ASCII signs and single line ends are runs of one kind each,
+    which are pre-tokens, too: runs of letters that are known are copied.  Parts
+    with apostrophes, digits or other letters go through the whole tokenizer.
     """
 
     _CUT = re.compile(r" (?=\S)")
     _ODD_SPACE = re.compile(r" (?:\s|$)")
-    _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+    _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+    _SIGNS = r"[!-&(-/:-@\[-`{-~]+"                         # without the apostrophe
+    _LETTERS = re.compile(_LATIN)
+    _RUN = re.compile(f"{_LATIN}|{_SIGNS}|\n")
+    _RUNS = re.compile(f"\n?(?:(?:{_LATIN}|{_SIGNS})\n?)+")
 
     def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,6 +117,7 @@ class PieceIds:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         # letters go to the model directly only where the tokenizer is byte-level without normalisation
         self.bytewise = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        self.pre_token, self.signs, self.stored = self.tokenizer.model.tokenize, {}, 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self._start({}, {})
@@ -142,13 +151,45 @@ class PieceIds:
         self.used += len(ids)
 
     def _direct(self, part: str, lead: str) -> list[int] | None:
-        """Ids of a part that may go to the model itself; None for others."""
-        if self.bytewise and (part.isascii() and part.isalpha() or self._LETTERS.fullmatch(part)):
-            return [t.id for t in self.tokenizer.model.tokenize((_BYTE_LEVEL[32] if lead else "") + byte_level(part))]
-        return None
+        """Ids of a part that may go to the model itself, as a whole or run by run; None for others."""
+        if not self.bytewise:
+            return None
+        if part.isascii() and part.isalpha():
+            return [t.id for t in self.pre_token(_BYTE_LEVEL[32] + part if lead else part)]
+        if self._LETTERS.fullmatch(part):
+            return self._one(part, lead)
+        if not self._RUNS.fullmatch(part) or lead and part[0] == "\n" or any(s in part for s in self.special):
+            return None
+        ids = []
+        for run in self._RUN.findall(part):
+            if run[0] > "\x7f" or run[0].isalpha():
+                ids += self._known(run, lead)
+            else:
+                if (known := self.signs.get(lead + run)) is None:
+                    known = self._one(run, lead)
+                    if len(self.signs) < SIGNS:
+                        self.signs[lead + run] = known
+                ids += known
+            lead = ""
+        return ids
+
+    def _one(self, run: str, lead: str) -> list[int]:
+        """Ids of a pre-token."""
+        return [t.id for t in self.pre_token((_BYTE_LEVEL[32] if lead else "") + byte_level(run))]
+
+    def _known(self, run: str, lead: str) -> list[int]:
+        """Ids of a run of letters, copied if it is known as a part (numbered below ``stored``: with its ids)."""
+        known, old = (self.later, self.old_later) if lead else (self.first, self.old_first)
+        n = known.get(run, self.stored)
+        if n < self.stored:
+            return self.ids[self.begin[n]:self.begin[n] + self.length[n]].tolist()
+        if (n := old.get(run)) is not None:
+            return self.old_ids[self.old_begin[n]:self.old_begin[n] + self.old_length[n]].tolist()
+        return self._one(run, lead)
 
     def _learn(self, new: list[str], at: range, before: list[int | None], lead: str) -> None:
         """Encodes new parts, copies those the old generation knows (``before``: their numbers there)."""
+        self.stored = self.size
         self.size += len(new)
         while self.size > len(self.begin):
             self.begin, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length))
@@ -179,6 +220,15 @@ class PieceIds:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
+        collecting = gc.isenabled()
+        gc.disable()                                       # many small lists, no cycles among them
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.size >= self.remembered:
             self._turn()
         split = [self._parts(t) if t else [] for t in texts]

@@ -57,6 +57,21 @@ def test_parts_give_the_same_ids():
             assert ids[end - k:end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_runs_of_letters_and_signs_go_to_the_model():
+    """Words with signs or a line end behind are put together run by run, not sent through the whole tokenizer."""
+    tokenizer, pieces, rng = Tokenizer.from_file(BYTES), TS.PieceIds(BYTES, remembered=60), random.Random(4)
+    for part in ("word,", "over.\nThe", "Été***", "...", "(a", "x.\n"):
+        for lead in ("", " "):
+            assert pieces._direct(part, lead) == tokenizer.encode(lead + part, add_special_tokens=False).ids, (lead, part)
+    assert [pieces._direct(p, " ") for p in ("it's", "a1", "a\n\nb", "\na", "<|endoftext|>", "字.")] == [None] * 6
+    bits = ["word", "Été", "ab", ",", ".", "...", "***", "'", "'s", "\n", "\n\n", " ", "  ", "1", "字", "<", "|", "endoftext", "_", "ª", "×"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(100)]
+        ids, n = pieces.encode(texts)
+        for text, end, k in zip(texts, np.cumsum(n), n):
+            assert ids[end - k:end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 DOCS = [(5, "b b"), (3, None), (None, "no id"), (4, ""), (3, "again 3"), (2, "word " * 5000 + "x" * 90_000), (5, "b b"),
         (2**62, "big key"), (-1, " lead <|endoftext|> tail ")]
 
