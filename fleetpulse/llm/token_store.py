@@ -108,7 +108,7 @@ class PieceIds:
     _SIGNS = r"[!-&(-/:-@\[-`{-~]+"                         # without the apostrophe
     _LETTERS = re.compile(_LATIN)
     _RUN = re.compile(f"{_LATIN}|{_SIGNS}|\n")
-    _RUNS = re.compile(f"\n?(?:(?:{_LATIN}|{_SIGNS})\n?)+")
+    _RUNS = re.compile(f"\n?(?:(?:{_LATIN}+|{_SIGNS}+)\n?)++")      # possessive: linear for any part
 
     def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

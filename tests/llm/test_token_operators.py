@@ -64,6 +64,7 @@ def test_runs_of_letters_and_signs_go_to_the_model():
         for lead in ("", " "):
             assert pieces._direct(part, lead) == tokenizer.encode(lead + part, add_special_tokens=False).ids, (lead, part)
     assert [pieces._direct(p, " ") for p in ("it's", "a1", "a\n\nb", "\na", "<|endoftext|>", "字.")] == [None] * 6
+    assert pieces._direct("a" * 10_000 + "1", " ") is None                     # no backtracking
     bits = ["word", "Été", "ab", ",", ".", "...", "***", "'", "'s", "\n", "\n\n", " ", "  ", "1", "字", "<", "|", "endoftext", "_", "ª", "×"]
     for _ in range(60):
         texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(100)]
