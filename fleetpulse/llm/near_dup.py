@@ -10,11 +10,12 @@ A document is the set of its five-word shingles, hashed to 64 bits.
    its classes by their token there, which similar sets share with the
    probability of their similarity.  Nodes of one class end, nodes of up to
    ``leaf`` classes are compared exhaustively.  A larger one is compared with a
-   pivot: if at most ``leaf`` members are unlike it (near copies of one text
-   and a few others) it ends, too, else it branches again.  Larger nodes that
-   ended, also for being ``depth`` levels deep, are compared through the pivot:
-   all members with it, then those not alike, block by block, with all
-   members.  So nothing is capped, and no task holds more than two blocks.
+   pivot, which its members get with its size: if at most ``UNLIKE * leaf`` of
+   them are unlike it (near copies of one text and some others) it ends, too,
+   else it branches again.  Larger nodes that ended, also for being ``depth``
+   levels deep, are linked through the pivot, and their members not alike are
+   compared, block by block, with all members.  So nothing is capped, and no
+   task holds more than two blocks.
    Classes whose nodes branched deep (many documents that share a passage) are
    grown in further trees, as many as their deepest level asks for.
 3. Comparing in a node uses the minwise tokens with a tolerance of 4.5
@@ -53,11 +54,13 @@ K = 64
 TREES = 12
 MISS = 1e-4                     # of pairs at the threshold, at any level
 LEAF = 256
+UNLIKE = 4                      # leaves of members unlike the pivot up to which comparing these with all is cheaper than more levels
 DEPTH = 8
 BLOCK_BYTES = 1 << 18           # of text hashed at a time
 BLOCK_DOCS = 256
 BROADCAST_ROWS = 1_000_000      # of 40 bytes each
 MEMBER = ("node", "cls", "n", "sketch")
+JUDGED = (*MEMBER, "size", "pivot", "near")
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -213,8 +216,27 @@ def _roots(growing: DataFrame, trees: int) -> DataFrame:
     return growing.select("cls", "mins", "grown", "wanted").mapInArrow(grow, "cls binary, node bigint")
 
 
+def _sizes(frontier: DataFrame, classes: DataFrame, leaf: int, carried: bool) -> DataFrame:
+    """``node, size`` of the nodes with two and more classes; of those above ``leaf`` also ``pivot, pivot_n,
+    pivot_sketch``, a member that the others are compared with.
+
+    Members that do not carry their sketches yet name the pivot by a hash, and the few pivots are looked up."""
+    if carried:
+        sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cls", "n", "sketch")).alias("least"))
+        sizes = sizes.where(F.col("size") > 1).withColumn("least", F.when(F.col("size") > leaf, F.col("least")))
+    else:
+        sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.xxhash64("cls")).alias("hash"))
+        sizes = materialize(sizes.where(F.col("size") > 1), "near-sizes")
+        named = classes.select(F.xxhash64("cls").alias("hash"), F.struct("cls", "n", "sketch").alias("least"))
+        found = materialize(sizes.where(F.col("size") > leaf).join(named, "hash").groupBy("node").agg(F.min("least").alias("least")), "near-pivots")
+        sizes = sizes.join(found, "node", "left_outer")
+    return sizes.select("node", "size", F.col("least.cls").alias("pivot"), F.col("least.n").alias("pivot_n"),
+                        F.col("least.sketch").alias("pivot_sketch"))
+
+
 def _chains(members: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
-    """``node, cls, chain, n, sketch``: a member's node, and the nodes that follow it on the next ``levels`` levels."""
+    """The members of large nodes with their size and sketch, and ``chain``: the nodes that follow theirs on the next
+    ``levels`` levels."""
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, mins, chain = np.asarray(batch.column("node")).view(np.uint64), _tokens(batch.column("mins")), []
@@ -223,17 +245,35 @@ def _chains(members: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
                 chain.append(node)
             flat = pa.array(np.stack(chain, axis=1).reshape(-1).view(np.int64))
             ends = pa.array(np.arange(0, len(flat) + 1, levels, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("cls"), pa.ListArray.from_arrays(ends, flat), batch.column("n"),
-                 batch.column("sketch")], names=["node", "cls", "chain", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, flat), *(batch.column(c) for c in kept)],
+                                             names=["chain", *kept])
+
+    members = members.join(classes.select("cls", "n", "mins", "sketch"), "cls")
+    kept = [c for c in members.columns if c != "mins"]
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.select(*kept).schema)
+    return members.mapInArrow(grow, f"chain array<bigint>, {shape}")
+
+
+def _judged(members: DataFrame, percent: int) -> DataFrame:
+    """Members of large nodes with ``near``: alike their node's pivot (``_by_tokens``)."""
+    least = _least_share(percent)
 
-    return members.select("node", "cls").join(classes.select("cls", "n", "mins", "sketch"), "cls") \
-        .mapInArrow(grow, "node bigint, cls binary, chain array<bigint>, n bigint, sketch binary")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, p = np.asarray(batch.column("n")), np.asarray(batch.column("pivot_n"))
+            near = np.minimum(n, p) * 100 >= percent * np.maximum(n, p)
+            near &= (_sketches(batch.column("sketch")) == _sketches(batch.column("pivot_sketch"))).mean(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(near)], names=[*kept, "near"])
+
+    kept = [c for c in members.columns if c not in ("pivot_n", "pivot_sketch")]
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.select(*kept).schema)
+    return members.mapInArrow(judge, f"{shape}, near boolean")
 
 
 def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
                percent: int = PERCENT) -> DataFrame:
-    """``node, cls, n, sketch``: the members of all nodes with two and more classes where branching ends.
+    """``node, cls, n, sketch``: the members of all nodes with two and more classes where branching ends; in nodes
+    of more than ``leaf`` classes also ``size, pivot, near`` (alike the node's pivot), else null.
 
     All classes grow in ``trees`` trees.  Those whose nodes branched to a level that needs more trees for
     ``percent`` (``trees_needed``) grow in the others together, until each has the trees of its deepest level."""
@@ -241,7 +281,7 @@ def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth:
     growing, ended = classes.select("cls", "mins", F.lit(0).alias("grown"), F.lit(trees).alias("wanted")), None
     while True:
         done, deep = _grow(growing, classes, trees, leaf, depth, needed, percent)
-        ended = done if ended is None else ended.unionByName(done)
+        ended = _and(ended, done)
         if deep is None:
             return ended
         deep = deep.groupBy("cls").agg(F.max("needed").alias("needed"))
@@ -251,56 +291,46 @@ def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth:
             return ended
 
 
-def _through_pivot(large: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """``node``: the nodes of ``large`` (``node, cls, n, sketch``) with at most ``leaf`` members unlike a pivot, which are
-    best compared through it."""
-    least = _least_share(percent)
-
-    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, p = np.asarray(batch.column("n")), np.asarray(batch.column("pivot_n"))
-            near = np.minimum(n, p) * 100 >= percent * np.maximum(n, p)
-            near &= (_sketches(batch.column("sketch")) == _sketches(batch.column("pivot_sketch"))).mean(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((~near).astype(np.int64))], names=["node", "apart"])
-
-    pivots = large.groupBy("node").agg(F.min(F.struct("cls", "n", "sketch")).alias("pivot")) \
-        .select("node", F.col("pivot.n").alias("pivot_n"), F.col("pivot.sketch").alias("pivot_sketch"))
-    judged = large.join(pivots, "node").select("node", "n", "sketch", "pivot_n", "pivot_sketch") \
-        .mapInArrow(unlike, "node bigint, apart bigint")
-    return materialize(judged.groupBy("node").agg(F.sum("apart").alias("apart")).where(F.col("apart") <= leaf).select("node"), "near-ending")
-
-
 def _grow(growing: DataFrame, classes: DataFrame, trees: int, leaf: int, depth: int,
           needed: list[int], percent: int) -> tuple[DataFrame, DataFrame | None]:
     """The members of the nodes where the trees of ``growing`` end, and ``cls, needed`` of the classes that
     branched to levels which need more than ``trees`` trees.
 
-    The paths of members of large nodes are followed to the end at once, as a
-    path depends on a class's own tokens only; where it stops depends on the counts.
+    A member gets its node's size and pivot in one join a level.  The paths of members of large nodes are followed to
+    the end at once, as a path depends on a class's own tokens only; where it stops depends on the counts.
     They carry their size and sketch, so that no level looks them up again."""
     frontier, ended, deep, carried = materialize(_roots(growing, trees), "near-frontier"), None, None, False
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("size", "bigint"), ("pivot", "binary"), ("near", "boolean"))]
     for level in range(depth):
-        size = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-        live = materialize(frontier.join(size, "node"), "near-live")
-        large = live.where(F.col("size") > leaf)
-        more = level + 1 < depth and not large.isEmpty()
-        done = live.where(F.col("size") <= leaf) if more else live
-        done = (done if carried else done.join(classes.select("cls", "n", "sketch"), "cls")).select(*MEMBER)
-        ended = done if ended is None else ended.unionByName(done)
-        if not more:
+        live = materialize(frontier.join(_sizes(frontier, classes, leaf, carried), "node"), "near-live")
+        done, large = live.where(F.col("size") <= leaf), live.where(F.col("size") > leaf)
+        done = (done if carried else done.select("node", "cls").join(classes.select("cls", "n", "sketch"), "cls"))
+        ended = _and(ended, done.select(*MEMBER, *nothing))
+        if large.isEmpty():
             break
         if not carried:
-            large, carried = materialize(_chains(large, classes, depth - 1), "near-chains"), True
-        ending = _through_pivot(large, percent, leaf)
-        ended = ended.unionByName(large.join(ending, "node", "left_semi").select(*MEMBER))
-        large = large.join(ending, "node", "left_anti")
+            large, carried = _chains(large, classes, max(1, depth - 1)), True
+        large = materialize(_judged(large, percent), "near-judged")
+        if level + 1 == depth:
+            ended = _and(ended, large.select(*JUDGED))
+            break
+        going = large.where(~F.col("near")).groupBy("node").agg(F.count(F.lit(1)).alias("unlike")) \
+            .where(F.col("unlike") > UNLIKE * leaf).select("node")
+        going = materialize(going, "near-going")
+        ended = _and(ended, large.join(going, "node", "left_anti").select(*JUDGED))
+        if going.isEmpty():
+            break
+        large = large.join(going, "node", "left_semi")
+        frontier = materialize(large.select("cls", "chain", "n", "sketch", F.get("chain", F.lit(level)).alias("node")), "near-frontier")
         if needed[level + 2] > trees:
-            passed = large.select("cls", F.lit(needed[level + 2]).alias("needed"))
-            deep = passed if deep is None else deep.unionByName(passed)
-        frontier = large.select("cls", "chain", "n", "sketch", F.get("chain", F.lit(level)).alias("node"))
+            deep = _and(deep, frontier.select("cls", F.lit(needed[level + 2]).alias("needed")))
     return ended, deep
 
 
+def _and(one: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if one is None else one.unionByName(more)
+
+
 # ---------------------------------------------------------------- comparing inside groups
 class Forest:
     """Connected parts of positions 0..n-1."""
@@ -356,6 +386,30 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
     large = keys.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot")) \
         .where(F.col("size") > leaf)
     large = materialize(large, "near-large")
+    if large.isEmpty():
+        return _leaf_links(members, alike)
+
+    def star(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near = np.zeros(len(frame), bool)
+            for at in frame.groupby("node").indices.values():      # the pivot first, then its members in this batch
+                one = frame.iloc[at[0]]
+                data = load(np.append(one["pivot_n"], frame["n"].to_numpy()[at]),
+                            np.concatenate([np.array([one["pivot_payload"]], object), frame["payload"].to_numpy()[at]]))
+                near[at] = linked(data, 0, np.arange(1, len(at) + 1))
+            yield frame[["node", "cls", "pivot", "size", "n", "payload"]].assign(near=near)
+
+    pivots = members.select("node", F.col("cls").alias("pivot"), F.col("n").alias("pivot_n"), F.col("payload").alias("pivot_payload")) \
+        .join(large, ["node", "pivot"])
+    judged = materialize(members.join(pivots, "node").mapInPandas(
+        star, "node bigint, cls binary, pivot binary, size bigint, n bigint, payload binary, near boolean"), "near-star")
+    return _leaf_links(members.join(large.select("node"), "node", "left_anti"), alike) \
+        .unionByName(_pivot_links(judged, alike, leaf))
+
+
+def _leaf_links(members: DataFrame, alike: tuple[Callable, Callable]) -> DataFrame:
+    """Links of groups (``node, cls, n, payload``) that are compared exhaustively."""
+    load, linked = alike
 
     def exhaustive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _whole_groups(frames, "node"):
@@ -371,26 +425,13 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
 
     # comparing costs time, not bytes: a fixed number of tasks, not coalesced by size
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = members.join(large.select("node"), "node", "left_anti").select("node", "cls", "n", "payload") \
+    return members.select("node", "cls", "n", "payload") \
         .repartition(tasks, "node").sortWithinPartitions("node").mapInPandas(exhaustive, LINK)
-    if large.isEmpty():
-        return small
 
-    def star(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            near = np.zeros(len(frame), bool)
-            for at in frame.groupby("node").indices.values():      # the pivot first, then its members in this batch
-                one = frame.iloc[at[0]]
-                data = load(np.append(one["pivot_n"], frame["n"].to_numpy()[at]),
-                            np.concatenate([np.array([one["pivot_payload"]], object), frame["payload"].to_numpy()[at]]))
-                near[at] = linked(data, 0, np.arange(1, len(at) + 1))
-            yield frame[["node", "cls", "pivot", "size", "n", "payload"]].assign(near=near)
 
-    big = members.join(large, "node")
-    pivots = big.where(F.col("cls") == F.col("pivot")).select(
-        "node", F.col("n").alias("pivot_n"), F.col("payload").alias("pivot_payload"))
-    judged = materialize(big.join(pivots, "node").mapInPandas(
-        star, "node bigint, cls binary, pivot binary, size bigint, n bigint, payload binary, near boolean"), "near-star")
+def _pivot_links(judged: DataFrame, alike: tuple[Callable, Callable], leaf: int) -> DataFrame:
+    """Links of large groups whose members were compared with their pivot: ``node, cls, n, payload, size, pivot, near``."""
+    load, linked = alike
     stars = judged.where(F.col("near") & (F.col("cls") != F.col("pivot"))).select(
         F.col("pivot").alias("a"), F.col("cls").alias("b"))
 
@@ -428,7 +469,7 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
         return pd.concat([out, pd.DataFrame({"a": right["pivot"].iloc[0], "b": cls[hub]})], ignore_index=True)
 
     blocks = queries.groupBy("node", "u", "m").cogroup(bases.groupBy("node", "u", "m")).applyInPandas(across, LINK)
-    return small.unionByName(stars).unionByName(blocks.where(F.col("a") != F.col("b")))
+    return stars.unionByName(blocks.where(F.col("a") != F.col("b")))
 
 
 def _least_share(percent: int) -> float:
@@ -516,7 +557,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     classes = materialize(classes, "near-classes")
 
     tokens = materialize(tree_nodes(classes, trees, leaf, depth, percent).withColumnRenamed("sketch", "payload"), "near-tokens")
-    candidates = components(spanning_links(tokens, tokens.select("node", "cls"), _by_tokens(percent), leaf))
+    links, large = _leaf_links(tokens.where(F.col("size").isNull()), _by_tokens(percent)), tokens.where(F.col("size").isNotNull())
+    if not large.isEmpty():
+        links = links.unionByName(_pivot_links(large, _by_tokens(percent), leaf))
+    candidates = components(links)
     clusters = materialize(candidates.select(F.col("member").alias("cls"), F.xxhash64("root").alias("node")), "near-clusters")
 
     sets = materialize(_class_sets(docs, signed, clusters, width, id_col, text_col), "near-sets")

@@ -116,6 +116,32 @@ def test_near_copies_end_through_a_pivot(spark):
     assert [k for k in range(1, 3000) if not spread[0] & spread[k]] == []
 
 
+def test_members_of_large_nodes_are_judged_once(spark):
+    """800 near copies of one text and 300 documents that share half of it, leaves of 64: the nodes with up to four leaves
+    of unlike members end at the first level, and their members come with the size and pivot of the node."""
+    rng = np.random.default_rng(8)
+    text, mins = rng.integers(0, 1 << 32, N.K), []
+    for k in range(1100):
+        own = rng.permutation(N.K)[:3 if k < 800 else 32]
+        m = text.copy()
+        m[own] = rng.integers(0, 1 << 32, len(own))
+        mins.append(m.astype(np.uint32))
+    rows = [(k.to_bytes(4, "big"), m.tobytes(), 100, m.astype(np.uint8).tobytes()) for k, m in enumerate(mins)]
+    classes = spark.createDataFrame(rows, "cls binary, mins binary, n long, sketch binary")
+    nodes = defaultdict(list)
+    for r in N.tree_nodes(classes, leaf=64, percent=85).collect():
+        nodes[r.node].append(r)
+    large = [rs for rs in nodes.values() if len(rs) > 64]
+    assert len(large) == N.TREES and all(len(rs) > 700 for rs in large)       # before: branched, as 64 and more are unlike
+    load, linked = N._by_tokens(85)
+    for rs in large:
+        assert {r.size for r in rs} == {len(rs)} and {r.pivot for r in rs} <= {r.cls for r in rs}
+        at = next(k for k, r in enumerate(rs) if r.cls == r.pivot)
+        want = linked(load(np.array([r.n for r in rs]), [bytes(r.sketch) for r in rs]), at, np.arange(len(rs)))
+        assert [r.near for r in rs] == want.tolist() and 64 < (~want).sum() <= 4 * 64
+    assert all(r.size is None and r.near is None for rs in nodes.values() if len(rs) <= 64 for r in rs)
+
+
 def test_nodes_carry_what_comparing_needs(spark):
     """Members of nodes come with their size and sketch, so nothing is joined to them by class again."""
     rng = np.random.default_rng(7)
