@@ -27,13 +27,14 @@ gathered or sorted, and the plan's size depends on capacity and groups alone.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ GROUPS = 192
 SMALL = (1 / 4, 1 / 3, 1 / 2)   # of the capacity: thresholds tried
 ROUNDS = 400                    # of column generation, at most
 REMEMBERED = 400_000            # words in each of two generations
-ENCODE_DOCS = 1024              # texts at a time
+ENCODE_DOCS = 4096              # texts at a time, so that few words are looked up more than once
 
 
 # ---------------------------------------------------------------- encoding
@@ -66,6 +67,7 @@ class WordIds(PieceIds):
         super().__init__(tokenizer_path, remembered)
         self.stems: dict[str, list[int]] = {}
         self.model = self.tokenizer.model.tokenize
+        self.uncut = "|".join(re.escape(x) for x in (*self.special, *self._SEPARATORS) if x)
         probe = self.tokenizer.encode("Abc déf, x", add_special_tokens=False).ids
         if probe != [i for w in ("Abc", "déf,", "x") for i in self._direct(w, "")] or self.tokenizer.encode(" \n").ids:
             raise ValueError("texts cannot be cut at white space for this tokenizer")
@@ -74,36 +76,44 @@ class WordIds(PieceIds):
         super()._turn()
         self.stems = {}
 
-    def _of_model(self, word: str) -> list[int]:
-        ids = self.stems[word] = [t.id for t in self.model(byte_level(word))]
+    def _of_model(self, word: str, plain: bool) -> list[int]:
+        ids = self.stems[word] = [t.id for t in self.model(word if plain else byte_level(word))]
         return ids
 
     def _direct(self, part: str, lead: str) -> list[int] | None:
+        known = self.stems
+        if part.isalpha() and part.isascii():
+            low = part.lower()
+            return known.get(low) or self._of_model(low, True)
         stem = part.rstrip(self._MARKS)
-        if not (stem.isascii() and stem.isalpha() or self._LETTERS.fullmatch(stem)):
+        plain = stem.isascii() and stem.isalpha()
+        if not (plain or self._LETTERS.fullmatch(stem)):
             return None
-        low, known = stem.lower(), self.stems
+        low = stem.lower()
         if len(low) != len(stem):                          # a lower case of several characters
             return None
-        ids = known.get(low) or self._of_model(low)
-        if stem == part:
+        ids = known.get(low) or self._of_model(low, plain)
+        if len(stem) == len(part):
             return ids
         marks = part[len(stem):]
-        return ids + (known.get(marks) or self._of_model(marks))
+        return ids + (known.get(marks) or self._of_model(marks, False))
 
-    def _parts(self, text: str) -> list[str]:
-        odd = any(s in text for s in self.special) or any(s in text for s in self._SEPARATORS)
-        return [text] if odd else text.split()
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each different word of the texts is looked up once; Arrow splits the texts and numbers their words."""
         if self.size >= self.remembered:
             self._turn()
-        split = [self._parts(t) if t else [] for t in texts]
-        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        at = self._numbers(chain.from_iterable(split), int(ends[-1]) if len(ends) else 0, self.later, self.old_later, "")
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        words = pc.utf8_split_whitespace(texts)
+        odd = pc.match_substring_regex(texts, self.uncut)
+        if pc.any(odd).as_py():
+            words = pa.array([[text] if uncut else cut for text, uncut, cut in zip(
+                texts.to_pylist(), odd.to_pylist(), words.to_pylist(), strict=True)], words.type)
+        ends, words = np.asarray(words.offsets), words.flatten().dictionary_encode()
+        different, place = words.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(words.indices)
+        at = self._numbers(different, len(different), self.later, self.old_later, "")[place]
         length = self.length[at]
         up_to = np.concatenate([[0], np.cumsum(length)])
-        return self.ids[_ragged(self.begin[at], length)], np.diff(up_to[np.concatenate([[0], ends])])
+        return self.ids[_ragged(self.begin[at], length)], np.diff(up_to[ends - ends[0]])
 
 
 @cache
@@ -129,7 +139,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, seen = _words(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in (b.slice(k, ENCODE_DOCS) for b in batches for k in range(0, b.num_rows, ENCODE_DOCS)):
-            ids, n = words.encode(batch.column(1).to_pylist())
+            ids, n = words.encode(batch.column(1))
             n, ends = n + 1, np.cumsum(n)
             data = memoryview(np.insert(ids, ends, END_ID).astype("<u4")).cast("B")
             pieces = -(-n // capacity)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,6 +29,29 @@ def test_words_give_the_same_ids():
             assert ids[end - k:end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_a_column_are_looked_up_once():
+    """Texts as an Arrow column, sliced, with nulls, special tokens and all kinds of white space: each different word is
+    looked up once, the ids are those of the whole texts."""
+    class Counting(P.WordIds):
+        looked_up = 0
+
+        def _numbers(self, parts, count, *rest):
+            self.looked_up += count
+            return super()._numbers(parts, count, *rest)
+
+    rng, tokenizer, words = random.Random(9), Tokenizer.from_file(WORDS), Counting(WORDS)
+    some = ["Été", "naïve,", "plain", "PLAIN.", "x", "3.14", "don't", "İi", "ﬁn!", "...", "東京", "<|endoftext|>", "a\x1cb", "$$$"]
+    space = [" ", "  ", "\n", "\t \r\n", "\u00a0", "\u2003", "\x85", "\u3000"]
+    texts = ["skipped", *("".join(rng.choice(space) + rng.choice(some[:11] if k % 5 else some) for _ in range(rng.randrange(60)))
+                          for k in range(400)), "", None, " ", "end "]
+    for kind in (pa.string(), pa.large_string()):
+        ids, n = words.encode(pa.array(texts, kind).slice(1))
+        for text, end, k in zip(texts[1:], np.cumsum(n), n, strict=True):
+            assert ids[end - k:end].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
+    odd = sum(any(x in (t or "") for x in ("<|endoftext|>", "\x1c")) for t in texts)
+    assert words.looked_up <= 2 * (len(some) + 2 + odd)                # before: every word of every text
+
+
 def check_plan(plan, counts, capacity):
     """Every piece has a place of its own, and sequences are gapless from 0 and within the capacity."""
     where, ranks = {}, {x: set() for x in counts}
