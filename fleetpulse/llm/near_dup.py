@@ -54,11 +54,15 @@ K = 64
 TREES = 12
 MISS = 1e-4                     # of pairs at the threshold, at any level
 LEAF = 256
-UNLIKE = 4                      # leaves of members unlike the pivot up to which comparing these with all is cheaper than more levels
+UNLIKE = 32                     # leaves of members unlike the pivot up to which comparing these with all is cheaper than more levels
+TOKEN_BLOCK = 8                 # leaves in a block of members that are compared by sketches of K bytes
 DEPTH = 8
 BLOCK_BYTES = 1 << 18           # of text hashed at a time
 BLOCK_DOCS = 256
 BROADCAST_ROWS = 1_000_000      # of 40 bytes each
+BROADCAST_CLASSES = 250_000     # rows that name classes, of some 130 bytes each
+BROADCAST_BYTES = 1 << 23       # of pivots' sets
+INDEXED = 1 << 22               # hashes of a group that are numbered at once
 MEMBER = ("node", "cls", "n", "sketch")
 JUDGED = (*MEMBER, "size", "pivot", "near")
 
@@ -228,46 +232,37 @@ def _sizes(frontier: DataFrame, classes: DataFrame, leaf: int, carried: bool) ->
         sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.xxhash64("cls")).alias("hash"))
         sizes = materialize(sizes.where(F.col("size") > 1), "near-sizes")
         named = classes.select(F.xxhash64("cls").alias("hash"), F.struct("cls", "n", "sketch").alias("least"))
-        found = materialize(sizes.where(F.col("size") > leaf).join(named, "hash").groupBy("node").agg(F.min("least").alias("least")), "near-pivots")
-        sizes = sizes.join(found, "node", "left_outer")
+        found = named.join(_small(sizes.where(F.col("size") > leaf).select("node", "hash")), "hash")
+        sizes = sizes.join(found.groupBy("node").agg(F.min("least").alias("least")), "node", "left_outer")
     return sizes.select("node", "size", F.col("least.cls").alias("pivot"), F.col("least.n").alias("pivot_n"),
                         F.col("least.sketch").alias("pivot_sketch"))
 
 
-def _chains(members: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
-    """The members of large nodes with their size and sketch, and ``chain``: the nodes that follow theirs on the next
-    ``levels`` levels."""
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, mins, chain = np.asarray(batch.column("node")).view(np.uint64), _tokens(batch.column("mins")), []
-            for _ in range(levels):
-                node = _branch(node, mins)
-                chain.append(node)
-            flat = pa.array(np.stack(chain, axis=1).reshape(-1).view(np.int64))
-            ends = pa.array(np.arange(0, len(flat) + 1, levels, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, flat), *(batch.column(c) for c in kept)],
-                                             names=["chain", *kept])
-
-    members = members.join(classes.select("cls", "n", "mins", "sketch"), "cls")
-    kept = [c for c in members.columns if c != "mins"]
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.select(*kept).schema)
-    return members.mapInArrow(grow, f"chain array<bigint>, {shape}")
-
-
-def _judged(members: DataFrame, percent: int) -> DataFrame:
-    """Members of large nodes with ``near``: alike their node's pivot (``_by_tokens``)."""
+def _judged(members: DataFrame, percent: int, levels: int) -> DataFrame:
+    """Members of large nodes with ``near``: alike their node's pivot (``_by_tokens``).  Those that come with ``mins``
+    get ``chain`` instead: the nodes that follow theirs on the next ``levels`` levels."""
     least = _least_share(percent)
 
+    def follow(batch: pa.RecordBatch) -> pa.Array:
+        node, mins, chain = np.asarray(batch.column("node")).view(np.uint64), _tokens(batch.column("mins")), []
+        for _ in range(levels):
+            node = _branch(node, mins)
+            chain.append(node)
+        flat = pa.array(np.stack(chain, axis=1).reshape(-1).view(np.int64))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, levels, dtype=np.int32)), flat)
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, p = np.asarray(batch.column("n")), np.asarray(batch.column("pivot_n"))
             near = np.minimum(n, p) * 100 >= percent * np.maximum(n, p)
             near &= (_sketches(batch.column("sketch")) == _sketches(batch.column("pivot_sketch"))).mean(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(near)], names=[*kept, "near"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(near), follow(batch) if starts else batch.column("chain")],
+                                             names=[*kept, "near", "chain"])
 
-    kept = [c for c in members.columns if c not in ("pivot_n", "pivot_sketch")]
+    starts = "mins" in members.columns
+    kept = [c for c in members.columns if c not in ("pivot_n", "pivot_sketch", "mins", "chain")]
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.select(*kept).schema)
-    return members.mapInArrow(judge, f"{shape}, near boolean")
+    return members.mapInArrow(judge, f"{shape}, near boolean, chain array<bigint>")
 
 
 def tree_nodes(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
@@ -309,8 +304,8 @@ def _grow(growing: DataFrame, classes: DataFrame, trees: int, leaf: int, depth:
         if large.isEmpty():
             break
         if not carried:
-            large, carried = _chains(large, classes, max(1, depth - 1)), True
-        large = materialize(_judged(large, percent), "near-judged")
+            large, carried = large.join(classes.select("cls", "n", "mins", "sketch"), "cls"), True
+        large = materialize(_judged(large, percent, max(1, depth - 1)), "near-judged")
         if level + 1 == depth:
             ended = _and(ended, large.select(*JUDGED))
             break
@@ -339,6 +334,8 @@ class Forest:
         self.part = np.arange(n)
 
     def join(self, i: int, others: np.ndarray) -> None:
+        if not len(others):
+            return
         parts = np.unique(self.part[others])
         target = self.part[i]
         self.part[np.isin(self.part, parts[parts != target])] = target
@@ -399,8 +396,11 @@ def spanning_links(members: DataFrame, keys: DataFrame, alike: tuple[Callable, C
                 near[at] = linked(data, 0, np.arange(1, len(at) + 1))
             yield frame[["node", "cls", "pivot", "size", "n", "payload"]].assign(near=near)
 
-    pivots = members.select("node", F.col("cls").alias("pivot"), F.col("n").alias("pivot_n"), F.col("payload").alias("pivot_payload")) \
-        .join(large, ["node", "pivot"])
+    pivots = materialize(members.join(_small(large), "node").where(F.col("cls") == F.col("pivot")).select(
+        "node", "pivot", "size", F.col("n").alias("pivot_n"), F.col("payload").alias("pivot_payload")), "near-pivots")
+    count, size = pivots.agg(F.count(F.lit(1)), F.sum(F.octet_length("pivot_payload"))).first()
+    # few and small pivots go to where the members are
+    pivots = F.broadcast(pivots) if count <= BROADCAST_CLASSES and (size or 0) <= BROADCAST_BYTES else pivots
     judged = materialize(members.join(pivots, "node").mapInPandas(
         star, "node bigint, cls binary, pivot binary, size bigint, n bigint, payload binary, near boolean"), "near-star")
     return _leaf_links(members.join(large.select("node"), "node", "left_anti"), alike) \
@@ -429,17 +429,18 @@ def _leaf_links(members: DataFrame, alike: tuple[Callable, Callable]) -> DataFra
         .repartition(tasks, "node").sortWithinPartitions("node").mapInPandas(exhaustive, LINK)
 
 
-def _pivot_links(judged: DataFrame, alike: tuple[Callable, Callable], leaf: int) -> DataFrame:
-    """Links of large groups whose members were compared with their pivot: ``node, cls, n, payload, size, pivot, near``."""
+def _pivot_links(judged: DataFrame, alike: tuple[Callable, Callable], rows: int) -> DataFrame:
+    """Links of large groups whose members were compared with their pivot: ``node, cls, n, payload, size, pivot, near``,
+    by blocks of ``rows`` members."""
     load, linked = alike
     stars = judged.where(F.col("near") & (F.col("cls") != F.col("pivot"))).select(
         F.col("pivot").alias("a"), F.col("cls").alias("b"))
 
     # the members not linked to the pivot, block by block, with the blocks of all members
     apart = judged.where(~F.col("near"))
-    count = materialize(apart.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("u_blocks")), "near-apart")
+    count = materialize(apart.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / rows).alias("u_blocks")), "near-apart")
     block = lambda seed, blocks: F.pmod(F.xxhash64(F.lit(seed), "cls"), blocks)
-    m_blocks = F.ceil(F.col("size") / leaf)
+    m_blocks = F.ceil(F.col("size") / rows)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     queries = apart.join(count, "node").withColumn("u", block(1, F.col("u_blocks"))) \
         .withColumn("m", spread(m_blocks)).select("node", "u", "m", "cls", "n", "payload")
@@ -484,7 +485,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 def _by_tokens(percent: int) -> tuple[Callable, Callable]:
     """Alike by length and the low bytes of the minwise tokens, with a tolerance (``_least_share``)."""
-    least = _least_share(percent)
+    least = _least_share(percent) * K
 
     def load(n, payload):
         return n, np.frombuffer(b"".join(payload), np.uint8).reshape(-1, K)
@@ -492,25 +493,42 @@ def _by_tokens(percent: int) -> tuple[Callable, Callable]:
     def linked(data, i, others):
         n, tokens = data
         near = np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i])
-        near[near] = (tokens[others[near]] == tokens[i]).mean(axis=1) >= least
+        equal = np.packbits(tokens[others[near]] == tokens[i], axis=1).view(np.uint64)[:, 0]      # a bit for each token
+        near[near] = np.bitwise_count(equal) >= least
         return near
 
     return load, linked
 
 
 def _by_sets(percent: int) -> tuple[Callable, Callable]:
-    """Linked by the whole sets: 100 * intersection >= percent * union."""
+    """Linked by the whole sets: 100 * intersection >= percent * union.
+
+    The hashes of a group are numbered, so that a set is looked up in all others at once; in groups with more than
+    ``INDEXED`` hashes, whose sets are long, one pair after another is intersected."""
     def load(n, payload):
-        return n, [np.frombuffer(p, np.uint64) for p in payload]
+        sets, mark = [np.frombuffer(p, np.uint64) for p in payload], None
+        if sum(map(len, sets)) <= INDEXED:
+            known, number = np.unique(np.concatenate(sets), return_inverse=True)
+            sets, mark = np.split(number, np.cumsum([len(s) for s in sets])[:-1]), np.zeros(len(known), bool)
+        return n, sets, mark
+
+    def common(sets, mark, i, others):
+        if mark is None:
+            at = (np.minimum(np.searchsorted(sets[i], sets[k]), len(sets[i]) - 1) for k in others)
+            return np.array([(sets[i][a] == sets[k]).sum() for a, k in zip(at, others, strict=True)])
+        mark[sets[i]] = True
+        size = np.array([len(sets[k]) for k in others])
+        both = np.add.reduceat(mark[np.concatenate([sets[k] for k in others])], np.cumsum(size) - size, dtype=np.int64)
+        mark[sets[i]] = False
+        return both
 
     def linked(data, i, others):
-        n, sets = data
+        n, sets, mark = data
         near = np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i])
-        for k in np.flatnonzero(near):
-            b = sets[others[k]]
-            at = np.minimum(np.searchsorted(sets[i], b), len(sets[i]) - 1)
-            common = int((sets[i][at] == b).sum())
-            near[k] = 100 * common >= percent * (n[i] + len(b) - common)
+        close = others[near]
+        if len(close):
+            both = common(sets, mark, i, close)
+            near[near] = 100 * both >= percent * (n[i] + n[close] - both)
         return near
 
     return load, linked
@@ -518,23 +536,30 @@ def _by_sets(percent: int) -> tuple[Callable, Callable]:
 
 # ---------------------------------------------------------------- components
 def components(links: DataFrame) -> DataFrame:
-    """``member, root`` (the smallest member reachable) of every node of ``links``, by alternating stars."""
+    """``member, root`` (the smallest member reachable) of every node of ``links``, by alternating stars.
+
+    Each round looks at every node's least and largest smaller neighbour: when all have one, and that one has none,
+    the links are stars.  Else larger neighbours go to the least neighbour, then smaller ones do; both joins have a
+    row per link, so the links never grow."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges, before = materialize(edges, "near-edges"), None
-    while True:                                            # every round that changes something gets nearer to stars
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.*").where("u != v").distinct(), "near-edges")
-    return edges.select(F.col("u").alias("member"), F.col("v").alias("root")).unionByName(
-        edges.select(F.col("v").alias("member"), F.col("v").alias("root")).distinct())
+    edges = materialize(edges, "near-edges")
+    while True:
+        own = F.struct("u", "v", F.lit(False).alias("head"))
+        head = F.struct(F.col("v").alias("u"), F.lit(None).cast(edges.schema["v"].dataType).alias("v"), F.lit(True).alias("head"))
+        seen = edges.select(F.explode(F.array(own, head)).alias("e")).groupBy("e.u").agg(
+            F.min("e.v").alias("low"), F.max("e.v").alias("high"), F.max("e.head").alias("head"))
+        seen = materialize(seen, "near-seen")
+        below = F.col("low").isNotNull()
+        rows, unsettled = seen.agg(F.count("low"), F.count_if(below & ((F.col("low") != F.col("high")) | F.col("head")))).first()
+        if not unsettled:
+            return seen.select(F.col("u").alias("member"), F.coalesce("low", "u").alias("root"))
+        small = (lambda names: F.broadcast(names)) if rows <= BROADCAST_CLASSES else (lambda names: names)
+        lows = seen.where(below).select(F.col("u").alias("x"), "low")
+        large = edges.join(small(lows), F.col("v") == F.col("x"), "left_outer").select("u", F.coalesce("low", "v").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("least"))
+        edges = large.join(small(least), "u").select(
+            F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v"))
+        edges = materialize(edges, "near-edges")
 
 
 # ---------------------------------------------------------------- operator
@@ -552,41 +577,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     """
     signed = materialize(signatures(docs, width, id_col, text_col), "near-signed")
     classes = signed.where(F.col("n") > 0).groupBy("cls").agg(
-        F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("mins").alias("mins"),
-        F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("rows"),
+        F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "near-classes")
 
-    tokens = materialize(tree_nodes(classes, trees, leaf, depth, percent).withColumnRenamed("sketch", "payload"), "near-tokens")
-    links, large = _leaf_links(tokens.where(F.col("size").isNull()), _by_tokens(percent)), tokens.where(F.col("size").isNotNull())
+    tokens = tree_nodes(classes, trees, leaf, depth, percent).withColumnRenamed("sketch", "payload")
+    links = _leaf_links(tokens.where(F.col("size").isNull()), _by_tokens(percent))
+    large = materialize(tokens.where(F.col("size").isNotNull()), "near-tokens")
     if not large.isEmpty():
-        links = links.unionByName(_pivot_links(large, _by_tokens(percent), leaf))
-    candidates = components(links)
-    clusters = materialize(candidates.select(F.col("member").alias("cls"), F.xxhash64("root").alias("node")), "near-clusters")
+        links = links.unionByName(_pivot_links(large, _by_tokens(percent), TOKEN_BLOCK * leaf))
+    clusters = components(links).select(F.col("member").alias("cls"), F.xxhash64("root").alias("node"))
 
-    sets = materialize(_class_sets(docs, signed, clusters, width, id_col, text_col), "near-sets")
-    linked = materialize(components(spanning_links(sets, clusters, _by_sets(percent), leaf)), "near-components")
+    sets = materialize(_class_sets(docs, classes, clusters, width, id_col, text_col), "near-sets")
+    linked = components(spanning_links(sets, clusters, _by_sets(percent), leaf))
 
-    least = linked.join(classes.select(F.col("cls").alias("member"), "least_id"), "member")
-    least = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("member").alias("cls"), F.col("component_id").alias("linked_id"))
     # a component for every class with copies or links; all other documents are their own
-    copies = signed.where(F.col("n") > 0).groupBy("cls").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cls")
-    groups = classes.select("cls", "least_id").join(named, "cls", "left_outer").join(
-        copies.withColumn("copied", F.lit(True)), "cls", "left_outer") \
-        .where(F.col("linked_id").isNotNull() | F.col("copied")) \
-        .select(F.col("cls").alias("g_cls"), F.coalesce("linked_id", "least_id").alias("group_id"))
+    linked = _small(linked.select(F.col("member").alias("cls"), "root"), BROADCAST_CLASSES)
+    groups = classes.select("cls", "least_id", "rows").join(linked, "cls", "left_outer").where(
+        F.col("root").isNotNull() | (F.col("rows") > 1)).select(F.col("cls").alias("g_cls"), "least_id", "root")
     groups = materialize(groups, "near-groups")
+    alone, joined = groups.where(F.col("root").isNull()), groups.where(F.col("root").isNotNull())
+    least = joined.groupBy("root").agg(F.min("least_id").alias("group_id"))
+    small = groups.count() <= BROADCAST_CLASSES
+    groups = alone.select("g_cls", F.col("least_id").alias("group_id")).unionByName(
+        joined.select("g_cls", "root").join(F.broadcast(least) if small else least, "root").select("g_cls", "group_id"))
+    groups = F.broadcast(groups) if small else groups
     return signed.select("doc_id", "text_hash", "n", "cls").join(groups, F.col("cls") == F.col("g_cls"), "left_outer").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("g_cls").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("component_id")) \
         .withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
 
-def _class_sets(docs: DataFrame, signed: DataFrame, clusters: DataFrame, width: int, id_col: str,
+def _class_sets(docs: DataFrame, classes: DataFrame, clusters: DataFrame, width: int, id_col: str,
                 text_col: str) -> DataFrame:
     """``node, cls, n, payload`` (the whole set) of the clustered classes, from the text of one document of each."""
-    chosen = signed.select("cls", F.struct("doc_id", "text_hash").alias("one")).join(clusters, "cls") \
-        .groupBy("cls", "node").agg(F.min("one").alias("one")) \
+    chosen = classes.select("cls", "one").join(_small(clusters, BROADCAST_CLASSES), "cls") \
         .select("node", F.col("one.doc_id").alias("chosen_id"), F.col("one.text_hash").alias("chosen_hash"))
     wanted = _small(materialize(chosen, "near-chosen"))
     text = F.col(text_col).cast("string")
@@ -613,10 +638,10 @@ def _class_sets(docs: DataFrame, signed: DataFrame, clusters: DataFrame, width:
     return texts.mapInArrow(gather, "node bigint, cls binary, n bigint, payload binary")
 
 
-def _small(written: DataFrame) -> DataFrame:
-    """A written table of ids and hashes, broadcast up to BROADCAST_ROWS rows, so that texts are not dealt by id;
-    beyond that the join is a shuffle."""
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+def _small(written: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table of ids and hashes, broadcast up to ``rows`` (BROADCAST_ROWS) rows, so that texts are not dealt
+    by id; beyond that the join is a shuffle."""
+    return F.broadcast(written) if written.count() <= (BROADCAST_ROWS if rows is None else rows) else written
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

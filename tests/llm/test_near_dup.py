@@ -169,6 +169,85 @@ def test_links_of_a_large_node_do_not_grow_with_its_blocks(spark):
         *(frozenset((b"\0", bytes([k]))) for k in (*range(1, 40), 98)), frozenset((bytes([40]), bytes([99])))}
 
 
+def test_documents_that_share_a_passage_end_in_the_first_trees(spark):
+    """3,000 documents of which none are alike share their first 12 tokens: the nodes of these end at the first level, in
+    blocks, and no class grows in further trees (before: more than 1,024 unlike members branched to the last level)."""
+    rng = np.random.default_rng(9)
+    passage, rows = rng.integers(0, 1 << 32, N.K), []
+    for k in range(3000):
+        m = rng.integers(0, 1 << 32, N.K)
+        m[::N.K // 5] = passage[::N.K // 5]
+        m[rng.permutation(N.K)[:32]] = passage[0]
+        m[0] = passage[0]
+        rows.append((k.to_bytes(4, "big"), m.astype(np.uint32).tobytes(), 100, rng.bytes(N.K)))
+    classes = spark.createDataFrame(rows, "cls binary, mins binary, n long, sketch binary")
+    ended = N.tree_nodes(classes, percent=85).groupBy("node").count().collect()
+    assert sum(r["count"] > 1024 for r in ended) >= N.TREES - 2
+    assert sum(r["count"] for r in ended) <= N.TREES * len(rows)
+
+
+@pytest.mark.parametrize("indexed", [N.INDEXED, 10])
+def test_sets_of_a_group_are_compared_at_once(indexed, monkeypatch):
+    """The numbered sets of a group and its pairs give the same, whatever was compared before."""
+    monkeypatch.setattr(N, "INDEXED", indexed)
+    rng = random.Random(11)
+    sets = [frozenset(rng.sample(range(20), rng.randint(1, 20))) for _ in range(60)]
+    load, linked = N._by_sets(50)
+    data = load(np.array([len(s) for s in sets]), [np.array(sorted(s), np.uint64).tobytes() for s in sets])
+    for i in [*range(60), 3, 0]:
+        others = np.array(rng.sample(range(60), rng.randint(1, 60)))
+        want = [100 * len(sets[i] & sets[k]) >= 50 * len(sets[i] | sets[k]) for k in others]
+        assert linked(data, i, others).tolist() == want
+
+
+def test_alike_by_tokens_counts_equal_bytes():
+    rng = np.random.default_rng(12)
+    rows = rng.integers(0, 3, (200, N.K)).astype(np.uint8)
+    rows[:, :30] = 1
+    n = rng.integers(60, 140, 200)
+    load, linked = N._by_tokens(85)
+    data = load(n, [r.tobytes() for r in rows])
+    want = ((rows == rows[7]).mean(axis=1) >= N._least_share(85)) & (np.minimum(n, n[7]) * 100 >= 85 * np.maximum(n, n[7]))
+    assert linked(data, 7, np.arange(200)).tolist() == want.tolist() and 0 < want.sum() < 200
+
+
+def test_links_that_are_stars_need_no_round(spark, monkeypatch):
+    """Links of stars are written twice, as links and as nodes (before: another round of joins told that nothing changes);
+    repeated links and both directions are the same link."""
+    written, write = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name="stage": written.append(name) or write(df, name))
+    links = [(b"a", b"b"), (b"c", b"a"), (b"a", b"c"), (b"d", b"e"), (b"a", b"b"), (b"f", b"f")]
+    got = N.components(spark.createDataFrame(links, "a binary, b binary")).collect()
+    assert sorted((bytes(r.member), bytes(r.root)) for r in got) == [(b"a", b"a"), (b"b", b"a"), (b"c", b"a"), (b"d", b"d"), (b"e", b"d")]
+    plan = N.components(spark.createDataFrame(links, "a binary, b binary"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan                                             # the nodes are read as written
+    assert len(written) == 4
+
+
+@pytest.mark.parametrize("limit", [N.BROADCAST_CLASSES, 0])
+def test_components_of_random_links(spark, monkeypatch, limit):
+    """Against brute force, with names of classes sent along and dealt by class."""
+    monkeypatch.setattr(N, "BROADCAST_CLASSES", limit)
+    rng = random.Random(13)
+    links, part = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)], {}
+    for a, b in links:
+        one, two = part.setdefault(a, {a}), part.setdefault(b, {b})
+        if one is not two:
+            one |= two
+            part.update(dict.fromkeys(two, one))
+    want = {k: min(p) for k, p in part.items() if len(p) > 1}
+    got = {r.member: r.root for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == want
+
+
+def test_large_clusters_without_broadcasts(spark, monkeypatch):
+    rows = corpus(3)
+    want = run(spark, rows, percent=85, leaf=2)
+    for name in ("BROADCAST_ROWS", "BROADCAST_CLASSES", "BROADCAST_BYTES"):
+        monkeypatch.setattr(N, name, -1)
+    assert run(spark, rows, percent=85, leaf=2) == want
+
+
 def test_trees_needed_keeps_the_target():
     assert N.trees_needed(85, 2) <= N.TREES and N.trees_needed(80, 2) <= N.TREES
     for percent, level in ((85, 4), (80, 8)):
